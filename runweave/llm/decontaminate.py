@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words over bytes of UTF-8: what is not ASCII is part of a word.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -25,9 +26,15 @@ WINDOW = 10
 BLOCK_BYTES = 4 << 20
 #: Text bytes of the documents that share one index.
 SHARD_BYTES = 24 << 20
+CUT = 100
 SAMPLE = 8
 OTHER = 1
-HITS = "doc_id long, text binary, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
+HITS = [
+    T.StructField("text", T.BinaryType()),
+    T.StructField("n_words", T.LongType()),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    T.StructField("items", T.ArrayType(T.LongType())),
+]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -197,59 +204,61 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, bytes |
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per row: doc_id, n_words, spans (merged word spans, end exclusive) and items found there.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Per row: ``row`` (all columns as a struct), n_words, spans (merged word spans, end exclusive), items found there.
 
     A phrase is each run of ``window`` words of an item, or all words of a
     shorter one. No shuffle: tasks index their rows shard by shard, a shard
-    holding at most ``shard_bytes`` of text or one document; the phrases are
+    holding at most ``shard_bytes`` of text or CUT rows; the phrases are
     broadcast in blocks, and each further block of items is one more pass.
     Null and empty texts have no words; repeated rows are each searched, items
     with one item_id count as one; null item ids are left out; empty tables give no
-    rows or no hits; other columns are not read.
+    rows or no hits.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items"))
-    asked = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(text_col).cast("binary"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items"))
+    asked = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col("text").cast("binary"))
     blocks = list(_blocks(asked, block_bytes)) or [[]]
+    schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), *HITS])
     for block in blocks:
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
-        rows = rows.mapInArrow(_searcher(phrases, shard_bytes, block is blocks[-1]), HITS)
-    return rows.select("doc_id", "n_words", "spans", "items")
+        rows = rows.mapInArrow(_searcher(phrases, shard_bytes, block is blocks[-1]), schema)
+    return rows.drop("text")
 
 
 def _searcher(shared, shard_bytes: int, last: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
-        held: list[tuple] = []
+        held: list[tuple[pa.RecordBatch, list[list[bytes]]]] = []
         size = 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            spans, items = search_shard([h[2] for h in held], phrases)
-            for lo in range(0, len(held), 2000):
-                part = range(lo, min(lo + 2000, len(held)))
+            spans, items = search_shard([w for _, ws in held for w in ws], phrases)
+            at = 0
+            for cut, ws in held:
+                own = range(at, at + len(ws))
+                at += len(ws)
+                before, known = cut.column(3).to_pylist(), cut.column(4).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([held[i][0] for i in part], pa.int64()),
-                        pa.array([None if last else held[i][1] for i in part], pa.binary()),
-                        pa.array([len(held[i][2]) for i in part], pa.int64()),
-                        pa.array([_merged(held[i][3], spans[i]) for i in part], schema.field(3).type),
-                        pa.array([sorted(items[i].union(held[i][4])) for i in part], schema.field(4).type),
+                        cut.column(0),
+                        pa.nulls(len(ws), pa.binary()) if last else cut.column(1),
+                        pa.array([len(w) for w in ws], pa.int64()),
+                        pa.array([_merged(b, spans[i]) for b, i in zip(before, own)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                        pa.array([sorted(items[i].union(k)) for k, i in zip(known, own)], pa.list_(pa.int64())),
                     ],
-                    schema=schema,
+                    names=["row", "text", "n_words", "spans", "items"],
                 )
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                cut = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, CUT):
+                cut = batch.slice(lo, CUT)
                 texts = cut.column(1).to_pylist()
-                for doc, text, spans, items in zip(cut.column(0).to_pylist(), texts, cut.column(3).to_pylist(), cut.column(4).to_pylist()):
-                    if held and size + len(text or b"") > shard_bytes:
-                        yield from done()
-                        held, size = [], 0
-                    held.append((doc, None if last else text, words_of(text), spans, items))
-                    size += len(text or b"")
+                load = sum(len(t or b"") for t in texts)
+                if held and size + load > shard_bytes:
+                    yield from done()
+                    held, size = [], 0
+                held.append((cut, [words_of(t) for t in texts]))
+                size += load
         if held:
             yield from done()
 
@@ -263,7 +272,14 @@ def cut_words(text: Column, spans: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(gaps, kept, lambda g, w: F.array(g, F.coalesce(w, F.lit(""))))), "")
 
 
+def cut_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows, all columns as they are, with the words of every removal span cut out of the text."""
+    found = find_leaks(docs, benchmark, text_col=text_col, **options).select("row.*", F.col("spans").alias("__spans"))
+    text = F.col(text_col)
+    return found.withColumn(text_col, F.when(F.size("__spans") > 0, cut_words(text, F.col("__spans"))).otherwise(text)).drop("__spans")
+
+
 def leaks_digest(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     ids = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

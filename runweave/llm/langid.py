@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIM = 512
 #: Trigram vectors that a Python worker keeps; others are bound anew.
@@ -135,6 +136,32 @@ def learn(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", d
     return out
 
 
+def _predictor(prototypes: dict[str, list[float]], dim: int, seed: int):
+    """Label and cosine of each text of a list."""
+    labels = sorted(prototypes)
+    unit = np.array([prototypes[x] for x in labels], np.float64).reshape(len(labels), dim)
+    unit = (unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+    def predicted(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        own, names, scores = space(dim, seed), [], []
+        for text in texts:
+            grams, n = trigrams(text)
+            if not len(grams) or not labels:
+                names.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            v = np.zeros(dim, np.float32)
+            for i in range(0, len(grams), 1024):
+                v += n[i : i + 1024].astype(np.float32) @ own.vectors(grams[i : i + 1024]).astype(np.float32)
+            cos = unit @ (v / max(float(np.linalg.norm(v)), 1e-12))
+            k = int(np.argmax(cos))
+            names.append(labels[k])
+            scores.append(min(1.0, max(0.0, float(cos[k]))))
+        return names, scores
+
+    return predicted
+
+
 def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, id_col: str = "doc_id", text_col: str = "text", dim: int = DIM, seed: int = 7) -> DataFrame:
     """Per row: doc_id, lang_pred, score (the cosine, 0 to 1).
 
@@ -142,33 +169,32 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, id_col: str
     learned. Ties go to the smaller label. One pass, no shuffle; repeated rows
     are each predicted; an empty table gives no rows; other columns are not read.
     """
-    labels = sorted(prototypes)
-    unit = np.array([prototypes[x] for x in labels], np.float64).reshape(len(labels), dim)
-    unit = (unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    predicted = _predictor(prototypes, dim, seed)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = space(dim, seed)
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(1).to_pylist():
-                grams, n = trigrams(text)
-                if not len(grams) or not labels:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                v = np.zeros(dim, np.float32)
-                for i in range(0, len(grams), 1024):
-                    v += n[i : i + 1024].astype(np.float32) @ own.vectors(grams[i : i + 1024]).astype(np.float32)
-                cos = unit @ (v / max(float(np.linalg.norm(v)), 1e-12))
-                k = int(np.argmax(cos))
-                names.append(labels[k])
-                scores.append(min(1.0, max(0.0, float(cos[k]))))
+            names, scores = predicted(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, prototypes: dict[str, list[float]], *, text_col: str = "text", min_score: float = 0.1, dim: int = DIM, seed: int = 7) -> DataFrame:
+    """The rows, all columns as they are, whose text has letters and a cosine of ``min_score`` or more."""
+    schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), T.StructField("known", T.BooleanType())])
+    task = _predictor(prototypes, dim, seed)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = task(batch.column(1).to_pylist())
+            known = [n != UNKNOWN and s >= min_score for n, s in zip(names, scores)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.bool_())], names=["row", "known"])
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(judged, schema).filter("known").select("row.*")
+
+
 def languages(docs: DataFrame, **options) -> DataFrame:
     """Learns from the rows that are not held out and predicts every row: doc_id, held_out, lang_pred, score."""
     prototypes = learn(docs.filter(~is_held_out(F.col("doc_id"))), **options)

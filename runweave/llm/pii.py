@@ -93,40 +93,38 @@ def _spans(text: Column, kind: str, pattern: str, test, score: float, words: str
     return F.when(test(text), found).otherwise(none)
 
 
-def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row's doc_id, text and ``spans``: start, rank, end, kind, match, score, by start and kind.
+def with_spans(docs: DataFrame, name: str, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows and a column ``name``: start, rank, end, kind, match, score of each span, by start and kind.
 
     Spans of the four base kinds stay whatever their score; spans of other kinds
     need ``threshold``. One pass, no shuffle. Null texts count as empty and have
-    no spans; repeated rows are each searched; an empty table gives no rows;
-    other columns are not read.
+    no spans; repeated rows are each searched; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kinds = [_spans(F.col("text"), *k) for k in KINDS]
-    for k, spans in zip(KINDS, kinds):
-        rows = rows.withColumn(f"__{k[0]}", spans)
-    every = F.concat(*[F.col(f"__{k[0]}") for k in KINDS])
-    kept = F.filter(every, lambda s: (s["rank"] < len(BASE)) | (s["score"] >= threshold))
-    return rows.select("doc_id", "text", F.sort_array(kept).alias("spans"))
-
-
-def redact(found: DataFrame) -> DataFrame:
-    """doc_id and text with each span, overlapping ones as one, replaced by its first kind in brackets."""
-    text = F.col("text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    names = [f"{name}_{k[0]}" for k in KINDS]
+    rows = docs.withColumns({n: _spans(text, *k) for n, k in zip(names, KINDS)})
+    kept = F.filter(F.concat(*names), lambda s: (s["rank"] < len(BASE)) | (s["score"] >= threshold))
+    return rows.withColumn(name, F.sort_array(kept)).drop(*names)
+
+
+def redact(docs: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all columns as they are, with each span of the text, overlapping ones as one, replaced by its first kind in brackets."""
+    text, spans = F.col(text_col), "__spans"
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(a: Column, s: Column) -> Column:
         fresh = F.struct(F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["end"].alias("at"))
         return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
 
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
-    return found.select("doc_id", F.when(F.size("spans") > 0, clean).otherwise(text).alias("text"))
+    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    return with_spans(docs, spans, text_col=text_col, threshold=threshold).withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(spans)
 
 
-def spans_digest(found: DataFrame) -> DataFrame:
+def spans_digest(found: DataFrame, spans: str = "spans") -> DataFrame:
+    """doc_id, counts of the base kinds, their digest, and all spans as text."""
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    base = F.filter(spans, lambda s: s["rank"] < len(BASE))
+    count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, pii, quality, sharding, sstable, token_counts, url_filter
+from . import decontaminate, jaccard_join, langid, packing, pii, quality, sharding, sstable, token_counts, url_filter
 from .shared import table
 
 
@@ -37,7 +37,7 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a benchmark phrase."""
-    return decontaminate.leaks_digest(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.leaks_digest(decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +50,18 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under 4-word shingle similarity of 0.85 or more."""
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data found in every document."""
-    return pii.spans_digest(pii.find_spans(table(spark, sf_dir, "documents")))
+    return pii.spans_digest(pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_extendible_shards, op2_sstable, op3_url_rules, op4_section_tokens, op5_quality_cascade, op6_decontaminate, op7_language, op8_pack, op10_pii]
+    found = [op1_extendible_shards, op2_sstable, op3_url_rules, op4_section_tokens, op5_quality_cascade, op6_decontaminate, op7_language, op8_pack, op9_jaccard_components, op10_pii]
     return {f.__name__: f for f in found}
 
 
