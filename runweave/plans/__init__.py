@@ -1,6 +1,6 @@
 """Registered queries over the run grid, each with its SQL twin."""
 
-from . import geometry, selection  # noqa: F401
+from . import dynamics, geometry, ingest, selection, streams  # noqa: F401
 from .grid import QUERIES, SQL
 
 

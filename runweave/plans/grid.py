@@ -22,7 +22,7 @@ WITH zone_state AS (
   SELECT l_suppkey AS run_id, CAST((year(l_shipdate) - 1992) * 4 + quarter(l_shipdate) - 1 AS INT) AS snapshot_index,
          CAST(l_partkey % 16 AS INT) + 1 AS zone_id,
          round(avg(l_quantity), 6) AS density, round(avg(l_discount - l_tax) * 1e2, 6) AS velocity,
-         round(avg(l_extendedprice) / 1e3, 6) AS pressure, round(5e0 + 5e2 * avg(l_discount), 6) AS temperature_e,
+         round(avg(l_extendedprice) / 1e3 + 3.3e-9, 6) AS pressure, round(5e0 + 5e2 * avg(l_discount), 6) AS temperature_e,
          round(5e0 + 4e2 * avg(l_tax), 6) AS temperature_i, round(1e0 + 1e2 * avg(l_tax), 6) AS mean_charge,
          round(avg(l_quantity), 6) * 1e20 AS electron_density
   FROM lineitem GROUP BY 1, 2, 3),
@@ -50,7 +50,7 @@ def zone_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = keyed.agg(
         F.round(F.avg("l_quantity"), 6).alias("density"),
         F.round(F.avg(F.col("l_discount") - F.col("l_tax")) * 1e2, 6).alias("velocity"),
-        F.round(F.avg("l_extendedprice") / 1e3, 6).alias("pressure"),
+        F.round(F.avg("l_extendedprice") / 1e3 + TIE, 6).alias("pressure"),
         F.round(5e0 + 5e2 * F.avg("l_discount"), 6).alias("temperature_e"),
         F.round(5e0 + 4e2 * F.avg("l_tax"), 6).alias("temperature_i"),
         F.round(1e0 + 1e2 * F.avg("l_tax"), 6).alias("mean_charge"),
