@@ -71,17 +71,25 @@ def assign(docs: DataFrame, *, limit: int = 4 << 20, id_col: str = "doc_id", tex
     depths = [r[0] for r in shards.select("depth").distinct().collect()]  # at most 61
     keyed = rows.withColumn("at", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(f"shiftright(h, {BITS - d})").alias("prefix")) for d in sorted(depths)])) if depths else F.explode(F.array().cast("array<struct<depth:int,prefix:bigint>>"))).select("doc_id", "h", "bytes", "at.*")
     placed = keyed.join(shards.select("depth", "prefix", F.col("n_bytes").alias("shard_bytes")), ["depth", "prefix"])
-    over = Window.partitionBy("h").orderBy("bytes", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    chained = placed.filter((F.col("depth") == BITS) & (F.col("shard_bytes") > limit)).withColumn("page", F.floor((F.sum("bytes").over(over) - F.col("bytes")) / F.lit(limit)).cast("long"))
-    single = placed.filter((F.col("depth") < BITS) | (F.col("shard_bytes") <= limit)).withColumn("page", F.lit(0).cast("long"))
-    return single.unionByName(chained).select("doc_id", "h", F.col("bytes").alias("n_bytes"), "depth", "prefix", "page", "shard_bytes")
+    paged = _paged(placed, limit, ["bytes", "doc_id"])
+    return paged.select("doc_id", "h", F.col("bytes").alias("n_bytes"), "depth", "prefix", "page", "shard_bytes")
+
+
+def _paged(placed: DataFrame, limit: int, order: list[str]) -> DataFrame:
+    """Adds ``page``: rows of one hash that alone exceed the limit are chained over pages."""
+    large = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit)
+    over = Window.partitionBy("h").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    chained = placed.filter(large).withColumn("page", F.floor((F.sum("bytes").over(over) - F.col("bytes")) / F.lit(limit)).cast("long"))
+    return placed.filter(~large).withColumn("page", F.lit(0).cast("long")).unionByName(chained)
 
 
 def write_shards(docs: DataFrame, folder: str | None = None, *, limit: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the rows as one Parquet folder per shard and returns the table read back."""
-    placed = assign(docs.select(id_col, text_col), limit=limit, id_col=id_col, text_col=text_col)
+    """Writes the rows, all columns as they are, to one Parquet folder per shard; returns the table read back with its ``shard``."""
     folder = folder or shared_dir(docs.sparkSession, "shards")
-    shard = F.concat_ws("-", "depth", "prefix", "page")
-    rows = placed.select("doc_id", shard.alias("shard")).distinct().join(docs, F.col("doc_id").eqNullSafe(docs[id_col])).select(docs["*"], "shard")
-    rows.repartition("shard").write.partitionBy("shard").parquet(folder)
+    placed = assign(docs, limit=limit, id_col=id_col, text_col=text_col)
+    of_hash = placed.select("h", "depth", "prefix", "shard_bytes").distinct()
+    rows = docs.select(hash_of(docs[id_col]).alias("h"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("bytes"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    paged = _paged(rows.join(of_hash, "h"), limit, ["bytes"])
+    out = paged.select("row.*", F.concat_ws("-", "depth", "prefix", "page").alias("shard"))
+    out.repartition("shard").write.partitionBy("shard").parquet(folder)
     return docs.sparkSession.read.parquet(folder)
