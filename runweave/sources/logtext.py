@@ -26,7 +26,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def blocks(logs: DataFrame) -> DataFrame:
     """Header (block -1) and snapshot blocks (from 0) of each file."""
-    return logs.select("file", F.posexplode(F.split("text", BLOCK)).alias("pos", "text")).select("file", (F.col("pos") - 1).alias("block"), "text")
+    return logs.select("file", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), BLOCK)).alias("pos", "text")).select("file", (F.col("pos") - 1).alias("block"), "text")
 
 
 def lines(parts: DataFrame) -> DataFrame:
