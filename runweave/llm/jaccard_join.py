@@ -11,9 +11,9 @@ pair shares a signature, and unlike sets hardly ever do.
 Pairs that share a signature are found and checked in three steps, each with few
 rows: (1) each group against its smallest member; (2) where a group is not yet
 in one component, the closest pair of each two components; (3) all remaining
-pairs between components. Steps 2 and 3 compare parity sketches inside the
-group first; a sketch never rejects a similar pair. Shingles and words stand
-for themselves as 64-bit hashes.
+pairs between components. Every step compares parity sketches first, which
+never reject a similar pair, and only pairs that pass have their sets compared.
+Shingles and words stand for themselves as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ _SOLID = np.ones(256, bool)
 _SOLID[[32, 9, 10, 11, 12, 13]] = False
 #: Bytes of text that are hashed at once, and members that one task compares with a pivot or in a block.
 PIECE, FAN, BLOCK = 2 << 20, 500, 2048
+#: Most rows of identifiers that are broadcast to pick texts out of a scan; more are joined by a shuffle.
+SENT = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,7 +180,8 @@ def scheme(percent: int) -> Scheme:
 
 
 def _signer(size: int, percent: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("tag", pa.int32()), ("sigs", pa.list_(pa.int64()))])
+    """Rows of signatures, and for each band pair of a set a row of tag -2 - t with its text's hash and its sketch (tag -1: no words)."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("tag", pa.int32()), ("sketch", pa.binary()), ("sigs", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scheme(percent)
@@ -187,11 +190,23 @@ def _signer(size: int, percent: int):
                 cut, rows = batch.slice(lo, 500), []
                 sets = shingle_sets(cut.column(2).to_pylist(), size)
                 for doc, th, s in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist(), sets):
-                    rows.append((doc, len(s), -1, np.array([th], np.int64)))
-                    if len(s):
-                        t = own.band(len(s))
-                        rows += [(doc, len(s), k, own.signatures(s, k).view(np.int64)) for k in (t, t + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(3)] + [_lists([r[3] for r in rows])], schema=schema)
+                    th = np.array([th], np.int64)
+                    if not len(s):
+                        rows.append((doc, 0, -1, None, th))
+                        continue
+                    t = own.band(len(s))
+                    for k in (t, t + 1):
+                        rows.append((doc, len(s), -2 - k, own.sketch(s, k), th))
+                        rows.append((doc, len(s), k, None, own.signatures(s, k).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(4)] + [_lists([r[4] for r in rows])], schema=schema)
+
+    return task
+
+
+def _counter(size: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(batch.column(2).to_pylist(), size)], pa.int64())], names=["n_shingles"])
 
     return task
 
@@ -204,14 +219,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _memberships(reps: DataFrame, size: int, percent: int) -> DataFrame:
     """Groups of documents that share a signature, each group once: tag, gh, cnt, pivot, doc, n.
 
-    Rows of tag -1 are no groups; they carry each text's set size.
+    Rows of negative tag are no groups: ``gh`` is the text's hash, and they carry the sketches.
     """
-    signed = reps.select("doc_id", "th", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(size, percent), "doc long, n long, tag int, sigs array<long>")
-    rows = signed.select("doc", "n", "tag", F.explode("sigs").alias("sig"))
+    signed = reps.select("doc_id", "th", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(size, percent), "doc long, n long, tag int, sketch binary, sigs array<long>")
+    rows = signed.select("doc", "n", "tag", "sketch", F.explode("sigs").alias("sig"))
     group = Window.partitionBy("sig", "tag")
-    met = rows.select("doc", "n", "tag", "sig", F.count(F.lit(1)).over(group).alias("cnt"), F.min("doc").over(group).alias("pivot"), F.bit_xor(F.xxhash64("doc")).over(group).alias("gh"))
+    met = rows.select("doc", "n", "tag", "sketch", "sig", F.count(F.lit(1)).over(group).alias("cnt"), F.min("doc").over(group).alias("pivot"), F.bit_xor(F.xxhash64("doc")).over(group).alias("gh"))
     met = met.filter((F.col("cnt") > 1) | (F.col("tag") < 0))
-    return written(met.select("tag", F.when(F.col("tag") < 0, F.col("sig")).otherwise(F.col("gh")).alias("gh"), "cnt", "pivot", "doc", "n").distinct(), "groups")
+    return written(met.select("tag", F.when(F.col("tag") < 0, F.col("sig")).otherwise(F.col("gh")).alias("gh"), "cnt", "pivot", "doc", "n", "sketch").distinct(), "groups")
+
+
+def _small(df: DataFrame, most: int = SENT) -> DataFrame:
+    """``df``, a table of a few numbers a row, marked for broadcast only where its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _shipper(size: int):
@@ -263,8 +283,9 @@ def verify(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FAN)).cast("int").alias("fans"))
     members = pairs.join(fans, "a").select(F.col("b").alias("doc_id"), F.struct("a", F.pmod(F.hash("b"), "fans").cast("int").alias("salt")).alias("to"))
     pivots = fans.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt")).select("doc_id", F.struct(F.col("doc_id").alias("a"), "salt").alias("to"))
-    to = members.unionByName(pivots).groupBy("doc_id").agg(F.collect_list("to").alias("to"))
-    shipped = reps.select("doc_id", F.col("text").cast("binary").alias("text")).join(to, "doc_id").select("doc_id", "text", "to").mapInArrow(_shipper(size), "a long, salt int, role int, b long, elements binary")
+    to = written(members.unionByName(pivots).groupBy("doc_id").agg(F.collect_list("to").alias("to")), "targets")
+    texts = reps.select("doc_id", F.col("text").cast("binary").alias("text")).join(_small(to.select("doc_id")), "doc_id", "left_semi")
+    shipped = texts.join(to, "doc_id").select("doc_id", "text", "to").mapInArrow(_shipper(size), "a long, salt int, role int, b long, elements binary")
     dealt = shipped.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return written(dealt.mapInArrow(_checker(percent), "a long, b long").distinct(), "links")
 
@@ -297,21 +318,34 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
-def _sketcher(size: int, percent: int):
-    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("n", pa.int64()), ("sketch", pa.binary())])
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in which sketches differ, over the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _screener(percent: int):
+    """The pairs (a, b) whose sketches do not rule them out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scheme(percent)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                cut, rows = batch.slice(lo, 500), []
-                for doc, tags, s in zip(cut.column(0).to_pylist(), cut.column(2).to_pylist(), shingle_sets(cut.column(1).to_pylist(), size)):
-                    rows += [(doc, t, len(s), own.sketch(s, t)) for t in tags if len(s) and t in (own.band(len(s)), own.band(len(s)) + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+            passed = []
+            for a, b, na, nb, sa, sb in zip(*(c.to_pylist() for c in batch.columns)):
+                if 100 * min(na, nb) >= percent * max(na, nb) and int(_far(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64))) <= (100 - percent) * (na + nb) // (100 + percent):
+                    passed.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in passed], pa.int64()) for c in range(2)], schema=schema)
 
     return task
 
 
+def _with_pivots(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Each group's members against its smallest one: the pairs that the sketches let pass."""
+    pairs = met.filter("doc <> pivot").select("tag", F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
+    side = lambda c: sketches.select("tag", F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(side("b"), ["tag", "b"]).join(side("a"), ["tag", "a"])
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_screener(percent), "a long, b long").distinct()
+
+
 def _comparer(percent: int, closest: bool):
     """Within each group's block pair: pairs between components that the sketches let pass."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -326,7 +360,7 @@ def _comparer(percent: int, closest: bool):
         step = max(1, (4 << 20) // bits.size)
         for i in range(0, len(rows), step):
             j = min(len(rows), i + step)
-            far = np.bitwise_count(bits[i:j, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            far = _far(bits[i:j, None, :], bits[None, :, :])
             ok = far <= (100 - percent) * (n[i:j, None] + n[None, :]) // (100 + percent)
             ok &= (comp[i:j, None] != comp[None, :]) & (np.arange(i, j)[:, None] < np.arange(len(rows))[None, :])
             ok &= 100 * np.minimum(n[i:j, None], n[None, :]) >= percent * np.maximum(n[i:j, None], n[None, :])
@@ -369,9 +403,9 @@ def _comparer(percent: int, closest: bool):
 def _open_groups(groups: DataFrame, comps: DataFrame) -> DataFrame:
     """Memberships of the groups that lie in more than one component."""
     placed = groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    group = Window.partitionBy("tag", "gh", "cnt")
-    spread = placed.withColumn("lo", F.min("comp").over(group)).withColumn("hi", F.max("comp").over(group))
-    return written(spread.filter("lo <> hi").select("tag", "gh", "cnt", "pivot", "doc", "comp"), "open")
+    key = ["tag", "gh", "cnt"]
+    split = placed.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(*key)
+    return written(placed.join(split, key).select(*key, "pivot", "doc", "comp"), "open")
 
 
 def _between(open_: DataFrame, sketches: DataFrame, percent: int, closest: bool) -> DataFrame:
@@ -398,28 +432,25 @@ def components(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str
     same = keys.filter("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("th", "rep")
     copies = written(keys.join(same, "th").filter("doc_id <> rep").distinct(), "copies")
     lone = keys.filter("doc_id is null").select("th").distinct()
-    reps = base.filter("doc_id is not null").join(copies.select("doc_id", "th"), ["doc_id", "th"], "left_anti")
+    reps = base.filter("doc_id is not null").join(_small(copies.select("doc_id", "th")), ["doc_id", "th"], "left_anti")
     groups = _memberships(reps, size, percent)
     met = groups.filter("tag >= 0")
-    links = verify(met.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), reps, size, percent)
+    sketches = groups.filter("tag < -1").select((-2 - F.col("tag")).alias("tag"), "doc", "n", "sketch")
+    links = verify(_with_pivots(met, sketches, percent), reps, size, percent)
     several = keys.groupBy("doc_id").agg(F.count_distinct("th").alias("k")).filter("k > 1").select("doc_id")
     links = links.unionByName(copies.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     comps = written(connected(links), "components")
-    larger = met.filter("cnt > 2").drop("n")
-    sketches = None
+    larger = met.filter("cnt > 2").drop("n", "sketch")
     for closest in (True, False):
         open_ = _open_groups(larger, comps)
         if not open_.take(1):
             break
-        if sketches is None:
-            asked = open_.groupBy("doc").agg(F.collect_set("tag").alias("tags")).withColumnRenamed("doc", "doc_id")
-            sketches = written(reps.select("doc_id", F.col("text").cast("binary").alias("text")).join(asked, "doc_id").select("doc_id", "text", "tags").mapInArrow(_sketcher(size, percent), "doc long, tag int, n long, sketch binary"), "sketches")
         links = links.unionByName(verify(_between(open_, sketches, percent, closest), reps, size, percent))
         comps = written(connected(links), "components")
-    sizes = groups.filter("tag < 0").select(F.col("doc").alias("node"), F.col("gh").alias("th"), "n")
+    sizes = groups.filter("tag < 0").select(F.col("doc").alias("node"), F.col("gh").alias("th"), "n").distinct()
     if lone.take(1):  # texts that only rows without an identifier have
         counted = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.xxhash64(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("th"), F.col(text_col).cast("binary").alias("text"))
-        nameless = counted.mapInArrow(_signer(size, percent), "doc long, n long, tag int, sigs array<long>").filter("tag < 0").select(F.col("n").alias("n_shingles"))
+        nameless = counted.mapInArrow(_counter(size), "n_shingles long")
     else:
         nameless = None
     rows = keys.filter("doc_id is not null").join(copies, ["doc_id", "th"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
