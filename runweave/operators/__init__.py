@@ -1 +1 @@
-
+"""Operators on run grids."""

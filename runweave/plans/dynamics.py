@@ -166,8 +166,7 @@ def first_activation(spark, d):
 
 @query("front_track")
 def front_track(spark, d):
-    s = scores(spark, d)
-    t = V.front_track(s, thresholds(s))
+    t = V.front_track(scores(spark, d))
     smooth = W.smooth_track(t, "track_index", ["run_id"], falling=True)
     return V.track_velocity(smooth, "smoothed").select(*RS, "track_index", "smoothed", "track_score", "track_velocity")
 
@@ -327,11 +326,11 @@ def target_region(spark, d):
 
 
 def preheat_rows(spark, d):
-    entry = targets(spark, d).select("run_id", "region_id", (1.5 + F.col("run_id") % 10 * 0.1).alias("entry_time"))
+    entry = targets(spark, d).select("run_id", "region_id", (2.0 + F.col("run_id") % 10 * 0.1).alias("entry_time"))
     return P.preheat_series(zone_state(spark, d), entry)
 
 
-PRE = TARGET + f", ch AS (SELECT g.*, 1.5e0 + run_id % 10 * 1e-1 AS entry_time, temperature_e - first_value(temperature_e) OVER w AS dte, mean_charge - first_value(mean_charge) OVER w AS dz, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + 1e-9) AS rp, density * width_cm AS mass FROM g WINDOW w AS {WT}), pr AS (SELECT ch.*, (dte >= 1 OR dz >= 1e-1) AND ratio < 1.2e0 AND rp < 5e-1 AS hit FROM ch JOIN tg USING (run_id, region_id) WHERE time_s < entry_time), ps AS (SELECT run_id, snapshot_index, any_value(time_s) AS time_s, coalesce(sum(width_cm) FILTER (WHERE hit), 0) / sum(width_cm) AS width_fraction, coalesce(sum(mass) FILTER (WHERE hit), 0) / sum(mass) AS mass_fraction, sum(mass * dte) FILTER (WHERE hit) / sum(mass) FILTER (WHERE hit) AS mean_delta_te, max(dte) FILTER (WHERE hit) AS max_delta_te, sum(mass * temperature_e * 1e-2) AS areal_energy, sum(mass * mean_charge * 1e-2) AS rate FROM pr GROUP BY 1, 2)"
+PRE = TARGET + f", ch AS (SELECT g.*, 2e0 + run_id % 10 * 1e-1 AS entry_time, temperature_e - first_value(temperature_e) OVER w AS dte, mean_charge - first_value(mean_charge) OVER w AS dz, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + 1e-9) AS rp, density * width_cm AS mass FROM g WINDOW w AS {WT}), pr AS (SELECT ch.*, (dte >= 1 OR dz >= 1e-1) AND ratio < 1.2e0 AND rp < 5e-1 AS hit FROM ch JOIN tg USING (run_id, region_id) WHERE time_s < entry_time), ps AS (SELECT run_id, snapshot_index, any_value(time_s) AS time_s, coalesce(sum(width_cm) FILTER (WHERE hit), 0) / sum(width_cm) AS width_fraction, coalesce(sum(mass) FILTER (WHERE hit), 0) / sum(mass) AS mass_fraction, sum(mass * dte) FILTER (WHERE hit) / sum(mass) FILTER (WHERE hit) AS mean_delta_te, max(dte) FILTER (WHERE hit) AS max_delta_te, sum(mass * temperature_e * 1e-2) AS areal_energy, sum(mass * mean_charge * 1e-2) AS rate FROM pr GROUP BY 1, 2)"
 
 
 @query("preheat_series", "run_id snapshot_index", "width_fraction mass_fraction mean_delta_te max_delta_te", PRE + " ;; SELECT * FROM ps")

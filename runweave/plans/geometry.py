@@ -160,12 +160,12 @@ def source_alignment(spark, d):
     return J.aligned(z.filter("NOT (run_id % 4 = 0 AND snapshot_index = 27) AND run_id % 7 <> 6"), z).select("run_id", "log_snapshots", "bin_snapshots", "use_log")
 
 
-REQUESTS = "rq AS (SELECT run_id, i, 1e-1 * (i * 7 % 31) + 3e-2 * i AS want FROM (SELECT DISTINCT run_id FROM g), (SELECT unnest(range(0, 5)) AS i))"
+REQUESTS = "rq AS (SELECT run_id, i, 1.1e0 + 1e-1 * (i * 7 % 31) + 3e-2 * i AS want FROM (SELECT DISTINCT run_id FROM g), (SELECT unnest(range(0, 5)) AS i))"
 
 
 def requests(spark, d):
     z = zone_state(spark, d).select("run_id").distinct().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    return z.withColumn("want", 0.1 * (F.col("i") * 7 % 31) + 0.03 * F.col("i"))
+    return z.withColumn("want", 1.1 + 0.1 * (F.col("i") * 7 % 31) + 0.03 * F.col("i"))
 
 
 @query("nearest_snapshot", "run_id i snapshot_index", "gap", REQUESTS + ", s AS (SELECT DISTINCT run_id, snapshot_index, time_s FROM g) ;; SELECT run_id, i, min_by(snapshot_index, {'a': round(abs(time_s - want), 12), 'b': snapshot_index}) AS snapshot_index, min(abs(time_s - want)) AS gap FROM rq JOIN s USING (run_id) GROUP BY 1, 2")
@@ -183,9 +183,9 @@ def probe_2d(spark, d):
     return hit.join(zone_state(spark, d).select(*RS, "zone_id", "pressure"), [*RS, "zone_id"]).select("run_id", "i", "snapshot_index", "zone_id", "pressure")
 
 
-@query("active_trace_zone", "run_id snapshot_index zone_id adjusted", "", "a AS (SELECT * FROM g WHERE snapshot_index = 10 AND density >= 2e1) ;; SELECT run_id, snapshot_index, min_by(zone_id, {'a': abs(zone_id - 7), 'b': zone_id}) AS zone_id, min_by(zone_id, {'a': abs(zone_id - 7), 'b': zone_id}) <> 7 AS adjusted FROM a GROUP BY 1, 2")
+@query("active_trace_zone", "run_id snapshot_index zone_id adjusted", "", "a AS (SELECT * FROM g WHERE snapshot_index = 20 AND density >= 2e1) ;; SELECT run_id, snapshot_index, min_by(zone_id, {'a': abs(zone_id - 7), 'b': zone_id}) AS zone_id, min_by(zone_id, {'a': abs(zone_id - 7), 'b': zone_id}) <> 7 AS adjusted FROM a GROUP BY 1, 2")
 def active_trace_zone(spark, d):
-    z = zone_state(spark, d).filter("snapshot_index = 10 AND density >= 20")
+    z = zone_state(spark, d).filter("snapshot_index = 20 AND density >= 20")
     want = z.select(*RS).distinct().withColumn("want", F.lit(7))
     out = J.nearest(want, z.withColumn("at", F.col("zone_id")), RS, "want", "at", "zone_id")
     return out.select(*RS, "zone_id", (F.col("zone_id") != 7).alias("adjusted"))
@@ -209,7 +209,7 @@ BRACKET = TABLE + ", q AS (SELECT run_id, snapshot_index, zone_id, width_cm, den
 
 
 def bracketed(spark, d):
-    t = spark.range(0, 4).withColumnRenamed("id", "k").crossJoin(spark.range(1, 4).withColumnRenamed("id", "m"))
+    t = spark.range(0, 12).select((F.col("id") % 4).alias("k"), (F.floor(F.col("id") / 4) + 1).alias("m"))
     e = 1000.0 * F.pow(F.lit(2.0), F.col("k"))
     t = t.select(F.concat(F.lit("m"), "m").alias("material"), e.alias("energy_ev"), (50.0 * F.pow(e / 1e3, F.lit(-2.5)) * (1 + F.col("m"))).alias("mu"))
     q = zone_state(spark, d).select(*RS, "zone_id", "width_cm", "density", F.concat(F.lit("m"), F.abs("material_index")).alias("material"), (700.0 + 400.0 * F.col("zone_id") + 100.0 * F.col("snapshot_index")).alias("energy_ev"))

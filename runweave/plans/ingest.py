@@ -96,9 +96,9 @@ def file_registry(spark, d):
     return T.registry(o.select(F.concat(F.lit("/data/"), "o_orderkey", F.lit("."), ext).alias("path"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("quality_gates", "run_id snapshot_index gate", "", "v AS (SELECT run_id, snapshot_index, bool_and(snapshot_index <> 5) AS t, bool_and(zone_id <> 3 OR density < 4e1) AS f FROM g GROUP BY 1, 2) ;; SELECT run_id, snapshot_index, 'time' AS gate FROM v WHERE NOT t UNION ALL SELECT run_id, snapshot_index, 'fields' FROM v WHERE NOT f")
+@query("quality_gates", "run_id snapshot_index gate", "", "v AS (SELECT run_id, snapshot_index, bool_and(snapshot_index <> 20) AS t, bool_and(zone_id <> 3 OR density < 4e1) AS f FROM g GROUP BY 1, 2) ;; SELECT run_id, snapshot_index, 'time' AS gate FROM v WHERE NOT t UNION ALL SELECT run_id, snapshot_index, 'fields' FROM v WHERE NOT f")
 def quality_gates(spark, d):
-    z = zone_state(spark, d).withColumns({"time_s": F.when(F.col("snapshot_index") != 5, F.col("time_s")), "density": F.when((F.col("zone_id") != 3) | (F.col("density") < 40), F.col("density"))})
+    z = zone_state(spark, d).withColumns({"time_s": F.when(F.col("snapshot_index") != 20, F.col("time_s")), "density": F.when((F.col("zone_id") != 3) | (F.col("density") < 40), F.col("density"))})
     return T.quality_gates(z)
 
 

@@ -16,9 +16,9 @@ MASK = sel.Mask(regions=[1, 2, 3], materials=[1, 2, 3], zones=(2, 14), density_f
 MASK_SQL = "region_id IN (1, 2, 3) AND abs(material_index) IN (1, 2, 3) AND zone_id BETWEEN 2 AND 14 AND density >= 1e1 AND velocity >= 0"
 
 
-@query("lineout", "run_id snapshot_index zone_id", "density", "SELECT * FROM g WHERE snapshot_index = 6")
+@query("lineout", "run_id snapshot_index zone_id", "density", "SELECT * FROM g WHERE snapshot_index = 20")
 def lineout(spark, d):
-    return sel.snapshot(zone_state(spark, d), 6).select(*RS, "zone_id", "density")
+    return sel.snapshot(zone_state(spark, d), 20).select(*RS, "zone_id", "density")
 
 
 @query("lineout_last", "run_id snapshot_index zone_id", "density", "SELECT * FROM g JOIN (SELECT run_id, max(snapshot_index) AS m FROM g GROUP BY 1) USING (run_id) WHERE snapshot_index = m - 1")
@@ -26,14 +26,14 @@ def lineout_last(spark, d):
     return sel.snapshot(zone_state(spark, d), -2).select(*RS, "zone_id", "density")
 
 
-@query("time_trace", "run_id snapshot_index", "time_s pressure", "SELECT * FROM g WHERE zone_id = 5 AND snapshot_index BETWEEN 3 AND 19")
+@query("time_trace", "run_id snapshot_index", "time_s pressure", "SELECT * FROM g WHERE zone_id = 5 AND snapshot_index BETWEEN 14 AND 29")
 def time_trace(spark, d):
-    return sel.time_trace(zone_state(spark, d), 5, 3, 20).select(*RS, "time_s", "pressure")
+    return sel.time_trace(zone_state(spark, d), 5, 14, 30).select(*RS, "time_s", "pressure")
 
 
-@query("field_slice", "run_id snapshot_index zone_id", "velocity", "SELECT * FROM g WHERE snapshot_index BETWEEN 4 AND 11 AND zone_id BETWEEN 3 AND 8")
+@query("field_slice", "run_id snapshot_index zone_id", "velocity", "SELECT * FROM g WHERE snapshot_index BETWEEN 16 AND 23 AND zone_id BETWEEN 3 AND 8")
 def field_slice(spark, d):
-    return sel.field_slice(zone_state(spark, d), "velocity", (4, 12), (3, 9))
+    return sel.field_slice(zone_state(spark, d), "velocity", (16, 24), (3, 9))
 
 
 @query("subset_mask", "run_id snapshot_index zone_id selected none_selected", "", "SELECT *, region_id IN (2, 4) AND abs(material_index) IN (2, 3, 4) AS selected, false AS none_selected FROM g")
@@ -95,9 +95,9 @@ def valid_states(spark, d):
     return sel.valid_states(zone_state(spark, d), ["temperature_e", "temperature_i", "electron_density", "mean_charge", "velocity"]).groupBy("run_id").agg(F.count("*").alias("n"))
 
 
-@query("near_probe_time", "run_id snapshot_index", "gap", "s AS (SELECT DISTINCT run_id, snapshot_index, time_s, abs(time_s - 1.234e0) AS gap FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY gap, snapshot_index) AS r, bool_or(gap <= 2e-1) OVER (PARTITION BY run_id) AS near_any FROM s) ;; SELECT * FROM k WHERE CASE WHEN near_any THEN gap <= 2e-1 ELSE r = 1 END")
+@query("near_probe_time", "run_id snapshot_index", "gap", "s AS (SELECT DISTINCT run_id, snapshot_index, time_s, abs(time_s - 2.234e0) AS gap FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY gap, snapshot_index) AS r, bool_or(gap <= 2e-1) OVER (PARTITION BY run_id) AS near_any FROM s) ;; SELECT * FROM k WHERE CASE WHEN near_any THEN gap <= 2e-1 ELSE r = 1 END")
 def near_probe_time(spark, d):
-    return sel.near_time(zone_state(spark, d).select(*RS, "time_s").distinct(), 1.234, 0.2).select(*RS, "gap")
+    return sel.near_time(zone_state(spark, d).select(*RS, "time_s").distinct(), 2.234, 0.2).select(*RS, "gap")
 
 
 @query("masked_profiles", "run_id snapshot_index zone_id", "velocity ti shift", f"SELECT run_id, snapshot_index, zone_id, CASE WHEN {MASK_SQL} THEN velocity END AS velocity, CASE WHEN {MASK_SQL} THEN temperature_i END AS ti, CASE WHEN {MASK_SQL} THEN velocity * 5e-1 * 1e4 END AS shift FROM g")
@@ -326,10 +326,10 @@ def merged_warnings(spark, d):
     return merge_warnings([few, slow, again]).select("source", "message", F.col("place").alias("n"))
 
 
-@query("cleared_snapshots", "run_id snapshot_index", "", "SELECT DISTINCT run_id, snapshot_index FROM g WHERE snapshot_index NOT BETWEEN 4 AND 20")
+@query("cleared_snapshots", "run_id snapshot_index", "", "SELECT DISTINCT run_id, snapshot_index FROM g WHERE snapshot_index NOT BETWEEN 16 AND 30")
 def cleared_snapshots(spark, d):
     s = zone_state(spark, d).select(*RS).distinct()
-    return s.join(s.filter("snapshot_index between 4 and 20"), RS, "left_anti")
+    return s.join(s.filter("snapshot_index between 16 and 30"), RS, "left_anti")
 
 
 @query("material_id_union", "id", "", "SELECT DISTINCT abs(material_index) AS id FROM g UNION SELECT region_id + 2 FROM g")

@@ -1 +1 @@
-
+"""Ingest, catalogs and writers."""

@@ -28,7 +28,7 @@ def padded(df: DataFrame, vector: str, keys: list[str] | None = None) -> DataFra
         widest = df.groupBy(*keys).agg(F.max(F.size(vector)).alias("width"))
         df = df.join(widest, keys)
     else:
-        df = df.crossJoin(F.broadcast(df.agg(F.max(F.size(vector)).alias("width"))))  # one row
+        df = df.withColumn("width", F.lit(df.agg(F.max(F.size(vector))).first()[0]).cast("int"))
     missing = F.array_repeat(F.lit(None).cast(df.schema[vector].dataType.elementType), F.col("width") - F.size(vector))
     return df.withColumn(vector, F.concat(F.col(vector), missing))
 

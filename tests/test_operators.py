@@ -33,8 +33,9 @@ def front(spark):
 
 def test_front_is_found_and_crosses_the_boundary(spark, front):
     scores = V.detector_score(front.withColumn("ratio", F.col("density")), F.lit(True), falling=True)
-    threshold = scores.groupBy("run_id").agg(R.activation_threshold(F.col("score")).alias("threshold"))
-    track = V.front_track(scores, threshold, falling=True)
+    track = V.front_track(scores, falling=True)
+    given = scores.groupBy("run_id").agg(R.activation_threshold(F.col("score")).alias("t")).first().t
+    assert V.front_track(scores, given, falling=True).exceptAll(track).count() == 0
     at = [r.track_index for r in track.orderBy("snapshot_index").collect()]
     assert at == sorted(at, reverse=True) and at[0] >= 7 and at[-1] <= 5
     cross = W.first_crossing(track, "track_index", "time_s", F.lit(5.0), ["run_id"], rising=False).first()
