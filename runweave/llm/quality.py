@@ -19,8 +19,8 @@ from .shared import let
 SPACE = r"[\x20\x09-\x0D]+"
 #: What counts as a symbol.
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which costs and rejections are estimated.
-SAMPLE_ROWS = 1000
+#: Most rows, and longest text in bytes, of the sample on which costs and rejections are estimated.
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 14
 
 
 def without(text: Column, characters: str) -> Column:
@@ -92,9 +92,14 @@ def base_failed(b: Column) -> Column:
     return (b["n_words"] < 50) | (b["n_repeat_words"] * 100 > b["n_words"] * 50)
 
 
-def order_rules(figures: DataFrame, rules: dict[str, Column], *, sample_rows: int = SAMPLE_ROWS, clock: Callable[[], float] = time.perf_counter) -> list[tuple[str, float, float]]:
-    """(name, share rejected, seconds) by falling rejection per second, measured on at most ``sample_rows`` rows."""
-    sample = figures.limit(sample_rows).cache()
+def order_rules(rows: DataFrame, rules: dict[str, Column], *, sample_rows: int = SAMPLE_ROWS, clock: Callable[[], float] = time.perf_counter) -> list[tuple[str, float, float]]:
+    """(name, share rejected, seconds) by falling rejection per second, measured on at most ``sample_rows`` rows.
+
+    The sample is the first rows that the scan meets, as few partitions as hold
+    them, with texts of at most SAMPLE_BYTES, so it is at most 16 MB at any input size.
+    """
+    some = rows.filter(F.octet_length("text") <= SAMPLE_BYTES).select("text").take(sample_rows)
+    sample = rows.sparkSession.createDataFrame(some, "text string").withColumn("b", base_figures(F.col("text"))).cache()
     try:
         if not sample.count():
             return [(name, 0.0, 0.0) for name in rules]
@@ -122,7 +127,7 @@ def judge(docs: DataFrame, *, rules: dict[str, Column] | None = None, id_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     figures = rows.withColumn("b", base_figures(F.col("text")))
     cascade = F.when(base_failed(F.col("b")), F.lit("base"))
-    for name, _, _ in order_rules(figures, rules, sample_rows=sample_rows):
+    for name, _, _ in order_rules(rows, rules, sample_rows=sample_rows):
         cascade = cascade.when(rules[name], F.lit(name))
     judged = figures.withColumn("rejected_by", cascade)
     return judged.select("doc_id", "b.*", base_failed(F.col("b")).alias("base_failed"), F.col("rejected_by").isNull().alias("kept"), "rejected_by")
