@@ -2,11 +2,12 @@
 
 Sets are put in size bands such that only sets of one band or of neighbours can
 be similar. Within bands t-1 and t, similar sets differ in at most k_t elements.
-The domain of shingle hashes is cut into k_t + 2 partitions, so two similar sets
-agree on at least two. A set's signatures are its non-weak partitions one by
-one, and its weak ones (hardly any element in them) in pairs: if all partitions two sets agree
-on are weak, they share a pair; else they share a single one. So every similar
-pair shares a signature, and unlike sets hardly ever do.
+The domain of shingle hashes is cut into k_t + 1 + slack_t partitions, so two similar
+sets agree on more than slack_t of them. A set's signatures are its partitions, but
+for the weak ones, which hold hardly any element and which unlike sets share. Only a
+set with more than slack_t weak partitions also signs these, under marks of their own:
+if all partitions that two similar sets agree on are weak, both are such sets. So every
+similar pair shares a signature, and unlike sets hardly ever do.
 
 Pairs that share a signature are found and checked in three steps, each with few
 rows: (1) each group against its smallest member; (2) where a group is not yet
@@ -19,6 +20,7 @@ Shingles and words stand for themselves as 64-bit hashes.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,27 +147,38 @@ class Scheme:
         return self.differ(2 * (int(self.low[tag + 1]) - 1))
 
     def parts(self, tag: int) -> tuple:
+        """Bounds and seeds of a band pair's partitions, its slack, and the most elements of a weak partition.
+
+        Any slack is right; this one leaves few sets with more weak partitions.
+        """
         if tag not in self.made:
-            n = self.most(tag) + 2
-            edges = ((np.arange(n + 1, dtype=object) << 64) // n)
+            k, least = self.most(tag), int(self.low[max(tag - 1, 0)])
+            for weak in (1, 0):
+                slack = 1
+                for _ in range(12):
+                    mean = least / (k + 1 + slack)
+                    n_weak = (k + 1 + slack) * math.exp(-mean) * (1 + mean * weak)
+                    slack = min(math.ceil(n_weak + 4 * math.sqrt(n_weak)) + 1, (k + 1) // 3 + 4)
+                if slack <= (k + 1) // 5 + 4:
+                    break
+            n = k + 1 + slack
+            edges = (np.arange(n + 1, dtype=object) << 64) // n
             edges = np.array([min(int(e), (1 << 64) - 1) for e in edges], np.uint64)
             seeds = mix(np.arange(n, dtype=np.uint64) + (_U(tag + 1) << _U(40)))
-            self.made[tag] = edges, seeds, 1 if n <= 256 else 0
+            self.made[tag] = edges, seeds, slack, weak
         return self.made[tag]
 
     def signatures(self, elements: np.ndarray, tag: int) -> np.ndarray:
-        edges, seeds, weak_most = self.parts(tag)
+        edges, seeds, slack, weak_most = self.parts(tag)
         at = np.searchsorted(elements, edges)
         at[-1] = len(elements)
         sums = np.zeros(len(elements) + 1, np.uint64)
         np.cumsum(mix(elements + _U(0x5851F42D4C957F2D)), out=sums[1:])
         each = mix((sums[at[1:]] - sums[at[:-1]]) ^ seeds)
         weak = np.diff(at) <= weak_most
-        alone = each[weak]
-        if len(alone) < 2:
+        if np.count_nonzero(weak) <= slack:
             return each[~weak]
-        a, b = np.triu_indices(len(alone), 1)
-        return np.concatenate([each[~weak], mix(alone[a] * _WEIGHT[5] + alone[b])])
+        return np.concatenate([each[~weak], mix(each[weak] + _WEIGHT[5])])
 
     def sketch(self, elements: np.ndarray, tag: int) -> bytes:
         """Parity of the elements in each of 8 k_t places: two sketches differ in no more places than the sets in elements."""
@@ -430,7 +443,7 @@ def components(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("th"))
     keys = written(base.select("doc_id", "th"), "texts")
     same = keys.filter("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("th", "rep")
-    copies = written(keys.join(same, "th").filter("doc_id <> rep").distinct(), "copies")
+    copies = written(keys.join(_small(written(same, "same")), "th").filter("doc_id <> rep").distinct(), "copies")
     lone = keys.filter("doc_id is null").select("th").distinct()
     reps = base.filter("doc_id is not null").join(_small(copies.select("doc_id", "th")), ["doc_id", "th"], "left_anti")
     groups = _memberships(reps, size, percent)
