@@ -25,7 +25,7 @@ WINDOW = 10
 #: Benchmark text bytes that one broadcast block of phrases may come from.
 BLOCK_BYTES = 4 << 20
 #: Text bytes of the documents that share one index.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 CUT = 100
 SAMPLE = 8
 OTHER = 1

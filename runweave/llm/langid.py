@@ -87,6 +87,12 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams[code[1:-1] != 32] if len(grams) > 1 else grams, return_counts=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def is_held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
@@ -111,7 +117,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", d
             for i in range(0, len(grams), 4096):
                 sums[label] = sums.get(label, np.zeros(dim)) + n[i : i + 4096] @ own.vectors(grams[i : i + 4096]).astype(np.float64)
 
-        for batch in batches:
+        for batch in _slices(batches):
             met: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams, n = trigrams(text)
@@ -173,7 +179,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, id_col: str
     predicted = _predictor(prototypes, dim, seed)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             names, scores = predicted(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
@@ -186,7 +192,7 @@ def keep_known(docs: DataFrame, prototypes: dict[str, list[float]], *, text_col:
     task = _predictor(prototypes, dim, seed)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             names, scores = task(batch.column(1).to_pylist())
             known = [n != UNKNOWN and s >= min_score for n, s in zip(names, scores)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.bool_())], names=["row", "known"])
