@@ -3,7 +3,7 @@
 Both tokenizers used here never join characters across the places where a text
 is cut below, so the ids of a text are the ids of its chunks in order. Each
 distinct chunk is encoded once per Python worker. The memo holds at most
-``MEMO`` chunks; beyond that, chunks are still encoded, but not kept.
+``MEMO`` chunks, or as many as are asked for; beyond that, chunks are still encoded, but not kept.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-MEMO = 500_000
+MEMO = 900_000
 #: Characters that Python and the tokenizer treat differently when splitting or lower-casing.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ")
 _TAIL = ".,;:!?"
@@ -29,7 +29,7 @@ def tokenizer_file(name: str) -> str:
 class WordEncoder:
     """Ids of a lower-casing word BPE (each word ends in a piece with ``</w>``)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -39,6 +39,7 @@ class WordEncoder:
         self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.special = sorted(t for t in (x.content for x in self.tok.get_added_tokens_decoder().values()))
         self.memo: dict[str, bytes] = {}
+        self.most = most
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,7 +96,7 @@ class WordEncoder:
             split.append(words)
             missing.update(w for w in words if w not in memo)
         got = self._learn(missing) if missing else {}
-        room = MEMO - len(memo)
+        room = self.most - len(memo)
         if got and len(got) <= room:
             memo.update(got)
             got = {}
@@ -112,6 +113,11 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker and file."""
-    return WordEncoder(path)
+def word_encoder(path: str, most: int = MEMO) -> WordEncoder:
+    """One encoder per Python worker, file and size of memo."""
+    return WordEncoder(path, most)
+
+
+def forget() -> None:
+    """Frees the encoders that earlier tasks left in this Python worker."""
+    word_encoder.cache_clear()

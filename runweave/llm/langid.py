@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .encoding import forget
+
 DIM = 512
 #: Trigram vectors that a Python worker keeps; others are bound anew.
 KEPT = 60_000
@@ -107,6 +109,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", d
     schema = pa.schema([("label", pa.string()), ("sums", pa.list_(pa.float64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts: dict[str, dict[int, float]] = {}
         sums: dict[str, np.ndarray] = {}
         own = space(dim, seed)
@@ -192,6 +195,7 @@ def keep_known(docs: DataFrame, prototypes: dict[str, list[float]], *, text_col:
     task = _predictor(prototypes, dim, seed)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in _slices(batches):
             names, scores = task(batch.column(1).to_pylist())
             known = [n != UNKNOWN and s >= min_score for n, s in zip(names, scores)]

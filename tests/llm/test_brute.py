@@ -53,12 +53,11 @@ def test_encoding_equals_the_library(rows):
     assert encoding.WordEncoder(encoding.tokenizer_file("word_bpe_49k.json")).encode(texts) == want
 
 
-def test_full_memo_changes_nothing(monkeypatch, rows):
+def test_full_memo_changes_nothing(rows):
     texts = [r.text for r in rows.values()][:40]
     path = encoding.tokenizer_file("word_bpe_49k.json")
     want = encoding.WordEncoder(path).encode(texts)
-    monkeypatch.setattr(encoding, "MEMO", 100)
-    small = encoding.WordEncoder(path)
+    small = encoding.WordEncoder(path, 100)
     assert [x for i in range(0, 40, 7) for x in small.encode(texts[i : i + 7])] == want and len(small.memo) <= 100
 
 
