@@ -13,6 +13,15 @@ from runweave.llm import decontaminate, jaccard_join, langid, packing, pii
 from runweave.llm.shared import table, written
 
 
+#: Rows that go to a Python worker at once, and chunks that an encoder remembers; executors run all stages.
+BATCH_ROWS, MEMO = 1000, 400_000
+
+
+def _in_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows, so fewer of them make a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows the text."""
     return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
@@ -20,11 +29,13 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a known language: texts without letters or unlike every profile go."""
+    _in_batches(spark)
     return langid.keep_known(docs, langid.learn(docs.filter(~langid.is_held_out(F.col("doc_id")))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest identifier of each group linked by 5-word shingle similarity of 0.8 or more."""
+    _in_batches(spark)
     found = jaccard_join.components(docs, size=5, percent=80)
     others = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
@@ -32,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out of every text the words that lie in a benchmark phrase."""
+    _in_batches(spark)
     return _sized(decontaminate.cut_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
@@ -42,7 +54,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into sequences of 2048 tokens: one row per piece."""
-    return packing.pieces_digest(packing.pack_documents(docs))
+    _in_batches(spark)
+    return packing.pieces_digest(packing.pack_documents(docs, memo=MEMO))
 
 
 STAGES = [
