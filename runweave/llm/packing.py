@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -34,62 +35,127 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(lengths: list[int], bins: list[list[int]], capacity: int, rounds: int = 4) -> list[list[int]]:
+def swap_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Raises the sum of squared fills by moves and exchanges until bins empty.
 
-    Works on the underfull bins only. For each donor, from the emptiest up, its
-    documents are moved to bins with room, exchanged one for one, or two of them
-    for one, always so that a fuller bin gets fuller; a donor that becomes empty
-    goes. Ends after ``rounds`` passes or a pass without change.
+    A pass takes every underfull bin as donor once, always the emptiest that is
+    left. Its documents are moved to bins with room, exchanged one for one, or
+    two of them for one, so that a bin at least as full gets fuller; a donor that
+    becomes empty goes, and so does a target that becomes full. Partners are
+    looked up by room and by length over all bins left in the pass. Ends on a
+    pass without change.
     """
-    full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
-    open_ = [b for b in bins if sum(lengths[i] for i in b) < capacity]
-    fill = [sum(lengths[i] for i in b) for b in open_]
-    for _ in range(rounds):
-        changed = False
-        order = sorted(range(len(open_)), key=lambda b: (fill[b], b))
-        live = [b for b in order if open_[b]]
-        for rank, d in enumerate(live):
-            if not open_[d]:
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    done = [b for b, n in zip(bins, fill) if n == capacity]
+    bins = [list(b) for b, n in zip(bins, fill) if 0 < n < capacity]
+    changed = True
+    while changed:
+        changed = _pass(lengths, bins, capacity)
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        done += [b for b, n in zip(bins, fill) if n == capacity]
+        bins = [b for b, n in zip(bins, fill) if 0 < n < capacity]
+    return done + bins
+
+
+def _pass(lengths: list[int], bins: list[list[int]], capacity: int) -> bool:
+    """One pass of ``swap_search`` in place; whether anything changed.
+
+    ``held[b][v]`` are the documents of length v in bin b. ``heaps[v]`` has
+    (-room, bin) of bins that hold a v; rooms only shrink during a pass, so its
+    entries and ``most[v]``, the room of its first, are upper bounds, put right
+    when they are used.
+    """
+    room = [capacity - sum(lengths[i] for i in b) for b in bins]
+    held: list[dict[int, list[int]]] = []
+    heaps: dict[int, list[tuple[int, int]]] = {}
+    for b, members in enumerate(bins):
+        held.append({})
+        for i in members:
+            held[b].setdefault(lengths[i], []).append(i)
+        for v in held[b]:
+            heaps.setdefault(v, []).append((-room[b], b))
+    at, most = np.arange(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for v, heap in heaps.items():
+        heapify(heap)
+        most[v] = -heap[0][0]
+    rooms = sorted((r, b) for b, r in enumerate(room))
+    target = [True] * len(bins)
+
+    def take(b: int, v: int) -> int:
+        i = held[b][v].pop()
+        if not held[b][v]:
+            del held[b][v]
+        return i
+
+    def put(b: int, i: int) -> None:
+        held[b].setdefault(lengths[i], []).append(i)
+
+    def fuller(t: int, gain: int, new: tuple[int, ...]) -> None:
+        del rooms[bisect_left(rooms, (room[t], t))]
+        room[t] -= gain
+        target[t] = room[t] > 0
+        if target[t]:
+            insort(rooms, (room[t], t))
+            for v in new:
+                heappush(heaps.setdefault(v, []), (-room[t], t))
+                most[v] = max(most[v], room[t])
+
+    def true_first(v: int) -> bool:
+        """Whether the first entry for v holds; otherwise it is put right."""
+        heap = heaps[v]
+        r, b = heap[0]
+        if target[b] and v in held[b]:
+            if room[b] == -r:
+                return True
+            heapreplace(heap, (-room[b], b))
+        else:
+            heappop(heap)
+        most[v] = -heap[0][0] if heap else 0
+        return False
+
+    changed = False
+    while rooms:
+        _, d = rooms.pop()
+        target[d] = False
+        own, pairs = held[d], None
+        while own and rooms:
+            widest = rooms[-1][0]
+            v = max((v for v in own if v <= widest), default=0)
+            if v:  # move
+                t = rooms[bisect_left(rooms, (v, -1))][1]
+                put(t, take(d, v))
+                fuller(t, v, (v,))
+                room[d] += v
+                changed, pairs = True, None
+                continue
+            if pairs is None:  # what the donor can give: one document, or two together
+                pairs = {v: (v,) for v in own}
+                kinds = sorted(own)
+                for n, v in enumerate(kinds):
+                    for w in kinds[n if len(own[v]) > 1 else n + 1 :]:
+                        if v + w > capacity:
+                            break
+                        pairs.setdefault(v + w, (v, w))
+                sums = np.asarray(sorted(pairs))
+            # the shortest length below each sum whose bin has room for the difference
+            found = np.searchsorted(np.maximum.accumulate(at + most), sums)
+            gain = np.where(found < sums, sums - found, 0)
+            n = int(gain.argmax())
+            if not gain[n]:
+                break
+            v, g = int(found[n]), int(gain[n])
+            if not true_first(v):
                 continue
-            for t in reversed(live[max(rank + 1, len(live) - 200) :]):
-                if not open_[t] or fill[t] >= capacity or fill[d] > fill[t]:
-                    continue
-                room = capacity - fill[t]
-                fit = [i for i in open_[d] if lengths[i] <= room]
-                if fit:  # move
-                    i = max(fit, key=lambda x: (lengths[x], -x))
-                    open_[d].remove(i)
-                    open_[t].append(i)
-                    fill[d] -= lengths[i]
-                    fill[t] += lengths[i]
-                    changed = True
-                    if not open_[d]:
-                        break
-                    continue
-                gain, swap = 0, None
-                for j in open_[t]:
-                    for n, i in enumerate(open_[d]):
-                        g = lengths[i] - lengths[j]
-                        if gain < g <= room:  # one for one
-                            gain, swap = g, ((i,), j)
-                        for k in open_[d][n + 1 :]:
-                            g = lengths[i] + lengths[k] - lengths[j]
-                            if gain < g <= room:  # two for one
-                                gain, swap = g, ((i, k), j)
-                if swap:
-                    out, j = swap
-                    for i in out:
-                        open_[d].remove(i)
-                    open_[t].remove(j)
-                    open_[d].append(j)
-                    open_[t].extend(out)
-                    fill[d] -= gain
-                    fill[t] += gain
-                    changed = True
-        if not changed:
-            break
-    return full + [b for b in open_ if b]
+            t, given = heaps[v][0][1], pairs[int(sums[n])]
+            back = take(t, v)
+            for w in given:
+                put(t, take(d, w))
+            put(d, back)
+            fuller(t, g, given)
+            room[d] += g
+            changed, pairs = True, None
+    bins[:] = [[i for v in sorted(h, reverse=True) for i in h[v]] for h in held]
+    return changed
 
 
 def _pack(held: list[tuple], capacity: int, first: int) -> tuple[list[tuple], int]:

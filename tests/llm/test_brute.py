@@ -256,6 +256,20 @@ def test_swap_search_empties_bins():
     assert len(out) < len(bad)
 
 
+def test_swap_search_leaves_no_exchange_untried():
+    rng = random.Random(5)
+    lengths = [rng.randint(400, 700) for _ in range(1500)]
+    start = packing.best_fit(lengths, 2048)
+    out = [[lengths[i] for i in b] for b in packing.swap_search(lengths, start, 2048)]
+    assert sorted(v for b in out for v in b) == sorted(lengths) and len(out) < len(start) and len(out) > 200
+    for d in out:
+        given = {*d, *(v + w for n, v in enumerate(d) for w in d[n + 1 :])}
+        for t in out:
+            room = 2048 - sum(t)
+            if t is not d and room and sum(t) >= sum(d):
+                assert min(d) > room and not any(v < g <= v + room for g in given for v in t)
+
+
 def components(rows, size, percent):
     sets = []
     for _, t in rows:
