@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import MEMO, tokenizer_file, word_encoder
+from .shared import written
 
 SCHEMA = "doc_id long, piece int, start long, length long, tokens binary, sequence_id long, offset long"
+BINS = "sequence_id long, size long, keys array<long>, lengths array<int>"
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -159,14 +161,14 @@ def _pass(lengths: list[int], bins: list[list[int]], capacity: int) -> bool:
 
 
 def _pack(held: list[tuple], capacity: int, first: int) -> tuple[list[tuple], int]:
-    """Rows of the held short pieces, and the next free sequence number."""
+    """Rows of the held short pieces, and the next free sequence number; pieces of underfull sequences keep ``open``."""
     lengths = [len(x[3]) // 4 for x in held]
     rows = []
     for b in swap_search(lengths, best_fit(lengths, capacity), capacity):
-        at = 0
+        at, short = 0, sum(lengths[i] for i in b) < capacity
         for i in b:
-            doc, piece, start, tokens = held[i]
-            rows.append((doc, piece, start, lengths[i], tokens, first, at))
+            doc, piece, start, tokens, key = held[i]
+            rows.append((doc, piece, start, lengths[i], tokens, first, at, key if short else None))
             at += lengths[i]
         first += 1
     return rows, first
@@ -178,6 +180,51 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], f.type) for c, f in enumerate(schema)], schema=schema)
 
 
+def _repacked(bins: DataFrame, capacity: int) -> DataFrame:
+    """Each partition's sequences packed anew together: the better of a search from them as they are and of one from best fit."""
+    schema = pa.schema([("sequence_id", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, lengths, given = [], [], [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            for k, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                given.append(list(range(len(keys), len(keys) + len(k))))
+                keys += k
+                lengths += n
+        found = min((swap_search(lengths, b, capacity) for b in (given, best_fit(lengths, capacity))), key=len)
+        yield from _batches([(s, sum(lengths[i] for i in b), [keys[i] for i in b], [lengths[i] for i in b]) for s, b in zip(sorted(ids), found)], schema)
+
+    return bins.mapInArrow(task, BINS)
+
+
+def _placed(pieces: DataFrame, capacity: int, chunk: int) -> DataFrame:
+    """Places (open, sequence_id, offset) of the pieces of underfull sequences after all of them have met.
+
+    Each round deals the sequences that are still underfull over partitions of
+    about ``chunk`` pieces and packs these anew, until a round empties none. Only
+    keys and lengths move.
+    """
+    pair = F.sort_array(F.collect_list(F.struct("offset", "open", F.col("length").cast("int").alias("length"))))
+    bins = pieces.filter("open is not null").groupBy("sequence_id").agg(F.sum("length").alias("size"), pair.alias("p"))
+    bins = written(bins.select("sequence_id", "size", F.col("p.open").alias("keys"), F.col("p.length").alias("lengths")), "bins")
+    settled, count = [], lambda b: b.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
+    n, parts = count(bins)
+    while n > 1:
+        split = -(-parts // chunk)
+        after = written(_repacked(bins.repartition(split), capacity), "bins")
+        all_, _ = count(after)
+        settled.append(after.filter(F.col("size") == capacity))
+        bins, emptied = after.filter(F.col("size") < capacity), n - all_
+        n, parts = count(bins)
+        if not emptied or split == 1:
+            break
+    for s in settled:
+        bins = bins.unionByName(s)
+    at = F.transform(F.sequence(F.lit(1), F.size("keys")), lambda i: F.struct(F.element_at("keys", i).alias("open"), F.aggregate(F.slice("lengths", 1, i - 1), F.lit(0).cast("long"), lambda a, x: a + x).alias("offset")))
+    return bins.select("sequence_id", F.explode(at).alias("a")).select("a.open", "sequence_id", "a.offset")
+
+
 def pack_documents(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = 20_000, memo: int = MEMO) -> DataFrame:
     """Packs every document into sequences of at most ``capacity`` tokens.
 
@@ -185,19 +232,21 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, to
     of ``capacity``. Returns per piece: doc_id, piece, start, length, tokens
     (little-endian unsigned 32-bit), sequence_id, offset.
 
-    No shuffle: each task encodes its rows and packs pieces ``chunk`` at a time,
-    so memory does not depend on the data and a lost task is simply redone; at
-    most one sequence per chunk stays notably underfull. Null and empty texts give one
+    Each task encodes its rows and packs pieces ``chunk`` at a time, so memory does
+    not depend on the data; this is written. Pieces of sequences that are then
+    underfull, of whatever task, are packed again together (``_placed``) and joined
+    to their new places, so the count does not follow the layout of the files. Null and empty texts give one
     piece that holds ``end_id``; repeated rows are packed once each; null ids
     stay null; an empty table gives no rows; other columns are not read.
     """
     path = tokenizer or tokenizer_file("word_bpe_49k.json")
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("tokens", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.int64())])
     end = np.asarray([end_id], "<u4").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, wide = word_encoder(path, memo), capacity * 4
         number, held = TaskContext.get().partitionId() << 36, []
+        key = number
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(lo, 500), []
@@ -205,10 +254,11 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, to
                     raw += end
                     whole = len(raw) // wide
                     for k in range(whole):
-                        rows.append((doc, k, k * capacity, capacity, raw[k * wide : (k + 1) * wide], number, 0))
+                        rows.append((doc, k, k * capacity, capacity, raw[k * wide : (k + 1) * wide], number, 0, None))
                         number += 1
                     if len(raw) > whole * wide:
-                        held.append((doc, whole, whole * capacity, raw[whole * wide :]))
+                        held.append((doc, whole, whole * capacity, raw[whole * wide :], key))
+                        key += 1
                 yield from _batches(rows, schema)
                 if len(held) >= chunk:
                     rows, number = _pack(held, capacity, number)
@@ -217,7 +267,9 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, to
         if held:
             yield from _batches(_pack(held, capacity, number)[0], schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, SCHEMA)
+    own = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, SCHEMA + ", open long"), "pieces")
+    moved = own.filter("open is not null").drop("sequence_id", "offset").join(_placed(own, capacity, chunk), "open")
+    return own.filter("open is null").drop("open").unionByName(moved.drop("open"))
 
 
 def pieces_digest(packed: DataFrame) -> DataFrame:

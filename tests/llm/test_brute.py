@@ -270,6 +270,28 @@ def test_swap_search_leaves_no_exchange_untried():
                 assert min(d) > room and not any(v < g <= v + room for g in given for v in t)
 
 
+def test_sequences_of_different_partitions_meet(spark):
+    """Partitions of one length each leave half of every sequence free; together they fill it."""
+    word = tokenizer("word_bpe_49k.json").encode("the", add_special_tokens=False).ids
+    texts = [" ".join(["the"] * n) for n in (1147, 899)]
+    d = spark.createDataFrame([(i, texts[i // 40]) for i in range(80)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    rows = packing.pack_documents(d).collect()
+    assert len(word) == 1 and sorted(r.doc_id for r in rows) == list(range(80)) and {r.length for r in rows} == {1148, 900}
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(bins) == 40 and all(sorted(b)[0][0] == 0 and sorted(b)[1][0] == sorted(b)[0][1] for b in bins.values())
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_sequence_count_does_not_follow_the_layout(spark, docs, parts):
+    rows = packing.pack_documents(docs.repartition(parts), chunk=300).collect()
+    whole = packing.pack_documents(docs.coalesce(1)).select("length", "sequence_id").collect()
+    least = -(-sum(r.length for r in whole) // 2048)
+    assert sum(r.length for r in rows) == sum(r.length for r in whole)
+    assert len({r.sequence_id for r in rows}) <= least + 2 and len({r.sequence_id for r in whole}) <= least + 2
+
+
 def components(rows, size, percent):
     sets = []
     for _, t in rows:
