@@ -345,9 +345,8 @@ def preheat_summary(spark, d):
 
 @query("tanh_localisation")
 def tanh_localisation(spark, d):
-    e = edges(spark, d)
-    c = candidates(spark, d).filter("family <> 'contact_like' AND family_rank = 1").select(*RS, "interface_id").distinct()
-    return V.tanh_fit(c, e.select(*RS, "zone_id", (F.col("outer_cm") - F.col("width_cm") / 2.0).alias("x"), F.col("density").alias("value")))
+    e = edges(spark, d).withColumns({"edge": F.col("outer_cm"), "x": F.col("outer_cm") - F.col("width_cm") / 2.0})
+    return V.localised(candidates(spark, d), e)
 
 
 SPEC = "e AS (SELECT vec_id, CAST(unnest(range(1, len(embedding) + 1)) AS INT) AS i, unnest(embedding)::DOUBLE AS raw FROM embeddings), sp AS (SELECT vec_id, i, abs(raw) AS y FROM e)"

@@ -111,6 +111,52 @@ def test_tanh_fit_finds_the_step(spark):
     assert abs(V.tanh_fit(c, p).first().front - 5.2) < 0.6
 
 
+def test_every_candidate_is_localised(spark):
+    """Against the reference's method on one snapshot: a joint fit for strong first candidates, else the centroid."""
+    rng = np.random.default_rng(4)
+    n, width = 16, np.array([1.0, 2.0, 1.5, 1.0] * 4)
+    edge = np.cumsum(width)
+    x, rho, p, u = edge - width / 2, rng.uniform(1, 9, n), rng.uniform(1, 9, n), rng.normal(0, 3, n)
+    score = {f: rng.uniform(0.1, 1, n - 1) for f in ("shock_like", "release_like", "contact_like")}
+    asked = [("shock_like", 6, 1, 1.0), ("shock_like", 9, 2, 1.0), ("release_like", 1, 1, 1.0), ("release_like", 11, 1, 0.5), ("contact_like", 6, 1, 1.0), ("shock_like", 0, 2, 1.0), ("contact_like", 14, 1, 1.0), ("release_like", 14, 1, 1.0)]
+    beside = lambda f, i: float(score[f][i]) if 0 <= i < n - 1 else -math.inf
+    for f, i, _, s in asked:
+        score[f][i] = s
+    candidates = spark.createDataFrame([(1, 0, f, i, s, 0.45, k, beside(f, i - 1), beside(f, i + 1)) for f, i, k, s in asked], "run_id long, snapshot_index int, family string, interface_id int, score double, threshold double, family_rank int, score_before double, score_after double")
+    cells = spark.createDataFrame([(1, 0, z + 1, *map(float, (x[z], edge[z], width[z], rho[z], p[z], u[z]))) for z in range(n)], "run_id long, snapshot_index int, zone_id int, x double, edge double, width_cm double, density double, pressure double, velocity double")
+    got = {(r.family, r.interface_id): r for r in V.localised(candidates, cells).collect()}
+    assert len(got) == len(asked)
+    for f, i, k, s in asked:
+        r, near = got[(f, i)], slice(max(0, i - 2), min(n - 1, i + 3) + 1)
+        if f != "contact_like" and k == 1 and s >= 1.25 * 0.45 and len(x[near]) >= 4:
+            h, best = np.median(np.diff(x[near])), (math.inf, 0, 0)
+            for at in np.linspace(edge[i] - h, edge[i] + h, 5):
+                for w in np.linspace(0.75 * h, 4 * h, 4):
+                    basis, total = np.column_stack((np.ones(len(x[near])), np.tanh((x[near] - at) / w))), 0.0
+                    for y in (np.log(rho[near]), np.log(p[near]), u[near]):
+                        rest = y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
+                        total += np.sqrt(np.mean((rest / np.std(y)) ** 2))
+                    best = min(best, (total, at, w), key=lambda b: b[0])
+            want = ("local-joint-tanh", best[1], best[2], 0.3 + 0.7 / (1 + best[0]))
+        else:
+            j = np.arange(max(0, i - 1), min(n - 2, i + 1) + 1)
+            v, h = score[f][j], np.median(width[near])
+            c = np.sum(j * v) / np.sum(v)
+            want = ("weighted-centroid", np.interp(c, np.arange(n - 1), edge[: n - 1]), max(np.sqrt(np.sum((j - c) ** 2 * v) / np.sum(v)) * h, h), 0.3)
+        assert r.model == want[0] and np.allclose((r.front, r.width, r.confidence), want[1:]), (f, i)
+
+
+def test_localisation_query_answers_all_candidates(spark):
+    from runweave import plans
+
+    q = plans.queries()
+    keys = ["run_id", "snapshot_index", "family", "interface_id"]
+    got, want = q["tanh_localisation"](spark, "/root/testdata/sf0.001"), q["frame_candidates"](spark, "/root/testdata/sf0.001").select(keys)
+    rows = got.collect()
+    assert sorted(tuple(r[k] for k in keys) for r in rows) == sorted(map(tuple, want.collect()))
+    assert all(r.front is not None and r.width > 0 for r in rows) and {r.model for r in rows} == {"local-joint-tanh", "weighted-centroid"}
+
+
 def test_nearest_ties_and_ends(spark):
     rows = spark.createDataFrame([(1, 0, 0.0), (1, 1, 2.0), (1, 2, 4.0)], "k long, s int, t double")
     ask = spark.createDataFrame([(1, "tie", 1.0), (1, "before", -5.0), (1, "after", 9.0), (1, "hit", 2.0), (2, "none", 1.0)], "k long, n string, w double")
