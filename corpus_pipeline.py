@@ -34,11 +34,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest identifier of each group linked by 5-word shingle similarity of 0.8 or more."""
+    """Keeps the row of the smallest identifier of each group linked by 5-word shingle similarity of 0.8 or more."""
     _in_batches(spark)
-    found = jaccard_join.components(docs, size=5, percent=80)
-    others = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 Sets are put in size bands such that only sets of one band or of neighbours can
 be similar. Within bands t-1 and t, similar sets differ in at most k_t elements.
-The domain of shingle hashes is cut into k_t + 1 + slack_t partitions, so two similar
-sets agree on more than slack_t of them. A set's signatures are its partitions, but
-for the weak ones, which hold hardly any element and which unlike sets share. Only a
-set with more than slack_t weak partitions also signs these, under marks of their own:
-if all partitions that two similar sets agree on are weak, both are such sets. So every
-similar pair shares a signature, and unlike sets hardly ever do.
-
-Pairs that share a signature are found and checked in three steps, each with few
-rows: (1) each group against its smallest member; (2) where a group is not yet
-in one component, the closest pair of each two components; (3) all remaining
-pairs between components. Every step compares parity sketches first, which
-never reject a similar pair, and only pairs that pass have their sets compared.
-Shingles and words stand for themselves as 64-bit hashes.
+PartEnum cuts the domain of shingle hashes into first-level partitions, so many
+that two similar sets differ in at most one element in more than ``slack`` of
+them. Each is cut into PARTS second-level ones, and a set signs every subset that
+leaves one of these out; where two sets differ in at most one element, they agree
+on such a subset. A signature without elements says nothing and is weak. Only a
+set with weak signatures in more than ``slack`` first-level partitions signs these
+too, under marks of their own: if all that two similar sets share is weak, both
+are such sets. So every similar pair shares a signature.
+
+Nodes are distinct texts. What shares a signature is never listed in pairs:
+(1) each group's members are compared with its smallest one; (2) all members of
+one smallest node that are not yet in one component are compared by sketches,
+block by block, and a spanning forest of what the sketches let pass makes
+clusters; (3) each cluster's sets meet once, and only links that join two
+components are emitted. Sketches never reject a similar pair, and sets decide.
+Shingles, words and texts stand for themselves as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240501)
@@ -37,8 +40,12 @@ _WEIGHT = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _SOLID = np.ones(256, bool)
 _SOLID[[32, 9, 10, 11, 12, 13]] = False
-#: Bytes of text that are hashed at once, and members that one task compares with a pivot or in a block.
-PIECE, FAN, BLOCK = 2 << 20, 500, 2048
+#: Bytes of text that are hashed at once, members that one task compares with a pivot, and targets of one row of texts.
+PIECE, FAN, BUNDLE = 2 << 20, 100, 200
+#: Members, and bytes of sets, that meet in a block; larger groups are compared in pairs of blocks.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Second-level partitions, of which a signature leaves one out, and signatures that are pre-aggregated at once.
+PARTS, CHUNK = 3, 1 << 20
 #: Most rows of identifiers that are broadcast to pick texts out of a scan; more are joined by a shuffle.
 SENT = 1_000_000
 
@@ -147,42 +154,44 @@ class Scheme:
         return self.differ(2 * (int(self.low[tag + 1]) - 1))
 
     def parts(self, tag: int) -> tuple:
-        """Bounds and seeds of a band pair's partitions, its slack, and the most elements of a weak partition.
+        """Bounds of a band pair's second-level partitions, seeds of its signatures, and the slack.
 
         Any slack is right; this one leaves few sets with more weak partitions.
         """
         if tag not in self.made:
-            k, least = self.most(tag), int(self.low[max(tag - 1, 0)])
-            for weak in (1, 0):
-                slack = 1
-                for _ in range(12):
-                    mean = least / (k + 1 + slack)
-                    n_weak = (k + 1 + slack) * math.exp(-mean) * (1 + mean * weak)
-                    slack = min(math.ceil(n_weak + 4 * math.sqrt(n_weak)) + 1, (k + 1) // 3 + 4)
-                if slack <= (k + 1) // 5 + 4:
-                    break
-            n = k + 1 + slack
-            edges = (np.arange(n + 1, dtype=object) << 64) // n
-            edges = np.array([min(int(e), (1 << 64) - 1) for e in edges], np.uint64)
-            seeds = mix(np.arange(n, dtype=np.uint64) + (_U(tag + 1) << _U(40)))
-            self.made[tag] = edges, seeds, slack, weak
+            k = self.most(tag)
+            first, slack, n = k // 2 + 1, 0, math.sqrt(int(self.low[tag]) * int(self.low[max(tag - 1, 0)]))
+            for _ in range(12):
+                empty = min(1.0, PARTS * math.exp(-n * (PARTS - 1) / (PARTS * (first + slack))))
+                weak = (first + slack) * empty
+                slack = min(math.ceil(weak + 3 * math.sqrt(weak)) if weak > 0.01 else 0, first)
+            first = first + slack if k else 1
+            cells = first * PARTS
+            edges = np.array([min((i << 64) // cells, (1 << 64) - 1) for i in range(cells + 1)], np.uint64)
+            seeds = mix(np.arange(cells, dtype=np.uint64) + (_U(tag + 1) << _U(40))).reshape(first, PARTS)
+            self.made[tag] = edges, seeds, slack
         return self.made[tag]
 
     def signatures(self, elements: np.ndarray, tag: int) -> np.ndarray:
-        edges, seeds, slack, weak_most = self.parts(tag)
-        at = np.searchsorted(elements, edges)
-        at[-1] = len(elements)
+        edges, seeds, slack = self.parts(tag)
         sums = np.zeros(len(elements) + 1, np.uint64)
         np.cumsum(mix(elements + _U(0x5851F42D4C957F2D)), out=sums[1:])
-        each = mix((sums[at[1:]] - sums[at[:-1]]) ^ seeds)
-        weak = np.diff(at) <= weak_most
-        if np.count_nonzero(weak) <= slack:
+        if not self.most(tag):  # similar sets are equal
+            return mix(sums[-1:] ^ seeds[0, 0])
+        at = np.searchsorted(elements, edges)
+        at[-1] = len(elements)
+        own, size = (sums[at[1:]] - sums[at[:-1]]).reshape(seeds.shape), np.diff(at).reshape(seeds.shape)
+        each = mix((own.sum(axis=1, dtype=np.uint64)[:, None] - own) ^ seeds)  # all cells of a partition but one
+        weak = size.sum(axis=1)[:, None] == size
+        if np.count_nonzero(weak.any(axis=1)) <= slack:
             return each[~weak]
         return np.concatenate([each[~weak], mix(each[weak] + _WEIGHT[5])])
 
-    def sketch(self, elements: np.ndarray, tag: int) -> bytes:
-        """Parity of the elements in each of 8 k_t places: two sketches differ in no more places than the sets in elements."""
-        bits = 64 * max(4, -(-8 * self.most(tag) // 64))
+    def sketch(self, elements: np.ndarray, tag: int, scale: int = 8) -> bytes:
+        """Parity of the elements in each of ``scale`` k_t places: two sketches differ in no more places than the sets in elements."""
+        return self.parity(elements, 64 * max(4, -(-scale * self.most(tag) // 64)))
+
+    def parity(self, elements: np.ndarray, bits: int) -> bytes:
         odd = np.bincount((mix(elements ^ _U(0xD6E8FEB86659FD93)) % _U(bits)).astype(np.int64), minlength=bits) & 1
         return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -192,54 +201,82 @@ def scheme(percent: int) -> Scheme:
     return Scheme(percent)
 
 
+def _arrow(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_SIGNED = "key long, node long, tag int, cnt int, extra long, sketch binary"
+
+
+def _combined(sigs: np.ndarray, nodes: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows (key, node, tag, cnt, extra) of a chunk: one for each signature, its smallest node and how many it has; and one with cnt 0, the signature as ``extra`` and a key of its own, for each further node."""
+    by = np.lexsort((nodes, sigs))
+    sigs, nodes, tags = sigs[by], nodes[by], tags[by]
+    fresh = np.r_[True, sigs[1:] != sigs[:-1]]
+    new = fresh | np.r_[True, nodes[1:] != nodes[:-1]]
+    sigs, nodes, tags, fresh = sigs[new], nodes[new], tags[new], fresh[new]
+    cnt = np.zeros(len(sigs), np.int32)
+    first = np.flatnonzero(fresh)
+    cnt[first] = np.diff(np.r_[first, len(sigs)])
+    keys = sigs.copy()
+    rest = ~fresh
+    keys[rest] = mix(sigs[rest] ^ mix(nodes[rest].view(np.uint64)))
+    return keys.view(np.int64), nodes, tags, cnt, np.where(fresh, 0, sigs.view(np.int64))
+
+
 def _signer(size: int, percent: int):
-    """Rows of signatures, and for each band pair of a set a row of tag -2 - t with its text's hash and its sketch (tag -1: no words)."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("tag", pa.int32()), ("sketch", pa.binary()), ("sigs", pa.list_(pa.int64()))])
+    """Signatures of each text, pre-aggregated by chunk, and for each band pair of a set a row of cnt -1 with its size as ``extra`` and its sketch (tag -1: no words)."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("tag", pa.int32()), ("cnt", pa.int32()), ("extra", pa.int64()), ("sketch", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scheme(percent)
+        own, held, load = scheme(percent), [], 0
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            sigs = np.concatenate([s for s, _, _ in held])
+            nodes, tags = (np.repeat(np.array([h[c] for h in held], t), [len(h[0]) for h in held]) for c, t in ((1, np.int64), (2, np.int32)))
+            rows = _combined(sigs, nodes, tags)
+            for lo in range(0, len(rows[0]), 100_000):
+                cut = [x[lo : lo + 100_000] for x in rows]
+                yield _arrow([*cut, pa.nulls(len(cut[0]), pa.binary())], schema)
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 cut, rows = batch.slice(lo, 500), []
-                sets = shingle_sets(cut.column(2).to_pylist(), size)
-                for doc, th, s in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist(), sets):
-                    th = np.array([th], np.int64)
+                sets = shingle_sets(cut.column(1).to_pylist(), size)
+                for node, s in zip(cut.column(0).to_pylist(), sets):
                     if not len(s):
-                        rows.append((doc, 0, -1, None, th))
+                        rows.append((node, node, -1, -1, 0, None))
                         continue
                     t = own.band(len(s))
                     for k in (t, t + 1):
-                        rows.append((doc, len(s), -2 - k, own.sketch(s, k), th))
-                        rows.append((doc, len(s), k, None, own.signatures(s, k).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(4)] + [_lists([r[4] for r in rows])], schema=schema)
-
-    return task
-
-
-def _counter(size: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(batch.column(2).to_pylist(), size)], pa.int64())], names=["n_shingles"])
+                        rows.append((int(mix(np.array([node, k], np.int64).view(np.uint64)).view(np.int64).sum()), node, k, -1, len(s), own.sketch(s, k)))
+                        held.append((own.signatures(s, k), node, k))
+                        load += len(held[-1][0])
+                yield _arrow([[r[c] for r in rows] for c in range(6)], schema)
+                if load >= CHUNK:
+                    yield from combined()
+                    held, load = [], 0
+        if held:
+            yield from combined()
 
     return task
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    at = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
-
-
-def _memberships(reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Groups of documents that share a signature, each group once: tag, gh, cnt, pivot, doc, n.
+def _memberships(reps: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(tag, pivot, node): each node that shares a signature with a smaller one and the smallest; and (tag, node, n, sketch).
 
-    Rows of negative tag are no groups: ``gh`` is the text's hash, and they carry the sketches.
+    Tasks send one row for each signature of a chunk of texts, so a signature of
+    many nodes has as many rows as there are chunks; further nodes get the pivot by a
+    join, whose large keys are split at run time.
     """
-    signed = reps.select("doc_id", "th", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(size, percent), "doc long, n long, tag int, sketch binary, sigs array<long>")
-    rows = signed.select("doc", "n", "tag", "sketch", F.explode("sigs").alias("sig"))
-    group = Window.partitionBy("sig", "tag")
-    met = rows.select("doc", "n", "tag", "sketch", "sig", F.count(F.lit(1)).over(group).alias("cnt"), F.min("doc").over(group).alias("pivot"), F.bit_xor(F.xxhash64("doc")).over(group).alias("gh"))
-    met = met.filter((F.col("cnt") > 1) | (F.col("tag") < 0))
-    return written(met.select("tag", F.when(F.col("tag") < 0, F.col("sig")).otherwise(F.col("gh")).alias("gh"), "cnt", "pivot", "doc", "n", "sketch").distinct(), "groups")
+    signed = reps.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(size, percent), _SIGNED)
+    group = Window.partitionBy("key")
+    met = signed.select("*", F.sum(F.greatest("cnt", F.lit(0))).over(group).alias("members"), F.min(F.when(F.col("cnt") > 0, F.col("node"))).over(group).alias("pivot"))
+    met = written(met.filter("cnt < 1 or members > 1").drop("members"), "groups")
+    leads = met.filter("cnt > 0")
+    rest = met.filter("cnt = 0").select(F.col("extra").alias("key"), "node", "tag").join(leads.select("key", "pivot").distinct(), "key")
+    pairs = leads.select("tag", "pivot", "node").unionByName(rest.select("tag", "pivot", "node")).filter("node <> pivot").distinct()
+    return written(pairs, "pivots"), met.filter("cnt = -1").select("tag", "node", F.col("extra").alias("n"), "sketch")
 
 
 def _small(df: DataFrame, most: int = SENT) -> DataFrame:
@@ -247,60 +284,83 @@ def _small(df: DataFrame, most: int = SENT) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _shipper(size: int):
-    schema = pa.schema([("a", pa.int64()), ("salt", pa.int32()), ("role", pa.int32()), ("b", pa.int64()), ("elements", pa.binary())])
+def _shipper(size: int, fields: list[tuple[str, pa.DataType]]):
+    """For each of a text's targets a row: the target's fields, the node and its set."""
+    schema = pa.schema([*fields, ("node", pa.int64()), ("elements", pa.binary())])
+    names = [f for f, _ in fields]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                cut, rows = batch.slice(lo, 200), []
-                for doc, to, s in zip(cut.column(0).to_pylist(), cut.column(2).to_pylist(), shingle_sets(cut.column(1).to_pylist(), size)):
+                cut, rows, load = batch.slice(lo, 200), [], 0
+                for node, to, s in zip(cut.column(0).to_pylist(), cut.column(2).to_pylist(), shingle_sets(cut.column(1).to_pylist(), size)):
                     raw = s.tobytes()
-                    rows += [(x["a"], x["salt"], int(x["a"] != doc), doc, raw) for x in to]
-                for i in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + 1000]], f.type) for c, f in enumerate(schema)], schema=schema)
+                    for x in to:
+                        rows.append((*(x[f] for f in names), node, raw))
+                        load += len(raw)
+                        if load > 8 << 20 or len(rows) >= 1000:
+                            yield _arrow([[r[c] for r in rows] for c in range(len(schema))], schema)
+                            rows, load = [], 0
+                if rows:
+                    yield _arrow([[r[c] for r in rows] for c in range(len(schema))], schema)
 
     return task
 
 
-def _checker(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _shipped(to: DataFrame, reps: DataFrame, size: int, fields: str) -> DataFrame:
+    """The sets of the nodes of ``to`` (node, to: array of structs with ``fields``), one row for each target."""
+    texts = reps.select("node", F.col("text").cast("binary").alias("text")).join(_small(to.select("node").distinct()), "node", "left_semi")
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    own = [(n, kinds[k]) for n, k in (x.split() for x in fields.split(", "))]
+    return texts.join(to, "node").select("node", "text", "to").mapInArrow(_shipper(size, own), fields + ", node long, elements binary")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if not len(small):
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return _arrow([[x[0] for x in found], [x[1] for x in found]], _LINK)
 
+
+def _checker(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivots = None, []
         for batch in batches:
             links = []
-            for a, salt, role, b, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, salt, role, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (a, salt) != key:
                     key, pivots = (a, salt), []
                 own = np.frombuffer(raw, np.uint64)
                 if not role:
                     pivots.append(own)
-                    continue
-                for p in pivots:
-                    small, large = (own, p) if len(own) < len(p) else (p, own)
-                    if not len(small):
-                        continue
-                    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                    if 100 * common >= percent * (len(own) + len(p) - common):
-                        links.append((a, b))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in range(2)], schema=schema)
+                elif any(_similar(own, p, percent) for p in pivots):
+                    links.append((a, node))
+            yield _links(links)
 
     return task
 
 
 def verify(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar. Members of one ``a`` are spread over tasks, FAN to each."""
+    """The pairs (a, b) that are similar. Members of one ``a`` are spread over tasks, about FAN to each."""
     pairs = written(pairs, "pairs")
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FAN)).cast("int").alias("fans"))
-    members = pairs.join(fans, "a").select(F.col("b").alias("doc_id"), F.struct("a", F.pmod(F.hash("b"), "fans").cast("int").alias("salt")).alias("to"))
-    pivots = fans.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt")).select("doc_id", F.struct(F.col("doc_id").alias("a"), "salt").alias("to"))
-    to = written(members.unionByName(pivots).groupBy("doc_id").agg(F.collect_list("to").alias("to")), "targets")
-    texts = reps.select("doc_id", F.col("text").cast("binary").alias("text")).join(_small(to.select("doc_id")), "doc_id", "left_semi")
-    shipped = texts.join(to, "doc_id").select("doc_id", "text", "to").mapInArrow(_shipper(size), "a long, salt int, role int, b long, elements binary")
+    target = lambda a, salt, role: F.struct(F.col(a).alias("a"), salt.alias("salt"), F.lit(role).alias("role"))
+    members = pairs.join(fans, "a").withColumn("salt", F.pmod(F.hash("b"), "fans").cast("int")).select(F.col("b").alias("node"), F.pmod(F.hash("a"), F.lit(4)).alias("bundle"), target("a", F.col("salt"), 1).alias("to"))
+    pivots = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt")).select(F.col("a").alias("node"), F.floor(F.col("salt") / F.lit(BUNDLE)).cast("int").alias("bundle"), target("a", F.col("salt"), 0).alias("to"))
+    to = written(members.unionByName(pivots).groupBy("node", "bundle").agg(F.collect_list("to").alias("to")), "targets")
+    shipped = _shipped(to, reps, size, "a long, salt int, role int")
     dealt = shipped.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return written(dealt.mapInArrow(_checker(percent), "a long, b long").distinct(), "links")
+    out = written(dealt.mapInArrow(_checker(percent), "a long, b long").distinct(), "links")
+    discard(pairs, to)
+    return out
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -320,7 +380,9 @@ def connected(links: DataFrame) -> DataFrame:
             out = joined.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
             out = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        return written(out.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+        after = written(out.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+        discard(edges)
+        return after
 
     mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -328,7 +390,10 @@ def connected(links: DataFrame) -> DataFrame:
     while (now := mark(edges)) != before:
         before = now
         edges = star(star(edges, True), False)
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
+    out = written(out, "components")
+    discard(edges)
+    return out
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -338,7 +403,6 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _screener(percent: int):
     """The pairs (a, b) whose sketches do not rule them out."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,129 +410,231 @@ def _screener(percent: int):
             for a, b, na, nb, sa, sb in zip(*(c.to_pylist() for c in batch.columns)):
                 if 100 * min(na, nb) >= percent * max(na, nb) and int(_far(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64))) <= (100 - percent) * (na + nb) // (100 + percent):
                     passed.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in passed], pa.int64()) for c in range(2)], schema=schema)
+            yield _links(passed)
 
     return task
 
 
-def _with_pivots(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Each group's members against its smallest one: the pairs that the sketches let pass."""
-    pairs = met.filter("doc <> pivot").select("tag", F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    side = lambda c: sketches.select("tag", F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    both = pairs.join(side("b"), ["tag", "b"]).join(side("a"), ["tag", "a"])
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_screener(percent), "a long, b long").distinct()
-
-
-def _comparer(percent: int, closest: bool):
-    """Within each group's block pair: pairs between components that the sketches let pass."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs_of(rows: list[tuple], p: int, q: int, pivot: int) -> list[tuple[int, int]]:
-        rows = [r for r in rows if r[0] != pivot]
-        if len({r[1] for r in rows}) < 2:
-            return []
-        doc, comp, n, block = (np.array([r[c] for r in rows], np.int64) for c in range(4))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
-        found = []
-        step = max(1, (4 << 20) // bits.size)
-        for i in range(0, len(rows), step):
-            j = min(len(rows), i + step)
-            far = _far(bits[i:j, None, :], bits[None, :, :])
-            ok = far <= (100 - percent) * (n[i:j, None] + n[None, :]) // (100 + percent)
-            ok &= (comp[i:j, None] != comp[None, :]) & (np.arange(i, j)[:, None] < np.arange(len(rows))[None, :])
-            ok &= 100 * np.minimum(n[i:j, None], n[None, :]) >= percent * np.maximum(n[i:j, None], n[None, :])
-            if p != q:
-                ok &= block[i:j, None] != block[None, :]
-            x, y = np.nonzero(ok)
-            found.append((far[x, y], x + i, y))
-        far, x, y = (np.concatenate([f[c] for f in found]) for c in range(3))
-        if closest and len(x):
-            c, d = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-            by = np.lexsort((far, d, c))
-            first = np.r_[True, (c[by][1:] != c[by][:-1]) | (d[by][1:] != d[by][:-1])]
-            x, y = x[by][first], y[by][first]
-        return list(zip(np.minimum(doc[x], doc[y]).tolist(), np.maximum(doc[x], doc[y]).tolist()))
+def _with_pivots(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a node and its pivot that the sketches let pass."""
+    side = lambda c, name: sketches.select("tag", F.col("node").alias(name), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = pairs.join(side("b", "node"), ["tag", "node"]).join(side("a", "pivot"), ["tag", "pivot"])
+    return both.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "na", "nb", "sa", "sb").mapInArrow(_screener(percent), "a long, b long").distinct()
+
+
+class _Union:
+    """Labels of 0 .. n-1 under merging."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.label = np.unique(labels, return_inverse=True)
+        self.left = len(np.unique(self.label)) - 1
+
+    def merge(self, x: int, y: int) -> bool:
+        a, b = self.label[x], self.label[y]
+        if a == b:
+            return False
+        self.label[self.label == max(a, b)] = min(a, b)
+        self.left -= 1
+        return True
+
+
+def _passing(bits: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different components, and of different blocks if there are two, that the sketches let pass."""
+    two = block.min() != block.max()
+    step = max(1, (2 << 20) // bits.size)
+    for i in range(0, len(n), step):
+        j = min(len(n), i + step)
+        ok = (comp[i:j, None] != comp[None, :]) & (np.arange(i, j)[:, None] < np.arange(len(n))[None, :])
+        ok &= 100 * np.minimum(n[i:j, None], n[None, :]) >= percent * np.maximum(n[i:j, None], n[None, :])
+        if two:
+            ok &= block[i:j, None] != block[None, :]
+        if not ok.any():
+            continue
+        ok &= _far(bits[i:j, None, :], bits[None, :, :]) <= (100 - percent) * (n[i:j, None] + n[None, :]) // (100 + percent)
+        x, y = np.nonzero(ok)
+        yield x + i, y
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows with equal first ``keys`` columns, without these."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != key:
+                if held:
+                    yield held
+                key, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield held
+
+
+def _forester(percent: int):
+    """Of each block pair a spanning forest of the pairs that the sketches let pass."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, seen = None, [], set()
+        for rows in _groups(batches, 4):
+            node, comp, n, block = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+            if len(set(comp.tolist())) < 2:
+                continue
+            bits, trees, found = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1), _Union(np.arange(len(rows))), []
+            for x, y in _passing(bits, n, comp, block, percent):
+                while len(x):
+                    if trees.merge(x[0], y[0]):
+                        found.append((int(node[x[0]]), int(node[y[0]])))
+                    live = trees.label[x] != trees.label[y]
+                    x, y = x[live], y[live]
+            yield _links(found)
 
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            fresh = [x for x in dict.fromkeys(found) if x not in seen]
-            if len(seen) < 1_000_000:
-                seen.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in fresh], pa.int64()) for c in range(2)], schema=schema)
+    return task
 
-        for batch in batches:
-            found = []
-            for tag, gh, cnt, p, q, pivot, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (tag, gh, cnt, p, q) != key:
-                    if held:
-                        found += pairs_of(held, key[3], key[4], last)
-                    key, held, last = (tag, gh, cnt, p, q), [], pivot
-                held.append(row)
-            yield out(found)
-        if held:
-            yield out(pairs_of(held, key[3], key[4], last))
+
+def _linker(percent: int):
+    """Of each block pair the links that join two components."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            comp, block, node = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+            n, joint, found = np.array([len(s) for s in sets], np.int64), _Union(comp), []
+            if not joint.left:
+                continue
+            own = scheme(percent)
+            width = 64 * max(4, own.differ(2 * int(n.max())))  # wide enough that hardly any two elements share a place
+            bits = np.frombuffer(b"".join(own.parity(s, width) for s in sets), np.uint64).reshape(len(rows), -1)
+            for x, y in _passing(bits, n, comp, block, percent):
+                for i, j in zip(x.tolist(), y.tolist()):
+                    if joint.label[i] != joint.label[j] and _similar(sets[i], sets[j], percent) and joint.merge(i, j):
+                        found.append((int(node[i]), int(node[j])))
+                if not joint.left:
+                    break
+            yield _links(found)
 
     return task
 
 
-def _open_groups(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """Memberships of the groups that lie in more than one component."""
-    placed = groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    key = ["tag", "gh", "cnt"]
-    split = placed.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(*key)
-    return written(placed.join(split, key).select(*key, "pivot", "doc", "comp"), "open")
+def _placed(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _open(members: DataFrame, comps: DataFrame, key: list[str], *sums) -> DataFrame:
+    """Members of the groups that lie in more than one component, with that component and the groups' sums."""
+    placed = _placed(members, comps)
+    split = placed.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *sums).filter("lo <> hi").drop("lo", "hi")
+    return placed.join(split, key)
+
+
+def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
+    """Rows dealt into ``blocks`` blocks, once for each pair of blocks (p, q) they are in."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.hash("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def _clusters(pairs: DataFrame, sketches: DataFrame, comps: DataFrame, percent: int) -> DataFrame | None:
+    """node, cl: any two nodes of one pivot and different components whose sketches may be similar are in one cluster."""
+    key = ["tag", "pivot", "p", "q"]
+    rows = _in_blocks(_open(pairs, comps, ["tag", "pivot"], F.count("*").alias("c")), F.ceil(F.col("c") / F.lit(BLOCK)))
+    rows = rows.join(sketches, ["tag", "node"]).select(*key, "node", "comp", "n", "block", "sketch")
+    edges = written(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_forester(percent), "a long, b long").distinct(), "passed")
+    if not edges.take(1):
+        return None
+    found = connected(edges).withColumnRenamed("comp", "cl")
+    discard(edges)
+    return found
+
+
+def _within(clusters: DataFrame, comps: DataFrame, sizes: DataFrame, reps: DataFrame, size: int, percent: int, crossing: bool) -> DataFrame:
+    """Links that join components of a cluster: within its blocks, or else between two of them."""
+    members = clusters.join(sizes, "node")
+    rows = _open(members, comps, ["cl"], F.count("*").alias("c"), F.sum(F.col("n") * 8).alias("b"))
+    rows = _in_blocks(rows, F.greatest(F.ceil(F.col("c") / F.lit(BLOCK)), F.ceil(F.col("b") / F.lit(BLOCK_BYTES)))).filter("p <> q" if crossing else "p = q")
+    to = rows.select("node", F.pmod(F.hash("p", "q"), F.lit(4)).alias("bundle"), F.struct("cl", "p", "q", "comp", "block").alias("to"))
+    to = written(to.groupBy("node", "bundle").agg(F.collect_list("to").alias("to")), "targets")
+    key = ["cl", "p", "q"]
+    dealt = _shipped(to, reps, size, "cl long, p int, q int, comp long, block int").repartition(*key).sortWithinPartitions(*key)
+    out = written(dealt.mapInArrow(_linker(percent), "a long, b long"), "links")
+    discard(to)
+    return out
+
+
+def _id(doc_id) -> object:
+    """An identifier for joins; a null one has a number too."""
+    return F.coalesce(doc_id, F.lit(-(1 << 63)).cast("long"))
+
+
+def text_hash(text) -> object:
+    return F.xxhash64(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _between(open_: DataFrame, sketches: DataFrame, percent: int, closest: bool) -> DataFrame:
-    rows = open_.join(sketches, ["doc", "tag"])
-    blocks = F.ceil(F.col("cnt") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.hash("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("tag", "gh", "cnt", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "pivot", "doc", "comp", "n", F.col("block").cast("long").alias("block"), "sketch")
-    key = ["tag", "gh", "cnt", "p", "q"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_comparer(percent, closest), "a long, b long").distinct()
+def linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, joint: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th) of every row, and of each distinct text: th, n (shingles), comp (smallest text hash that it reaches), least (smallest doc_id there).
+
+    ``joint``: texts of one identifier are linked.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("node"))
+    keys = written(base.select("doc_id", F.col("node").alias("th")), "texts")
+    own = keys.groupBy("th").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows"))
+    several = written(own.filter("rows > 1").select("th", "own"), "same")
+    copies = keys.join(_small(several), "th").filter(_id(F.col("doc_id")) != _id(F.col("own"))).select(_id(F.col("doc_id")).alias("id"), F.col("th").alias("node")).distinct()
+    copies = written(copies, "copies")
+    reps = base.withColumn("id", _id(F.col("doc_id"))).join(_small(copies), ["id", "node"], "left_anti").select("node", "text")
+    pairs, sketches = _memberships(reps, size, percent)
+    sizes = written(sketches.select("node", "n").distinct(), "sizes")
+    links = verify(_with_pivots(pairs, sketches, percent), reps, size, percent)
+    if joint:
+        worded = keys.filter("doc_id is not null").select("doc_id", F.col("th").alias("node")).distinct().join(sizes.filter("n > 0"), "node")
+        texts = worded.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a <> hi").select("doc_id", "a")
+        links = links.unionByName(written(worded.join(texts, "doc_id").select("a", F.col("node").alias("b")), "joint"))
+    comps = connected(links)
+    clusters = _clusters(pairs, sketches, comps, percent)
+    if clusters is not None:
+        for crossing in (False, True):
+            found = _within(clusters, comps, sizes, reps, size, percent, crossing)
+            if found.take(1):
+                links = links.unionByName(found)
+                comps = connected(links)
+    at = sizes.withColumnRenamed("node", "th").join(own.drop("rows"), "th").join(comps.withColumnRenamed("node", "th"), "th", "left").withColumn("comp", F.coalesce("comp", "th"))
+    at = written(at, "placed")
+    least = at.groupBy("comp").agg(F.min("own").alias("least"), F.count("*").alias("texts")).filter("texts > 1").drop("texts")
+    placed = at.join(least, "comp", "left").select("th", "n", "comp", F.coalesce("least", "own").alias("least"))
+    discard(pairs)
+    return keys, placed
 
 
 def components(docs: DataFrame, *, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest identifier reachable by links).
 
     Two documents link when 100 * intersection >= percent * union of their sets
-    of ``size``-word shingles; no link between different texts is lost. Equal texts count as one text. Null and empty texts,
-    and texts without words, have no shingles and no links. Rows of one
-    identifier count as one document with several texts. A row without an
-    identifier links with nothing and has a null component. An empty table
-    gives no rows; other columns are not read.
+    of ``size``-word shingles; no link between different texts is lost. Equal
+    texts count as one text. Null and empty texts, and texts without words, have
+    no shingles and no links. Rows of one identifier count as one document with
+    several texts. A row without an identifier links by its text; its component
+    is null where it reaches no identifier. An empty table gives no rows; other
+    columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("th"))
-    keys = written(base.select("doc_id", "th"), "texts")
-    same = keys.filter("doc_id is not null").groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("th", "rep")
-    copies = written(keys.join(_small(written(same, "same")), "th").filter("doc_id <> rep").distinct(), "copies")
-    lone = keys.filter("doc_id is null").select("th").distinct()
-    reps = base.filter("doc_id is not null").join(_small(copies.select("doc_id", "th")), ["doc_id", "th"], "left_anti")
-    groups = _memberships(reps, size, percent)
-    met = groups.filter("tag >= 0")
-    sketches = groups.filter("tag < -1").select((-2 - F.col("tag")).alias("tag"), "doc", "n", "sketch")
-    links = verify(_with_pivots(met, sketches, percent), reps, size, percent)
-    several = keys.groupBy("doc_id").agg(F.count_distinct("th").alias("k")).filter("k > 1").select("doc_id")
-    links = links.unionByName(copies.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    comps = written(connected(links), "components")
-    larger = met.filter("cnt > 2").drop("n", "sketch")
-    for closest in (True, False):
-        open_ = _open_groups(larger, comps)
-        if not open_.take(1):
-            break
-        links = links.unionByName(verify(_between(open_, sketches, percent, closest), reps, size, percent))
-        comps = written(connected(links), "components")
-    sizes = groups.filter("tag < 0").select(F.col("doc").alias("node"), F.col("gh").alias("th"), "n").distinct()
-    if lone.take(1):  # texts that only rows without an identifier have
-        counted = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.xxhash64(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("th"), F.col(text_col).cast("binary").alias("text"))
-        nameless = counted.mapInArrow(_counter(size), "n_shingles long")
-    else:
-        nameless = None
-    rows = keys.filter("doc_id is not null").join(copies, ["doc_id", "th"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    out = rows.join(sizes, ["node", "th"], "left").join(comps, "node", "left")
-    out = out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id")).alias("component_id"))
-    if nameless is not None:
-        out = out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
-    return out
+    keys, placed = linked(docs, size, percent, id_col, text_col)
+    return keys.join(placed, "th").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, but only one row of each group of linked texts.
+
+    The row of the smallest identifier stays, of the smallest text hash among equal
+    ones; rows without an identifier come last, and of rows equal in both any one
+    stays. Only texts decide: unlike texts of one identifier are no copies. Rows
+    whose text has no words are no copies of each other and all stay.
+    """
+    keys, placed = linked(docs, size, percent, id_col, text_col, joint=False)
+    rank = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
+    rows = keys.groupBy("doc_id", "th").agg(F.count("*").alias("rows")).join(placed.filter("n > 0"), "th")
+    first = rows.groupBy("comp").agg(F.min(rank()).alias("first"), F.count("*").alias("c"), F.max("rows").alias("r")).filter("c > 1 or r > 1").select("comp", "first")
+    out = rows.join(first, "comp").select(_id(F.col("doc_id")).alias("__id"), F.col("th").alias("__th"), (rank() == F.col("first")).alias("__stays"), "rows")
+    out = written(out.filter("not __stays or rows > 1").select("__id", "__th", "__stays"), "others")
+    marked = docs.withColumns({"__id": _id(F.col(id_col).cast("long")), "__th": text_hash(F.col(text_col))})
+    single = marked.join(_small(out.drop("__stays")), ["__id", "__th"], "left_anti").select(docs.columns)
+    repeated = out.filter("__stays").drop("__stays")
+    if not repeated.take(1):
+        return single
+    again = marked.join(_small(repeated), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
+    return single.unionByName(again.select(docs.columns))

@@ -297,6 +297,10 @@ def components(rows, size, percent):
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
         sets.append(frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset())
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
     root = {d: d for d, _ in rows}
 
     def find(x):
@@ -305,21 +309,19 @@ def components(rows, size, percent):
         return x
 
     for i in range(len(rows)):
-        for j in range(i):
-            common = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+        for j, common in collections.Counter(j for x in sets[i] for j in holders[x] if j < i).items():
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                 a, b = find(rows[i][0]), find(rows[j][0])
                 root[max(a, b)] = min(a, b)
     return {d: (len(s), find(d)) for (d, _), s in zip(rows, sets)}
 
 
-@pytest.mark.parametrize(("seed", "size", "percent"), [(1, 4, 85), (2, 5, 80)])
-def test_jaccard_join_against_all_pairs(spark, seed, size, percent):
-    rng = random.Random(seed)
+def edited(rng, groups):
+    """Groups of texts that differ in a few words each, and some of no or few words."""
     rows = []
-    for _ in range(10):
-        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 6, 20, 60, 150, 400]))]
-        for _ in range(rng.choice([1, 2, 5, 25, 50])):
+    for many, length in groups:
+        base = [f"w{rng.randrange(300)}" for _ in range(length)]
+        for _ in range(many):
             t = list(base)
             for _ in range(rng.randint(0, max(1, len(t) // 25))):
                 i = rng.randrange(len(t))
@@ -327,11 +329,48 @@ def test_jaccard_join_against_all_pairs(spark, seed, size, percent):
             rows.append(" ".join(t))
     rows += ["", " \n", "a", "A", "a b", "a b c", "A  B c"]
     rng.shuffle(rows)
-    rows = list(enumerate(rows))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("seed", "size", "percent"), [(1, 4, 85), (2, 5, 80)])
+def test_jaccard_join_against_all_pairs(spark, seed, size, percent):
+    rng = random.Random(seed)
+    rows = edited(rng, [(rng.choice([1, 2, 5, 25, 50]), rng.choice([3, 6, 20, 60, 150, 400])) for _ in range(10)])
     got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), size=size, percent=percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == components(rows, size, percent)
 
 
+def test_blocks_of_a_large_group_meet(spark, monkeypatch):
+    """A third of the rows are near copies around the threshold, dealt over many small blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 9)
+    monkeypatch.setattr(jaccard_join, "FAN", 7)
+    monkeypatch.setattr(jaccard_join, "BUNDLE", 3)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(80)]
+    rows = [" ".join(w if rng.random() > 0.02 else f"x{rng.randrange(999)}" for w in base) for _ in range(100)]
+    rows += [" ".join([*base[:40], *(f"y{rng.randrange(400)}" for _ in range(60))]) for _ in range(100)]
+    rows = list(enumerate(rows + [" ".join(f"z{rng.randrange(400)}" for _ in range(80)) for _ in range(100)]))
+    want = components(rows, 4, 85)
+    assert 5 < len({c for _, c in want.values()}) < 260
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+def test_components_of_all_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = components([tuple(r) for r in d.collect()], 4, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(d).collect()} == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, a, "p"), (5, a, "q"), (7, a + " w40", "r"), (None, a, "s"), (None, "only here", "t"), (None, "only here", "u"), (8, "", "v"), (9, None, "w"), (5, "other words of the same identifier", "x"), (3, "alone", "y")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = sorted((str(r.doc_id), str(r.text)[:5]) for r in kept.collect())
+    assert kept.columns == ["doc_id", "text", "source"]
+    assert got == sorted([("5", a[:5]), ("5", "other"), ("None", "only "), ("8", ""), ("9", "None"), ("3", "alone")])
+
+
 def test_similar_sets_share_a_signature_and_pass_the_sketch():
     s, rng = jaccard_join.Scheme(85), np.random.default_rng(5)
     for n in (1, 2, 7, 12, 40, 150, 700, 3000):
@@ -346,6 +385,8 @@ def test_similar_sets_share_a_signature_and_pass_the_sketch():
             shared = [t for t in tags if np.intersect1d(s.signatures(a, t), s.signatures(b, t)).size]
             assert shared
             for t in tags:
+                k, cells = s.most(t), len(s.parts(t)[1])
+                assert cells >= k // 2 + 1 + s.parts(t)[2] or not k
                 far = jaccard_join._far(np.frombuffer(s.sketch(a, t), np.uint64), np.frombuffer(s.sketch(b, t), np.uint64))
                 assert far <= s.differ(len(a) + len(b))
 
