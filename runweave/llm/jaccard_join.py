@@ -4,8 +4,8 @@ Sets are put in size bands such that only sets of one band or of neighbours can
 be similar. Within bands t-1 and t, similar sets differ in at most k_t elements.
 PartEnum cuts the domain of shingle hashes into first-level partitions, so many
 that two similar sets differ in at most one element in more than ``slack`` of
-them. Each is cut into PARTS second-level ones, and a set signs every subset that
-leaves one of these out; where two sets differ in at most one element, they agree
+them. Each is cut into PARTS second-level ones (two for large sets), and a set signs
+every subset that leaves one of these out; where two sets differ in at most one element, they agree
 on such a subset. A signature without elements says nothing and is weak. Only a
 set with weak signatures in more than ``slack`` first-level partitions signs these
 too, under marks of their own: if all that two similar sets share is weak, both
@@ -44,8 +44,8 @@ _SOLID[[32, 9, 10, 11, 12, 13]] = False
 PIECE, FAN, BUNDLE = 2 << 20, 100, 200
 #: Members, and bytes of sets, that meet in a block; larger groups are compared in pairs of blocks.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
-#: Second-level partitions, of which a signature leaves one out, and signatures that are pre-aggregated at once.
-PARTS, CHUNK = 3, 1 << 20
+#: Second-level partitions, of which a signature leaves one out; from WIDE elements on two are enough. Signatures that are pre-aggregated at once.
+PARTS, WIDE, CHUNK = 3, 256, 1 << 20
 #: Most rows of identifiers that are broadcast to pick texts out of a scan; more are joined by a shuffle.
 SENT = 1_000_000
 
@@ -159,16 +159,16 @@ class Scheme:
         Any slack is right; this one leaves few sets with more weak partitions.
         """
         if tag not in self.made:
-            k = self.most(tag)
+            k, parts = self.most(tag), PARTS if self.low[tag] < WIDE else 2
             first, slack, n = k // 2 + 1, 0, math.sqrt(int(self.low[tag]) * int(self.low[max(tag - 1, 0)]))
             for _ in range(12):
-                empty = min(1.0, PARTS * math.exp(-n * (PARTS - 1) / (PARTS * (first + slack))))
+                empty = min(1.0, parts * math.exp(-n * (parts - 1) / (parts * (first + slack))))
                 weak = (first + slack) * empty
-                slack = min(math.ceil(weak + 3 * math.sqrt(weak)) if weak > 0.01 else 0, first)
+                slack = min(math.ceil(weak + 3 * math.sqrt(weak)) if weak > 0.01 else 0, first // 3 + 2)
             first = first + slack if k else 1
-            cells = first * PARTS
+            cells = first * parts
             edges = np.array([min((i << 64) // cells, (1 << 64) - 1) for i in range(cells + 1)], np.uint64)
-            seeds = mix(np.arange(cells, dtype=np.uint64) + (_U(tag + 1) << _U(40))).reshape(first, PARTS)
+            seeds = mix(np.arange(cells, dtype=np.uint64) + (_U(tag + 1) << _U(40))).reshape(first, parts)
             self.made[tag] = edges, seeds, slack
         return self.made[tag]
 
@@ -221,7 +221,8 @@ def _combined(sigs: np.ndarray, nodes: np.ndarray, tags: np.ndarray) -> tuple[np
     keys = sigs.copy()
     rest = ~fresh
     keys[rest] = mix(sigs[rest] ^ mix(nodes[rest].view(np.uint64)))
-    return keys.view(np.int64), nodes, tags, cnt, np.where(fresh, 0, sigs.view(np.int64))
+    by = np.argsort(nodes, kind="stable")  # rows of one node after each other compress well
+    return tuple(x[by] for x in (keys.view(np.int64), nodes, tags, cnt, np.where(fresh, 0, sigs.view(np.int64))))
 
 
 def _signer(size: int, percent: int):
@@ -563,29 +564,35 @@ def _id(doc_id) -> object:
     return F.coalesce(doc_id, F.lit(-(1 << 63)).cast("long"))
 
 
+def _node() -> object:
+    """A text's number: its smallest identifier, or where that has several texts, is negative or null, its hash with the sign bit."""
+    return F.when((F.col("doc_id") >= 0) & F.col("several").isNull(), F.col("doc_id")).otherwise(F.col("th").bitwiseOR(F.lit(-(1 << 63)).cast("long")))
+
+
 def text_hash(text) -> object:
     return F.xxhash64(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, joint: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th) of every row, and of each distinct text: th, n (shingles), comp (smallest text hash that it reaches), least (smallest doc_id there).
+    """(doc_id, th) of every row, and of each distinct text: th, n (shingles), comp (smallest text number that it reaches), least (smallest doc_id there).
 
     ``joint``: texts of one identifier are linked.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("node"))
-    keys = written(base.select("doc_id", F.col("node").alias("th")), "texts")
-    own = keys.groupBy("th").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows"))
-    several = written(own.filter("rows > 1").select("th", "own"), "same")
-    copies = keys.join(_small(several), "th").filter(_id(F.col("doc_id")) != _id(F.col("own"))).select(_id(F.col("doc_id")).alias("id"), F.col("th").alias("node")).distinct()
-    copies = written(copies, "copies")
-    reps = base.withColumn("id", _id(F.col("doc_id"))).join(_small(copies), ["id", "node"], "left_anti").select("node", "text")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("th"))
+    keys = written(base.select("doc_id", "th"), "texts")
+    several = keys.filter("doc_id is not null").groupBy("doc_id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).filter("lo <> hi")
+    several = written(several.select("doc_id", F.lit(True).alias("several")), "several")
+    own = keys.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")).join(_small(several), "doc_id", "left")
+    own = written(own.select("th", F.col("doc_id").alias("own"), _node().alias("node"), "rows"), "own")
+    copies = keys.join(_small(written(own.filter("rows > 1").select("th", "own"), "same")), "th").filter(_id(F.col("doc_id")) != _id(F.col("own")))
+    copies = written(copies.select(_id(F.col("doc_id")).alias("id"), "th").distinct(), "copies")
+    reps = base.withColumn("id", _id(F.col("doc_id"))).join(_small(copies), ["id", "th"], "left_anti").join(_small(several), "doc_id", "left").select(_node().alias("node"), "text")
     pairs, sketches = _memberships(reps, size, percent)
     sizes = written(sketches.select("node", "n").distinct(), "sizes")
     links = verify(_with_pivots(pairs, sketches, percent), reps, size, percent)
     if joint:
-        worded = keys.filter("doc_id is not null").select("doc_id", F.col("th").alias("node")).distinct().join(sizes.filter("n > 0"), "node")
-        texts = worded.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a <> hi").select("doc_id", "a")
-        links = links.unionByName(written(worded.join(texts, "doc_id").select("a", F.col("node").alias("b")), "joint"))
+        worded = keys.join(_small(several), "doc_id", "left_semi").distinct().join(own, "th").join(sizes.filter("n > 0"), "node").select("doc_id", "node")
+        links = links.unionByName(written(worded.join(worded.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")), "joint"))
     comps = connected(links)
     clusters = _clusters(pairs, sketches, comps, percent)
     if clusters is not None:
@@ -594,7 +601,7 @@ def linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str,
             if found.take(1):
                 links = links.unionByName(found)
                 comps = connected(links)
-    at = sizes.withColumnRenamed("node", "th").join(own.drop("rows"), "th").join(comps.withColumnRenamed("node", "th"), "th", "left").withColumn("comp", F.coalesce("comp", "th"))
+    at = sizes.join(own.drop("rows"), "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     at = written(at, "placed")
     least = at.groupBy("comp").agg(F.min("own").alias("least"), F.count("*").alias("texts")).filter("texts > 1").drop("texts")
     placed = at.join(least, "comp", "left").select("th", "n", "comp", F.coalesce("least", "own").alias("least"))
