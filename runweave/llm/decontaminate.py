@@ -1,16 +1,16 @@
 """Benchmark decontamination with an FM-index for each shard of training documents.
 
-A shard's words become symbols: a number for each word of the benchmark, one
-symbol for all others. Before indexing, stretches that no phrase can lie in are
-cut out: maximal runs of benchmark words shorter than the shortest phrase, and
-all other words. What is left is suffix-sorted whole; its Burrows-Wheeler
-transform is held in a wavelet matrix. All phrases are searched backward at once, occurrences are
-located through sampled suffix positions, and their word spans are merged.
+All words of a shard, which stand for themselves as 64-bit hashes, become symbols: a
+number for each word of the benchmark; all others, which no phrase holds, share
+CLASSES further symbols, so that runs of them still differ; one more symbol ends a
+document. The whole shard
+is suffix-sorted, and its Burrows-Wheeler transform is held in a wavelet matrix.
+All phrases are searched backward at once, occurrences are located through
+sampled suffix positions, and their word spans are merged.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words over bytes of UTF-8: what is not ASCII is part of a word.
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+from .words import ALNUM, word_hashes
+
 WINDOW = 10
 #: Benchmark text bytes that one broadcast block of phrases may come from.
 BLOCK_BYTES = 4 << 20
@@ -28,7 +28,8 @@ BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
 CUT = 100
 SAMPLE = 8
-OTHER = 1
+#: The symbol after each document, and the symbols of words that are not in the benchmark.
+END, CLASSES = 1, 1 << 12
 HITS = [
     T.StructField("text", T.BinaryType()),
     T.StructField("n_words", T.LongType()),
@@ -37,51 +38,64 @@ HITS = [
 ]
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return WORD.findall(text.lower()) if text else []
-
-
 class Phrases:
     """The distinct windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, bytes | None]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
+        items = list(items)
+        words = list(word_hashes([text for _, text in items], ALNUM))
+        self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *words]))
         windows: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
+        for (item, _), own in zip(items, words):
+            ids = (np.searchsorted(self.vocabulary, own) + 2 + CLASSES).tolist()
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 windows.setdefault(tuple(ids[i : i + window]), set()).add(item)
         self.windows = list(windows)
         self.items = [sorted(windows[w]) for w in self.windows]
         self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.least = int(self.lengths.min()) if len(self.windows) else 0
         most = int(self.lengths.max()) if len(self.windows) else 0
         self.table = np.full((len(self.windows), most), -1, np.int64)
         for i, w in enumerate(self.windows):
             self.table[i, most - len(w) :] = w  # flush right, as the search starts there
 
+    def symbols(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Each text as symbols: a word's own if it is in the benchmark, else that of its class."""
+        out = []
+        for own in word_hashes(texts, ALNUM):
+            found = (own % np.uint64(CLASSES)).astype(np.int32) + 2
+            if len(self.vocabulary):
+                at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+                found = np.where(self.vocabulary[at] == own, at + 2 + CLASSES, found).astype(np.int32)
+            out.append(found)
+        return out
+
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """All suffixes in order, by doubling the sorted prefix; only groups still tied are sorted again."""
-    n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    key = symbols[order]
-    fresh = np.r_[True, key[1:] != key[:-1]]
+    """All suffixes of symbols from 1 up in order: sorted by their first few symbols, then by doubling; only groups still tied are sorted again."""
+    n, bits = len(symbols), int(symbols.max(initial=1)).bit_length()
+    step = max(1, 62 // bits)
+    padded = np.concatenate([symbols.astype(np.int64), np.zeros(step, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key = key << bits | padded[k : k + n]
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = key[1:] != key[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    step = 1
     while step < n:
-        edge = np.r_[np.flatnonzero(fresh), n]
-        size = np.diff(edge)
-        tied = np.flatnonzero(np.repeat(size > 1, size))
+        alone = fresh & np.r_[fresh[1:], True]
+        tied = np.flatnonzero(~alone)
         if not len(tied):
             break
         at = order[tied]
         after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
-        by = np.lexsort((after, rank[at]))
-        at, after, group = at[by], after[by], rank[at][by]
+        key = rank[at] * (n + 1) + after
+        by = np.argsort(key)
+        at, key = at[by], key[by]
         order[tied] = at
-        new = np.r_[True, (group[1:] != group[:-1]) | (after[1:] != after[:-1])]
+        new = np.r_[True, key[1:] != key[:-1]]
         fresh[tied] = new
         rank[at] = np.maximum.accumulate(np.where(new, tied, 0))
         step *= 2
@@ -89,14 +103,15 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Counts and locates sequences of symbols from 2 up in a text of symbols from 1 up."""
+    """Counts and locates sequences of symbols in a text of symbols from 1 to ``size``."""
 
     def __init__(self, text: np.ndarray, size: int, sample: int = SAMPLE):
-        symbols = np.r_[text.astype(np.int64), 0]
+        symbols = np.r_[text.astype(np.int32), np.int32(0)]
         order = suffix_array(symbols)
         self.n = len(symbols)
         self.bwt = symbols[order - 1]
-        self.before = np.searchsorted(symbols[order], np.arange(size + 1))
+        counts = np.bincount(symbols, minlength=size + 1)
+        self.before = np.cumsum(counts) - counts
         self.marked = order % sample == 0
         self.rank_marked = np.cumsum(self.marked) - self.marked
         self.sampled = order[self.marked]
@@ -140,24 +155,22 @@ class FMIndex:
         return out
 
 
-def search_shard(documents: list[list[bytes]], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:
-    """Merged word spans and items found in each document of one shard."""
+def search_shard(documents: list[np.ndarray], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:
+    """Merged word spans and items found in each document, given as symbols, of one shard; equal documents are indexed once."""
     spans: list[list[tuple[int, int]]] = [[] for _ in documents]
     items: list[set[int]] = [set() for _ in documents]
-    get = phrases.vocabulary.get
-    sizes = np.array([len(w) + 1 for w in documents], np.int64)
-    base = np.cumsum(sizes) - sizes
-    symbols = np.fromiter((get(w, OTHER) for ws in documents for w in (*ws, b"")), np.int32, int(sizes.sum()))
-    known = np.r_[False, symbols > OTHER, False]
-    turn = np.flatnonzero(known[1:] != known[:-1])
-    begin, end = turn[::2], turn[1::2]
-    long_ = end - begin >= max(1, phrases.least)
-    begin, end = begin[long_], end[long_]
-    if not len(begin) or not phrases.least:
+    same: dict[bytes, int] = {}
+    of = [same.setdefault(d.tobytes(), len(same)) for d in documents]
+    first_of = {u: i for i, u in reversed(list(enumerate(of)))}
+    whole = [documents[first_of[u]] for u in range(len(same))]
+    sizes = np.array([len(d) + 1 for d in whole], np.int64)
+    if not len(phrases.windows) or not sizes.sum() > len(sizes):
         return spans, items
-    length = end - begin + 1  # each run and the other word after it
-    place = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-    index = FMIndex(symbols[place], len(phrases.vocabulary) + 2)
+    base = np.cumsum(sizes) - sizes
+    symbols = np.full(int(sizes.sum()), END, np.int32)
+    for d, at in zip(whole, base.tolist()):
+        symbols[at : at + len(d)] = d
+    index = FMIndex(symbols, len(phrases.vocabulary) + 2 + CLASSES)
     low, high = index.search(phrases.table)
     found = np.flatnonzero(low < high)
     if not len(found):
@@ -165,20 +178,21 @@ def search_shard(documents: list[list[bytes]], phrases: Phrases) -> tuple[list[l
     n = (high - low)[found]
     rows = np.repeat(low[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     which = np.repeat(found, n)
-    at = place[index.locate(rows)]
+    at = index.locate(rows)
     doc = np.searchsorted(base, at, "right") - 1
     first, last = at - base[doc], at - base[doc] + phrases.lengths[which]
     by = np.lexsort((last, first, doc))
+    own_spans: list[list[tuple[int, int]]] = [[] for _ in whole]
+    own_items: list[set[int]] = [set() for _ in whole]
     for d, a, b in zip(doc[by].tolist(), first[by].tolist(), last[by].tolist()):
-        own = spans[d]
+        own = own_spans[d]
         if own and a <= own[-1][1]:
             own[-1] = (own[-1][0], max(b, own[-1][1]))
         else:
             own.append((a, b))
-    pairs = np.unique(doc * len(phrases.windows) + which)
-    for p in pairs.tolist():
-        items[p // len(phrases.windows)].update(phrases.items[p % len(phrases.windows)])
-    return spans, items
+    for p in np.unique(doc * len(phrases.windows) + which).tolist():
+        own_items[p // len(phrases.windows)].update(phrases.items[p % len(phrases.windows)])
+    return [own_spans[u] for u in of], [own_items[u] for u in of]
 
 
 def _merged(a: list, b: list) -> list[dict]:
@@ -217,18 +231,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, t
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items"))
     asked = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col("text").cast("binary"))
-    blocks = list(_blocks(asked, block_bytes)) or [[]]
     schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), *HITS])
-    for block in blocks:
+    blocks = _blocks(asked, block_bytes)
+    block = next(blocks, [])
+    while block is not None:  # the driver holds this block and the next
+        after = next(blocks, None)
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
-        rows = rows.mapInArrow(_searcher(phrases, shard_bytes, block is blocks[-1]), schema)
+        rows = rows.mapInArrow(_searcher(phrases, shard_bytes, after is None), schema)
+        block = after
     return rows.drop("text")
 
 
 def _searcher(shared, shard_bytes: int, last: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
-        held: list[tuple[pa.RecordBatch, list[list[bytes]]]] = []
+        held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
         size = 0
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -257,7 +274,7 @@ def _searcher(shared, shard_bytes: int, last: bool):
                 if held and size + load > shard_bytes:
                     yield from done()
                     held, size = [], 0
-                held.append((cut, [words_of(t) for t in texts]))
+                held.append((cut, phrases.symbols(texts)))
                 size += load
         if held:
             yield from done()

@@ -32,16 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import discard, written
+from .words import WEIGHT, mix, word_hashes
 
 _U = np.uint64
-_RANDOM = np.random.default_rng(20240501)
-_BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
-_WEIGHT = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_SOLID = np.ones(256, bool)
-_SOLID[[32, 9, 10, 11, 12, 13]] = False
-#: Bytes of text that are hashed at once, members that one task compares with a pivot, and targets of one row of texts.
-PIECE, FAN, BUNDLE = 2 << 20, 100, 200
+#: Members that one task compares with a pivot, and targets of one row of texts.
+FAN, BUNDLE = 100, 200
 #: Members, and bytes of sets, that meet in a block; larger groups are compared in pairs of blocks.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Second-level partitions, of which a signature leaves one out; from WIDE elements on two are enough. Signatures that are pre-aggregated at once.
@@ -50,85 +45,18 @@ PARTS, WIDE, CHUNK = 3, 256, 1 << 20
 SENT = 1_000_000
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.multiply.accumulate(np.r_[_U(1), np.full(n - 1, p, np.uint64)]) for p in (_BASE, inverse))
-
-
-def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a lower-cased piece."""
-    b = np.frombuffer(text, np.uint8)
-    solid = np.zeros(len(b) + 2, np.int8)
-    solid[1:-1] = _SOLID[b]
-    edge = np.diff(solid)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(1 << max(16, (len(b)).bit_length()))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * up[: len(b)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
-
-
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """Cuts a long text at white space."""
-    at = 0
-    while len(text) - at > PIECE:
-        cut = max(text.rfind(c, at, at + PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut <= at:
-            found = [i for i in (text.find(c, at + PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if i >= 0]
-            cut = min(found, default=len(text))
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the ``size``-word shingles of each text; of all its words if it has fewer."""
     out: list[np.ndarray] = []
-
-    def add(words: np.ndarray) -> None:
+    for words in word_hashes(texts):
         n = len(words)
         if n < size:
-            out.append(mix((words * _WEIGHT[:n]).sum(keepdims=True) + _U(n)) if n else np.empty(0, np.uint64))
-            return
-        total = words[: n - size + 1] * _WEIGHT[0]
+            out.append(mix((words * WEIGHT[:n]).sum(keepdims=True) + _U(n)) if n else np.empty(0, np.uint64))
+            continue
+        total = words[: n - size + 1] * WEIGHT[0]
         for k in range(1, size):
-            total = total + words[k : n - size + 1 + k] * _WEIGHT[k]
+            total = total + words[k : n - size + 1 + k] * WEIGHT[k]
         out.append(np.unique(mix(total)))
-
-    held: list[bytes] = []
-
-    def flush() -> None:
-        if held:
-            at = np.cumsum([0, *[len(t) + 1 for t in held]])
-            words, starts = _word_hashes(b"\n".join(held))
-            cut = np.searchsorted(starts, at)
-            for a, b in zip(cut, cut[1:]):
-                add(words[a:b])
-            held.clear()
-
-    load = 0
-    for text in texts:
-        text = (text or b"").lower()
-        if len(text) > PIECE:
-            flush()
-            load = 0
-            add(np.concatenate([_word_hashes(p)[0] for p in _pieces(text)]))
-            continue
-        if load + len(text) > PIECE:
-            flush()
-            load = 0
-        held.append(text)
-        load += len(text) + 1
-    flush()
     return out
 
 
@@ -185,7 +113,7 @@ class Scheme:
         weak = size.sum(axis=1)[:, None] == size
         if np.count_nonzero(weak.any(axis=1)) <= slack:
             return each[~weak]
-        return np.concatenate([each[~weak], mix(each[weak] + _WEIGHT[5])])
+        return np.concatenate([each[~weak], mix(each[weak] + WEIGHT[5])])
 
     def sketch(self, elements: np.ndarray, tag: int, scale: int = 8) -> bytes:
         """Parity of the elements in each of ``scale`` k_t places: two sketches differ in no more places than the sets in elements."""

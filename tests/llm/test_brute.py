@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.llm import decontaminate, encoding, jaccard_join, langid, packing, pii, quality, queries, sharding, sstable, token_counts, url_filter
+from runweave.llm import decontaminate, encoding, jaccard_join, langid, packing, pii, quality, queries, sharding, sstable, token_counts, url_filter, words
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -187,7 +187,8 @@ def test_fm_index_on_random_texts():
     for _ in range(60):
         shard = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 40))] for _ in range(6)]
         items = [(i, b" ".join(rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 6)))) for i in range(4)]
-        spans, found = decontaminate.search_shard(shard, decontaminate.Phrases(items, 3))
+        phrases = decontaminate.Phrases(items, 3)
+        spans, found = decontaminate.search_shard(phrases.symbols([b" ".join(w) for w in shard]), phrases)
         for d, w in enumerate(shard):
             hit, own = set(), set()
             for q, t in items:
@@ -201,6 +202,20 @@ def test_fm_index_on_random_texts():
             assert hit == {k for a, b in spans[d] for k in range(a, b)} and own == found[d]
 
 
+def test_suffix_array_and_index_hold_every_word():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, 4, 200), np.ones(100, np.int64), np.tile(rng.integers(1, 6000, 7), 30), np.array([5]), np.array([], np.int64), rng.integers(1, 1 << 20, 50)]
+    for t in texts:
+        want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        assert decontaminate.suffix_array(t).tolist() == want
+    t = rng.integers(1, 5, 300)
+    index = decontaminate.FMIndex(t, 5)
+    assert index.n == len(t) + 1
+    phrases = np.array([[-1, a, b] for a in range(1, 5) for b in range(1, 5)])
+    for (_, a, b), lo, hi in zip(phrases.tolist(), *index.search(phrases)):
+        assert sorted(index.locate(np.arange(lo, hi)).tolist()) == [i for i in range(len(t) - 1) if t[i] == a and t[i + 1] == b]
+
+
 def test_benchmark_blocks_do_not_matter(spark, docs):
     b, d = spark.read.parquet(f"{SF}/benchmark.parquet"), docs.select("doc_id", "text")
     one = decontaminate.leaks_digest(decontaminate.find_leaks(d, b))
@@ -394,7 +409,7 @@ def test_similar_sets_share_a_signature_and_pass_the_sketch():
 def test_long_texts_hash_like_short_ones(monkeypatch):
     text = b" ".join(b"w%d" % (i * i % 977) for i in range(3000))
     want = jaccard_join.shingle_sets([text], 4)[0]
-    monkeypatch.setattr(jaccard_join, "PIECE", 1000)
+    monkeypatch.setattr(words, "PIECE", 1000)
     assert np.array_equal(jaccard_join.shingle_sets([text, b"a"], 4)[0], want)
 
 
