@@ -141,8 +141,8 @@ def bohm_gross_peak_ev(ne: Column, k_debye: Column, gamma: float = 3.0) -> Colum
 
 
 def collectivity(k_debye: Column) -> Column:
-    """Regime of a scattering measurement by k times the Debye length."""
-    return F.when(k_debye < 0.5, "collective").when(k_debye < 1.0, "transition").when(k_debye >= 1.0, "non_collective").otherwise("unknown")
+    """Regime of a scattering measurement by k times the Debye length; what is unknown is not collective."""
+    return F.when(k_debye < 1.0, "collective").otherwise("non-collective")
 
 
 def dense_floor(rate: Column, ne: Column, fraction: float = 0.05) -> Column:
@@ -161,8 +161,23 @@ def free_free_per_m(te: Column, ne: Column, z: Column, energy_kev: Column) -> Co
     return F.when(ok, F.when(cut <= 0, F.lit(float("inf"))).otherwise(alpha))
 
 
-def zone_regime(te: Column, ratio: Column, resolved: Column, t: dict[str, float]) -> Column:
-    """Plasma-like, cold-table-like or fallback by temperature and density ratio."""
+#: Temperatures (eV) and density ratios at which a zone is plasma-like or fit for a cold table.
+REGIME = {
+    "plasma_te": 25.0,
+    "plasma_ratio": 0.55,
+    "plasma_mid_te": 15.0,
+    "plasma_mid_ratio": 0.75,
+    "cold_te": 12.0,
+    "cold_ratio": 0.72,
+    "cold_mid_te": 18.0,
+    "cold_mid_ratio": 0.55,
+}
+#: Fixed value: the least optical depth that counts.
+NEGLIGIBLE_TAU = 1.0e-8
+
+
+def zone_regime(te: Column, ratio: Column, resolved: Column, t: dict[str, float] = REGIME) -> Column:
+    """Plasma-like, cold-table-like or fallback by temperature and density ratio; plasma goes before cold."""
     plasma = (te >= t["plasma_te"]) | (ratio <= t["plasma_ratio"]) | ((te >= t["plasma_mid_te"]) & (ratio <= t["plasma_mid_ratio"]))
     cold = resolved & (((te <= t["cold_te"]) & (ratio >= t["cold_ratio"])) | ((te <= t["cold_mid_te"]) & (ratio >= t["cold_mid_ratio"])))
     return F.when(F.coalesce(plasma, F.lit(False)), "plasma").when(F.coalesce(cold, F.lit(False)), "cold").otherwise("fallback")

@@ -25,20 +25,39 @@ def crossings(samples: DataFrame, boundaries: DataFrame) -> DataFrame:
     return hits.withColumn("at", at).groupBy("run_id", "branch_id", "left_region", "right_region", "boundary_zone").agg(F.min("snapshot_index").alias("snapshot_index"), F.min_by("at", "snapshot_index").alias("crossing_time"))
 
 
-def companions(events: DataFrame, samples: DataFrame, branches: DataFrame, name: str, types: list[str], direction: Column | None, *, time_tol: float, cells: float = 2.5) -> DataFrame:
-    """The best other branch near each event: allowed type, direction, time and place; column ``name`` with its id or null.
+#: How many median time steps, and how many cells, a companion is from its event at most.
+STEPS, CELLS = 3.0, 2.5
 
-    ``branches``: run_id, branch_id, branch_type, branch_direction, support_rank, significance.
+
+def companions(events: DataFrame, samples: DataFrame, branches: DataFrame, steps: DataFrame, roles: dict[str, list[str]], directions: dict[str, Column] | None = None, *, cells: float = CELLS) -> DataFrame:
+    """The best other branch near each event in each role: a column for each of ``roles`` (name: branch types) with its id or null.
+
+    ``branches``: run_id, branch_id, branch_type, branch_direction, support_rank,
+    significance; ``steps``: run_id and step, as ``waves.time_steps`` gives them.
+    ``directions`` names a role's direction where it is bound to one. Events and
+    samples meet once, by run and by cells of time and place, of which an event looks at
+    its own and the next ones; so the rows of a join do not grow with the run.
     """
-    near = samples.join(branches, ["run_id", "branch_id"]).filter(F.col("branch_type").isin(types))
-    s = near.select("run_id", F.col("branch_id").alias("other"), F.col("time_s").alias("other_time"), F.col("interface_id").alias("other_at"), "branch_direction", "support_rank", "significance")
-    gap_t, gap_x = F.abs(F.col("other_time") - F.col("crossing_time")), F.abs(F.col("other_at") - (F.col("boundary_zone") - 1))
-    ok = (F.col("other") != F.col("branch_id")) & (gap_t <= time_tol) & (gap_x <= cells)
-    ok = ok if direction is None else ok & (F.col("branch_direction") == direction)
     keys = ["run_id", "branch_id", "boundary_zone"]
-    rank = F.struct("support_rank", -F.col("significance"), F.round(gap_t, 9), F.round(gap_x, 9), "other")
-    best = events.join(s, "run_id").filter(ok).groupBy(*keys).agg(F.min_by("other", rank).alias(name))
-    return events.join(best, keys, "left")
+    tol = F.greatest(STEPS * F.coalesce("step", F.lit(0.0)), F.lit(1e-12))
+    cell = lambda t, x: [F.floor(t / (1.001 * F.col("__tol"))).alias("__t"), F.floor(x / cells).alias("__x")]
+    near = samples.join(branches, ["run_id", "branch_id"]).join(steps, "run_id", "left").withColumn("__tol", tol)
+    near = near.select("run_id", F.col("branch_id").alias("other"), "branch_type", "branch_direction", "support_rank", "significance", F.col("time_s").alias("other_time"), F.col("interface_id").alias("other_at"), *cell(F.col("time_s"), F.col("interface_id")))
+    at = F.col("boundary_zone") - 1.0
+    asked = events.join(steps, "run_id", "left").withColumn("__tol", tol).select(*events.columns, "__tol", *cell(F.col("crossing_time"), at))
+    for c in ("__t", "__x"):
+        asked = asked.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    gap_t, gap_x = F.round(F.abs(F.col("other_time") - F.col("crossing_time")), 9), F.abs(F.col("other_at") - at)
+    met = asked.join(near, ["run_id", "__t", "__x"]).filter((F.col("other") != F.col("branch_id")) & (gap_t <= F.round("__tol", 9)) & (gap_x <= cells))
+    rank = F.struct("support_rank", -F.col("significance"), gap_t, F.round(gap_x, 9), "other")
+
+    def best(name: str) -> Column:
+        fits = F.col("branch_type").isin(roles[name])
+        if name in (directions or {}):
+            fits = fits & (F.col("branch_direction") == directions[name])
+        return F.min_by(F.when(fits, F.col("other")), F.when(fits, rank)).alias(name)
+
+    return events.join(met.groupBy(*keys).agg(*map(best, roles)), keys, "left")
 
 
 def classified(kind: Column, transmitted: Column, shock: Column, release: Column, contact: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,16 +16,19 @@ from .windows import cumulative_integral
 
 @dataclass(frozen=True)
 class Preheat:
-    """Thresholds of modification, of the unshocked state and of severity."""
+    """Thresholds of modification, of the unshocked state and of severity."""
 
     delta_te: float = 1.0
-    delta_charge: float = 0.1
-    max_ratio: float = 1.2
-    max_relative_pressure: float = 0.5
-    moderate_fraction: float = 0.1
-    severe_fraction: float = 0.5
-    moderate_te: float = 5.0
-    severe_te: float = 20.0
+    delta_charge: float = 0.05
+    delta_electron_energy: float = 1.0e7
+    radiation_heating: float = 1.0e10
+    laser_deposition: float = 1.0e10
+    max_ratio: float = 1.10
+    max_relative_pressure: float = 0.25
+    moderate_fraction: float = 0.10
+    severe_fraction: float = 0.35
+    moderate_te: float = 3.0
+    severe_te: float = 10.0
 
 
 def compressive_branch(branches: DataFrame) -> DataFrame:
@@ -31,7 +36,7 @@ def compressive_branch(branches: DataFrame) -> DataFrame:
 
     The ranking prefers support and significance throughout.
     """
-    rows = branches.filter(F.col("branch_type").isin("compressive_shock", "transmitted_shock") & (F.col("support") != "provisional"))
+    rows = branches.filter(F.col("branch_type").isin("compressive_shock", "transmitted_shock", "reflected_shock") & (F.col("support") != "provisional"))
     rank = Window.partitionBy("run_id").orderBy(F.desc("primary_branch"), F.when(F.col("support") == "tracked", 0).otherwise(1), F.desc("significance"), F.desc("samples"), "branch_id")
     return rows.withColumn("__k", F.row_number().over(rank)).filter("__k = 1").drop("__k")
 
@@ -54,15 +59,23 @@ def target_region(candidates: DataFrame, incident: str = "incident_region") -> D
 
 
 def changes(df: DataFrame, eps: float = 1e-9) -> DataFrame:
-    """Changes of each zone against its first snapshot."""
+    """Changes of each zone against its first snapshot; that of the electron energy only where it is known."""
     over = Window.partitionBy(*RZ).orderBy("snapshot_index")
     first = lambda c: F.first(c).over(over)
-    return df.withColumns({"delta_te": F.col("temperature_e") - first("temperature_e"), "delta_charge": F.col("mean_charge") - first("mean_charge"), "ratio": F.try_divide(F.col("density"), first("density")), "relative_pressure": (F.col("pressure") - first("pressure")) / (first("pressure") + eps)})
+    new = {"delta_te": F.col("temperature_e") - first("temperature_e"), "delta_charge": F.col("mean_charge") - first("mean_charge"), "ratio": F.try_divide(F.col("density"), first("density")), "relative_pressure": (F.col("pressure") - first("pressure")) / (first("pressure") + eps)}
+    if "electron_energy" in df.columns:
+        new["delta_electron_energy"] = F.col("electron_energy") - first("electron_energy")
+    return df.withColumns(new)
 
 
 def preheated(df: DataFrame, p: Preheat = Preheat()):
-    """Modified but not yet shocked; false where unknown."""
-    modified = (F.col("delta_te") >= p.delta_te) | (F.col("delta_charge") >= p.delta_charge)
+    """Modified but not yet shocked; false where unknown.
+
+    Any change of temperature or charge modifies a zone, and where ``df`` has the
+    columns, one of electron energy (J/g), radiative heating or laser deposition (J/g/s).
+    """
+    tests = {"delta_te": p.delta_te, "delta_charge": p.delta_charge, "delta_electron_energy": p.delta_electron_energy, "radiation_heating": p.radiation_heating, "laser_deposition": p.laser_deposition}
+    modified = reduce(or_, [F.coalesce(F.col(c) >= least, F.lit(False)) for c, least in tests.items() if c in df.columns])
     calm = (F.col("ratio") < p.max_ratio) & (F.col("relative_pressure") < p.max_relative_pressure)
     return F.coalesce(modified & calm, F.lit(False))
 

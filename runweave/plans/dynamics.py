@@ -94,7 +94,7 @@ def gradient(spark, d):
     return series(spark, d).select(*RS, W.gradient("rho", "time_s", Window.partitionBy("run_id").orderBy("snapshot_index")).alias("velocity"))
 
 
-@query("delta_first", "run_id snapshot_index zone_id", "d_te d_z ratio rel_p", f"SELECT *, temperature_e - first_value(temperature_e) OVER w AS d_te, mean_charge - first_value(mean_charge) OVER w AS d_z, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + 1e-9) AS rel_p FROM g WINDOW w AS {WT}")
+@query("delta_first", "run_id snapshot_index zone_id", "d_te d_z ratio rel_p", f"SELECT *, temperature_e - first_value(temperature_e) OVER w AS d_te, mean_charge - first_value(mean_charge) OVER w AS d_z, temperature_e * mean_charge * 1e5 - first_value(temperature_e * mean_charge * 1e5) OVER w AS dee, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + 1e-9) AS rel_p FROM g WINDOW w AS {WT}")
 def delta_first(spark, d):
     return P.changes(zone_state(spark, d)).select(*RS, "zone_id", F.col("delta_te").alias("d_te"), F.col("delta_charge").alias("d_z"), "ratio", F.col("relative_pressure").alias("rel_p"))
 
@@ -209,9 +209,13 @@ def frame_candidates(spark, d):
     return candidates(spark, d).select(*RS, "family", "interface_id", "score", "direction_sign", "family_rank")
 
 
+def profile(spark, d):
+    return edges(spark, d).withColumns({"edge": F.col("outer_cm"), "x": F.col("outer_cm") - F.col("width_cm") / 2.0})
+
+
 @query("wave_branches")
 def wave_branches(spark, d):
-    return V.wave_branches(candidates(spark, d))
+    return V.wave_branches(V.placed_candidates(candidates(spark, d), profile(spark, d)))
 
 
 SAMPLES = "b AS (SELECT run_id, zone_id AS branch_id, snapshot_index, time_s, density / 5e1 AS score, zone_id + velocity / 4e0 AS interface_id FROM g WHERE density >= 2.5e1)"
@@ -223,29 +227,32 @@ def samples(spark, d):
     return z.select("run_id", F.col("zone_id").alias("branch_id"), "snapshot_index", "time_s", (F.col("density") / 50.0).alias("score"), (F.col("zone_id") + F.col("velocity") / 4.0).alias("interface_id"), F.when(F.col("region_id") == 4, "merged_unresolved").when(F.col("region_id") == 3, "contact_like").otherwise("shock_like").alias("family"))
 
 
-SUMMARY = SAMPLES + ", c AS (SELECT run_id, branch_id, count(*) AS samples, max(time_s) - min(time_s) AS duration, count(*) * 1e0 / (max(snapshot_index) - min(snapshot_index) + 1) AS cont, sum(score) AS integrated, max(score) AS peak, max(interface_id) - min(interface_id) AS span_cells, CAST(floor((branch_id - 1) / 4) AS INT) + 1 AS region FROM b GROUP BY 1, 2), v AS (SELECT *, CASE WHEN samples <= 2 THEN 'provisional' WHEN samples < 5 THEN 'short_weak' ELSE 'tracked' END AS support, CASE WHEN region = 4 THEN 4 WHEN region = 3 THEN 3 ELSE 0 END AS fam, integrated * (1 + 45e-2 * ln(1 + samples)) * CASE WHEN samples >= 2 THEN (1 + 25e-2 * ln(1 + duration / 1e-1)) * (55e-2 + 45e-2 * least(cont, 1)) ELSE 1 END * (1 + 6e-2 * least(span_cells, 10)) * CASE WHEN samples <= 2 THEN 2e-1 WHEN samples < 5 THEN 65e-2 ELSE 1 END * CASE WHEN region = 4 THEN 9e-1 ELSE 1 END AS significance FROM c)"
+STEPS = "st AS (SELECT run_id, greatest(quantile_cont(gap, 5e-1), 1e-12) AS step FROM (SELECT run_id, time_s - lag(time_s) OVER (PARTITION BY run_id ORDER BY snapshot_index) AS gap FROM (SELECT DISTINCT run_id, snapshot_index, time_s FROM g)) GROUP BY 1)"
+
+
+SUMMARY = SAMPLES + ", " + STEPS + ", c AS (SELECT run_id, branch_id, count(*) AS samples, max(time_s) - min(time_s) AS duration, count(*) * 1e0 / (max(snapshot_index) - min(snapshot_index) + 1) AS cont, sum(score) AS integrated, max(score) AS peak, max(interface_id) - min(interface_id) AS span_cells, CAST(floor((branch_id - 1) / 4) AS INT) + 1 AS region FROM b GROUP BY 1, 2), v AS (SELECT *, CASE WHEN samples <= 2 THEN 'provisional' WHEN samples < 5 THEN 'short_weak' ELSE 'tracked' END AS support, CASE WHEN region = 4 THEN 4 WHEN region = 3 THEN 3 ELSE 0 END AS fam, integrated * (1 + 45e-2 * ln(1 + samples)) * CASE WHEN samples >= 2 THEN (1 + 25e-2 * ln(1 + duration / coalesce(step, 1e-12))) * (55e-2 + 45e-2 * least(cont, 1)) ELSE 1 END * (1 + 6e-2 * least(span_cells, 10)) * CASE WHEN samples <= 2 THEN 2e-1 WHEN samples < 5 THEN 65e-2 ELSE 1 END * CASE WHEN region = 4 THEN 9e-1 ELSE 1 END AS significance FROM c LEFT JOIN st USING (run_id))"
 
 
 @query("branch_summary", "run_id branch_id samples support", "duration continuity integrated significance", SUMMARY + " ;; SELECT *, CASE WHEN samples >= 2 THEN cont END AS continuity FROM v")
 def branch_summary(spark, d):
-    return V.branch_summary(samples(spark, d)).select("run_id", "branch_id", "samples", "support", "duration", "continuity", "integrated", "significance")
+    return V.branch_summary(samples(spark, d), V.time_steps(zone_state(spark, d))).select("run_id", "branch_id", "samples", "support", "duration", "continuity", "integrated", "significance")
 
 
 @query("branch_rank", "run_id branch_id rank suppressed primary_branch", "", SUMMARY + ", k AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CASE support WHEN 'tracked' THEN 0 WHEN 'short_weak' THEN 1 ELSE 2 END, round(significance, 9) DESC, fam, peak DESC, branch_id) AS INT) AS rank, greatest(count(*) OVER (PARTITION BY run_id) - 12, 0) AS suppressed FROM v) ;; SELECT *, rank = 1 AS primary_branch FROM k WHERE rank <= 12")
 def branch_rank(spark, d):
-    s = V.branch_summary(samples(spark, d)).withColumn("significance", F.round("significance", 9))
+    s = V.branch_summary(samples(spark, d), V.time_steps(zone_state(spark, d))).withColumn("significance", F.round("significance", 9))
     return V.ranked_branches(s).select("run_id", "branch_id", "rank", "suppressed", "primary_branch")
 
 
 @query("support_counts", "support n", "", SUMMARY + " ;; SELECT support, count(*) AS n FROM v GROUP BY 1")
 def support_counts(spark, d):
-    return V.branch_summary(samples(spark, d)).groupBy("support").agg(F.count("*").alias("n"))
+    return V.branch_summary(samples(spark, d), V.time_steps(zone_state(spark, d))).groupBy("support").agg(F.count("*").alias("n"))
 
 
 @query("kept_samples", "run_id n", "", SUMMARY + ", k AS (SELECT run_id, branch_id FROM v WHERE support = 'tracked') ;; SELECT run_id, count(*) AS n FROM b WHERE (run_id, branch_id) IN (SELECT run_id, branch_id FROM k) GROUP BY 1")
 def kept_samples(spark, d):
     s = samples(spark, d)
-    kept = V.branch_summary(s).filter("support = 'tracked'")
+    kept = V.branch_summary(s, V.time_steps(zone_state(spark, d))).filter("support = 'tracked'")
     return s.join(kept, ["run_id", "branch_id"], "left_semi").groupBy("run_id").agg(F.count("*").alias("n"))
 
 
@@ -268,16 +275,15 @@ def boundary_crossings(spark, d):
     return crossed(spark, d).select("run_id", "branch_id", "left_region", "snapshot_index", "crossing_time")
 
 
-EVENTS = CROSSED + ", ty AS (SELECT DISTINCT run_id, branch_id, CASE branch_id % 4 WHEN 0 THEN 'compressive_shock' WHEN 1 THEN 'reflected_shock' WHEN 2 THEN 'release_rarefaction' ELSE 'contact_transition' END AS kind FROM b), oc AS (SELECT x.run_id, x.branch_id, x.boundary_zone, b.branch_id AS other, ty.kind, row_number() OVER (PARTITION BY x.run_id, x.branch_id, x.boundary_zone, ty.kind ORDER BY round(abs(b.time_s - crossing_time), 9), round(abs(b.interface_id - (boundary_zone - 1)), 9), b.branch_id) AS k FROM x JOIN b ON b.run_id = x.run_id AND b.branch_id <> x.branch_id AND abs(b.time_s - crossing_time) <= 2.5e-1 AND abs(b.interface_id - (boundary_zone - 1)) <= 2.5e0 JOIN ty ON ty.run_id = b.run_id AND ty.branch_id = b.branch_id), on1 AS (SELECT run_id, branch_id, boundary_zone, max(other) FILTER (WHERE kind = 'compressive_shock') AS transmitted, max(other) FILTER (WHERE kind = 'reflected_shock') AS shock, max(other) FILTER (WHERE kind = 'release_rarefaction') AS release, max(other) FILTER (WHERE kind = 'contact_transition') AS contact FROM oc WHERE k = 1 GROUP BY 1, 2, 3), ev AS (SELECT x.*, ty.kind, transmitted, shock, release, CASE WHEN ty.kind = 'contact_transition' THEN x.branch_id ELSE contact END AS contact FROM x JOIN ty USING (run_id, branch_id) LEFT JOIN on1 USING (run_id, branch_id, boundary_zone)), cl AS (SELECT *, CASE WHEN kind = 'contact_transition' THEN 'contact_continuation' WHEN (transmitted IS NOT NULL)::INT + (shock IS NOT NULL)::INT + (release IS NOT NULL)::INT + (contact IS NOT NULL)::INT >= 2 THEN 'unresolved_ambiguous_split' WHEN transmitted IS NOT NULL THEN 'transmitted_shock' WHEN shock IS NOT NULL OR kind = 'reflected_shock' THEN 'reflected_shock' WHEN release IS NOT NULL OR kind = 'release_rarefaction' THEN 'reflected_release' WHEN contact IS NOT NULL THEN 'contact_continuation' ELSE 'unresolved_ambiguous_split' END AS classification FROM ev)"
+EVENTS = CROSSED + ", " + STEPS + ", ty AS (SELECT DISTINCT run_id, branch_id, CASE branch_id % 4 WHEN 0 THEN 'compressive_shock' WHEN 1 THEN 'reflected_shock' WHEN 2 THEN 'release_rarefaction' ELSE 'contact_transition' END AS kind FROM b), oc AS (SELECT x.run_id, x.branch_id, x.boundary_zone, b.branch_id AS other, ty.kind, row_number() OVER (PARTITION BY x.run_id, x.branch_id, x.boundary_zone, ty.kind ORDER BY round(abs(b.time_s - crossing_time), 9), round(abs(b.interface_id - (boundary_zone - 1)), 9), b.branch_id) AS k FROM x JOIN b ON b.run_id = x.run_id AND b.branch_id <> x.branch_id JOIN st ON st.run_id = x.run_id AND round(abs(b.time_s - crossing_time), 9) <= round(greatest(3 * step, 1e-12), 9) AND abs(b.interface_id - (boundary_zone - 1)) <= 2.5e0 JOIN ty ON ty.run_id = b.run_id AND ty.branch_id = b.branch_id), on1 AS (SELECT run_id, branch_id, boundary_zone, max(other) FILTER (WHERE kind = 'compressive_shock') AS transmitted, max(other) FILTER (WHERE kind = 'reflected_shock') AS shock, max(other) FILTER (WHERE kind = 'release_rarefaction') AS release, max(other) FILTER (WHERE kind = 'contact_transition') AS contact FROM oc WHERE k = 1 GROUP BY 1, 2, 3), ev AS (SELECT x.*, ty.kind, transmitted, shock, release, CASE WHEN ty.kind = 'contact_transition' THEN x.branch_id ELSE contact END AS contact FROM x JOIN ty USING (run_id, branch_id) LEFT JOIN on1 USING (run_id, branch_id, boundary_zone)), cl AS (SELECT *, CASE WHEN kind = 'contact_transition' THEN 'contact_continuation' WHEN (transmitted IS NOT NULL)::INT + (shock IS NOT NULL)::INT + (release IS NOT NULL)::INT + (contact IS NOT NULL)::INT >= 2 THEN 'unresolved_ambiguous_split' WHEN transmitted IS NOT NULL THEN 'transmitted_shock' WHEN shock IS NOT NULL OR kind = 'reflected_shock' THEN 'reflected_shock' WHEN release IS NOT NULL OR kind = 'release_rarefaction' THEN 'reflected_release' WHEN contact IS NOT NULL THEN 'contact_continuation' ELSE 'unresolved_ambiguous_split' END AS classification FROM ev)"
 
 
 def event_table(spark, d):
     s = samples(spark, d)
     kind = F.element_at(F.array(*map(F.lit, ["compressive_shock", "reflected_shock", "release_rarefaction", "contact_transition"])), (F.col("branch_id") % 4 + 1).cast("int"))
     b = s.select("run_id", "branch_id").distinct().select("run_id", "branch_id", kind.alias("branch_type"), F.lit("low_to_high").alias("branch_direction"), F.lit(0).alias("support_rank"), F.lit(0.0).alias("significance"))
-    e = crossed(spark, d)
-    for name, kinds in (("transmitted", ["compressive_shock"]), ("shock", ["reflected_shock"]), ("release", ["release_rarefaction"]), ("contact", ["contact_transition"])):
-        e = E.companions(e, s.select("run_id", "branch_id", "time_s", "interface_id"), b, name, kinds, None, time_tol=0.25)
+    roles = {"transmitted": ["compressive_shock"], "shock": ["reflected_shock"], "release": ["release_rarefaction"], "contact": ["contact_transition"]}
+    e = E.companions(crossed(spark, d), s.select("run_id", "branch_id", "time_s", "interface_id"), b, V.time_steps(zone_state(spark, d)), roles)
     e = e.join(b.select("run_id", "branch_id", "branch_type"), ["run_id", "branch_id"])
     e = e.withColumn("contact", F.when(F.col("branch_type") == "contact_transition", F.col("branch_id")).otherwise(F.col("contact")))
     return e.withColumn("classification", E.classified(F.col("branch_type"), *map(F.col, ("transmitted", "shock", "release", "contact"))))
@@ -306,7 +312,7 @@ def event_lookup(spark, d):
 
 @query("compressive_branch", "run_id branch_id", "", SUMMARY + ", k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE support WHEN 'tracked' THEN 0 ELSE 1 END, round(significance, 9) DESC, samples DESC, branch_id) AS j FROM v WHERE region < 3 AND support <> 'provisional') ;; SELECT * FROM k WHERE j = 1")
 def compressive_branch(spark, d):
-    s = V.branch_summary(samples(spark, d)).withColumns({"significance": F.round("significance", 9), "primary_branch": F.lit(False), "branch_type": F.when(F.col("family") == "shock_like", "compressive_shock").otherwise("other")})
+    s = V.branch_summary(samples(spark, d), V.time_steps(zone_state(spark, d))).withColumns({"significance": F.round("significance", 9), "primary_branch": F.lit(False), "branch_type": F.when(F.col("family") == "shock_like", "compressive_shock").otherwise("other")})
     return P.compressive_branch(s).select("run_id", "branch_id")
 
 
@@ -327,10 +333,11 @@ def target_region(spark, d):
 
 def preheat_rows(spark, d):
     entry = targets(spark, d).select("run_id", "region_id", (2.0 + F.col("run_id") % 10 * 0.1).alias("entry_time"))
-    return P.preheat_series(zone_state(spark, d), entry)
+    extra = {"electron_energy": F.col("temperature_e") * F.col("mean_charge") * 1e5, "radiation_heating": (F.col("pressure") - 50.0) * 1e9, "laser_deposition": F.col("velocity") * 3e9}
+    return P.preheat_series(zone_state(spark, d).withColumns(extra), entry)
 
 
-PRE = TARGET + f", ch AS (SELECT g.*, 2e0 + run_id % 10 * 1e-1 AS entry_time, temperature_e - first_value(temperature_e) OVER w AS dte, mean_charge - first_value(mean_charge) OVER w AS dz, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + 1e-9) AS rp, density * width_cm AS mass FROM g WINDOW w AS {WT}), pr AS (SELECT ch.*, (dte >= 1 OR dz >= 1e-1) AND ratio < 1.2e0 AND rp < 5e-1 AS hit FROM ch JOIN tg USING (run_id, region_id) WHERE time_s < entry_time), ps AS (SELECT run_id, snapshot_index, any_value(time_s) AS time_s, coalesce(sum(width_cm) FILTER (WHERE hit), 0) / sum(width_cm) AS width_fraction, coalesce(sum(mass) FILTER (WHERE hit), 0) / sum(mass) AS mass_fraction, sum(mass * dte) FILTER (WHERE hit) / sum(mass) FILTER (WHERE hit) AS mean_delta_te, max(dte) FILTER (WHERE hit) AS max_delta_te, sum(mass * temperature_e * 1e-2) AS areal_energy, sum(mass * mean_charge * 1e-2) AS rate FROM pr GROUP BY 1, 2)"
+PRE = TARGET + f", ch AS (SELECT g.*, 2e0 + run_id % 10 * 1e-1 AS entry_time, temperature_e - first_value(temperature_e) OVER w AS dte, mean_charge - first_value(mean_charge) OVER w AS dz, temperature_e * mean_charge * 1e5 - first_value(temperature_e * mean_charge * 1e5) OVER w AS dee, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + 1e-9) AS rp, density * width_cm AS mass FROM g WINDOW w AS {WT}), pr AS (SELECT ch.*, (dte >= 1 OR dz >= 5e-2 OR dee >= 1e7 OR (pressure - 5e1) * 1e9 >= 1e10 OR velocity * 3e9 >= 1e10) AND ratio < 1.1e0 AND rp < 2.5e-1 AS hit FROM ch JOIN tg USING (run_id, region_id) WHERE time_s < entry_time), ps AS (SELECT run_id, snapshot_index, any_value(time_s) AS time_s, coalesce(sum(width_cm) FILTER (WHERE hit), 0) / sum(width_cm) AS width_fraction, coalesce(sum(mass) FILTER (WHERE hit), 0) / sum(mass) AS mass_fraction, sum(mass * dte) FILTER (WHERE hit) / sum(mass) FILTER (WHERE hit) AS mean_delta_te, max(dte) FILTER (WHERE hit) AS max_delta_te, sum(mass * temperature_e * 1e-2) AS areal_energy, sum(mass * mean_charge * 1e-2) AS rate FROM pr GROUP BY 1, 2)"
 
 
 @query("preheat_series", "run_id snapshot_index", "width_fraction mass_fraction mean_delta_te max_delta_te", PRE + " ;; SELECT * FROM ps")
@@ -338,15 +345,14 @@ def preheat_series(spark, d):
     return preheat_rows(spark, d).select(*RS, "width_fraction", "mass_fraction", "mean_delta_te", "max_delta_te")
 
 
-@query("preheat_summary", "run_id snapshots severity", "peak_width_fraction peak_delta_te gained source residual", PRE + ", tr AS (SELECT *, coalesce(5e-1 * (rate + lag(rate) OVER k) * (time_s - lag(time_s) OVER k), 0) AS a FROM ps WINDOW k AS (PARTITION BY run_id ORDER BY snapshot_index)), su AS (SELECT run_id, count(*) AS snapshots, max(width_fraction) AS peak_width_fraction, max(max_delta_te) AS peak_delta_te, max_by(areal_energy, snapshot_index) - min_by(areal_energy, snapshot_index) AS gained, sum(a) AS source FROM tr GROUP BY 1) ;; SELECT *, gained - source AS residual, CASE WHEN peak_width_fraction >= 5e-1 OR coalesce(peak_delta_te, 0) >= 2e1 THEN 'severe' WHEN peak_width_fraction >= 1e-1 OR coalesce(peak_delta_te, 0) >= 5 THEN 'moderate' WHEN peak_width_fraction > 0 OR coalesce(peak_delta_te, 0) > 0 THEN 'mild' ELSE 'negligible' END AS severity FROM su")
+@query("preheat_summary", "run_id snapshots severity", "peak_width_fraction peak_delta_te gained source residual", PRE + ", tr AS (SELECT *, coalesce(5e-1 * (rate + lag(rate) OVER k) * (time_s - lag(time_s) OVER k), 0) AS a FROM ps WINDOW k AS (PARTITION BY run_id ORDER BY snapshot_index)), su AS (SELECT run_id, count(*) AS snapshots, max(width_fraction) AS peak_width_fraction, max(max_delta_te) AS peak_delta_te, max_by(areal_energy, snapshot_index) - min_by(areal_energy, snapshot_index) AS gained, sum(a) AS source FROM tr GROUP BY 1) ;; SELECT *, gained - source AS residual, CASE WHEN peak_width_fraction >= 3.5e-1 OR coalesce(peak_delta_te, 0) >= 1e1 THEN 'severe' WHEN peak_width_fraction >= 1e-1 OR coalesce(peak_delta_te, 0) >= 3 THEN 'moderate' WHEN peak_width_fraction > 0 OR coalesce(peak_delta_te, 0) > 0 THEN 'mild' ELSE 'negligible' END AS severity FROM su")
 def preheat_summary(spark, d):
     return P.preheat_summary(preheat_rows(spark, d)).select("run_id", "snapshots", "severity", "peak_width_fraction", "peak_delta_te", "gained", "source", "residual")
 
 
 @query("tanh_localisation")
 def tanh_localisation(spark, d):
-    e = edges(spark, d).withColumns({"edge": F.col("outer_cm"), "x": F.col("outer_cm") - F.col("width_cm") / 2.0})
-    return V.localised(candidates(spark, d), e)
+    return V.localised(candidates(spark, d), profile(spark, d))
 
 
 SPEC = "e AS (SELECT vec_id, CAST(unnest(range(1, len(embedding) + 1)) AS INT) AS i, unnest(embedding)::DOUBLE AS raw FROM embeddings), sp AS (SELECT vec_id, i, abs(raw) AS y FROM e)"
@@ -414,7 +420,7 @@ def spectroscopy_module(spark, d):
     return M.checked("spectroscopy", M.spectroscopy(zone_state(spark, d))).select(*RS, "sane", "mean_velocity", "los_velocity", "width_nm")
 
 
-@query("plasmon_module", "run_id snapshot_index regime", "k_debye peak_ev", "m AS (SELECT run_id, snapshot_index, sum(temperature_e * electron_density * width_cm) / sum(electron_density * width_cm) AS te, sum(electron_density * electron_density * width_cm) / sum(electron_density * width_cm) AS ne FROM g GROUP BY 1, 2), k AS (SELECT *, 4e0 * pi() * sin(radians(2e1) / 2e0) / (1.239841984e1 * 1e-8 / 8e0) * 7.43e2 * sqrt(te / ne) AS k_debye FROM m) ;; SELECT *, CASE WHEN k_debye < 5e-1 THEN 'collective' WHEN k_debye < 1 THEN 'transition' ELSE 'non_collective' END AS regime, sqrt(1 + 3e0 * k_debye * k_debye) * 6.582119569e-16 * 5.64e4 * sqrt(ne) AS peak_ev FROM k")
+@query("plasmon_module", "run_id snapshot_index regime", "k_debye peak_ev", "m AS (SELECT run_id, snapshot_index, sum(temperature_e * electron_density * width_cm) / sum(electron_density * width_cm) AS te, sum(electron_density * electron_density * width_cm) / sum(electron_density * width_cm) AS ne FROM g GROUP BY 1, 2), k AS (SELECT *, 4e0 * pi() * sin(radians(2e1) / 2e0) / (1.239841984e1 * 1e-8 / 8e0) * 7.43e2 * sqrt(te / ne) AS k_debye FROM m) ;; SELECT *, CASE WHEN k_debye < 1 THEN 'collective' ELSE 'non-collective' END AS regime, sqrt(1 + 3e0 * k_debye * k_debye) * 6.582119569e-16 * 5.64e4 * sqrt(ne) AS peak_ev FROM k")
 def plasmon_module(spark, d):
     return M.plasmon(zone_state(spark, d)).select(*RS, "regime", "k_debye", "peak_ev")
 

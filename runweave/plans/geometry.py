@@ -234,7 +234,7 @@ def matched_series_errors(spark, d):
     return p.join(r, [*RS, "zone_id"]).groupBy("region_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("pressure") - F.col("density"))).alias("mae"))
 
 
-@query("plasma_state", "run_id snapshot_index zone_id regime", "debye omega energy lnl nu theta rs kf cs k_debye", "k AS (SELECT *, electron_density AS ne, temperature_e AS te, mean_charge AS z, 7.43e2 * sqrt(temperature_e / electron_density) AS ld, pow(3e0 * pi() * pi() * electron_density * 1e6, 1e0 / 3e0) AS kfm, 4e0 * pi() * sin(radians(2e1) / 2e0) / (1.239841984e1 * 1e-8 / 8e0) AS kk FROM g), l AS (SELECT *, greatest(1.44e-7 * greatest(z, 1e-6) / te, 2.76e-8 / sqrt(te)) AS rmin, kfm * kfm * (1.054571817e-34 * 1.054571817e-34 / (2e0 * 9.1093837015e-31) / 1.602176634e-19) AS ef FROM k), m AS (SELECT *, CASE WHEN ld > rmin THEN ln(ld / rmin) END AS ll FROM l) ;; SELECT *, ld * 1e8 AS debye, 5.64e4 * sqrt(ne) / 1e15 AS omega, 6.582119569e-16 * 5.64e4 * sqrt(ne) AS energy, ll AS lnl, 2.91e-6 * ne * ll * pow(te, -1.5e0) / 1e15 AS nu, te / ef AS theta, pow(3e0 / (4e0 * pi() * ne * 1e6), 1e0 / 3e0) / 5.29177210903e-11 AS rs, kfm / 1e10 AS kf, 9.79e5 * sqrt(5e0 / 3e0 * z * te / 2.7e1) / 1e5 AS cs, kk * ld AS k_debye, CASE WHEN kk * ld < 5e-1 THEN 'collective' WHEN kk * ld < 1 THEN 'transition' ELSE 'non_collective' END AS regime FROM m")
+@query("plasma_state", "run_id snapshot_index zone_id regime", "debye omega energy lnl nu theta rs kf cs k_debye", "k AS (SELECT *, electron_density AS ne, temperature_e AS te, mean_charge AS z, 7.43e2 * sqrt(temperature_e / electron_density) AS ld, pow(3e0 * pi() * pi() * electron_density * 1e6, 1e0 / 3e0) AS kfm, 4e0 * pi() * sin(radians(2e1) / 2e0) / (1.239841984e1 * 1e-8 / 8e0) AS kk FROM g), l AS (SELECT *, greatest(1.44e-7 * greatest(z, 1e-6) / te, 2.76e-8 / sqrt(te)) AS rmin, kfm * kfm * (1.054571817e-34 * 1.054571817e-34 / (2e0 * 9.1093837015e-31) / 1.602176634e-19) AS ef FROM k), m AS (SELECT *, CASE WHEN ld > rmin THEN ln(ld / rmin) END AS ll FROM l) ;; SELECT *, ld * 1e8 AS debye, 5.64e4 * sqrt(ne) / 1e15 AS omega, 6.582119569e-16 * 5.64e4 * sqrt(ne) AS energy, ll AS lnl, 2.91e-6 * ne * ll * pow(te, -1.5e0) / 1e15 AS nu, te / ef AS theta, pow(3e0 / (4e0 * pi() * ne * 1e6), 1e0 / 3e0) / 5.29177210903e-11 AS rs, kfm / 1e10 AS kf, 9.79e5 * sqrt(5e0 / 3e0 * z * te / 2.7e1) / 1e5 AS cs, kk * ld AS k_debye, CASE WHEN kk * ld < 1 THEN 'collective' ELSE 'non-collective' END AS regime FROM m")
 def plasma_state(spark, d):
     z = zone_state(spark, d)
     te, ne, q = F.col("temperature_e"), F.col("electron_density"), F.col("mean_charge")

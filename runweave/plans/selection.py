@@ -132,15 +132,14 @@ def budget_rollup(spark, d):
     return out.withColumn("transmission", F.exp(-F.col("tau")))
 
 
-REGIME = {"plasma_te": 40.0, "plasma_ratio": 0.2, "plasma_mid_te": 30.0, "plasma_mid_ratio": 0.6, "cold_te": 20.0, "cold_ratio": 0.9, "cold_mid_te": 28.0, "cold_mid_ratio": 0.7}
-REGIME_SQL = "CASE WHEN te >= 4e1 OR ratio <= 2e-1 OR (te >= 3e1 AND ratio <= 6e-1) THEN 'plasma' WHEN m <> 4 AND ((te <= 2e1 AND ratio >= 9e-1) OR (te <= 2.8e1 AND ratio >= 7e-1)) THEN 'cold' ELSE 'fallback' END"
+REGIME_SQL = "CASE WHEN te >= 2.5e1 OR ratio <= 5.5e-1 OR (te >= 1.5e1 AND ratio <= 7.5e-1) THEN 'plasma' WHEN m <> 4 AND ((te <= 1.2e1 AND ratio >= 7.2e-1) OR (te <= 1.8e1 AND ratio >= 5.5e-1)) THEN 'cold' ELSE 'fallback' END"
 RATIO_SQL = "f AS (SELECT run_id, zone_id, min_by(density, snapshot_index) AS rho0 FROM g GROUP BY 1, 2), q AS (SELECT g.*, temperature_e AS te, abs(material_index) AS m, density / rho0 AS ratio FROM g JOIN f USING (run_id, zone_id)), z AS (SELECT *, " + REGIME_SQL + " AS regime FROM q)"
 
 
 def with_regime(spark, d):
     z = zone_state(spark, d).withColumn("rho0", F.first("density").over(win.time()))
     ratio = S.density_ratio(F.col("density"), F.lit(None).cast("double"), F.col("rho0"))
-    return z.withColumn("ratio", ratio).withColumn("regime", S.zone_regime(F.col("temperature_e"), F.col("ratio"), F.abs("material_index") != 4, REGIME))
+    return z.withColumn("ratio", ratio).withColumn("regime", S.zone_regime(F.col("temperature_e"), F.col("ratio"), F.abs("material_index") != 4))
 
 
 @query("zone_regimes", "run_id snapshot_index zone_id regime", "ratio", RATIO_SQL + " ;; SELECT * FROM z")
@@ -164,11 +163,11 @@ def weighted_median(spark, d):
     return R.weighted_median(zone_state(spark, d), RS, "temperature_e", "width_cm")
 
 
-@query("applicability", "run_id snapshot_index verdict", "cold_fraction hot_fraction", RATIO_SQL + ", a AS (SELECT run_id, snapshot_index, sum(width_cm) FILTER (WHERE te <= 2.8e1 AND ratio >= 7e-1) AS cold, sum(width_cm) FILTER (WHERE te >= 4e1 OR ratio <= 2e-1) AS hot, sum(width_cm) AS total FROM z GROUP BY 1, 2) ;; SELECT run_id, snapshot_index, coalesce(cold, 0) / total AS cold_fraction, coalesce(hot, 0) / total AS hot_fraction, CASE WHEN coalesce(cold, 0) / total >= 7.5e-1 THEN 'recommended' WHEN coalesce(hot, 0) / total > 5e-1 THEN 'not_recommended' ELSE 'borderline' END AS verdict FROM a")
+@query("applicability", "run_id snapshot_index verdict", "cold_fraction hot_fraction", RATIO_SQL + ", a AS (SELECT run_id, snapshot_index, sum(width_cm) FILTER (WHERE te <= 1.8e1 AND ratio >= 5.5e-1) AS cold, sum(width_cm) FILTER (WHERE te >= 2.5e1 OR ratio <= 5.5e-1) AS hot, sum(width_cm) AS total FROM z GROUP BY 1, 2) ;; SELECT run_id, snapshot_index, coalesce(cold, 0) / total AS cold_fraction, coalesce(hot, 0) / total AS hot_fraction, CASE WHEN coalesce(cold, 0) / total >= 7.5e-1 THEN 'recommended' WHEN coalesce(hot, 0) / total > 5e-1 THEN 'not_recommended' ELSE 'borderline' END AS verdict FROM a")
 def applicability(spark, d):
     z, w, te, ratio = with_regime(spark, d), F.col("width_cm"), F.col("temperature_e"), F.col("ratio")
     part = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0.0)) / F.sum(w)
-    out = z.groupBy(*RS).agg(part((te <= 28.0) & (ratio >= 0.7)).alias("cold_fraction"), part((te >= 40.0) | (ratio <= 0.2)).alias("hot_fraction"))
+    out = z.groupBy(*RS).agg(part((te <= S.REGIME["cold_mid_te"]) & (ratio >= S.REGIME["cold_mid_ratio"])).alias("cold_fraction"), part((te >= S.REGIME["plasma_te"]) | (ratio <= S.REGIME["plasma_ratio"])).alias("hot_fraction"))
     return out.withColumn("verdict", F.when(F.col("cold_fraction") >= 0.75, "recommended").when(F.col("hot_fraction") > 0.5, "not_recommended").otherwise("borderline"))
 
 

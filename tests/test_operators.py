@@ -177,18 +177,62 @@ def test_attenuation_kinds(spark):
 def test_wave_branches_follow_two_fronts(spark):
     rows = []
     for s in range(8):
-        rows += [(1, s, s * 0.1, "shock_like", float(s), 1.0, 1.0), (1, s, s * 0.1, "release_like", float(20 - s), 0.8, -1.0)]
-    d = spark.createDataFrame(rows, "run_id long, snapshot_index int, time_s double, family string, interface_id double, score double, direction_sign double")
+        if s == 3:  # one empty frame ends nothing
+            rows.append((1, s, None, None, None, None, None, None, None, None, [0.5]))
+            continue
+        rows += [(1, s, s * 0.1, "shock_like", float(s), 1.0, 1.0, 0.0, s * 1e-4, 1e-5, [5e-4]), (1, s, s * 0.1, "release_like", float(20 - s), 0.8, -1.0, None, 0.1 - s * 1e-4, 1e-5, [5e-4])]
+    d = spark.createDataFrame(rows, "run_id long, snapshot_index int, time_s double, family string, interface_id double, score double, direction_sign double, velocity double, position double, width double, walls array<double>")
     b = V.wave_branches(d)
-    assert sorted((r.branch_id, r["count"]) for r in b.groupBy("branch_id").count().collect()) == [(1, 8), (2, 8)]
-    s = V.ranked_branches(V.branch_summary(b)).filter("primary_branch").first()
-    assert s.family == "shock_like" and s.support == "tracked" and s.continuity == 1.0
+    assert sorted((r.branch_id, r["count"]) for r in b.groupBy("branch_id").count().collect()) == [(1, 7), (2, 7)]
+    s = V.ranked_branches(V.branch_summary(b, V.time_steps(d.filter("time_s is not null")))).filter("primary_branch").first()
+    assert s.family == "shock_like" and s.support == "tracked" and s.continuity == 7 / 8
 
 
-def test_optimal_assignment_prefers_total_cost():
+def test_association_cost_terms():
     p = V.WaveParameters()
-    assert V._assigned([[1.0, 1.2], [1.1, 5.0]], 2, p) == {0: 1, 1: 0}
-    assert V._assigned([[9.0]], 1, p) == {}
+    last = {"position": 0.0, "width": 1e-6, "velocity": 1e6, "score": 1.0, "direction_sign": 1.0, "family": "shock_like", "time_s": 0.0, "walls": []}
+    c = last | {"position": 2e-4, "time_s": 1e-10, "velocity": 3e6, "score": 1.75, "walls": [5e-5, 1e-4, 1.5e-4]}
+    same = V.association_cost(last, "shock_like", c, p)
+    assert same == pytest.approx(1.0 * (2e-4 - 1e-4) / 2e-4 + 0.1 * 0.2 + 0.35 * 1.0 + 0.35 * 2)
+    assert V.association_cost(last, "release_like", c, p) == pytest.approx(same + 1.25)
+    assert V.association_cost(last, "merged_unresolved", c, p) == pytest.approx(same)
+    assert V.association_cost(last, "shock_like", c | {"direction_sign": -1.0}, p) == pytest.approx(same + 0.35)
+    assert V.association_cost(last, "shock_like", c | {"velocity": None}, p) == pytest.approx(same - 0.02 + 0.15)
+    assert V.association_cost(last, "shock_like", c | {"width": 1.0}, p) < same
+
+
+def test_matching_against_all_permutations():
+    import itertools
+    import random
+
+    import numpy as np
+
+    p, rng = V.WaveParameters(), random.Random(6)
+
+    def total(costs, pairs):
+        n, m = costs.shape
+        return sum(costs[i, j] for i, j in pairs.items()) + p.miss_cost * (n - len(pairs)) + p.birth_cost * (m - len(pairs))
+
+    for _ in range(300):
+        n, m = rng.randint(0, 5), rng.randint(0, 5)
+        costs = np.array([[rng.choice([rng.uniform(0, 8), rng.randint(0, 7)]) for _ in range(m)] for _ in range(n)]).reshape(n, m)
+        found = V.matching(costs, p)
+        assert len(set(found.values())) == len(found) and all(costs[i, j] <= p.max_cost for i, j in found.items())
+        every = [dict(zip(rows, columns)) for k in range(min(n, m) + 1) for rows in itertools.combinations(range(n), k) for columns in itertools.permutations(range(m), k)]
+        allowed = [x for x in every if all(costs[i, j] <= p.max_cost for i, j in x.items())]
+        assert total(costs, found) == pytest.approx(min(total(costs, x) for x in allowed))
+    assert V.matching(np.array([[1.0, 1.0], [1.0, 1.0]]), p) == {0: 0, 1: 1}
+    assert V.matching(np.array([[9.0]]), p) == {}
+
+
+def test_overlaps_merge_from_the_strongest(spark):
+    rows = [(1, 0, "shock_like", 5, 1.0, 50.0), (1, 0, "release_like", 6, 0.9, 60.0), (1, 0, "contact_like", 7, 0.8, 70.0), (1, 0, "shock_like", 20, 3.0, 200.0), (1, 0, "release_like", 21, 1.0, 210.0), (1, 1, "shock_like", 3, 1.0, 30.0)]
+    rows += [(2, 0, "shock_like", 10 * k, 1.0 + k, 1.0) for k in range(7)]
+    d = spark.createDataFrame(rows, "run_id long, snapshot_index int, family string, interface_id int, score double, position double")
+    got = {(r.run_id, r.snapshot_index, r.interface_id): (r.family, round(r.score, 9), r.position) for r in V.merged_overlaps(d).collect()}
+    assert got[(1, 0, 5.5)] == ("merged_unresolved", 0.95, 50.0) and got[(1, 0, 7.0)] == ("contact_like", 0.8, 70.0)
+    assert got[(1, 0, 20.0)] == ("shock_like", 3.0, 200.0) and got[(1, 0, 21.0)][0] == "release_like" and got[(1, 1, 3.0)][0] == "shock_like"
+    assert sorted(k[2] for k in got if k[0] == 2) == [20.0, 30.0, 40.0, 50.0, 60.0]
 
 
 def log_text(n_last):
