@@ -2,9 +2,10 @@
 
 Built-in functions only. Matches of a pattern are ``regexp_extract_all``; the
 text between them is ``split`` by the same pattern; together they give the
-code-point offsets of each match. The patterns are possessive where that
-changes no match, so the regular-expression engine neither backtracks nor
-recurses on long runs.
+code-point offsets of each match. A match of an address can only start where a run
+of its characters starts or right after the match before it; the patterns say so, and
+are possessive where that changes no match, so that the engine goes over a long run
+once. Offsets are summed up in blocks of matches.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ from .shared import let
 
 #: Kind, pattern, cheap test that each match implies, score without context, context words.
 KINDS = [
-    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), 0.9, "mail|contact|write"),
-    ("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), 0.7, "ip|address|host|server|login"),
+    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), 0.9, "mail|contact|write"),
+    ("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), 0.7, "ip|address|host|server|login"),
     ("card", r"[0-9](?:[\x20-]?+[0-9])++", lambda t: t.rlike(r"[0-9](?:[\x20-]?+[0-9]){13}"), 0.8, "card|visa|credit|payment|number"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"), 0.7, "phone|tel|call|mobile|fax"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), 0.8, "iban|account|bank|konto|compte|cuenta"),
+    ("secret", r"(?<![A-Za-z0-9_-])(?:[0-9A-Fa-f]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36})(?![A-Za-z0-9_-])", lambda t: t.rlike(r"[0-9A-Fa-f]{32}|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}"), 0.4, "token|secret|key|password|passwd|auth|credential|bearer"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), 0.3, "ssn|social security"),
 ]
 BASE = ("email", "ip", "card", "phone")
 RANK = {k[0]: i for i, k in enumerate(KINDS)}
-NEAR = 40
-THRESHOLD = 0.6
+#: Characters on either side, up to the next match of the kind, in which context words count; least score of other kinds; matches in a block.
+NEAR, THRESHOLD, BLOCK = 40, 0.6, 64
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,match:string,score:double>>"
 
 
@@ -68,29 +70,26 @@ def _spans(text: Column, kind: str, pattern: str, test, score: float, words: str
     """Confirmed matches of one kind with offsets (code points, end exclusive) and score."""
     none = F.array().cast(SPAN)
 
-    def located(matches: Column, gaps: Column) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,match:string>>").alias("out"))
+    def ends(matches: Column, gaps: Column) -> Column:
+        """End of each match: sums within blocks, each begun at the sum of the blocks before it."""
+        steps = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.length(g) + F.length(m))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, F.lit(BLOCK)))
+        running = lambda v, start: F.slice(F.aggregate(v, F.array(start), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))), F.lit(2), F.size(v))
+        sums = F.transform(blocks, lambda v: F.aggregate(v, F.lit(0), lambda a, n: a + n))
+        starts = F.zip_with(running(sums, F.lit(0)), sums, lambda a, n: a - n)
+        return F.flatten(F.zip_with(blocks, starts, running))
 
-        def step(a: Column, i: Column) -> Column:
-            m = F.element_at(matches, i)
-            return let(
-                a["at"] + F.length(F.element_at(gaps, i)),
-                lambda at: F.struct(
-                    (at + F.length(m)).alias("at"),
-                    F.when(_valid(kind, m), F.concat(a["out"], F.array(F.struct(at.cast("bigint").alias("start"), (at + F.length(m)).cast("bigint").alias("end"), m.alias("match"))))).otherwise(a["out"]).alias("out"),
-                ),
-            )
+    def found(matches: Column, gaps: Column) -> Column:
+        def span(m: Column, i: Column, end: Column) -> Column:
+            near = F.lower(F.concat_ws(" ", F.right(F.element_at(gaps, i + 1), F.lit(NEAR)), F.left(F.element_at(gaps, i + 2), F.lit(NEAR))))
+            bonus = F.when(near.rlike(rf"\b(?:{words})"), F.lit(0.4)).otherwise(F.lit(0.0))
+            return F.struct((end - F.length(m)).cast("bigint").alias("start"), F.lit(RANK[kind]).alias("rank"), end.cast("bigint").alias("end"), F.lit(kind).alias("kind"), m.alias("match"), F.least(F.lit(1.0), F.lit(score) + bonus).alias("score"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(matches)), start, step)["out"]
+        at = let(ends(matches, gaps), lambda e: F.transform(matches, lambda m, i: F.when(_valid(kind, m), span(m, i, F.element_at(e, i + 1)))))
+        return F.filter(at, lambda s: s.isNotNull())
 
-    def scored(s: Column) -> Column:
-        before = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.lower(F.concat_ws(" ", F.substr(text, (before + 1).cast("int"), (s["start"] - before).cast("int")), F.substr(text, (s["end"] + 1).cast("int"), F.lit(NEAR))))
-        bonus = F.when(near.rlike(rf"\b(?:{words})"), F.lit(0.4)).otherwise(F.lit(0.0))
-        return F.struct(s["start"].alias("start"), F.lit(RANK[kind]).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["match"].alias("match"), F.least(F.lit(1.0), F.lit(score) + bonus).alias("score"))
-
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda g: F.transform(located(m, g), scored))).otherwise(none))
-    return F.when(test(text), found).otherwise(none)
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda g: found(m, g))).otherwise(none))
+    return F.when(test(text), spans).otherwise(none)
 
 
 def with_spans(docs: DataFrame, name: str, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -110,13 +109,13 @@ def with_spans(docs: DataFrame, name: str, *, text_col: str = "text", threshold:
 def redact(docs: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows, all columns as they are, with each span of the text, overlapping ones as one, replaced by its first kind in brackets."""
     text, spans = F.col(text_col), "__spans"
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(a: Column, s: Column) -> Column:
-        fresh = F.struct(F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["end"].alias("at"))
+        fresh = F.struct(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"), s["end"].alias("at"))
         return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
 
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    clean = F.aggregate(spans, start, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int")))), ""))
     return with_spans(docs, spans, text_col=text_col, threshold=threshold).withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(spans)
 
 

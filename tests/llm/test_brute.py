@@ -449,11 +449,29 @@ def test_pii_against_regular_expressions(spark, rows):
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
 
 
+def test_pii_of_long_runs_and_many_matches(spark):
+    """A run of a million characters with an @, and thousands of addresses in one text, take seconds."""
+    import time
+
+    rng = random.Random(9)
+    many = " ".join(f"user{i}@mail{i % 7}.example.com{rng.choice(['', ' token', ','])} 10.0.{i % 256}.{i % 200}" for i in range(8000))
+    texts = ["a" * (1 << 20) + "@b.co tail", "1" * (1 << 20) + ".2.3.4 1.2.3.4", "x@" + "b" * (1 << 20), many]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.spans_digest(pii.with_spans(d, "spans")).collect()}
+    took = time.perf_counter() - began
+    assert got[0].n_email == 1 and got[1].n_ip == 1 and got[2].n_email == 0 and got[3].n_email == got[3].n_ip == 8000
+    import hashlib
+
+    assert got[3].base_sha256 == hashlib.sha256(base_spans(many).encode()).hexdigest()
+    assert took < 60
+
+
 def test_pii_method_spans(spark):
-    texts = ["IBAN GB82 WEST 1234 5698 7654 32 ok", "IBAN GB82 WEST 1234 5698 7654 33 no", "my ssn is 123-45-6789", "part 123-45-6789 of a list", "plain words only"]
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 ok", "IBAN GB82 WEST 1234 5698 7654 33 no", "my ssn is 123-45-6789", "part 123-45-6789 of a list", "plain words only", 'token = "' + "0a" * 20 + '"', "digest " + "0a" * 20, "AKIA" + "A1" * 8 + " auth"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [s.kind for s in r.spans] for r in pii.with_spans(d, "spans").collect()}
-    assert got == {0: ["iban"], 1: [], 2: ["ssn"], 3: [], 4: []}
+    assert got == {0: ["iban"], 1: [], 2: ["ssn"], 3: [], 4: [], 5: ["secret"], 6: [], 7: ["secret"]}
     assert {r.doc_id: r.text for r in pii.redact(d).collect()}[2] == "my ssn is [SSN]"
 
 
