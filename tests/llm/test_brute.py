@@ -173,6 +173,26 @@ def test_rule_order_does_not_change_verdicts(spark, docs):
     assert [x[1] for x in order] == sorted((x[1] for x in order), reverse=True)
 
 
+def test_cascade_asks_the_cheaper_of_equal_rules_first(spark, docs):
+    text = F.col("text")
+    heavy = lambda n: F.length(F.regexp_replace(F.repeat(text, F.lit(n)), "[aeiou]", "")) < 0
+    often = F.crc32(text.cast("binary")) % 3 == 0
+    rules = {"dear": often | heavy(40), "never": text == "no such text", "cheap": often, "same": often}
+    order = quality.order_rules(docs.select("doc_id", "text"), rules)
+    assert order[0][0] in ("cheap", "same") and order[0][1] > 0.1
+    assert all(share == 0 for _, share, _ in order[1:])  # what is left after the first
+    cost = {name: c for name, _, c in order}
+    assert cost["dear"] > 5 * cost["cheap"]
+
+
+def test_sample_is_spread_over_the_table(spark, docs):
+    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("text")).repartitionByRange(8, "doc_id")
+    got = sorted(int(r.text) for r in quality._sample(rows, 40))
+    ids = sorted(r.doc_id for r in docs.collect())
+    quarter = len(ids) // 4
+    assert len(got) == 40 and all(sum(ids[k * quarter] <= g < ids[min(len(ids) - 1, (k + 1) * quarter)] for g in got) >= 3 for k in range(4))
+
+
 def test_quality_keeps_clean_documents(spark, docs):
     labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
     judged = quality.judge(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")).join(labels, "doc_id")
