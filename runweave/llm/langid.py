@@ -189,6 +189,16 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], *, id_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, "doc_id long, lang_pred string, score double")
 
 
+def cut_off(docs: DataFrame, prototypes: dict[str, list[float]], *, share: float = 0.002, text_col: str = "text", label_col: str = "lang", **options) -> float:
+    """The cosine that all but ``share`` of the labelled rows with letters reach; 0 without such rows.
+
+    ``docs`` should be rows that were not learned from. One pass; the quantile is within 0.0001 of its rank.
+    """
+    known = docs.filter(F.col(label_col).isNotNull()).select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scores = predict(known, prototypes, **options).filter(F.col("lang_pred") != UNKNOWN)
+    return scores.agg(F.percentile_approx("score", F.lit(share), F.lit(10_000))).first()[0] or 0.0
+
+
 def keep_known(docs: DataFrame, prototypes: dict[str, list[float]], *, text_col: str = "text", min_score: float = 0.1, dim: int = DIM, seed: int = 7) -> DataFrame:
     """The rows, all columns as they are, whose text has letters and a cosine of ``min_score`` or more."""
     schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), T.StructField("known", T.BooleanType())])

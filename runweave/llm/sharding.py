@@ -15,6 +15,8 @@ from .shared import shared_dir, written
 BITS = 60
 #: Bits that one round of splitting looks at; its node table has at most 2 ** (STEP + 1) rows for each shard split.
 STEP = 12
+#: Pages that one task chains of a hash that alone exceeds the limit.
+GROUP = 64
 
 
 def hash_of(key: Column) -> Column:
@@ -71,16 +73,29 @@ def assign(docs: DataFrame, *, limit: int = 4 << 20, id_col: str = "doc_id", tex
     depths = [r[0] for r in shards.select("depth").distinct().collect()]  # at most 61
     keyed = rows.withColumn("at", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(f"shiftright(h, {BITS - d})").alias("prefix")) for d in sorted(depths)])) if depths else F.explode(F.array().cast("array<struct<depth:int,prefix:bigint>>"))).select("doc_id", "h", "bytes", "at.*")
     placed = keyed.join(shards.select("depth", "prefix", F.col("n_bytes").alias("shard_bytes")), ["depth", "prefix"])
-    paged = _paged(placed, limit, ["bytes", "doc_id"])
+    paged = _paged(placed, limit)
     return paged.select("doc_id", "h", F.col("bytes").alias("n_bytes"), "depth", "prefix", "page", "shard_bytes")
 
 
-def _paged(placed: DataFrame, limit: int, order: list[str]) -> DataFrame:
-    """Adds ``page``: rows of one hash that alone exceed the limit are chained over pages."""
+def _paged(placed: DataFrame, limit: int) -> DataFrame:
+    """Adds ``page``: rows of one hash that alone exceed the limit are chained over pages.
+
+    Such rows are dealt into groups of about GROUP pages, which are paged each in a
+    task of its own; then the pages of a hash are numbered on over its groups.
+    """
     large = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit)
-    over = Window.partitionBy("h").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    chained = placed.filter(large).withColumn("page", F.floor((F.sum("bytes").over(over) - F.col("bytes")) / F.lit(limit)).cast("long"))
-    return placed.filter(~large).withColumn("page", F.lit(0).cast("long")).unionByName(chained)
+    groups = F.ceil(F.col("shard_bytes") / F.lit(GROUP * limit))
+    rows = placed.filter(large).withColumn("__g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), groups))
+    rows = written(rows, "chained")
+    if not rows.take(1):
+        return placed.withColumn("page", F.lit(0).cast("long"))
+    over = Window.partitionBy("h", "__g").orderBy("bytes").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__p", F.floor((F.sum("bytes").over(over) - F.col("bytes")) / F.lit(limit)).cast("long"))
+    pages = rows.groupBy("h", "__g").agg((F.max("__p") + 1).alias("n"))
+    before = Window.partitionBy("h").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    first = pages.select("h", "__g", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("__first"))  # a row for each group
+    chained = rows.join(first, ["h", "__g"]).withColumn("page", F.col("__first") + F.col("__p"))
+    return placed.filter(~large).withColumn("page", F.lit(0).cast("long")).unionByName(chained.select(*placed.columns, "page"))
 
 
 def write_shards(docs: DataFrame, folder: str | None = None, *, limit: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +104,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, *, limit: int = 4 <
     placed = assign(docs, limit=limit, id_col=id_col, text_col=text_col)
     of_hash = placed.select("h", "depth", "prefix", "shard_bytes").distinct()
     rows = docs.select(hash_of(docs[id_col]).alias("h"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("bytes"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    paged = _paged(rows.join(of_hash, "h"), limit, ["bytes"])
+    paged = _paged(rows.join(of_hash, "h"), limit)
     out = paged.select("row.*", F.concat_ws("-", "depth", "prefix", "page").alias("shard"))
     out.repartition("shard").write.partitionBy("shard").parquet(folder)
     return docs.sparkSession.read.parquet(folder)

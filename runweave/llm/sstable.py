@@ -20,8 +20,9 @@ import hashlib
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from .shared import shared_dir, written
 MAGIC = b"SSTOK001"
 FOOTER = struct.Struct("<QQQQQIHH8s")
 ENTRY = struct.Struct("<QIIIQB")
+#: Most tasks that read shards, and shards in a broadcast block of the manifest.
+READERS, SHARDS = 10_000, 100_000
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, first_id long, last_id long"
 
 
@@ -248,7 +251,8 @@ def read_shards(manifest: DataFrame, width: int | None = None) -> DataFrame:
     """Every document of the shards, block by block: doc_id, start, n_tokens, ids (binary).
 
     ``start`` counts the ids of all documents before it over all shards. The
-    running sum goes over the manifest, a row per shard.
+    running sum goes over the manifest, a row of some bytes per shard, in one task;
+    the shards are then dealt to as many tasks as there are shards, READERS at most.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
@@ -264,15 +268,16 @@ def read_shards(manifest: DataFrame, width: int | None = None) -> DataFrame:
 
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0).cast("long")))
-    return based.select("path", "base").repartition("path").mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
+    return based.select("path", "base").repartition(max(1, min(READERS, manifest.count()))).mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, *, key_col: str = "doc_id") -> DataFrame:
     """Values of the asked identifiers: doc_id, ids. Opens only the shards whose range holds a key.
 
-    The shard ranges are joined to the keys; within a shard each key costs one
-    filter probe, one binary search and the blocks that can hold it. Identifiers
-    that no shard has give no row; null and repeated ones are asked once.
+    The manifest is broadcast in blocks of SHARDS rows, in which a key finds its shards
+    by binary search; within a shard each key costs one filter probe, one binary
+    search and the blocks that can hold it. Identifiers that no shard has give no
+    row; a null one finds the rows without identifier; repeated ones are asked once.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
@@ -287,14 +292,34 @@ def lookup(manifest: DataFrame, keys: DataFrame, *, key_col: str = "doc_id") ->
                 rows += [(doc, ids.tobytes()) for ids in reader.get(key_of(doc))]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    asked = keys.select(F.col(key_col).cast("long").alias("doc_id")).distinct()
-    shards = manifest.select("path", "first_id", "last_id")
-    low = F.lit(-(1 << 63)).cast("long")
-    at = F.coalesce("doc_id", low).between(F.coalesce("first_id", low), F.coalesce("last_id", low))
-    hits = asked.join(shards, at).select("path", "doc_id").repartition("path").sortWithinPartitions("path")
+    asked, spark = keys.select(F.col(key_col).cast("long").alias("doc_id")).distinct(), manifest.sparkSession
+    hits = None
+    shards = manifest.orderBy("part", "seq").select("path", "first_id", "last_id").toLocalIterator()
+    while block := list(islice(shards, SHARDS)):
+        found = asked.mapInArrow(_holders(spark.sparkContext.broadcast(block)), "path string, doc_id long")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return spark.createDataFrame([], "doc_id long, ids binary")
+    hits = hits.repartition(max(1, min(READERS, manifest.count())), "path").sortWithinPartitions("path")
     return hits.mapInArrow(task, "doc_id long, ids binary")
 
 
+def _holders(block):
+    """(path, doc_id) of the shards whose range holds a key."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = [(path, key_of(first), key_of(last)) for path, first, last in block.value]
+        firsts, lasts = [x[1] for x in shards], [x[2] for x in shards]
+        for batch in batches:
+            rows = []
+            for doc in batch.column(0).to_pylist():
+                key = key_of(doc)
+                rows += [(shards[k][0], doc) for k in range(bisect_left(lasts, key), bisect_right(firsts, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["path", "doc_id"])
+
+    return task
+
+
 def token_shards(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """Writes shards to the shared folder and reads every document back from them."""
     return read_shards(write_shards(docs, shared_dir(spark, "sstable"), **options))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 #: Most bytes of rule text that one broadcast block holds; larger rule sets go in blocks.
 BLOCK_BYTES = 16 << 20
-SCHEMA = "page_id long, host string, path string, rule string, verdict string, tested int"
+SCHEMA = "page_id long, host string, path string, rule string, weight int, verdict string, tested int"
 
 
 @dataclass(frozen=True)
@@ -71,8 +71,13 @@ def path_of(url: Column) -> Column:
 def token_counts(pages: DataFrame, rules: list[Rule], *, url_col: str = "url") -> dict[str, int]:
     """How many URLs hold each token of a rule; the answer has at most one entry for each such token."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    tokens = F.array_intersect(F.array_distinct(F.split(F.lower(F.concat(host_of(F.col(url_col)), path_of(F.col(url_col)))), r"[^0-9a-z\x{80}-\x{10ffff}]+")), F.array(*map(F.lit, wanted)))
-    return {r[0]: r[1] for r in pages.select(F.explode(tokens).alias("t")).groupBy("t").count().collect()}
+    if not wanted:
+        return {}
+    asked = pages.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+    tokens = F.array_distinct(F.split(F.lower(F.concat(host_of(F.col(url_col)), path_of(F.col(url_col)))), r"[^0-9a-z\x{80}-\x{10ffff}]+"))
+    met = pages.select(F.explode(tokens).alias("t"))
+    small = sum(map(len, wanted)) <= BLOCK_BYTES
+    return {r[0]: r[1] for r in met.join(F.broadcast(asked) if small else asked, "t").groupBy("t").count().collect()}
 
 
 def index_rules(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
@@ -110,36 +115,41 @@ def filter_urls(pages: DataFrame, *, rules: list[Rule] | None = None, method: li
     """
     rules, method = RULES if rules is None else rules, METHOD if method is None else method
     counts = token_counts(pages, rules + method, url_col=url_col)
-    names = {r.name for r in rules}
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit("").alias("verdict"), F.lit(0).alias("tested"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(0).alias("weight"), F.lit("").alias("verdict"), F.lit(0).alias("tested"))
     for block in blocks_of(rules + method, block_bytes):
-        rows = rows.mapInArrow(_matcher(block, names, counts, {r.name: r.weight for r in rules}), SCHEMA)
-    return rows.withColumn("verdict", F.when(F.col("verdict") == "", "allow").otherwise(F.col("verdict")))
+        index, always = index_rules(block, counts)
+        shared = pages.sparkSession.sparkContext.broadcast((block, index, always))
+        rows = rows.mapInArrow(_matcher(shared), SCHEMA)
+    return rows.drop("weight").withColumn("verdict", F.when(F.col("verdict") == "", "allow").otherwise(F.col("verdict")))
 
 
-def _matcher(block: list[Rule], names: set[str], counts: dict[str, int], weights: dict[str, int]):
-    index, always = index_rules(block, counts)
+def _matcher(shared):
+    """``shared``: a broadcast of a block of rules, their index and those without a token. A rule found in a block before has its weight with it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [re.compile(r.pattern) for r in block]
+        block, index, always = shared.value
+        ready: dict[int, re.Pattern] = {}
         for batch in batches:
-            ids, hosts, paths, found, verdicts, tested = (c.to_pylist() for c in batch.columns)
+            _, hosts, paths, found, weights, verdicts, tested = (c.to_pylist() for c in batch.columns)
             for i, (host, path) in enumerate(zip(hosts, paths)):
                 key = host + path
                 tokens = set(TOKEN.findall(key.lower()))
                 candidates = {r for t in tokens if t in index for r in index[t]}.union(always)
-                best = (weights[found[i]], found[i]) if found[i] is not None else None
+                best = (weights[i], found[i]) if found[i] is not None else None
                 for r in candidates:
                     rule = block[r]
                     tested[i] += 1
+                    if r not in ready:
+                        ready[r] = re.compile(rule.pattern)
                     if not ready[r].match(key):
                         continue
-                    if rule.name not in names:
+                    if rule.weight < 0:
                         if best is None and verdicts[i] != "block":
                             verdicts[i] = rule.action
                     elif best is None or (-rule.weight, rule.name) < (-best[0], best[1]):
                         best = (rule.weight, rule.name)
-                        found[i], verdicts[i] = rule.name, rule.action
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.string()), pa.array(verdicts, pa.string()), pa.array(tested, pa.int32())], names=["page_id", "host", "path", "rule", "verdict", "tested"])
+                        found[i], weights[i], verdicts[i] = rule.name, rule.weight, rule.action
+            own = [pa.array(found, pa.string()), pa.array(weights, pa.int32()), pa.array(verdicts, pa.string()), pa.array(tested, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=["page_id", "host", "path", "rule", "weight", "verdict", "tested"])
 
     return task

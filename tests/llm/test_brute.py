@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import types
 import zlib
 
 import duckdb
@@ -71,6 +72,15 @@ def test_shards_hold_their_limit_and_chain_equal_hashes(spark):
     assert not any((d2, p >> (d1 - d2)) in shards for d1, p in shards for d2 in range(d1))
 
 
+def test_hash_larger_than_a_shard_is_written_over_pages(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUP", 2)
+    d = spark.createDataFrame([(7, "y" * 40)] * 300 + [(None, "z" * 10)] * 50 + [(i, "x") for i in range(100)], "doc_id long, text string").repartition(5)
+    out = sharding.write_shards(d, limit=400)
+    assert out.count() == 450 and out.drop("shard").exceptAll(d).count() == 0
+    sums = out.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect()
+    assert all(r.b <= 440 for r in sums) and sum(r.b for r in sums) == 300 * 40 + 500 + 100
+
+
 def test_written_shards_round_trip(spark, docs):
     written = sharding.write_shards(docs, limit=1 << 18)
     assert written.drop("shard").exceptAll(docs).count() == 0 and written.count() == docs.count()
@@ -86,14 +96,19 @@ def test_sstable_against_direct_encoding(spark, docs, rows):
         start += len(ids)
 
 
-def test_sstable_lookup(spark, docs):
+def test_sstable_lookup(spark, docs, monkeypatch):
     from runweave.llm.shared import shared_dir
 
     m = sstable.write_shards(docs, shared_dir(spark, "t"), block_bytes=2000, shard_bytes=40_000)
-    asked = spark.createDataFrame([(3,), (3,), (17,), (10**12,), (-5,)], "doc_id long")
+    asked = spark.createDataFrame([(3,), (3,), (17,), (10**12,), (-5,), (None,)], "doc_id long")
     found = {r.doc_id: r.ids for r in sstable.lookup(m, asked).collect()}
     every = {r.doc_id: r.ids for r in sstable.read_shards(m).collect()}
     assert set(found) == {3, 17} and all(bytes(found[k]) == bytes(every[k]) for k in found)
+    assert sstable.read_shards(m).rdd.getNumPartitions() == m.count() > 3
+    monkeypatch.setattr(sstable, "SHARDS", 2)
+    assert {r.doc_id: r.ids for r in sstable.lookup(m, asked).collect()} == found
+    nameless = sstable.write_shards(spark.createDataFrame([(None, "a"), (None, "b"), (1, "c")], "doc_id long, text string"), shared_dir(spark, "t"))
+    assert [r.doc_id for r in sstable.lookup(nameless, asked).collect()] == [None, None]
 
 
 def test_negative_and_repeated_keys_keep_order(spark):
@@ -112,13 +127,13 @@ def test_bloom_has_no_false_negatives():
 def test_url_candidates_equal_all_rules():
     rng = random.Random(3)
     rules = [url_filter.prefix_rule(h, p, rng.choice(["allow", "block"])) for h in ("com", "a.com", "b.a.com", "net", "x.net") for p in ("/", "/en/", "/en/ab", "/fr/x/")]
-    names = {r.name for r in rules}
-    task = url_filter._matcher(rules, names, {"com": 100, "en": 50}, {r.name: r.weight for r in rules})
+    index, always = url_filter.index_rules(rules, {"com": 100, "en": 50})
+    task = url_filter._matcher(types.SimpleNamespace(value=(rules, index, always)))
     import pyarrow as pa
 
     urls = [(rng.choice(["", "w.", "b."]) + rng.choice(["a.com", "com", "x.net", "net", "acom", "y.org"]), rng.choice(["", "/", "/en/", "/en/abc", "/en/x", "/fr/x/1", "/EN/ab"])) for _ in range(400)]
     n = len(urls)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([h for h, _ in urls]), pa.array([p for _, p in urls]), pa.nulls(n, pa.string()), pa.array([""] * n), pa.array([0] * n, pa.int32())], names=["page_id", "host", "path", "rule", "verdict", "tested"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([h for h, _ in urls]), pa.array([p for _, p in urls]), pa.nulls(n, pa.string()), pa.array([0] * n, pa.int32()), pa.array([""] * n), pa.array([0] * n, pa.int32())], names=["page_id", "host", "path", "rule", "weight", "verdict", "tested"])
     out = next(task(iter([batch]))).to_pylist()
     for (h, p), r in zip(urls, out):
         fit = [(len(x.name), x.name) for x in rules if (lambda rh, rp: (h == rh or h.endswith("." + rh)) and p.startswith(rp))(*x.name.split("/", 1)[:1], "/" + x.name.split("/", 1)[1])]
