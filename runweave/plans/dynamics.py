@@ -131,11 +131,12 @@ def impedance_preview(spark, d):
     return z.select(*RS, "zone_id", (z1 / 1e4).alias("z1"), (z2 / 1e4).alias("z2"), E.reflection(z1, z2).alias("r"), E.transmission(z1, z2).alias("t"))
 
 
-@query("monotone_violations", "user_id n", "", "o AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) ;; SELECT user_id, count(*) AS n FROM o WHERE before > ts GROUP BY 1", grid=False)
+@query("monotone_violations", "run_id n", "", "o AS (SELECT l_orderkey AS run_id, l_shipdate AS t, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS before FROM lineitem) ;; SELECT run_id, count(*) AS n FROM o WHERE before > t GROUP BY 1", grid=False)
 def monotone_violations(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    late = F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id")) > F.col("ts")
-    return e.withColumn("late", late).filter("late").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Lines of an order that were shipped before the line above them."""
+    e = spark.read.parquet(f"{d}/lineitem.parquet")
+    late = F.lag("l_shipdate").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")) > F.col("l_shipdate")
+    return e.withColumn("late", late).filter("late").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("n"))
 
 
 SCORE = f"q AS (SELECT *, density / 2e1 AS ratio FROM g), a1 AS (SELECT *, coalesce(25e-2 * lag(ratio) OVER w + 5e-1 * ratio + 25e-2 * lead(ratio) OVER w, ratio) AS b1 FROM q WINDOW w AS {WS}), a2 AS (SELECT *, coalesce(25e-2 * lag(b1) OVER w + 5e-1 * b1 + 25e-2 * lead(b1) OVER w, b1) AS r FROM a1 WINDOW w AS {WS}), n AS (SELECT *, lead(r) OVER w AS r1, 5e-1 * (velocity + lead(velocity) OVER w) AS v, density >= 1e1 AND lead(density) OVER w >= 1e1 AS live FROM a2 WINDOW w AS {WS}), sc AS (SELECT run_id, snapshot_index, time_s, zone_id - 1 AS interface_id, CASE WHEN live THEN greatest(r1 - r, 0) * least(greatest((r1 - 1) / 8e-2, 0), 1) * CASE WHEN abs(v) >= 5e-1 THEN 1e0 ELSE 35e-2 END * CASE WHEN -v >= 0 THEN 1e0 ELSE 35e-2 END ELSE 0 END AS score FROM n WHERE r1 IS NOT NULL)"
@@ -425,11 +426,13 @@ def plasmon_module(spark, d):
     return M.plasmon(zone_state(spark, d)).select(*RS, "regime", "k_debye", "peak_ev")
 
 
-@query("all_modules", "module n n_sane", "", "x AS (SELECT run_id, snapshot_index, region_id, pow(sum(density * width_cm) / sum(width_cm) / 2e1, 1e0 / 3e0) * 3e-1 AS s FROM g GROUP BY 1, 2, 3), c AS (SELECT count(*) AS n FROM (SELECT DISTINCT run_id, snapshot_index FROM g)) ;; SELECT 'xrd' AS module, count(*) AS n, count(*) FILTER (WHERE s <= 1) AS n_sane FROM x UNION ALL SELECT m, n, n FROM c, (SELECT unnest(['spectroscopy', 'plasmon', 'transmission']) AS m)")
+@query("all_modules", "module n n_sane", "", "h AS (SELECT *, CASE WHEN zone_id % 16 = run_id % 16 AND velocity < 0 THEN -electron_density ELSE electron_density END AS ne, CASE WHEN velocity < -3e0 THEN -1e3 ELSE temperature_i END AS ti FROM g), x AS (SELECT pow(sum(density * width_cm) / sum(width_cm) / 2e1, 1e0 / 3e0) * 3e-1 AS s FROM g GROUP BY run_id, snapshot_index, region_id), m AS (SELECT sum(ne * width_cm) AS c, sum(CASE WHEN ne > 0 THEN ti * ne * width_cm END) / sum(CASE WHEN ne > 0 THEN ne * width_cm END) AS t, sum(CASE WHEN ne > 0 THEN temperature_e * ne * width_cm END) / sum(CASE WHEN ne > 0 THEN ne * width_cm END) AS te FROM h GROUP BY run_id, snapshot_index) ;; SELECT 'xrd' AS module, count(*) AS n, count(*) FILTER (WHERE s <= 1) AS n_sane FROM x UNION ALL SELECT 'transmission', count(*), count(*) FILTER (WHERE c >= 0) FROM m UNION ALL SELECT 'spectroscopy', count(*), count(*) FILTER (WHERE t >= 0) FROM m UNION ALL SELECT 'plasmon', count(*), count(*) FILTER (WHERE te > 0) FROM m")
 def all_modules(spark, d):
     from functools import reduce
 
     z = zone_state(spark, d)
+    bad = (F.col("zone_id") % 16 == F.col("run_id") % 16) & (F.col("velocity") < 0)
+    z = z.withColumns({"electron_density": F.when(bad, -F.col("electron_density")).otherwise(F.col("electron_density")), "temperature_i": F.when(F.col("velocity") < -3.0, -1000.0).otherwise(F.col("temperature_i"))})
     parts = [M.checked(n, r).agg(F.count("*").alias("n"), F.count_if("sane").alias("n_sane")).select(F.lit(n).alias("module"), "n", "n_sane") for n, r in M.run_modules(z).items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

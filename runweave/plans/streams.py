@@ -18,6 +18,11 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/events[.]parquet")  # a pattern, as the table may be one file or a folder
 
 
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set(STATE, ROCKS)
+    return spark.readStream.schema(spark.read.parquet(f"{d}/orders.parquet").schema).parquet(f"{d}/orders[.]parquet")
+
+
 @query("stream_cumulative", "user_id n", "total", "o AS (SELECT user_id, value, epoch_us(ts) / 1e6 AS t FROM events), l AS (SELECT user_id, 5e-1 * (value + lag(value) OVER w) * (t - lag(t) OVER w) / 1e6 AS a FROM o WINDOW w AS (PARTITION BY user_id ORDER BY t, value)) ;; SELECT user_id, count(*) AS n, coalesce(sum(a), 0) AS total FROM l GROUP BY 1", grid=False)
 def stream_cumulative(spark, d):
     s = events(spark, d).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("y"))
@@ -25,15 +30,16 @@ def stream_cumulative(spark, d):
     return out.groupBy("user_id").agg(F.count("*").alias("n"), (F.max_by("total", "t") / 1e6).alias("total"))
 
 
-@query("stream_run_status", "user_id n last_valid", "last_time", "SELECT user_id, count(*) AS n, max(epoch_us(ts)) / 1e15 AS last_time, max_by(value > 1e1, event_id) AS last_valid FROM events GROUP BY 1", grid=False)
+@query("stream_run_status", "user_id n last_valid last_time", "", "SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last_time, max_by(value > 1e1, event_id) AS last_valid FROM events GROUP BY 1", grid=False)
 def stream_run_status(spark, d):
-    s = events(spark, d).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e15).alias("time_s"), F.col("event_id").alias("snapshot_index"), (F.col("value") > 10).alias("valid"))
+    s = events(spark, d).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("time_s"), F.col("event_id").alias("snapshot_index"), (F.col("value") > 10).alias("valid"))
     return X.drained(X.run_status(s, "user_id"), "status", "complete")
 
 
-@query("stream_out_of_order", "key n", "", "o AS (SELECT user_id % 50 AS key, event_id AS n, ts, max(ts) OVER (PARTITION BY user_id % 50 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) ;; SELECT key, n FROM o WHERE ts < m", grid=False)
+@query("stream_out_of_order", "key n", "", "o AS (SELECT o_custkey AS key, o_orderkey AS n, o_orderdate AS t, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM orders) ;; SELECT key, n FROM o WHERE t < m", grid=False)
 def stream_out_of_order(spark, d):
-    s = events(spark, d).select((F.col("user_id") % 50).alias("key"), F.col("event_id").alias("n"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    """Orders of a customer whose date is before that of one with a smaller number."""
+    s = orders(spark, d).select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("n"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("t"))
     return X.drained(X.out_of_order(s), "order").select("key", "n")
 
 
@@ -43,8 +49,8 @@ def stream_front(spark, d):
     return X.drained(X.front(s, threshold=20.0), "front")
 
 
-@query("stream_means")
+@query("stream_means", "start event_type n", "mean", "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, avg(value) AS mean, count(*) AS n FROM events GROUP BY 1, 2", grid=False)
 def stream_means(spark, d):
     s = events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("w", F.lit(1.0))
-    out = X.drained(X.means(s, "ts", "1 hour", ["event_type"], "value", "w"), "means")
-    return out.select(F.col("window.start").alias("start"), "event_type", "mean", "n")
+    out = X.drained(X.means(s, "ts", "1 hour", ["event_type"], "value", "w"), "means", "complete")
+    return out.select(F.unix_micros("window.start").alias("start"), "event_type", "mean", "n")

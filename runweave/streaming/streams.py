@@ -120,7 +120,11 @@ def run_status(stream: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 def means(stream: DataFrame, at: str, late: str, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Weighted means per keys as they close, in append mode behind a watermark on the arrival time."""
+    """Weighted means per keys and window of the arrival time.
+
+    In append mode a window appears once the watermark has passed it, so those still
+    open at the end never do; complete mode has them all.
+    """
     w = F.window(at, late)
     return stream.withWatermark(at, late).groupBy(w, *keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"), F.count("*").alias("n"))
 
