@@ -177,7 +177,7 @@ def evidence(spark, d):
 
 
 EVID = f"""p1 AS (SELECT *, coalesce(25e-2 * lag(density) OVER w + 5e-1 * density + 25e-2 * lead(density) OVER w, density) AS rho, coalesce(25e-2 * lag(velocity) OVER w + 5e-1 * velocity + 25e-2 * lead(velocity) OVER w, velocity) AS u, coalesce(25e-2 * lag(temperature_e) OVER w + 5e-1 * temperature_e + 25e-2 * lead(temperature_e) OVER w, temperature_e) AS te, coalesce(25e-2 * lag(temperature_i) OVER w + 5e-1 * temperature_i + 25e-2 * lead(temperature_i) OVER w, temperature_i) AS ti FROM g WINDOW w AS {WS}),
-p2 AS (SELECT *, ln(lead(rho) OVER w) - ln(rho) AS dr, ln(lead(pressure) OVER w) - ln(pressure) AS dp, ln(lead(te) OVER w) - ln(te) AS de, ln(lead(ti) OVER w) - ln(ti) AS di, (lead(u) OVER w - u) / (5e-1 * (width_cm + lead(width_cm) OVER w)) AS du, CASE WHEN lead(region_id) OVER w <> region_id THEN 1e0 ELSE 0e0 END AS jump FROM p1 WINDOW w AS {WS}),
+p2 AS (SELECT *, ln(lead(rho) OVER w) - ln(rho) AS dr, ln(lead(pressure) OVER w) - ln(pressure) AS dp, ln(lead(te) OVER w) - ln(te) AS de, ln(lead(ti) OVER w) - ln(ti) AS di, (lead(u) OVER w - u) / (5e-1 * (width_cm + lead(width_cm) OVER w)) AS du, u + lead(u) OVER w AS um, CASE WHEN lead(region_id) OVER w <> region_id THEN 1e0 ELSE 0e0 END AS jump FROM p1 WINDOW w AS {WS}),
 p3 AS (SELECT * FROM p2 WHERE dr IS NOT NULL),
 sc AS (SELECT run_id, snapshot_index, greatest(quantile_cont(abs(dr), 8e-1), 5e-2) AS sr, greatest(quantile_cont(abs(dp), 8e-1), 5e-2) AS sp, greatest(quantile_cont(abs(de), 8e-1), 5e-2) AS se, greatest(quantile_cont(abs(di), 8e-1), 5e-2) AS si, greatest(quantile_cont(abs(du), 8e-1), 5e-1) AS su FROM p3 GROUP BY 1, 2),
 p4 AS (SELECT *, least(greatest(dr, 0) / sr, 2.5e0) AS ra, least(greatest(-dr, 0) / sr, 2.5e0) AS rb, least(greatest(dp, 0) / sp, 2.5e0) AS pa, least(greatest(-dp, 0) / sp, 2.5e0) AS pb, least(greatest(du, 0) / su, 2.5e0) AS ua, least(greatest(-du, 0) / su, 2.5e0) AS ub, least(greatest(de, 0) / se, 2.5e0) AS ea, least(greatest(-de, 0) / se, 2.5e0) AS eb, least(greatest(di, 0) / si, 2.5e0) AS ia, least(greatest(-di, 0) / si, 2.5e0) AS ib FROM p3 JOIN sc USING (run_id, snapshot_index)),
@@ -205,7 +205,18 @@ def topk_per_frame(spark, d):
     return k.filter((F.col("family_rank") <= 2) & (F.col("density") >= 0.55 * F.col("top"))).select(*RS, "zone_id", "family_rank", "density")
 
 
-@query("frame_candidates")
+#: The three families as rows with their directions, each run's thresholds, and the best tops of each frame.
+CANDIDATES = EVID + """, fa AS (SELECT run_id, snapshot_index, zone_id - 1 AS interface_id,
+    greatest(sh - 18e-2 * least(greatest(abs(dr) - abs(dp), 0) / sr, 2.5e0), 0) AS shock, greatest(re - 35e-2 * sh, 0) AS release, greatest(65e-2 * jump + 28e-2 * (ra + rb) - 18e-2 * (pa + pb) - 12e-2 * (ua + ub), 0) AS contact,
+    CASE WHEN 33e-2 * rb + 25e-2 * pb + 2e-1 * ub + 1e-1 * eb >= 33e-2 * ra + 25e-2 * pa + 2e-1 * ub + 1e-1 * ea THEN 1e0 ELSE -1e0 END AS ds,
+    CASE WHEN 38e-2 * ra + 28e-2 * pa + 24e-2 * ua + 1e-1 * ia >= 38e-2 * rb + 28e-2 * pb + 24e-2 * ua + 1e-1 * ib THEN 1e0 ELSE -1e0 END AS dl, sign(um) * 1e0 AS dc FROM p5),
+fr AS (SELECT run_id, snapshot_index, interface_id, 'shock_like' AS family, round(shock, 9) AS score, ds AS direction_sign FROM fa UNION ALL SELECT run_id, snapshot_index, interface_id, 'release_like', round(release, 9), dl FROM fa UNION ALL SELECT run_id, snapshot_index, interface_id, 'contact_like', round(contact, 9), dc FROM fa),
+ft AS (SELECT run_id, family, greatest(CASE family WHEN 'contact_like' THEN 135e-3 ELSE 18e-2 END, coalesce(CASE family WHEN 'contact_like' THEN quantile_cont(score, 88e-2) FILTER (WHERE score > 0) ELSE quantile_cont(score, 92e-2) FILTER (WHERE score > 0) END, 0)) AS threshold FROM fr GROUP BY 1, 2),
+fn AS (SELECT *, coalesce(lag(score) OVER w, -1e0) AS l, coalesce(lead(score) OVER w, -1e0) AS r, max(score) OVER (PARTITION BY run_id, snapshot_index, family) AS peak FROM fr JOIN ft USING (run_id, family) WINDOW w AS (PARTITION BY run_id, snapshot_index, family ORDER BY interface_id)),
+fk AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, snapshot_index, family ORDER BY score DESC, interface_id) AS INT) AS family_rank FROM fn WHERE score >= threshold AND score >= l AND score >= r)"""
+
+
+@query("frame_candidates", "run_id snapshot_index family interface_id family_rank", "score direction_sign", CANDIDATES + " ;; SELECT * FROM fk WHERE family_rank <= 2 AND score >= 55e-2 * peak")
 def frame_candidates(spark, d):
     return candidates(spark, d).select(*RS, "family", "interface_id", "score", "direction_sign", "family_rank")
 
@@ -381,7 +392,7 @@ def peak_metrics(spark, d):
     return W.peak(s, "y", "x", ["vec_id"]).select("vec_id", "peak_x", "peak_y")
 
 
-@query("peak_widths")
+@query("peak_widths", "vec_id", "peak_x peak_y fwhm vertex_x", SPEC + ", n AS (SELECT *, max(y) OVER (PARTITION BY vec_id) AS top, lag(y) OVER w AS y0, lead(y) OVER w AS y1 FROM sp WINDOW w AS (PARTITION BY vec_id ORDER BY i)), t AS (SELECT vec_id, min(i) AS pk, max(top) AS top FROM n WHERE y = top GROUP BY 1), lr AS (SELECT vec_id, max(i) FILTER (WHERE y < t.top / 2e0 AND i < pk) AS l, min(i) FILTER (WHERE y < t.top / 2e0 AND i > pk) AS r FROM n JOIN t USING (vec_id) GROUP BY 1), le AS (SELECT vec_id, i + (top / 2e0 - y) / (y1 - y) AS cl FROM n JOIN lr USING (vec_id) WHERE i = l), ri AS (SELECT vec_id, i - 1 + (top / 2e0 - y0) / (y - y0) AS cr FROM n JOIN lr USING (vec_id) WHERE i = r) ;; SELECT vec_id, pk * 1e0 AS peak_x, t.top AS peak_y, cr - cl AS fwhm, pk + 5e-1 * (y0 - y1) / nullif(y0 - 2e0 * y + y1, 0) AS vertex_x FROM t JOIN n USING (vec_id) LEFT JOIN le USING (vec_id) LEFT JOIN ri USING (vec_id) WHERE n.i = pk", grid=False)
 def peak_widths(spark, d):
     s = spectra(spark, d).withColumn("x", F.col("i").cast("double"))
     return W.peak(s, "y", "x", ["vec_id"])
