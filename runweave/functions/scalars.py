@@ -242,7 +242,8 @@ def downstream_zone(interface: Column, direction: Column, zones: Column) -> Colu
 def number_token(x: Column) -> Column:
     """A number whose exponent is written with D or without a letter, as a double."""
     fixed = F.regexp_replace(F.regexp_replace(x, "[dD]", "E"), r"([0-9]\.[0-9]*)([+-][0-9]{2,3})$", "$1E$2")
-    return fixed.try_cast("double")
+    plain = F.when(~F.right(x, F.lit(1)).isin("d", "D"), x.try_cast("double"))  # most need no repair
+    return F.coalesce(plain, fixed.try_cast("double"))
 
 
 def canonical_name(label: Column, aliases: dict[str, str]) -> Column:

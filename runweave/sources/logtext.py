@@ -1,17 +1,26 @@
-"""Ingest of run logs: whole files as rows, snapshot blocks, zone tables, header facts, diagnostics.
+"""Ingest of run logs: lines with their snapshot block, zone tables, header facts, diagnostics.
 
-A file is one task; its blocks, lines and tokens become rows with built-in functions.
+Files are read by line ranges (``read_lines``), so a large log is many tasks; a
+log that is a column of text (``blocks`` and ``lines``) is taken apart row by row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_name, number_token
 
 #: First words of a snapshot block, columns of the zone tables, header sections.
+MARK = r"^\s*Cycle\s*=?\s*\d+\s+Time"
 BLOCK = r"(?m)^(?=\s*Cycle\s*=?\s*\d+\s+Time)"
+#: Most ranges of files whose first lines and blocks are broadcast; more are joined by a shuffle.
+RANGES = 100_000
 PRIMARY = ["zone", "radius", "zone_width", "density", "velocity", "temperature_radiation", "temperature_i", "temperature_e", "pressure", "artificial_viscosity", "electron_density", "mean_charge", "compression", "ion_energy"]
 SECONDARY = ["zone", "electron_energy", "radiation_energy", "ion_heat_capacity", "electron_heat_capacity", "radiation_heating", "radiation_cooling", "radiation_net_heating", "laser_deposition", "laser_source", "kinetic_energy", "radiation_sink"]
 SECTIONS = {"eos": r"(?i)^\s*Equation of state", "opacity": r"(?i)^\s*Opacity", "regions": r"(?i)^\s*Regions?\s", "laser": r"(?i)^\s*Laser power", "zone_mass": r"(?i)^\s*Zone mass", "region_mass": r"(?i)^\s*Region mass"}
@@ -24,6 +33,46 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line number and markers so far within the range of a file, over batches in order."""
+    at, line, mark = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, start = batch.column(0).to_pandas().to_numpy(), batch.column(1).to_numpy()
+        fresh = np.r_[True, (file[1:] != file[:-1]) | (start[1:] != start[:-1])]
+        fresh[0] = (file[0], start[0]) != at
+        hits = pc.match_substring_regex(batch.column(2), MARK).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows, total = np.arange(len(hits)), np.cumsum(hits)
+        first = np.flatnonzero(fresh)
+        lines, marks = rows + line, total + mark
+        if len(first):
+            run = np.cumsum(fresh) - 1
+            own = run >= 0
+            lines[own] = rows[own] - first[run[own]]
+            marks[own] = (total - (total[first] - hits[first])[np.maximum(run, 0)])[own]
+        at, line, mark = (file[-1], start[-1]), int(lines[-1]) + 1, int(marks[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines), pa.array(marks)], names=["file", "start", "text", "line", "mark"])
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Each line of the logs: file, block (-1: header), line (from 0 in its file), text.
+
+    Spark cuts files into ranges at line ends. The lines and blocks before a range come
+    from counts per range, a row each, summed up within its file; inside a range a task
+    counts on. No line is shuffled unless there are more than RANGES ranges.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"))
+    counts = raw.groupBy("file", "start").agg(F.count("*").alias("lines"), F.count_if(F.col("text").rlike(MARK)).alias("marks"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("long"))
+    offsets = counts.select("file", "start", total("lines").alias("l0"), total("marks").alias("m0"))
+    lines_ = raw.mapInArrow(_numbered, "file string, start long, text string, line long, mark long")
+    few = offsets.limit(RANGES + 1).count() <= RANGES
+    joined = lines_.join(F.broadcast(offsets) if few else offsets, ["file", "start"])
+    return joined.select("file", (F.col("m0") + F.col("mark") - 1).cast("int").alias("block"), (F.col("l0") + F.col("line")).alias("line"), "text")
+
+
 def blocks(logs: DataFrame) -> DataFrame:
     """Header (block -1) and snapshot blocks (from 0) of each file."""
     return logs.select("file", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), BLOCK)).alias("pos", "text")).select("file", (F.col("pos") - 1).alias("block"), "text")
@@ -43,20 +92,39 @@ def block_facts(parts: DataFrame) -> DataFrame:
     return parts.filter("block >= 0").select("file", "block", get(r"Cycle\s*=?\s*(\d+)").cast("long").alias("cycle"), get(r"Time\s*\(s\)\s*=?\s*([^\s,]+)").alias("time_s"), get(r"(?i)dt\s*\(s\)\s*=?\s*([^\s,]+)").alias("time_step_s"))
 
 
+def _zone_lines(rows: DataFrame, n_zones: Column, least: int, row) -> DataFrame:
+    """``row(tokens)``, a struct, of each line whose first token is a zone number and that has ``least`` tokens; a line is split once."""
+
+    def kept(t: Column) -> Column:
+        zone = F.try_element_at(t, F.lit(1)).try_cast("int")
+        return F.when(zone.between(0, n_zones) & (F.size(t) >= least), F.array(row(t)))
+
+    split = F.filter(F.transform(F.array(tokens(F.col("text"))), kept), lambda r: r.isNotNull())
+    keep = [c for c in ("file", "block", "line") if c in rows.columns]
+    return rows.filter(F.col("text").rlike(r"^\s*\d")).select(*keep, F.inline(F.flatten(split)))
+
+
+def _cells(t: Column, layout: list[str]) -> list[Column]:
+    return [F.try_element_at(t, F.lit(1)).try_cast("int").alias("zone"), *[number_token(F.try_element_at(t, F.lit(i + 1))).alias(c) for i, c in enumerate(layout) if i]]
+
+
 def zone_rows(rows: DataFrame, layout: list[str], n_zones: Column) -> DataFrame:
     """Lines whose first token is a zone number (0 is the inner boundary): short rows are padded with nulls, long ones cut."""
-    t = rows.withColumn("t", tokens(F.col("text"))).withColumn("zone", F.try_element_at("t", F.lit(1)).try_cast("int"))
-    return t.filter(F.col("zone").between(0, n_zones)).select("file", "block", "line", "zone", *[number_token(F.try_element_at("t", F.lit(i + 1))).alias(c) for i, c in enumerate(layout) if i])
+    return _zone_lines(rows, n_zones, 1, lambda t: F.struct(*_cells(t, layout)))
 
 
 def zone_table(rows: DataFrame, n_zones: Column) -> DataFrame:
-    """Primary and secondary tables of a block joined on the zone: the first row of a zone is primary, the second secondary."""
-    nth = F.row_number().over(Window.partitionBy("file", "block", "zone").orderBy("line"))
-    keyed = rows.withColumn("t", tokens(F.col("text"))).withColumn("zone", F.try_element_at("t", F.lit(1)).try_cast("int")).filter(F.col("zone").between(0, n_zones) & (F.size("t") > 3)).withColumn("nth", nth)
-    first, second = keyed.filter("nth = 1").drop("zone"), keyed.filter("nth = 2").drop("zone")
-    a = zone_rows(first, PRIMARY, n_zones).drop("line")
-    b = zone_rows(second, SECONDARY, n_zones).drop("line")
-    return a.join(b, ["file", "block", "zone"], "left")
+    """Primary and secondary tables of a block side by side: a zone's first row in a block is primary, its second secondary.
+
+    Both stand in one aggregation by file, block and zone; a zone without a secondary
+    row has nulls there. Zone 0 is the inner boundary.
+    """
+    most = max(len(PRIMARY), len(SECONDARY))
+    both = _zone_lines(rows, n_zones, 4, lambda t: F.struct(F.try_element_at(t, F.lit(1)).try_cast("int").alias("zone"), F.transform(F.slice(t, 2, F.lit(most)), number_token).alias("v")))
+    pair = F.sort_array(F.collect_list(F.struct("line", "v")))  # two rows, or what a damaged log repeats
+    found = both.groupBy("file", "block", "zone").agg(pair.alias("p"))
+    cell = lambda k, layout: [F.get(F.get("p", F.lit(k))["v"], F.lit(i)).alias(c) for i, c in enumerate(layout[1:])]
+    return found.select("file", "block", "zone", *cell(0, PRIMARY), *cell(1, SECONDARY))
 
 
 def sections(rows: DataFrame) -> DataFrame:

@@ -298,3 +298,30 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_log_lines_by_ranges_equal_whole_files(spark, tmp_path):
+    text = log_text(4) + "Run completed\n"
+    for i in range(3):
+        (tmp_path / f"{i}.log").write_text(text * (i + 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = [(r.file, r.block, r.line, r.text) for r in logtext.read_lines(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({f for f, *_ in got}) == 3
+    for i in range(3):
+        own = sorted((line, block, t) for f, block, line, t in got if f.endswith(f"/{i}.log"))
+        want, block = [], -1
+        for line, t in enumerate((text * (i + 1)).splitlines()):
+            block += t.startswith("Cycle")
+            want.append((line, block, t))
+        assert own == want
+
+
+def test_zone_table_sets_both_tables_side_by_side(spark):
+    first, second = [f"{z} " + " ".join(f"{z}.{k}" for k in range(13)) for z in range(3)], [f"{z} " + " ".join(f"{z}{k}.5-01" for k in range(11)) for z in range(1, 3)]
+    rows = spark.createDataFrame([("a", 0, i, t) for i, t in enumerate([*first, "zone table", *second, "3 short"])], "file string, block int, line long, text string")
+    got = {r.zone: r for r in logtext.zone_table(rows, F.lit(9)).collect()}
+    assert set(got) == {0, 1, 2} and got[1].radius == 1.0 and got[2].ion_energy == 2.12 and got[0].electron_energy is None
+    assert got[1].electron_energy == pytest.approx(1.05) and got[2].radiation_sink == pytest.approx(21.05)
