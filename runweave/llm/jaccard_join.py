@@ -562,9 +562,10 @@ def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
     """
     keys, placed = linked(docs, size, percent, id_col, text_col, joint=False)
     rank = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
-    rows = keys.groupBy("doc_id", "th").agg(F.count("*").alias("rows")).join(placed.filter("n > 0"), "th")
+    rows = written(keys.groupBy("doc_id", "th").agg(F.count("*").alias("rows")).join(placed.filter("n > 0"), "th").select("doc_id", "th", "rows", "comp"), "rows")
     first = rows.groupBy("comp").agg(F.min(rank()).alias("first"), F.count("*").alias("c"), F.max("rows").alias("r")).filter("c > 1 or r > 1").select("comp", "first")
-    out = rows.join(first, "comp").select(_id(F.col("doc_id")).alias("__id"), F.col("th").alias("__th"), (rank() == F.col("first")).alias("__stays"), "rows")
+    first = written(first, "first")  # a table of its own, so that a large group's rows can be split in the join
+    out = rows.join(_small(first), "comp").select(_id(F.col("doc_id")).alias("__id"), F.col("th").alias("__th"), (rank() == F.col("first")).alias("__stays"), "rows")
     out = written(out.filter("not __stays or rows > 1").select("__id", "__th", "__stays"), "others")
     marked = docs.withColumns({"__id": _id(F.col(id_col).cast("long")), "__th": text_hash(F.col(text_col))})
     single = marked.join(_small(out.drop("__stays")), ["__id", "__th"], "left_anti").select(docs.columns)
