@@ -10,16 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.llm import decontaminate, jaccard_join, langid, packing, pii
-from runweave.llm.shared import table, written
-
-
-#: Rows that go to a Python worker at once, and chunks that an encoder remembers; executors run all stages.
-BATCH_ROWS, MEMO = 1000, 400_000
-
-
-def _in_batches(spark: SparkSession) -> None:
-    """Whole texts are large rows, so fewer of them make a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+from runweave.llm.shared import small_batches, table, written
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -33,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     What is unlike is set by the labelled documents that were not learned from: all
     but 0.2 % of these are like enough to their best profile.
     """
-    _in_batches(spark)
+    small_batches(spark)
     held_out = F.coalesce(langid.is_held_out(F.col("doc_id")), F.lit(False))
     profiles = langid.learn(docs.filter(~held_out))
     return langid.keep_known(docs, profiles, min_score=langid.cut_off(docs.filter(held_out), profiles))
@@ -41,13 +32,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of the smallest identifier of each group linked by 5-word shingle similarity of 0.8 or more."""
-    _in_batches(spark)
+    small_batches(spark)
     return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out of every text the words that lie in a benchmark phrase."""
-    _in_batches(spark)
+    small_batches(spark)
     return _sized(decontaminate.cut_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
@@ -58,8 +49,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into sequences of 2048 tokens: one row per piece."""
-    _in_batches(spark)
-    return packing.pieces_digest(packing.pack_documents(docs, memo=MEMO))
+    small_batches(spark)
+    return packing.pieces_digest(packing.pack_documents(docs))
 
 
 STAGES = [

@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-MEMO = 900_000
+MEMO = 400_000
 #: Characters that Python and the tokenizer treat differently when splitting or lower-casing.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ")
 _TAIL = ".,;:!?"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, jaccard_join, langid, packing, pii, quality, sharding, sstable, token_counts, url_filter
-from .shared import table
+from .shared import small_batches, table
 
 
 def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from the sorted-string-table shards."""
+    small_batches(spark)
     return sstable.shards_digest(sstable.token_shards(spark, table(spark, sf_dir, "documents")))
 
 
@@ -27,6 +28,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by line, tokens on a bound counted where most of their characters lie."""
+    small_batches(spark)
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
@@ -37,21 +39,25 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a benchmark phrase."""
+    small_batches(spark)
     return decontaminate.leaks_digest(decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
+    small_batches(spark)
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pieces_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
 def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under 4-word shingle similarity of 0.85 or more."""
+    small_batches(spark)
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 

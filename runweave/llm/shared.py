@@ -48,6 +48,11 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are large rows, so fewer of them go to a Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
