@@ -73,6 +73,21 @@ def classified(kind: Column, transmitted: Column, shock: Column, release: Column
     )
 
 
+STATE = ["density", "velocity", "pressure", "temperature_e", "temperature_i", "mean_charge", "material_index", "region_id"]
+
+
+def local_state(events: DataFrame, zones: DataFrame, zone: Column, name: str = "state", n_zones: str = "n_zones") -> DataFrame:
+    """``events`` with a record ``name`` of the zone ``zone`` in their snapshot; a zone beyond the ends counts as the end.
+
+    ``events``: run_id, snapshot_index and ``n_zones``; fields that ``zones`` lacks are
+    null in the record, and the record is null where the zone is null or absent.
+    """
+    at = F.when(zone.isNotNull(), F.greatest(F.lit(1), F.least(zone, F.col(n_zones)))).cast("int")
+    fields = [F.col(c) if c in zones.columns else F.lit(None).cast("double").alias(c) for c in STATE]
+    states = zones.select("run_id", "snapshot_index", F.col("zone_id").alias("__zone"), F.struct(*fields).alias(name))
+    return events.withColumn("__zone", at).join(states, ["run_id", "snapshot_index", "__zone"], "left").drop("__zone")
+
+
 def local_window(events: DataFrame, zones: DataFrame, zone: Column, radius: int = 2) -> DataFrame:
     """Rows of each event's zone within ``radius`` snapshots: the keys are equal, the range is a residual filter."""
     e = events.withColumn("zone_id", zone).withColumnRenamed("snapshot_index", "event_snapshot")

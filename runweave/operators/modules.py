@@ -51,6 +51,14 @@ def checked(name: str, result: DataFrame) -> DataFrame:
     return result.withColumn("sane", F.coalesce(check(), F.lit(False)) if check is not None else F.lit(True))
 
 
+def described(df: DataFrame, keys: list[str]) -> DataFrame:
+    """What each registered module says of itself, and for each group of ``df`` how many rows have all that it requires."""
+    have = set(df.columns)
+    rows = [F.struct(F.lit(m.name).alias("module"), F.lit(m.description).alias("description"), (F.greatest(*[F.col(c).isNull() for c in m.requires]) if len(m.requires) > 1 else F.col(m.requires[0]).isNull()).alias("lacks") if set(m.requires) <= have else F.lit(True).alias("lacks")) for m in REGISTRY.values()]
+    out = df.select(*keys, F.explode(F.array(*rows)).alias("m")).select(*keys, "m.*")
+    return out.groupBy(*keys, "module", "description").agg(F.count_if(~F.col("lacks")).alias("complete"))
+
+
 def merge_warnings(parts: list[DataFrame]) -> DataFrame:
     """Warnings of many parts, each (source, message) once, at the place it first came from."""
     placed = [p.withColumn("place", F.lit(i + 1)) for i, p in enumerate(parts)]

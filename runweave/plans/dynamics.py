@@ -448,6 +448,11 @@ def all_modules(spark, d):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query("module_support", "run_id module description complete", "", "c AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE velocity >= 0) AS m FROM g GROUP BY 1) ;; SELECT run_id, k AS module, t AS description, CASE k WHEN 'spectroscopy' THEN m ELSE n END AS complete FROM c, (VALUES ('spectroscopy', 'Doppler shift and width of a line from weighted means'), ('plasmon', 'Plasma state, scattering regime and quick-look peak'), ('transmission', 'Thomson depth and transmission'), ('xrd', 'Layer density and shifted Bragg angle')) v(k, t)")
+def module_support(spark, d):
+    return M.described(zone_state(spark, d).withColumn("velocity", F.when(F.col("velocity") >= 0, F.col("velocity"))), ["run_id"])
+
+
 @query("merged_series", "run_id snapshot_index", "p", SERIES + " ;; SELECT run_id, snapshot_index, CASE WHEN snapshot_index % 2 = 0 THEN p * 2e0 ELSE p END AS p FROM s")
 def merged_series(spark, d):
     s = series(spark, d).select(*RS, "p")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import events as E
 from ..operators import geometry as G
 from ..operators import joins as J
 from ..operators import windows as win
@@ -297,3 +298,10 @@ def upstream_downstream(spark, d):
     u = z.select(*RS, "zone_id", S.upstream_zone(i, direction, F.lit(16)).alias("up"), S.downstream_zone(i, direction, F.lit(16)).alias("down"))
     s = z.select(*RS, (F.col("zone_id") - 1).alias("up"), F.struct("density", "velocity", "pressure", "temperature_e", "region_id").alias("state"))
     return u.join(s, [*RS, "up"], "left").select(*RS, "zone_id", "up", "down", F.col("state.density").alias("up_density"))
+
+
+@query("state_record", "run_id snapshot_index zone_id region_id material_index", "density pressure charge", "SELECT a.run_id, a.snapshot_index, a.zone_id, b.region_id, b.material_index, b.density, b.pressure, b.mean_charge AS charge FROM g a LEFT JOIN g b ON b.run_id = a.run_id AND b.snapshot_index = a.snapshot_index AND b.zone_id = least(16, a.zone_id + 2)")
+def state_record(spark, d):
+    z = zone_state(spark, d)
+    s = E.local_state(z.select(*RS, "zone_id", F.lit(16).alias("n_zones")), z, F.col("zone_id") + 2)
+    return s.select(*RS, "zone_id", "state.region_id", "state.material_index", "state.density", "state.pressure", F.col("state.mean_charge").alias("charge"))

@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..sources import binary as B
 from ..sources import logtext as L
 from ..sources import tables as T
+from ..session import scratch
 from .grid import query, zone_state
 
 RS = ["run_id", "snapshot_index"]
@@ -19,9 +20,9 @@ def logs(spark, d):
     z = zone_state(spark, d)
     row = F.format_string("%d %s %s %s", F.col("zone_id"), F.format_number("width_cm", 1), F.regexp_replace(F.format_string("%.6e", "density"), "e", "D"), F.format_string("%.6e", "velocity"))
     table = z.groupBy(*RS, "time_s").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("zone_id", row.alias("r")))), lambda s: s["r"]), "\n").alias("rows"))
-    block = F.concat(F.lit("Cycle = "), F.col("snapshot_index"), F.lit("  Time (s) = "), F.format_string("%.6e", "time_s"), F.lit("  dt (s) = 1.0D-01\n"), F.col("rows"), F.lit("\nEnergy summary\nTotal energy = 1.5 2.5\n"))
+    block = F.concat(F.lit("Cycle = "), F.col("snapshot_index"), F.lit("  Time (s) = "), F.format_string("%.6e", "time_s"), F.lit("  dt (s) = 1.0D-01\n"), F.col("rows"), F.lit("\nEnergy summary\nTotal energy = 1.5 2.5\nBoundary flux\nRegion 1: 0.25 -5.0D-01\nEnergy exchange\nIon electron = 3.0\nEnergy balance\nError = 1.0-03\n"))
     text = table.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("snapshot_index", block.alias("b")))), lambda s: s["b"]), "").alias("body"))
-    head = F.concat(F.lit("Run name: run "), F.col("run_id"), F.lit("\nEnd time (s) = 3.0\nRegions table\n1 1 8 4.973-02\n2 9 16 1.5D+1\n"))
+    head = F.concat(F.lit("Run name: run "), F.col("run_id"), F.lit("\nEnd time (s) = 3.0\nEquation of state table\n1 13 al.prp\n2 6 ch.prp\nOpacity table\n1 50 al.prp\nRegions table\n1 1 8 4.973-02\n2 9 16 1.5D+1\nLaser power table\n0.0 1.0D+12\n1.0 2.5D+12\nZone masses\n1 0.5\n2 0.75\nRegion masses\n1 1.25\n"))
     foot = F.when(F.col("run_id") % 3 == 0, "").when(F.col("run_id") % 3 == 1, "Run completed normally\n").otherwise("Run aborted by user\n")
     return text.select(F.concat(F.lit("run_"), "run_id").alias("file"), F.concat(head, "body", foot).alias("text"))
 
@@ -44,13 +45,47 @@ def log_regions(spark, d):
     return r.select("file", *[F.col(c).cast("int").alias(c) for c in ("region_id", "min_zone", "max_zone")], "mass")
 
 
+#: Header section: its columns, and which are numbers.
+DIMENSIONS = {"eos": ["region_id", "atomic_number", "table"], "opacity": ["region_id", "groups", "table"], "laser": ["time_s", "power"], "zone_mass": ["zone_id", "mass"], "region_mass": ["region_id", "mass"]}
+
+
+@query("log_dimensions", "file section n names", "total", "SELECT DISTINCT 'run_' || run_id AS file, s AS section, n, names, total FROM g, (VALUES ('eos', 2::BIGINT, 'al.prp,ch.prp', 1.9e1), ('opacity', 1::BIGINT, 'al.prp', 5e1), ('laser', 2::BIGINT, '', 3.5e12), ('zone_mass', 2::BIGINT, '', 1.25e0), ('region_mass', 1::BIGINT, '', 1.25e0)) t(s, n, names, total)")
+def log_dimensions(spark, d):
+    head, parts = L.lines(L.blocks(logs(spark, d)).filter("block = -1")), None
+    for section, columns in DIMENSIONS.items():
+        rows = L.dimension(head, section, columns, [c for c in columns if c != "table"])
+        names = F.array_join(F.sort_array(F.collect_set("table")), ",") if "table" in columns else F.lit("")
+        one = rows.groupBy("file").agg(F.lit(section).alias("section"), F.count("*").alias("n"), names.alias("names"), F.sum(columns[1]).alias("total"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def tables_log(spark, d):
+    """One log per run with both zone tables: the inner boundary and every zone in the first, the zones above 2 in the second."""
+    z = zone_state(spark, d)
+    number = lambda c, k: F.format_string("%.6e", F.col(c) * k)
+    first = F.concat_ws(" ", "zone_id", *[number(c, k) for k in (1.0, 2.0) for c in ("width_cm", "density", "velocity", "pressure", "temperature_e", "temperature_i")], number("density", 3.0))
+    second = F.concat_ws(" ", "zone_id", *[number("pressure", float(k)) for k in range(1, 12)])
+    rows = F.sort_array(F.collect_list(F.struct("zone_id", first.alias("a"), F.when(F.col("zone_id") > 2, second).alias("b"))))
+    t = z.groupBy(*RS, "time_s").agg(rows.alias("r"))
+    body = F.concat(F.lit("Cycle = "), F.col("snapshot_index"), F.lit("  Time (s) = "), F.format_string("%.6e", "time_s"), F.lit("\nzones\n0 0.0 0.0 0.0\n"), F.array_join("r.a", "\n"), F.lit("\nmore\n"), F.array_join("r.b", "\n"), F.lit("\n"))
+    text = t.groupBy("run_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("snapshot_index", body.alias("b"))))["b"], "").alias("body"))
+    return text.select(F.concat(F.lit("run_"), "run_id").alias("file"), F.concat(F.lit("Run name: x\n"), "body").alias("text"))
+
+
+@query("log_zone_table", "file rows bounds second", "radius ion_energy electron_energy radiation_sink", "SELECT 'run_' || run_id AS file, count(*) + count(DISTINCT snapshot_index) AS rows, count(DISTINCT snapshot_index) AS bounds, count(*) FILTER (WHERE zone_id > 2) AS second, sum(width_cm) AS radius, sum(round(3e0 * density, 4)) AS ion_energy, sum(round(pressure, 4)) FILTER (WHERE zone_id > 2) AS electron_energy, sum(round(11e0 * pressure, 4)) FILTER (WHERE zone_id > 2) AS radiation_sink FROM g GROUP BY 1")
+def log_zone_table(spark, d):
+    t = L.zone_table(L.lines(L.blocks(tables_log(spark, d)).filter("block >= 0")), F.lit(16))
+    return t.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("zone") == 0).alias("bounds"), F.count("electron_energy").alias("second"), *[F.round(F.sum(c), 3).alias(c) for c in ("radius", "ion_energy", "electron_energy", "radiation_sink")])
+
+
 @query("log_header", "file run_name end_time", "", "SELECT DISTINCT 'run_' || run_id AS file, 'run ' || run_id AS run_name, '3.0' AS end_time FROM g")
 def log_header(spark, d):
     h = L.key_values(L.lines(L.blocks(logs(spark, d)).filter("block = -1")))
     return h.select("file", F.col("header")["run_name"].alias("run_name"), F.col("header")["end_time_s"].alias("end_time"))
 
 
-@query("log_diagnostics", "file path pos n", "total", "s AS (SELECT DISTINCT run_id, snapshot_index FROM g) ;; SELECT 'run_' || run_id AS file, 'energy/total_energy' AS path, p AS pos, count(*) AS n, sum(v) AS total FROM s, (VALUES (0, 1.5e0), (1, 2.5e0)) t(p, v) GROUP BY ALL")
+@query("log_diagnostics", "file path pos n", "total", "s AS (SELECT DISTINCT run_id, snapshot_index FROM g) ;; SELECT 'run_' || run_id AS file, k AS path, p AS pos, count(*) AS n, sum(v) AS total FROM s, (VALUES ('energy/total_energy', 0, 1.5e0), ('energy/total_energy', 1, 2.5e0), ('boundary/region_1', 0, 2.5e-1), ('boundary/region_1', 1, -5e-1), ('exchange/ion_electron', 0, 3e0), ('balance/error', 0, 1e-3)) t(k, p, v) GROUP BY ALL")
 def log_diagnostics(spark, d):
     g = L.diagnostics(L.lines(L.blocks(logs(spark, d))))
     return g.groupBy("file", "path", "pos").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -145,3 +180,94 @@ def binary_derived(spark, d):
     nodes = e.select(*RS, (F.col("k") - 1).alias("node_id"), F.col("outer_cm").alias("position_cm"), F.col("velocity").alias("interface_velocity"))
     zones = e.select(*RS, F.col("k").alias("zone_id"), "density", F.col("temperature_i").alias("pressure_i"), F.col("temperature_e").alias("pressure_e"), F.col("velocity").alias("heating"), F.lit(0.0).alias("cooling"), F.col("pressure").alias("radiation_density"))
     return B.derived(nodes, zones).select(*RS, "zone_id", "center_cm", "width", "mean_velocity", "outer_velocity", "pressure_sum", "radiation_energy")
+
+
+@query("edge_gate", "vec_id ok", "", "e AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_sort(list_distinct(embedding)) ELSE embedding END AS f FROM embeddings) ;; SELECT vec_id, len(list_filter(range(1, len(f)), lambda i: f[i + 1] <= f[i])) = 0 AS ok FROM e", grid=False)
+def edge_gate(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.array_sort(F.array_distinct("embedding"))).otherwise(F.col("embedding")).alias("f"))
+    rows = e.select(F.col("vec_id").alias("run_id"), F.lit(0).alias("snapshot_index"), F.lit(0.0).alias("time_s"), F.lit(1.0).alias("density"), F.lit(1.0).alias("velocity"), "f")
+    bad = T.quality_gates(rows, edges=F.col("f")).select(F.col("run_id").alias("vec_id")).distinct().withColumn("bad", F.lit(True))
+    return e.select("vec_id").join(bad, "vec_id", "left").select("vec_id", F.col("bad").isNull().alias("ok"))
+
+
+@query("run_table_written", "run_id n", "density", "SELECT run_id, count(*) AS n, sum(density) AS density FROM g GROUP BY 1")
+def run_table_written(spark, d):
+    folder = scratch(spark, "run-table")
+    T.write_run_table(zone_state(spark, d), folder)
+    return spark.read.parquet(folder).groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.count("*").alias("n"), F.sum("density").alias("density"))
+
+
+@query("catalog_inherited", "run_id name axes", "", "c AS (SELECT run_id, count(DISTINCT snapshot_index) AS t, count(DISTINCT zone_id) AS z FROM g GROUP BY 1) ;; SELECT run_id, 'density' AS name, 'time,zone' AS axes FROM c UNION ALL SELECT run_id, 'groups', 'time,axis_1,axis_2' FROM c UNION ALL SELECT run_id, 'line', CASE WHEN t = 7 THEN 'time' ELSE 'axis_0' END FROM c UNION ALL SELECT run_id, 'known', 'node' FROM c")
+def catalog_inherited(spark, d):
+    c = zone_state(spark, d).groupBy("run_id").agg(F.count_distinct("snapshot_index").cast("int").alias("n_snapshots"), F.count_distinct("zone_id").cast("int").alias("n_zones"))
+    none, t, z = F.lit(None).cast("array<string>"), F.col("n_snapshots"), F.col("n_zones")
+    fields = [("density", none, F.array(t, z)), ("groups", none, F.array(t, z, F.lit(3))), ("line", none, F.array(F.lit(7))), ("known", F.array(F.lit("node")), F.array(t, z))]
+    rows = c.select("*", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), dims.alias("dimensions"), shape.alias("shape")) for n, dims, shape in fields])))
+    return T.inherited(rows).select("run_id", "name", F.array_join("dimensions", ",").alias("axes"))
+
+
+@query("log_names", "run_id n_names", "density temperature_e velocity pressure", "SELECT run_id, 21 AS n_names, avg(density) AS density, avg(temperature_e) AS temperature_e, avg(velocity) AS velocity, avg(pressure) AS pressure FROM g GROUP BY 1")
+def log_names(spark, d):
+    z = zone_state(spark, d)
+    like = {"mass_density_g_cm3": "density", "electron_temperature_eV": "temperature_e", "zone_outer_velocity_cm_s": "velocity", "pressure_j_cm3": "pressure"}
+    named = z.select("run_id", *[F.col(like.get(n, "width_cm")).alias(n) for n in T.LOG_NAMES])
+    view = T.alias_view(named, T.LOG_NAMES)
+    return view.groupBy("run_id").agg(F.lit(len(set(view.columns) & set(T.LOG_NAMES.values()))).alias("n_names"), *[F.avg(c).alias(c) for c in like.values()])
+
+
+@query("file_problems", "kind problem n", "", "u AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'unreadable' WHEN o_orderkey % 5 = 0 THEN 'unreadable' WHEN o_orderkey % 2 = 0 THEN 'binary_run' ELSE 'log_run' END AS kind, CASE WHEN o_orderkey % 7 = 0 THEN 'no permission' WHEN o_orderkey % 5 = 0 THEN 'empty file' END AS problem FROM orders) ;; SELECT kind, problem, count(*) AS n FROM u GROUP BY 1, 2", grid=False)
+def file_problems(spark, d):
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("/data/"), k, F.when(k % 2 == 0, ".bpf").otherwise(".exo")).alias("path"), F.when(k % 5 == 0, 0).otherwise(k).alias("length"), F.when(k % 7 == 0, "no permission").alias("error"))
+    return T.registry(o).groupBy("kind", "problem").agg(F.count("*").alias("n"))
+
+
+@query("spectrum_export", "vec_id n", "total", "SELECT vec_id, len(embedding) AS n, list_sum(list_transform(embedding, lambda x: x::DOUBLE / 3e0)) AS total FROM embeddings", grid=False)
+def spectrum_export(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    rows = e.select("vec_id", F.col("i").cast("double").alias("energy"), (F.col("v").cast("double") / 3.0).alias("y"), F.when(F.col("i") > 0, 1.0).alias("gap"))
+    folder = scratch(spark, "spectra")
+    T.export_spectrum(rows, folder, ("energy", "y"), ["gap"], ["vec_id"])
+    back = spark.read.schema("vec_id long, energy double, y double").option("header", True).csv(folder)
+    return back.groupBy("vec_id").agg(F.count("energy").alias("n"), F.sum("y").alias("total"))
+
+
+@query("status_summary", "o_custkey statuses", "", "SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1", grid=False)
+def status_summary(spark, d):
+    return T.status_summary(spark.read.parquet(f"{d}/orders.parquet"), ["o_custkey"], "o_orderstatus")
+
+
+def _written_runs(rows):
+    """One run as a binary file with every zone of each snapshot; absent zones are NaN."""
+    import struct
+
+    import numpy as np
+    import pandas as pd
+    from pyarrow import fs
+
+    folder, run = rows["folder"].iloc[0], int(rows["run_id"].iloc[0])
+    framed = lambda b: struct.pack("<i", len(b)) + b + struct.pack("<i", len(b))
+    out = [framed(b"2020-01-01"), framed(b"00:00:00")]
+    for s, part in rows.sort_values("snapshot_index").groupby("snapshot_index"):
+        head, density = np.zeros(B.HEADER), np.full(16, np.nan)
+        head[B.TIME], head[B.CYCLE], head[B.NODES] = part["time_s"].iloc[0], s, 17
+        density[part["zone_id"].to_numpy() - 1] = part["density"]
+        out += [framed(x.tobytes()) for x in (head, density, np.arange(17.0))]
+        out += [framed(np.array([0.25, 0.75]).tobytes()), framed(np.array([float(s)]).tobytes())] * 16
+    path = f"{folder}/run-{run}.bpf"
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as f:
+        f.write(b"".join(out))
+    return pd.DataFrame({"path": [path]})
+
+
+@query("binary_read", "cycle n", "density time_s", "SELECT CAST(snapshot_index AS BIGINT) AS cycle, count(*) AS n, sum(density) AS density, max(time_s) AS time_s FROM g GROUP BY 1")
+def binary_read(spark, d):
+    """Runs written as binary files and read back through the data source, some snapshots to a task."""
+    z = zone_state(spark, d).select("run_id", "snapshot_index", "zone_id", "time_s", "density").withColumn("folder", F.lit(scratch(spark, "binary")))
+    paths = [r.path for r in z.groupBy("run_id").applyInPandas(_written_runs, "path string").collect()]  # a path for each file
+    spark.dataSource.register(B.RunFiles)
+    records = spark.read.format("run_records").option("path", ",".join(paths)).option("fixed", 3).option("snapshots", 16).option("names", "header,density,node").load()
+    rows = B.zone_fields(records, ["density"], fixed=3).filter(~F.isnan("density")).join(records.filter("record = 0").select("file", "snapshot_index", "cycle"), ["file", "snapshot_index"])
+    return rows.groupBy("cycle").agg(F.count("*").alias("n"), F.sum("density").alias("density"), F.max("time_s").alias("time_s"))

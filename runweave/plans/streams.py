@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import streams as X
+from ..session import scratch
 from .grid import query
+from .ingest import logs
 
 STATE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -54,3 +56,12 @@ def stream_means(spark, d):
     s = events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("w", F.lit(1.0))
     out = X.drained(X.means(s, "ts", "1 hour", ["event_type"], "value", "w"), "means", "complete")
     return out.select(F.unix_micros("window.start").alias("start"), "event_type", "mean", "n")
+
+
+@query("stream_snapshots", "file block cycle", "time_s time_step_s", "s AS (SELECT DISTINCT run_id, snapshot_index, time_s FROM g) ;; SELECT 'run_' || run_id AS file, CAST(row_number() OVER (PARTITION BY run_id ORDER BY snapshot_index) - 1 AS INT) AS block, CAST(snapshot_index AS BIGINT) AS cycle, time_s, 1e-1 AS time_step_s FROM s")
+def stream_snapshots(spark, d):
+    """Logs that lie in a folder of arriving files, one per run."""
+    folder = scratch(spark, "arriving")
+    logs(spark, d).withColumnRenamed("file", "name").write.partitionBy("name").text(folder)
+    out = X.drained(X.snapshot_stream(spark, f"{folder}/*"), "snapshots")
+    return out.withColumn("file", F.regexp_extract("file", "name=([^/]+)", 1))

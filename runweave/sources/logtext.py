@@ -23,7 +23,7 @@ BLOCK = r"(?m)^(?=\s*Cycle\s*=?\s*\d+\s+Time)"
 RANGES = 100_000
 PRIMARY = ["zone", "radius", "zone_width", "density", "velocity", "temperature_radiation", "temperature_i", "temperature_e", "pressure", "artificial_viscosity", "electron_density", "mean_charge", "compression", "ion_energy"]
 SECONDARY = ["zone", "electron_energy", "radiation_energy", "ion_heat_capacity", "electron_heat_capacity", "radiation_heating", "radiation_cooling", "radiation_net_heating", "laser_deposition", "laser_source", "kinetic_energy", "radiation_sink"]
-SECTIONS = {"eos": r"(?i)^\s*Equation of state", "opacity": r"(?i)^\s*Opacity", "regions": r"(?i)^\s*Regions?\s", "laser": r"(?i)^\s*Laser power", "zone_mass": r"(?i)^\s*Zone mass", "region_mass": r"(?i)^\s*Region mass"}
+SECTIONS = {"eos": r"(?i)^\s*Equation of state", "opacity": r"(?i)^\s*Opacity", "region_mass": r"(?i)^\s*Region mass", "regions": r"(?i)^\s*Regions?\s", "laser": r"(?i)^\s*Laser power", "zone_mass": r"(?i)^\s*Zone mass"}
 DIAGNOSTICS = {"boundary": r"(?i)boundary flux", "energy": r"(?i)energy summary", "exchange": r"(?i)energy exchange", "balance": r"(?i)energy balance"}
 END = r"(?i)end of run|run completed|aborted|terminated"
 

@@ -18,7 +18,31 @@ FIELDS = [
     ("node_position", ["time", "node"], "cm", "Node position"),
     ("radiation_spectrum", ["time", "frequency"], "J/eV", "Radiation spectrum"),
 ]
-#: Canonical column and its name in logs.
+#: A field of the binary files and its name in logs.
+LOG_NAMES = {
+    "zone_center_cm": "radius",
+    "zone_width_cm": "zone_width",
+    "mass_density_g_cm3": "density",
+    "zone_outer_velocity_cm_s": "velocity",
+    "radiation_temperature_eV": "temperature_radiation",
+    "ion_temperature_eV": "temperature_i",
+    "electron_temperature_eV": "temperature_e",
+    "ion_pressure_j_cm3": "pressure_i",
+    "electron_pressure_j_cm3": "pressure_e",
+    "electron_density_cm3": "electron_density",
+    "ion_density_cm3": "ion_density",
+    "artificial_viscosity_j_cm3": "artificial_viscosity",
+    "ion_energy_j_g": "ion_energy",
+    "radiation_heating_j_g_s": "radiation_heating",
+    "radiation_cooling_j_g_s": "radiation_cooling",
+    "radiation_net_heating_j_g_s": "radiation_net_heating",
+    "radiation_pressure_j_cm3": "pressure_radiation",
+    "radiation_energy_j_g": "radiation_energy",
+    "pressure_j_cm3": "pressure",
+    "laser_source_j_g": "laser_source",
+    "laser_deposition_j_g_s": "laser_deposition",
+}
+#: Canonical column of a run table and its older name.
 ALIASES = {"temperature_e": "electron_temperature", "temperature_i": "ion_temperature", "pressure": "pressure_total", "mean_charge": "z_bar", "width_cm": "zone_width"}
 
 
@@ -42,15 +66,30 @@ def field_catalog(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "name string, dimensions array<string>, unit string, label string, status string, alias_of string")
 
 
+def inherited(catalog: DataFrame) -> DataFrame:
+    """Catalog rows of older tables, which lack axes, with axes by shape.
+
+    ``catalog``: name, dimensions (null if unknown), shape, n_snapshots, n_zones. A
+    shape of snapshots by zones is (time, zone); one that begins with the snapshots is
+    time and numbered axes; any other has numbered axes only.
+    """
+    shape, rank = F.col("shape"), F.size("shape")
+    timed = (rank >= 1) & (F.get(shape, F.lit(0)) == F.col("n_snapshots"))
+    axes = lambda first: F.when(rank > first, F.transform(F.sequence(F.lit(first), rank - 1), lambda i: F.concat(F.lit("axis_"), i))).otherwise(F.array().cast("array<string>"))
+    both = timed & (rank == 2) & (F.get(shape, F.lit(1)) == F.col("n_zones"))
+    guess = F.when(both, F.array(F.lit("time"), F.lit("zone"))).when(timed, F.concat(F.array(F.lit("time")), axes(1))).otherwise(axes(0))
+    return catalog.withColumn("dimensions", F.coalesce("dimensions", guess))
+
+
 def presentation(dimensions: Column) -> Column:
     """How a field can be shown, by its axes."""
     has = lambda a: F.array_contains(dimensions, a)
     return F.when(has("time") & has("zone"), "map,lineout,trace").when(has("time") & has("node"), "map,lineout").when(has("time") & has("frequency"), "spectrum,map").when(has("zone"), "lineout").when(has("time"), "trace").otherwise("table")
 
 
-def alias_view(df: DataFrame) -> DataFrame:
-    """The columns under their log names, unless such a column is there already."""
-    return df.select("*", *[F.col(n).alias(a) for n, a in ALIASES.items() if n in df.columns and a not in df.columns])
+def alias_view(df: DataFrame, names: dict[str, str] = ALIASES) -> DataFrame:
+    """The columns under their other names (``LOG_NAMES`` for fields of binary files), unless such a column is there already."""
+    return df.select("*", *[F.col(n).alias(a) for n, a in names.items() if n in df.columns and a not in df.columns])
 
 
 def run_status(snapshots: DataFrame, footers: DataFrame) -> DataFrame:
@@ -88,33 +127,53 @@ def resolve_sources(paths: DataFrame) -> DataFrame:
 
 
 def registry(paths: DataFrame) -> DataFrame:
-    """Kind of each file under a root by its suffix; what is unknown is a row too."""
+    """Kind of each file under a root by its suffix; what is unknown is a row too.
+
+    Where ``paths`` has ``length`` and ``error`` (null if the file could be read), a
+    file that is empty or could not be read is of kind ``unreadable``, with the reason as ``problem``.
+    """
     ext = F.lower(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"\.([^.]*)$", 1))
     kind = F.when(ext == "bpf", "binary_run").when(ext.isin("exo", "log"), "log_run").when(ext.isin("parquet", "h5", "h5d"), "run_table").when(ext.isin("csv", "json"), "report").when(ext == "rhc", "input_deck").otherwise("unknown")
-    return paths.select("path", kind.alias("kind"))
+    if not {"length", "error"} <= set(paths.columns):
+        return paths.select("path", kind.alias("kind"))
+    problem = F.coalesce("error", F.when(F.col("length") == 0, "empty file"))
+    return paths.select("path", F.when(problem.isNotNull(), "unreadable").otherwise(kind).alias("kind"), problem.alias("problem"))
 
 
-def quality_gates(zones: DataFrame, fractions: Column | None = None) -> DataFrame:
-    """Violations per snapshot as rows: missing time, missing key fields, fractions out of bounds."""
+def quality_gates(zones: DataFrame, fractions: Column | None = None, edges: Column | None = None) -> DataFrame:
+    """Violations per snapshot as rows: missing time, missing key fields, fractions out of bounds, frequency edges that do not rise."""
     tests = {"time": F.col("time_s").isNotNull() & ~F.isnan("time_s"), "fields": F.col("density").isNotNull() & F.col("velocity").isNotNull()}
     if fractions is not None:
         total = F.aggregate(fractions, F.lit(0.0), lambda a, x: a + x)
         tests["fractions"] = F.forall(fractions, lambda x: x >= -1e-8) & (F.abs(total - 1.0) <= 1e-6)
+    if edges is not None:
+        n = F.size(edges)
+        rises = F.zip_with(F.slice(edges, 1, F.greatest(n - 1, F.lit(0))), F.slice(edges, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: (b > a) & ~F.isnan(a) & ~F.isnan(b))
+        tests["edges"] = F.forall(rises, lambda x: F.coalesce(x, F.lit(False)))
     out = zones.groupBy("run_id", "snapshot_index").agg(*[F.bool_and(F.coalesce(t, F.lit(False))).alias(n) for n, t in tests.items()])
     return out.unpivot(["run_id", "snapshot_index"], list(tests), "gate", "passed").filter("not passed").drop("passed")
 
 
 def write_run_table(df: DataFrame, path: str, *, overwrite: bool = False, compression: str = "zstd") -> None:
-    """Run tables by run, rows in snapshot and zone order, so that slices prune files and row groups."""
-    rows = df.repartition("run_id").sortWithinPartitions("run_id", "snapshot_index", "zone_id")
+    """Run tables by run, rows in snapshot and zone order, so that slices prune files and row groups.
+
+    Rows are dealt by ranges of run and snapshot, so a large run is several files and tasks.
+    """
+    rows = df.repartitionByRange("run_id", "snapshot_index").sortWithinPartitions("run_id", "snapshot_index", "zone_id")
     rows.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression).partitionBy("run_id").parquet(path)
 
 
-def export_spectrum(df: DataFrame, path: str, required: tuple[str, str], optional: list[str] = ()) -> None:
-    """One spectrum as CSV with 17 digits; optional columns only where they are complete."""
+def export_spectrum(df: DataFrame, path: str, required: tuple[str, str], optional: list[str] = (), keys: list[str] = ()) -> None:
+    """Spectra as CSV with 17 digits, in range-sorted parts; optional columns only where they are complete."""
     missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in optional]).first() if optional else {}
     columns = [*required, *[c for c in optional if not missing[c]]]
-    df.orderBy(required[0]).select(*[F.format_string("%.17g", F.col(c)).alias(c) for c in columns]).coalesce(1).write.option("header", True).csv(path)
+    rows = df.orderBy(*keys, required[0]).select(*keys, *[F.format_string("%.17g", F.col(c)).alias(c) for c in columns])
+    rows.write.option("header", True).csv(path)
+
+
+def status_summary(rows: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
+    """The distinct statuses of each group, in order, joined by commas."""
+    return rows.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(status)), ",").alias("statuses"))
 
 
 def summary(zones: DataFrame) -> DataFrame:

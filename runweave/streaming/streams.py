@@ -14,13 +14,17 @@ from ..sources import logtext
 
 
 def snapshot_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot facts of log files as they arrive in a folder."""
+    """Snapshot facts of log files as they arrive in a folder; a file is read whole once it is there."""
     raw = spark.readStream.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return logtext.block_facts(logtext.blocks(raw))
 
 
 class Cumulative(StatefulProcessor):
-    """Running trapezoid of y over t per key; time that runs backward adds nothing."""
+    """Running trapezoid of y over t per key; time that runs backward adds nothing.
+
+    Rows are in time order within a batch only: one that is earlier than what a batch
+    before had adds nothing, but is the last point from then on.
+    """
 
     def __init__(self, key: str, kind: str = "long"):
         self.key, self.kind = key, kind
