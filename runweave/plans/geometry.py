@@ -92,9 +92,11 @@ def laser_entry(spark, d):
     return entries(spark, d).select("run_id", "entry_boundary", "entry_zone", "propagation")
 
 
-@query("propagation_direction", "run_id propagation", "median_velocity", ENTRY + ", v AS (SELECT run_id, quantile_cont(velocity, 5e-1) AS median_velocity FROM g GROUP BY 1) ;; SELECT v.run_id, median_velocity, coalesce(p.propagation, CASE WHEN median_velocity < 0 THEN 'high_to_low' ELSE 'low_to_high' END) AS propagation FROM v LEFT JOIN (SELECT * FROM en3 WHERE run_id % 2 = 0) p USING (run_id)")
+@query("propagation_direction", "run_id propagation", "median_velocity", ENTRY + ", v AS (SELECT run_id, quantile_cont(velocity, 5e-1) AS median_velocity FROM g GROUP BY 1) ;; SELECT v.run_id, median_velocity, coalesce(p.propagation, CASE WHEN median_velocity < 0 THEN 'high_to_low' ELSE 'low_to_high' END) AS propagation FROM v LEFT JOIN (SELECT * FROM en3 WHERE run_id IN (SELECT run_id FROM g GROUP BY 1 HAVING avg(velocity) >= 1e0)) p USING (run_id)")
 def propagation_direction(spark, d):
-    return G.propagation_direction(zone_state(spark, d), entries(spark, d).filter("run_id % 2 = 0"))
+    z = zone_state(spark, d)
+    known = z.groupBy("run_id").agg(F.avg("velocity").alias("v")).filter("v >= 1")
+    return G.propagation_direction(z, entries(spark, d).join(known, "run_id", "left_semi"))
 
 
 @query("observation_axis", "run_id boundary", "cosine", ENTRY + ", o AS (SELECT *, CASE run_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN CASE WHEN hi THEN 'high' ELSE 'low' END ELSE CASE WHEN hi THEN 'low' ELSE 'high' END END AS boundary FROM en3) ;; SELECT *, CASE WHEN boundary = 'high' THEN 1e0 ELSE -1e0 END * cos(radians((run_id % 90) * 1e0)) AS cosine FROM o")
@@ -140,25 +142,24 @@ def inactive_ranges(spark, d):
     return G.inactive_ranges(e, F.col("density") >= 20, "inner_cm", "outer_cm").select(*RS, "from_cm", "to_cm")
 
 
-@query("eos_opacity_join", "id eos opacity", "", "e AS (SELECT DISTINCT n_nationkey AS id, n_name AS eos FROM nation WHERE n_nationkey % 2 = 0), o AS (SELECT DISTINCT n_nationkey AS id, n_name AS opacity FROM nation WHERE n_nationkey % 3 = 0) ;; SELECT coalesce(e.id, o.id) AS id, coalesce(eos, '') AS eos, coalesce(opacity, '') AS opacity FROM e FULL JOIN o ON e.id = o.id", grid=False)
+@query("eos_opacity_join", "id eos opacity", "", "e AS (SELECT p_partkey AS id, p_brand AS eos FROM part WHERE p_size >= 20), o AS (SELECT p_partkey AS id, p_type AS opacity FROM part WHERE p_size < 30) ;; SELECT coalesce(e.id, o.id) AS id, coalesce(eos, '') AS eos, coalesce(opacity, '') AS opacity FROM e FULL JOIN o ON e.id = o.id", grid=False)
 def eos_opacity_join(spark, d):
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    e = n.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("eos")).distinct()
-    o = n.filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("opacity")).distinct()
+    p = spark.read.parquet(f"{d}/part.parquet").withColumnRenamed("p_partkey", "id")
+    e, o = p.filter("p_size >= 20").select("id", F.col("p_brand").alias("eos")), p.filter("p_size < 30").select("id", F.col("p_type").alias("opacity"))
     return e.join(o, "id", "full").select("id", F.coalesce("eos", F.lit("")).alias("eos"), F.coalesce("opacity", F.lit("")).alias("opacity"))
 
 
-@query("region_masses", "run_id region_id", "mass", "q AS (SELECT DISTINCT run_id, region_id FROM g), m AS (SELECT run_id, region_id, sum(density) AS mass FROM g WHERE zone_id % 16 < 9 GROUP BY 1, 2) ;; SELECT q.run_id, q.region_id, mass FROM q LEFT JOIN m ON q.run_id = m.run_id AND q.region_id = m.region_id")
+@query("region_masses", "run_id region_id", "mass", "q AS (SELECT DISTINCT run_id, region_id FROM g), m AS (SELECT run_id, region_id, sum(density) AS mass FROM g WHERE density >= 4.5e1 GROUP BY 1, 2) ;; SELECT q.run_id, q.region_id, mass FROM q LEFT JOIN m ON q.run_id = m.run_id AND q.region_id = m.region_id")
 def region_masses(spark, d):
     z = zone_state(spark, d)
-    m = z.filter("zone_id % 16 < 9").groupBy("run_id", "region_id").agg(F.sum("density").alias("mass"))
+    m = z.filter("density >= 45").groupBy("run_id", "region_id").agg(F.sum("density").alias("mass"))
     return z.select("run_id", "region_id").distinct().join(m, ["run_id", "region_id"], "left")
 
 
-@query("source_alignment", "run_id use_log log_snapshots bin_snapshots", "", "l AS (SELECT run_id, count(DISTINCT zone_id) AS z, count(DISTINCT snapshot_index) AS s, min(time_s) AS a, max(time_s) AS b FROM g WHERE NOT (run_id % 4 = 0 AND snapshot_index = 27) AND run_id % 7 <> 6 GROUP BY 1), k AS (SELECT run_id, count(DISTINCT zone_id) AS z, count(DISTINCT snapshot_index) AS s, min(time_s) AS a, max(time_s) AS b FROM g GROUP BY 1) ;; SELECT k.run_id, l.s AS log_snapshots, k.s AS bin_snapshots, coalesce(l.z = k.z AND l.s = k.s AND abs(l.a - k.a) <= 1e-14 + 1e-6 * abs(k.a) AND abs(l.b - k.b) <= 1e-14 + 1e-6 * abs(k.b), false) AS use_log FROM k LEFT JOIN l ON k.run_id = l.run_id")
+@query("source_alignment", "run_id use_log log_snapshots bin_snapshots", "", "l AS (SELECT run_id, count(DISTINCT zone_id) AS z, count(DISTINCT snapshot_index) AS s, min(time_s) AS a, max(time_s) AS b FROM g WHERE density >= 1.5e1 GROUP BY 1), k AS (SELECT run_id, count(DISTINCT zone_id) AS z, count(DISTINCT snapshot_index) AS s, min(time_s) AS a, max(time_s) AS b FROM g GROUP BY 1) ;; SELECT k.run_id, l.s AS log_snapshots, k.s AS bin_snapshots, coalesce(l.z = k.z AND l.s = k.s AND abs(l.a - k.a) <= 1e-14 + 1e-6 * abs(k.a) AND abs(l.b - k.b) <= 1e-14 + 1e-6 * abs(k.b), false) AS use_log FROM k LEFT JOIN l ON k.run_id = l.run_id")
 def source_alignment(spark, d):
     z = zone_state(spark, d)
-    return J.aligned(z.filter("NOT (run_id % 4 = 0 AND snapshot_index = 27) AND run_id % 7 <> 6"), z).select("run_id", "log_snapshots", "bin_snapshots", "use_log")
+    return J.aligned(z.filter("density >= 15"), z).select("run_id", "log_snapshots", "bin_snapshots", "use_log")
 
 
 REQUESTS = "rq AS (SELECT run_id, i, 1.1e0 + 1e-1 * (i * 7 % 31) + 3e-2 * i AS want FROM (SELECT DISTINCT run_id FROM g), (SELECT unnest(range(0, 5)) AS i))"
@@ -228,10 +229,10 @@ def attenuation_budget(spark, d):
     return out.withColumn("transmission", F.exp(-F.least("tau", F.lit(700.0))))
 
 
-@query("matched_series_errors", "region_id n", "mae", "p AS (SELECT run_id, snapshot_index, zone_id AS q, region_id, pressure FROM g WHERE zone_id % 2 = 0), r AS (SELECT run_id, snapshot_index, zone_id AS q, density FROM g WHERE zone_id % 3 = 0) ;; SELECT region_id, count(*) AS n, avg(abs(pressure - density)) AS mae FROM p JOIN r USING (run_id, snapshot_index, q) GROUP BY 1")
+@query("matched_series_errors", "region_id n", "mae", "p AS (SELECT run_id, snapshot_index, zone_id AS q, region_id, pressure FROM g WHERE density >= 2e1), r AS (SELECT run_id, snapshot_index, zone_id AS q, density FROM g WHERE temperature_e >= 2.5e1) ;; SELECT region_id, count(*) AS n, avg(abs(pressure - density)) AS mae FROM p JOIN r USING (run_id, snapshot_index, q) GROUP BY 1")
 def matched_series_errors(spark, d):
     z = zone_state(spark, d)
-    p, r = z.filter("zone_id % 2 = 0").select(*RS, "zone_id", "region_id", "pressure"), z.filter("zone_id % 3 = 0").select(*RS, "zone_id", "density")
+    p, r = z.filter("density >= 20").select(*RS, "zone_id", "region_id", "pressure"), z.filter("temperature_e >= 25").select(*RS, "zone_id", "density")
     return p.join(r, [*RS, "zone_id"]).groupBy("region_id").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("pressure") - F.col("density"))).alias("mae"))
 
 

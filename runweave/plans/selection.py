@@ -105,10 +105,10 @@ def masked_profiles(spark, d):
     return sel.masked_profile(zone_state(spark, d), MASK.column(), {"velocity": F.col("velocity"), "ti": F.col("temperature_i"), "shift": S.los_velocity(F.col("velocity"), 0.5) * 1e4})
 
 
-@query("single_formula", "run_id snapshot_index formulas formula", "", "f(m, formula) AS (VALUES (1, 'CH'), (2, 'Al'), (3, 'Al')), u AS (SELECT run_id, snapshot_index, list_sort(list_distinct(list(formula))) AS f FROM (SELECT g.*, f.formula FROM g LEFT JOIN f ON abs(material_index) = m WHERE zone_id < 9) GROUP BY 1, 2) ;; SELECT run_id, snapshot_index, coalesce(array_to_string(f, ','), '') AS formulas, CASE WHEN len(f) = 1 THEN f[1] END AS formula FROM u")
+@query("single_formula", "run_id snapshot_index formulas formula", "", "f(m, formula) AS (VALUES (1, 'CH'), (2, 'Al'), (3, 'Al')), u AS (SELECT run_id, snapshot_index, list_sort(list_distinct(list(formula))) AS f FROM (SELECT g.*, f.formula FROM g LEFT JOIN f ON abs(material_index) = m WHERE density >= 3.5e1) GROUP BY 1, 2) ;; SELECT run_id, snapshot_index, coalesce(array_to_string(f, ','), '') AS formulas, CASE WHEN len(f) = 1 THEN f[1] END AS formula FROM u")
 def single_formula(spark, d):
     f = spark.createDataFrame([(1, "CH"), (2, "Al"), (3, "Al")], "m int, formula string")
-    return sel.single_formula(zone_state(spark, d).filter("zone_id < 9"), f)
+    return sel.single_formula(zone_state(spark, d).filter("density >= 35"), f)
 
 
 @query("unresolved_materials", "run_id material", "", "SELECT DISTINCT run_id, abs(material_index) AS material FROM g WHERE abs(material_index) NOT IN (1, 2, 3)")
@@ -254,14 +254,14 @@ def charge_moments(spark, d):
     return e.select("vec_id", (R.mean_charge(F.col("f")) / total).alias("mean_q"), R.dominant_charge(F.col("f")).alias("dominant"))
 
 
-@query("padded_vectors", "vec_id n_missing width", "first last_kept", "e AS (SELECT vec_id, embedding[1:1 + vec_id % 5] AS v FROM embeddings), w AS (SELECT *, max(len(v)) OVER () AS width FROM e) ;; SELECT vec_id, CAST(width AS INT) AS width, CAST(width - len(v) AS INT) AS n_missing, CAST(v[1] AS DOUBLE) AS first, CAST(v[len(v)] AS DOUBLE) AS last_kept FROM w", grid=False)
+@query("padded_vectors", "vec_id n_missing width", "first last_kept", "e AS (SELECT vec_id, list_filter(embedding, lambda x: x > 0) AS v FROM embeddings), w AS (SELECT *, max(len(v)) OVER () AS width FROM e) ;; SELECT vec_id, CAST(width AS INT) AS width, CAST(width - len(v) AS INT) AS n_missing, CAST(v[1] AS DOUBLE) AS first, CAST(v[len(v)] AS DOUBLE) AS last_kept FROM w", grid=False)
 def padded_vectors(spark, d):
     from ..sources.tables import padded
 
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.expr("slice(embedding, 1, cast(1 + vec_id % 5 as int))").alias("v"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.filter("embedding", lambda x: x > 0).alias("v"))
     out = padded(e, "v")
     kept = F.filter("v", lambda x: x.isNotNull())
-    return out.select("vec_id", "width", (F.size("v") - F.size(kept)).alias("n_missing"), F.element_at("v", 1).cast("double").alias("first"), F.element_at(kept, -1).cast("double").alias("last_kept"))
+    return out.select("vec_id", "width", (F.size("v") - F.size(kept)).alias("n_missing"), F.try_element_at("v", F.lit(1)).cast("double").alias("first"), F.try_element_at(kept, F.lit(-1)).cast("double").alias("last_kept"))
 
 
 @query("policy_means", "material", "baseline increment final_z ion_density", "m AS (SELECT abs(material_index) AS material, least(mean_charge, 3e0) AS baseline, greatest(mean_charge - 3e0, 0e0) AS increment, mean_charge AS final_z, density / 2.7e1 * 6.02214076e23 / 1e20 AS n FROM g) ;; SELECT material, avg(baseline) AS baseline, avg(increment) AS increment, avg(final_z) AS final_z, avg(n) AS ion_density FROM m GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import streams as X
 from ..session import scratch
-from .grid import query
+from .grid import ZONES, query
 from .ingest import logs
 
 STATE = "spark.sql.streaming.stateStore.providerClass"
@@ -47,7 +47,11 @@ def stream_out_of_order(spark, d):
 
 @query("stream_front")
 def stream_front(spark, d):
-    s = events(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_id").cast("int").alias("snapshot_index"), (F.col("user_id") % 16).cast("int").alias("interface_id"), F.col("value").alias("score"))
+    """Order lines as scores: a supplier is a run, a quarter a snapshot, a part class an interface."""
+    spark.conf.set(STATE, ROCKS)
+    lines = spark.readStream.schema(spark.read.parquet(f"{d}/lineitem.parquet").schema).parquet(f"{d}/lineitem[.]parquet")
+    when = F.col("l_shipdate")
+    s = lines.select(F.col("l_suppkey").alias("run_id"), ((F.year(when) - 1992) * 4 + F.quarter(when) - 1).cast("int").alias("snapshot_index"), (F.col("l_partkey") % ZONES).cast("int").alias("interface_id"), F.col("l_quantity").alias("score"))
     return X.drained(X.front(s, threshold=20.0), "front")
 
 
