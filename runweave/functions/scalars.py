@@ -246,6 +246,11 @@ def number_token(x: Column) -> Column:
     return F.coalesce(plain, fixed.try_cast("double"))
 
 
+def resolved_formula(explicit: Column, eos: Column, opacity: Column, *names: Column) -> Column:
+    """A material's formula: the stated one, else that of its equation of state, of its opacity table, of its model names; blanks count as missing."""
+    return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in (explicit, eos, opacity, *names)])
+
+
 def canonical_name(label: Column, aliases: dict[str, str]) -> Column:
     snake = F.regexp_replace(F.regexp_replace(F.lower(F.trim(label)), "[^0-9a-z]+", "_"), "^_+|_+$", "")
     if not aliases:

@@ -60,6 +60,33 @@ def companions(events: DataFrame, samples: DataFrame, branches: DataFrame, steps
     return events.join(met.groupBy(*keys).agg(*map(best, roles)), keys, "left")
 
 
+def ordered(events: DataFrame) -> DataFrame:
+    """``place`` of each event in its run: tracked branches first, then the more significant, the earlier, the smaller label.
+
+    ``events``: run_id, support, significance (null: 0), crossing_time (null: last), label, branch_id.
+    """
+    order = Window.partitionBy("run_id").orderBy(F.when(F.col("support") == "tracked", 0).otherwise(1), F.desc(F.coalesce("significance", F.lit(0.0))), F.asc_nulls_last(F.round("crossing_time", 9)), "label", "branch_id")
+    return events.withColumn("place", F.row_number().over(order))
+
+
+def lookup(asked: DataFrame, events: DataFrame, branches: DataFrame) -> DataFrame:
+    """Each asked (run_id, boundary_zone, branch_id) with the first event of a branch that is not provisional, or nulls.
+
+    Equal events go by time.
+    """
+    firm = branches.filter("support <> 'provisional'").select("run_id", "branch_id")
+    keys = ["run_id", "boundary_zone", "branch_id"]
+    first = events.join(firm, ["run_id", "branch_id"], "left_semi").groupBy(*keys).agg(F.min("crossing_time").alias("crossing_time"))
+    return asked.join(first, keys, "left")
+
+
+def compression(df: DataFrame, keys: list[str], rho: str = "density", order: str = "snapshot_index") -> DataFrame:
+    """Largest and smallest positive density over the first positive one, by ``keys``: up, down."""
+    positive = F.when(F.col(rho) > 0, F.col(rho))
+    first = F.min_by(positive, F.when(positive.isNotNull(), F.col(order)))
+    return df.groupBy(*keys).agg((F.max(positive) / first).alias("up"), (F.min(positive) / first).alias("down"))
+
+
 def classified(kind: Column, transmitted: Column, shock: Column, release: Column, contact: Column) -> Column:
     outcomes = sum((c.isNotNull().cast("int") for c in (shock, release, contact)), transmitted.isNotNull().cast("int"))
     return (

@@ -114,8 +114,7 @@ def event_windows(spark, d):
 
 @query("compression_ratio", "run_id zone_id", "up down", "SELECT run_id, zone_id, max(density) / min_by(density, snapshot_index) AS up, min(density) / min_by(density, snapshot_index) AS down FROM g GROUP BY 1, 2")
 def compression_ratio(spark, d):
-    first = F.min_by("density", "snapshot_index")
-    return zone_state(spark, d).groupBy("run_id", "zone_id").agg((F.max("density") / first).alias("up"), (F.min("density") / first).alias("down"))
+    return E.compression(zone_state(spark, d), ["run_id", "zone_id"])
 
 
 @query("energy_channels", "run_id zone_id samples channel", "impulse share_internal share_work", f"b AS (SELECT *, abs(velocity) * density * temperature_e * 1e-2 AS fi, abs(velocity) * density * 5e-1 * velocity * velocity AS fk, abs(velocity) * pressure AS fp FROM g), c AS (SELECT *, greatest(pressure - first_value(pressure) OVER w, 0) AS p, greatest(fi - first_value(fi) OVER w, 0) AS i, greatest(fk - first_value(fk) OVER w, 0) AS k, greatest(fp - first_value(fp) OVER w, 0) AS q FROM b WINDOW w AS {WT}), t AS (SELECT *, time_s - lag(time_s) OVER w AS dt, lag(p) OVER w AS p0, lag(i) OVER w AS i0, lag(k) OVER w AS k0, lag(q) OVER w AS q0 FROM c WINDOW w AS {WT}), s AS (SELECT run_id, zone_id, count(*) AS samples, CASE WHEN count(*) >= 2 THEN sum(5e-1 * (p + p0) * dt) END AS impulse, CASE WHEN count(*) >= 2 THEN sum(5e-1 * (i + i0) * dt) END AS ai, CASE WHEN count(*) >= 2 THEN sum(5e-1 * (k + k0) * dt) END AS ak, CASE WHEN count(*) >= 2 THEN sum(5e-1 * (q + q0) * dt) END AS aq FROM t GROUP BY 1, 2) ;; SELECT *, CASE WHEN ai + ak + aq > 0 THEN ai / (ai + ak + aq) END AS share_internal, CASE WHEN ai + ak + aq > 0 THEN aq / (ai + ak + aq) END AS share_work, CASE WHEN ai IS NULL OR greatest(ai, ak, aq) <= 0 THEN NULL WHEN ai >= greatest(ak, aq) THEN 'mostly internal' WHEN ak >= aq THEN 'mostly kinetic' ELSE 'mostly pressure-work' END AS channel FROM s")
@@ -200,9 +199,7 @@ def candidates(spark, d):
 
 @query("topk_per_frame", "run_id snapshot_index zone_id family_rank", "density", f"m AS (SELECT *, coalesce(lag(density) OVER w, -1e0) AS l, coalesce(lead(density) OVER w, -1e0) AS r, max(density) OVER (PARTITION BY run_id, snapshot_index) AS top FROM g WINDOW w AS {WS}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, snapshot_index ORDER BY density DESC, zone_id) AS INT) AS family_rank FROM m WHERE density >= l AND density >= r) ;; SELECT * FROM k WHERE family_rank <= 2 AND density >= 55e-2 * top")
 def topk_per_frame(spark, d):
-    z = zone_state(spark, d).withColumn("top", F.max("density").over(Window.partitionBy(*RS)))
-    k = W.local_maxima(z, "density", 0.0).withColumn("family_rank", F.row_number().over(Window.partitionBy(*RS).orderBy(F.desc("density"), "zone_id")))
-    return k.filter((F.col("family_rank") <= 2) & (F.col("density") >= 0.55 * F.col("top"))).select(*RS, "zone_id", "family_rank", "density")
+    return V.top_per_frame(zone_state(spark, d), "density", "zone_id", RS).select(*RS, "zone_id", "family_rank", "density")
 
 
 #: The three families as rows with their directions, each run's thresholds, and the best tops of each frame.
@@ -311,15 +308,22 @@ def event_counts(spark, d):
     return event_table(spark, d).groupBy("classification").agg(F.count("*").alias("n"))
 
 
-@query("event_order", "run_id branch_id boundary_zone place", "", CROSSED + " ;; SELECT run_id, branch_id, CAST(boundary_zone AS INT) AS boundary_zone, CAST(row_number() OVER (PARTITION BY run_id ORDER BY round(crossing_time, 9), boundary_zone, branch_id) AS INT) AS place FROM x")
+PLACED = CROSSED + ", " + SUMMARY.removeprefix(SAMPLES + ", ")
+
+
+@query("event_order", "run_id branch_id boundary_zone place", "", PLACED + ", o AS (SELECT x.*, support, significance, 'Region ' || left_region || ' -> ' || (left_region + 1) AS label FROM x JOIN v USING (run_id, branch_id)) ;; SELECT run_id, branch_id, CAST(boundary_zone AS INT) AS boundary_zone, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CASE support WHEN 'tracked' THEN 0 ELSE 1 END, round(significance, 9) DESC, round(crossing_time, 9), label, branch_id) AS INT) AS place FROM o")
 def event_order(spark, d):
-    order = Window.partitionBy("run_id").orderBy(F.round("crossing_time", 9), "boundary_zone", "branch_id")
-    return crossed(spark, d).select("run_id", "branch_id", "boundary_zone", F.row_number().over(order).alias("place"))
+    b = V.branch_summary(samples(spark, d), V.time_steps(zone_state(spark, d))).select("run_id", "branch_id", "support", F.round("significance", 9).alias("significance"))
+    label = F.concat(F.lit("Region "), F.col("left_region"), F.lit(" -> "), F.col("left_region") + 1)
+    return E.ordered(crossed(spark, d).join(b, ["run_id", "branch_id"]).withColumn("label", label)).select("run_id", "branch_id", "boundary_zone", "place")
 
 
-@query("event_lookup", "run_id boundary_zone branch_id", "crossing_time", CROSSED + ", k AS (SELECT *, row_number() OVER (PARTITION BY run_id, boundary_zone ORDER BY branch_id) AS j FROM x) ;; SELECT run_id, CAST(boundary_zone AS INT) AS boundary_zone, branch_id, crossing_time FROM k WHERE j = 1")
+@query("event_lookup", "run_id boundary_zone branch_id", "crossing_time", PLACED + " ;; SELECT a.run_id, a.boundary_zone, a.branch_id, crossing_time FROM (SELECT DISTINCT run_id, zone_id AS branch_id, CAST(region_id * 4 AS INT) AS boundary_zone FROM g) a LEFT JOIN (SELECT x.* FROM x JOIN v USING (run_id, branch_id) WHERE support <> 'provisional') e ON e.run_id = a.run_id AND e.branch_id = a.branch_id AND e.boundary_zone = a.boundary_zone")
 def event_lookup(spark, d):
-    return crossed(spark, d).groupBy("run_id", "boundary_zone").agg(F.min("branch_id").alias("branch_id"), F.min_by("crossing_time", "branch_id").alias("crossing_time"))
+    """The event of each zone's branch at its own region's upper bound."""
+    z = zone_state(spark, d)
+    asked = z.select("run_id", F.col("zone_id").alias("branch_id"), (F.col("region_id") * 4).alias("boundary_zone")).distinct()
+    return E.lookup(asked, crossed(spark, d), V.branch_summary(samples(spark, d), V.time_steps(z))).select("run_id", "boundary_zone", "branch_id", "crossing_time")
 
 
 @query("compressive_branch", "run_id branch_id", "", SUMMARY + ", k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE support WHEN 'tracked' THEN 0 ELSE 1 END, round(significance, 9) DESC, samples DESC, branch_id) AS j FROM v WHERE region < 3 AND support <> 'provisional') ;; SELECT * FROM k WHERE j = 1")

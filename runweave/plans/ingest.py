@@ -111,10 +111,10 @@ def key_normalise(spark, d):
     return p.select("p_partkey", S.canonical_name(F.concat("p_brand", F.lit(" ("), "p_type", F.lit(")")), {"brand_11_promo": "b11"}).alias("name"))
 
 
-@query("formula_resolution", "p_partkey formula", "", "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN p_brand END, CASE WHEN p_size % 5 = 0 THEN p_type END, p_name) AS formula FROM part", grid=False)
+@query("formula_resolution", "p_partkey formula", "", "SELECT p_partkey, CASE WHEN p_size < 10 THEN p_brand WHEN p_size < 20 THEN p_type ELSE p_name END AS formula FROM part", grid=False)
 def formula_resolution(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
-    return p.select("p_partkey", F.coalesce(F.when(F.col("p_size") % 3 == 0, F.col("p_brand")), F.when(F.col("p_size") % 5 == 0, F.col("p_type")), F.col("p_name")).alias("formula"))
+    return p.select("p_partkey", S.resolved_formula(F.when(F.col("p_size") < 10, F.col("p_brand")).otherwise(" "), F.when(F.col("p_size") < 20, F.col("p_type")), F.lit(""), F.col("p_name")).alias("formula"))
 
 
 @query("source_resolution", "stem mode", "", "u AS (SELECT DISTINCT o_custkey AS k, o_orderkey % 3 AS e FROM orders), s AS (SELECT k, bool_or(e = 0) AS b, bool_or(e = 1) AS l FROM u GROUP BY 1) ;; SELECT 'run' || k AS stem, CASE WHEN b AND l THEN 'binary_with_log' WHEN b THEN 'binary_only' ELSE 'log_only' END AS mode FROM s WHERE b OR l", grid=False)
