@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +65,7 @@ def span_encoder(path: str) -> SpanEncoder:
 
 def line_sections(text: str) -> np.ndarray:
     """Bounds of the sections of a text: each line with its line end; k sections have k + 1 bounds."""
-    ends = [i + 1 for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
+    ends = [m.end() for m in re.finditer("\n", text)]
     if not ends or ends[-1] != len(text):
         ends.append(len(text))
     return np.array([0, *ends], np.int64)
