@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .select import RS
 
 #: Weight of each analysis module where none is asked for.
@@ -105,6 +106,20 @@ def close(a: Column, b: Column, rtol: float, atol: float) -> Column:
     return F.abs(a - b) <= atol + rtol * F.abs(b)
 
 
+def mode_depths(df: DataFrame, energy_kev: Column, mu: Column) -> DataFrame:
+    """Optical depth of each zone by mode: tau_thomson, tau_free_free, tau_table, and ``tau``, that of the zone's ``regime``.
+
+    Plasma takes free-free and Thomson, cold matter the attenuation table (``mu``, cm2/g),
+    the rest Thomson. An unknown or infinite free-free coefficient counts as none.
+    """
+    w = F.col("width_cm")
+    alpha = S.free_free_per_m(F.col("temperature_e"), F.col("electron_density"), F.col("mean_charge"), energy_kev)
+    absorbed = F.when(alpha < float("inf"), alpha * w / 100.0)
+    out = df.withColumns({"tau_thomson": F.col("electron_density") * S.THOMSON_CM2 * w, "tau_free_free": F.coalesce(absorbed, F.lit(0.0)), "tau_table": mu * F.col("density") * w})
+    chosen = F.when(F.col("regime") == "plasma", F.col("tau_thomson") + F.col("tau_free_free")).when(F.col("regime") == "cold", F.col("tau_table")).otherwise(F.col("tau_thomson"))
+    return out.withColumn("tau", chosen)
+
+
 def regime_shares(df: DataFrame, keys: list[str], regime: str, tau: str, path: str, small: float = 1e-8) -> DataFrame:
     """Optical depth and path by regime, each regime's share, and the dominant regime of the keys."""
     sums = df.groupBy(*keys, regime).agg(F.sum(tau).alias("tau"), F.sum(path).alias("path"))

@@ -147,10 +147,22 @@ def zone_regimes(spark, d):
     return with_regime(spark, d).select(*RS, "zone_id", "regime", "ratio")
 
 
-@query("regime_budget", "run_id snapshot_index region_id regime dominant", "tau path share", RATIO_SQL + ", t AS (SELECT run_id, snapshot_index, region_id, regime, sum(CASE regime WHEN 'plasma' THEN 2e-4 ELSE 1e-4 END * density * width_cm) AS tau, sum(width_cm) AS path FROM z GROUP BY 1, 2, 3, 4) ;; SELECT *, tau / sum(tau) OVER w AS share, row_number() OVER (PARTITION BY run_id, snapshot_index, region_id ORDER BY CASE WHEN tau > 1e-8 THEN tau ELSE -1 END DESC, path DESC, regime DESC) = 1 AS dominant FROM t WINDOW w AS (PARTITION BY run_id, snapshot_index, region_id)")
+DEPTH_SQL = RATIO_SQL + ", da AS (SELECT *, 7.43e2 * sqrt(te / electron_density) AS ld, greatest(1.44e-7 * greatest(mean_charge, 1e0) / te, 2.76e-8 / sqrt(te)) AS rmin, 1e3 / 6.582119569e-16 AS om FROM z), db AS (SELECT *, 1e0 - pow(5.64e4 * sqrt(electron_density) / om, 2) AS cut, electron_density * 6.6524587321e-25 * width_cm AS tt, 1e-4 * density * width_cm AS tx FROM da), dc AS (SELECT *, CASE WHEN ld > rmin AND cut > 0 THEN 3.1e-17 * mean_charge * electron_density * 1e6 * electron_density * 1e6 * ln(ld / rmin) * pow(te, -1.5e0) * pow(om, -2e0) * pow(cut, -5e-1) * width_cm / 1e2 ELSE 0 END AS tf FROM db), de AS (SELECT *, CASE regime WHEN 'plasma' THEN tt + tf WHEN 'cold' THEN tx ELSE tt END AS ts FROM dc)"
+
+
+def with_depths(spark, d):
+    return R.mode_depths(with_regime(spark, d), F.lit(1.0), F.lit(1e-4))
+
+
+@query("mode_depths", "run_id snapshot_index region_id", "thomson free_free attenuation selected", DEPTH_SQL + " ;; SELECT run_id, snapshot_index, region_id, sum(tt) AS thomson, sum(tf) AS free_free, sum(tx) AS attenuation, sum(ts) AS selected FROM de GROUP BY 1, 2, 3")
+def mode_depths(spark, d):
+    total = {"thomson": "tau_thomson", "free_free": "tau_free_free", "attenuation": "tau_table", "selected": "tau"}
+    return with_depths(spark, d).groupBy(*RS, "region_id").agg(*[F.sum(c).alias(n) for n, c in total.items()])
+
+
+@query("regime_budget", "run_id snapshot_index region_id regime dominant", "tau path share", DEPTH_SQL + ", t AS (SELECT run_id, snapshot_index, region_id, regime, sum(ts) AS tau, sum(width_cm) AS path FROM de GROUP BY 1, 2, 3, 4) ;; SELECT *, tau / sum(tau) OVER w AS share, row_number() OVER (PARTITION BY run_id, snapshot_index, region_id ORDER BY CASE WHEN tau > 1e-8 THEN tau ELSE -1 END DESC, path DESC, regime DESC) = 1 AS dominant FROM t WINDOW w AS (PARTITION BY run_id, snapshot_index, region_id)")
 def regime_budget(spark, d):
-    z = with_regime(spark, d).withColumn("tau", F.when(F.col("regime") == "plasma", 2e-4).otherwise(1e-4) * F.col("density") * F.col("width_cm"))
-    return R.regime_shares(z, [*RS, "region_id"], "regime", "tau", "width_cm")
+    return R.regime_shares(with_depths(spark, d), [*RS, "region_id"], "regime", "tau", "width_cm")
 
 
 @query("transmission_series", "run_id snapshot_index", "tau transmission", "SELECT run_id, snapshot_index, sum(density * width_cm * 1e-3) AS tau, exp(-sum(density * width_cm * 1e-3)) AS transmission FROM g GROUP BY 1, 2")
