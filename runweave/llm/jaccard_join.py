@@ -41,6 +41,8 @@ FAN, BUNDLE = 100, 200
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Second-level partitions, of which a signature leaves one out; from WIDE elements on two are enough. Signatures that are pre-aggregated at once.
 PARTS, WIDE, CHUNK = 3, 256, 1 << 20
+#: Links that one task of a step over links writes at least.
+LINKS = 20_000
 #: Most rows of identifiers that are broadcast to pick texts out of a scan; more are joined by a shuffle.
 SENT = 1_000_000
 
@@ -299,7 +301,7 @@ def connected(links: DataFrame) -> DataFrame:
     joined back, so a hub's links are split over tasks. Every step is a written table.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both if large else both.filter("v < u")
@@ -309,7 +311,8 @@ def connected(links: DataFrame) -> DataFrame:
             out = joined.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
             out = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        after = written(out.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+        out = out.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        after = written(out.coalesce(parts), "star")
         discard(edges)
         return after
 
@@ -317,9 +320,9 @@ def connected(links: DataFrame) -> DataFrame:
     edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges, before = written(edges, "edges"), None
     while (now := mark(edges)) != before:
-        before = now
-        edges = star(star(edges, True), False)
-    out = edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
+        before, parts = now, max(4, now[0] // LINKS)  # a step leaves no more links than it is given, so few of them need few files
+        edges = star(star(edges, True, parts), False, parts)
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct().coalesce(parts))
     out = written(out, "components")
     discard(edges)
     return out
@@ -450,7 +453,8 @@ def _open(members: DataFrame, comps: DataFrame, key: list[str], *sums) -> DataFr
     """Members of the groups that lie in more than one component, with that component and the groups' sums."""
     placed = _placed(members, comps)
     split = placed.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *sums).filter("lo <> hi").drop("lo", "hi")
-    return placed.join(split, key)
+    split = written(split, "split")  # a table of its own, so that a large group's rows can be split in the join
+    return placed.join(_small(split), key)
 
 
 def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
@@ -460,6 +464,11 @@ def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
     return rows.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("other", "blocks")
 
 
+def _blocks():
+    """Blocks of a cluster of ``c`` members and ``b`` bytes of sets."""
+    return F.greatest(F.ceil(F.col("c") / F.lit(BLOCK)), F.ceil(F.col("b") / F.lit(BLOCK_BYTES)))
+
+
 def _clusters(pairs: DataFrame, sketches: DataFrame, comps: DataFrame, percent: int) -> DataFrame | None:
     """node, cl: any two nodes of one pivot and different components whose sketches may be similar are in one cluster."""
     key = ["tag", "pivot", "p", "q"]
@@ -477,7 +486,7 @@ def _within(clusters: DataFrame, comps: DataFrame, sizes: DataFrame, reps: DataF
     """Links that join components of a cluster: within its blocks, or else between two of them."""
     members = clusters.join(sizes, "node")
     rows = _open(members, comps, ["cl"], F.count("*").alias("c"), F.sum(F.col("n") * 8).alias("b"))
-    rows = _in_blocks(rows, F.greatest(F.ceil(F.col("c") / F.lit(BLOCK)), F.ceil(F.col("b") / F.lit(BLOCK_BYTES)))).filter("p <> q" if crossing else "p = q")
+    rows = _in_blocks(rows, _blocks()).filter("p <> q" if crossing else "p = q")
     to = rows.select("node", F.pmod(F.hash("p", "q"), F.lit(4)).alias("bundle"), F.struct("cl", "p", "q", "comp", "block").alias("to"))
     to = written(to.groupBy("node", "bundle").agg(F.collect_list("to").alias("to")), "targets")
     key = ["cl", "p", "q"]
@@ -524,7 +533,8 @@ def linked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str,
     comps = connected(links)
     clusters = _clusters(pairs, sketches, comps, percent)
     if clusters is not None:
-        for crossing in (False, True):
+        largest = clusters.join(sizes, "node").groupBy("cl").agg(F.count("*").alias("c"), F.sum(F.col("n") * 8).alias("b"))
+        for crossing in (False, True) if largest.filter(_blocks() > 1).take(1) else (False,):
             found = _within(clusters, comps, sizes, reps, size, percent, crossing)
             if found.take(1):
                 links = links.unionByName(found)
