@@ -63,7 +63,7 @@ def log_dimensions(spark, d):
 def tables_log(spark, d):
     """One log per run with both zone tables: the inner boundary and every zone in the first, the zones above 2 in the second."""
     z = zone_state(spark, d)
-    number = lambda c, k: F.format_string("%.6e", F.col(c) * k)
+    number = lambda c, k: F.format_string("%.14e", F.col(c) * k)
     first = F.concat_ws(" ", "zone_id", *[number(c, k) for k in (1.0, 2.0) for c in ("width_cm", "density", "velocity", "pressure", "temperature_e", "temperature_i")], number("density", 3.0))
     second = F.concat_ws(" ", "zone_id", *[number("pressure", float(k)) for k in range(1, 12)])
     rows = F.sort_array(F.collect_list(F.struct("zone_id", first.alias("a"), F.when(F.col("zone_id") > 2, second).alias("b"))))
@@ -73,10 +73,10 @@ def tables_log(spark, d):
     return text.select(F.concat(F.lit("run_"), "run_id").alias("file"), F.concat(F.lit("Run name: x\n"), "body").alias("text"))
 
 
-@query("log_zone_table", "file rows bounds second", "radius ion_energy electron_energy radiation_sink", "SELECT 'run_' || run_id AS file, count(*) + count(DISTINCT snapshot_index) AS rows, count(DISTINCT snapshot_index) AS bounds, count(*) FILTER (WHERE zone_id > 2) AS second, sum(width_cm) AS radius, sum(round(3e0 * density, 4)) AS ion_energy, sum(round(pressure, 4)) FILTER (WHERE zone_id > 2) AS electron_energy, sum(round(11e0 * pressure, 4)) FILTER (WHERE zone_id > 2) AS radiation_sink FROM g GROUP BY 1")
+@query("log_zone_table", "file rows bounds second", "radius ion_energy electron_energy radiation_sink", "SELECT 'run_' || run_id AS file, count(*) + count(DISTINCT snapshot_index) AS rows, count(DISTINCT snapshot_index) AS bounds, count(*) FILTER (WHERE zone_id > 2) AS second, sum(width_cm) AS radius, sum(3e0 * density) AS ion_energy, sum(pressure) FILTER (WHERE zone_id > 2) AS electron_energy, sum(11e0 * pressure) FILTER (WHERE zone_id > 2) AS radiation_sink FROM g GROUP BY 1")
 def log_zone_table(spark, d):
     t = L.zone_table(L.lines(L.blocks(tables_log(spark, d)).filter("block >= 0")), F.lit(16))
-    return t.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("zone") == 0).alias("bounds"), F.count("electron_energy").alias("second"), *[F.round(F.sum(c), 3).alias(c) for c in ("radius", "ion_energy", "electron_energy", "radiation_sink")])
+    return t.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("zone") == 0).alias("bounds"), F.count("electron_energy").alias("second"), *[F.sum(c).alias(c) for c in ("radius", "ion_energy", "electron_energy", "radiation_sink")])
 
 
 @query("log_header", "file run_name end_time", "", "SELECT DISTINCT 'run_' || run_id AS file, 'run ' || run_id AS run_name, '3.0' AS end_time FROM g")
