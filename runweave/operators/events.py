@@ -69,6 +69,14 @@ def ordered(events: DataFrame) -> DataFrame:
     return events.withColumn("place", F.row_number().over(order))
 
 
+def as_crossings(events: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Events in the shape of crossings of one front: those of each run's primary branch, the first at each boundary, in order of time."""
+    primary = ranked.filter("primary_branch").select("run_id", "branch_id")
+    first = events.join(primary, ["run_id", "branch_id"], "left_semi").groupBy("run_id", "left_region", "right_region", "boundary_zone").agg(F.min("crossing_time").alias("crossing_time"))
+    order = Window.partitionBy("run_id").orderBy(F.round("crossing_time", 9), "boundary_zone")
+    return first.withColumn("crossing", F.row_number().over(order))
+
+
 def lookup(asked: DataFrame, events: DataFrame, branches: DataFrame) -> DataFrame:
     """Each asked (run_id, boundary_zone, branch_id) with the first event of a branch that is not provisional, or nulls.
 

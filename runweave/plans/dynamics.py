@@ -465,5 +465,23 @@ def merged_series(spark, d):
 
 @query("shock_as_branch", "run_id branch_id samples", "mean_score", SCORE + ", m AS (SELECT run_id, snapshot_index, max(score) AS score FROM sc GROUP BY 1, 2) ;; SELECT run_id, CAST(1 AS INT) AS branch_id, count(*) AS samples, avg(score) AS mean_score FROM m WHERE score > 0 GROUP BY 1")
 def shock_as_branch(spark, d):
-    m = scores(spark, d).groupBy(*RS).agg(F.max("score").alias("score")).filter("score > 0")
-    return m.groupBy("run_id").agg(F.lit(1).alias("branch_id"), F.count("*").alias("samples"), F.avg("score").alias("mean_score"))
+    m = scores(spark, d).groupBy(*RS, "time_s").agg(F.max("score").alias("score"), F.max_by("interface_id", "score").alias("interface_id")).filter("score > 0")
+    return V.track_as_branch(m).groupBy("run_id", "branch_id").agg(F.count("*").alias("samples"), F.avg("score").alias("mean_score"))
+
+
+RANKED = SUMMARY + ", pr AS (SELECT run_id, branch_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE support WHEN 'tracked' THEN 0 WHEN 'short_weak' THEN 1 ELSE 2 END, round(significance, 9) DESC, fam, peak DESC, branch_id) AS k FROM v) WHERE k = 1)"
+
+
+def ranked(spark, d):
+    s = V.branch_summary(samples(spark, d), V.time_steps(zone_state(spark, d)))
+    return V.ranked_branches(s.withColumn("significance", F.round("significance", 9)))
+
+
+@query("branch_as_track", "run_id snapshot_index", "track_index track_score", RANKED + " ;; SELECT run_id, snapshot_index, interface_id AS track_index, score AS track_score FROM b JOIN pr USING (run_id, branch_id)")
+def branch_as_track(spark, d):
+    return V.branch_as_track(samples(spark, d), ranked(spark, d)).select(*RS, "track_index", "track_score")
+
+
+@query("event_as_crossing", "run_id left_region boundary_zone crossing", "crossing_time", CROSSED + ", " + RANKED.removeprefix(SAMPLES + ", ") + " ;; SELECT run_id, CAST(left_region AS INT) AS left_region, CAST(boundary_zone AS INT) AS boundary_zone, crossing_time, CAST(row_number() OVER (PARTITION BY run_id ORDER BY round(crossing_time, 9), boundary_zone) AS INT) AS crossing FROM x JOIN pr USING (run_id, branch_id)")
+def event_as_crossing(spark, d):
+    return E.as_crossings(crossed(spark, d), ranked(spark, d)).select("run_id", "left_region", "boundary_zone", "crossing", "crossing_time")
