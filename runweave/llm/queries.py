@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, langid, packing, pii, quality, sharding, sstable, token_counts, url_filter
+from . import centroids, decontaminate, divergence, jaccard_join, langid, packing, pii, quality, sharding, simhash, sstable, token_counts, url_filter
 from .shared import small_batches, table
 
 
@@ -66,8 +66,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_digest(pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the terms that set it apart."""
+    small_batches(spark)
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under fingerprints at most two bits apart."""
+    small_batches(spark)
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds from eight first centroids."""
+    return centroids.clusters_digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_extendible_shards, op2_sstable, op3_url_rules, op4_section_tokens, op5_quality_cascade, op6_decontaminate, op7_language, op8_pack, op9_jaccard_components, op10_pii]
+    found = [op1_extendible_shards, op2_sstable, op3_url_rules, op4_section_tokens, op5_quality_cascade, op6_decontaminate, op7_language, op8_pack, op9_jaccard_components, op10_pii, op11_source_divergence, op12_simhash_components, op13_centroids]
     return {f.__name__: f for f in found}
 
 
@@ -170,5 +187,60 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FRO
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN v USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, sum(total) AS whole, count(*) AS terms FROM v GROUP BY 1),
+g AS (
+  SELECT lang, source, CAST(coalesce(own, 0) AS HUGEINT) AS own, CAST(coalesce(whole, 0) AS HUGEINT) AS whole, coalesce(terms, 0) AS terms
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS own FROM c GROUP BY 1, 2) USING (lang, source) LEFT JOIN l USING (lang)),
+s AS (
+  SELECT g.lang, g.source, v.term, coalesce(n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (own + terms) AS p, 1 + 1000000000::HUGEINT * (total + 1) // (whole + terms) AS q
+  FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+x AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source),
+words AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM s WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM words))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_sql(rounds: int = 10) -> str:
+    """One step a round: distances, the nearest centroid, exact floors of means."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, c, sum((x - y) * (x - y)) AS d FROM x JOIN c{k} USING (i) GROUP BY r, c),
+a{k} AS MATERIALIZED (SELECT r, vec_id, c, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if k < rounds:
+            steps.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, y) AS y
+  FROM c{k} LEFT JOIN (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{k} JOIN x USING (r) GROUP BY c, i) USING (c, i))""")
+    return f"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS e FROM embeddings),
+k AS (SELECT * FROM e WHERE len(e) = 64 AND len(list_filter(e, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
+x AS MATERIALIZED (SELECT r, vec_id, CAST(unnest(range(1, 65)) AS INT) AS i, CAST(floor(1024 * unnest(e)) AS BIGINT) AS x FROM k),
+f AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM k QUALIFY c < 8),
+c0 AS MATERIALIZED (SELECT c, i, x AS y FROM x JOIN f USING (r)),{','.join(steps)},
+h AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_shards": OP1_SQL, "op3_url_rules": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_jaccard_components": OP9_SQL}
+    return {"op1_extendible_shards": OP1_SQL, "op3_url_rules": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_jaccard_components": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_centroids": op13_sql()}

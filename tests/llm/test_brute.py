@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.llm import decontaminate, encoding, jaccard_join, langid, packing, pii, quality, queries, sharding, sstable, token_counts, url_filter, words
+from runweave.llm import centroids, decontaminate, divergence, encoding, jaccard_join, langid, packing, pii, quality, queries, sharding, simhash, sstable, token_counts, url_filter, words
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -30,7 +30,7 @@ def rows(docs):
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     columns = sorted(want.columns)
@@ -513,3 +513,103 @@ def test_pii_method_spans(spark):
 def test_sums_for_checksums(spark):
     d = spark.createDataFrame([("4111111111111111", "GB82WEST12345698765432"), ("4111111111111112", "GB82WEST12345698765431")], "c string, i string")
     assert [tuple(r) for r in d.select(pii.luhn(F.col("c")), pii.mod97(F.col("i"))).collect()] == [(True, True), (False, False)]
+
+
+def plain_print(text):
+    import xxhash
+
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
+    parts = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    """By comparing all with all: identifier to the smallest one it reaches."""
+    ids = sorted(prints)
+    least = {i: i for i in ids}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = root(i), root(j)
+                least[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def test_simhash_against_all_pairs(spark, docs, rows):
+    prints = {i: plain_print(r.text) for i, r in rows.items()}
+    want = plain_components(prints)
+    got = simhash.components(docs).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{prints[i]:016x}", want[i]) for i in rows}
+
+
+@pytest.mark.parametrize("segments, cell", [(16, 256), (16, 3), (8, 2), (4, 5), (32, 256)])
+def test_simhash_links_of_crowded_points(spark, segments, cell):
+    random.seed(segments + cell)
+    prints = {}
+    for g in range(6):  # chains of prints a few bits apart, all about one point of the grid
+        x = random.getrandbits(64)
+        for _ in range(60):
+            for b in random.sample(range(64), random.choice([1, 1, 2, 2, 3])):
+                x ^= 1 << b
+            prints[len(prints)] = x
+    prints |= {1000: 0, 1001: (1 << 64) - 1, 1002: (1 << 64) - 2, 1003: 7, 1004: 4}
+    want = plain_components(prints)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(x),) for x in set(prints.values())], "fp long")
+    found = simhash.links(table, segments, cell).collect()
+    assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 2 for r in found)
+    name = {signed(x): min(i for i, y in prints.items() if y == x) for x in prints.values()}
+    label = {i: i for i in set(name.values())}
+    for _ in range(len(label)):
+        before = dict(label)
+        for r in found:
+            a, b = name[r.a], name[r.b]
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert {i: label[name[signed(x)]] for i, x in prints.items()} == want
+
+
+def test_fingerprint_of_long_texts(monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 50)
+    monkeypatch.setattr(simhash, "STEP", 7)
+    random.seed(4)
+    for n in (0, 1, 2, 3, 4, 400):
+        text = "".join(random.choice(["Word", "d\u00e9j\u00e0", "x" * 120, "a"]) + random.choice([" ", "\n", "\t \r", "\x0b\x0c"]) for _ in range(n))
+        assert simhash.fingerprint(text.encode()) == plain_print(text)
+
+
+def test_divergence_over_blocks_and_slices(spark, docs, monkeypatch):
+    want = sorted(map(tuple, divergence.audit(docs).collect()))
+    monkeypatch.setattr(divergence, "BLOCK", 3)
+    monkeypatch.setattr(divergence, "CELLS", 40)
+    monkeypatch.setattr(divergence, "HELD", 10)
+    monkeypatch.setattr(divergence, "LISTED", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert sorted(map(tuple, divergence.audit(docs.repartition(3)).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ptolemaic_bounds_are_never_over():
+    rng = np.random.default_rng(7)
+    for scale in (3, 1000, 1 << 27):
+        x = rng.integers(-scale, scale, (400, 64))
+        x[200:] = x[:200] // 7 * 7  # and nearly equal ones
+        c = np.r_[x[:7], x[3:4]]
+        pivots = centroids.choose_pivots(c)
+        assert len({tuple(p) for p in pivots.tolist()}) == len(pivots)
+        near = centroids._to_pivots(x, pivots)
+        true = [[sum((int(a) - int(b)) ** 2 for a, b in zip(v, k)) for k in c] for v in x]
+        bound = centroids.lower_bounds(near, c, pivots)
+        assert all(int(np.floor(b * b)) <= t for bs, ts in zip(bound, true) for b, t in zip(bs, ts))
+        cluster, best = centroids.nearest(x, near, c, pivots)
+        assert best.tolist() == [min(t) for t in true] and cluster.tolist() == [t.index(min(t)) for t in true]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.llm import decontaminate, jaccard_join, langid, packing, pii, quality, sharding, sstable, token_counts, url_filter
+from runweave.llm import centroids, decontaminate, divergence, jaccard_join, langid, packing, pii, quality, sharding, simhash, sstable, token_counts, url_filter
 from runweave.llm.shared import shared_dir
 
 LONG = "word " * 60_000 + "mail bob@example.org end"
@@ -43,6 +43,7 @@ OPERATORS = {
     "packing": lambda d, b: packing.pieces_digest(packing.pack_documents(d)),
     "jaccard": lambda d, b: jaccard_join.components(d),
     "pii": lambda d, b: pii.spans_digest(pii.with_spans(d, "__spans"), "__spans"),
+    "simhash": lambda d, b: simhash.components(d),
 }
 
 
@@ -80,6 +81,40 @@ def test_values_of_edge_rows(docs, benchmark):
     assert p[1].n_email == 1 and p[7].n_email == 1 and p[2].spans == ""
 
 
+def test_simhash_of_edge_rows(docs):
+    sim = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.components(docs).collect()}
+    zero = "0" * 16
+    assert sim[(2, zero)] == sim[(3, zero)] == sim[(4, zero)] == 2
+    same = [(k, v) for k, v in sim.items() if k[0] in (5, 6)]
+    assert len(same) == 2 and {v for _, v in same} == {5} and len({k[1] for k, _ in same}) == 1
+    assert [v for k, v in sim.items() if k[0] is None] == [None]
+
+
+def test_divergence_of_edge_rows(spark, docs):
+    assert divergence.audit(docs, least_docs=1).collect() == []  # a source each: no pairs, and shares as in the language
+    assert divergence.audit(docs.limit(0)).count() == 0
+    rows = [("a b b", "x", "p"), ("a b", "x", "q"), ("A c, c", "x", None), (None, "x", "r"), ("a", None, "p"), ("a", None, None), ("d\u00e9 D\u00c9 d\u00e9", "x", "q")]
+    some = spark.createDataFrame(rows, "text string, lang string, source string").withColumns({"term": F.lit(1), "n": F.lit(2), "value": F.lit(3)})
+    got = {(r.lang, r.source, r.part, r.item): (r.value, r.rank) for r in divergence.audit(some, least_docs=2).collect()}
+    assert ("x", "p", "pair", "") in got and ("x", "", "pair", "r") in got and got[("", "", "pair", "p")] == (0, 1)
+    # kept in x: a (3 documents), b (2); N of p is 3, so shares are 1 + floor(1e9 * (1 + 1) / 5) and 1 + floor(1e9 * 3 / 5)
+    p, q = {"a": 400000001, "b": 600000001}, {"a": 500000001, "b": 500000001}
+    assert got[("x", "p", "pair", "q")] == (sum((p[t] - q[t]) ** 2 // q[t] for t in p), 2)
+    whole = 1 + 10**9 * 4 // 8
+    assert got[("x", "p", "term", "b")] == ((p["b"] - whole) ** 2 // whole, 1) and ("x", "p", "term", "a") not in got
+
+
+def test_vectors(spark):
+    one = [float(i) / 64 for i in range(64)]
+    rows = [(1, one), (1, one), (2, None), (3, []), (4, one[:63]), (5, [*one[:63], None]), (6, [*one[:63], float("nan")]), (7, [*one[:63], float("inf")]), (None, [-x for x in one]), (8, [*one[:63], 3e38])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"v": F.lit(1), "near": F.lit(2), "cluster": F.lit(3)})
+    got = centroids.clusters_digest(table).collect()
+    assert sorted((r.vec_id is None, r.vec_id) for r in got) == [(False, 1), (False, 1), (True, None)]
+    assert all(r.distance == 0 and r.cluster_inertia == 0 and r.inertia == 0 for r in got)
+    assert len({r.cluster for r in got if r.vec_id == 1}) == 1
+    assert centroids.clusters_digest(table.limit(0)).count() == 0 and centroids.clusters_digest(table.filter("vec_id = 2")).count() == 0
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, ""), (4, "http://A.Example.com/en/x?y"), (4, "http://A.Example.com/en/x?y"), (None, "https://www.example.com/en/"), (5, "http://x.net/es/" + "a" * 20_000), (6, "http://spam-farm.example.org/q"), (7, "http://x.net"), (8, "ftp://notnet/es/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2)})
