@@ -15,17 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import let
 from .words import ALNUM, word_hashes
 
 WINDOW = 10
 #: Benchmark text bytes that one broadcast block of phrases may come from.
 BLOCK_BYTES = 4 << 20
-#: Text bytes of the documents that share one index.
-SHARD_BYTES = 8 << 20
+#: Text bytes of the documents that share one index, of which a row counts ROW more; rows that become symbols at once.
+SHARD_BYTES, ROW = 8 << 20, 64
 CUT = 100
 SAMPLE = 8
 #: The symbol after each document, and the symbols of words that are not in the benchmark.
@@ -223,7 +225,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, t
 
     A phrase is each run of ``window`` words of an item, or all words of a
     shorter one. No shuffle: tasks index their rows shard by shard, a shard
-    holding at most ``shard_bytes`` of text or CUT rows; the phrases are
+    holding at most ``shard_bytes`` of text or one longer text; the phrases are
     broadcast in blocks, and each further block of items is one more pass.
     Null and empty texts have no words; repeated rows are each searched, items
     with one item_id count as one; null item ids are left out; empty tables give no
@@ -266,16 +268,20 @@ def _searcher(shared, shard_bytes: int, last: bool):
                     names=["row", "text", "n_words", "spans", "items"],
                 )
 
+        def add(cut: pa.RecordBatch) -> None:
+            for lo in range(0, cut.num_rows, CUT):
+                held.append((part := cut.slice(lo, CUT), phrases.symbols(part.column(1).to_pylist())))
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, CUT):
-                cut = batch.slice(lo, CUT)
-                texts = cut.column(1).to_pylist()
-                load = sum(len(t or b"") for t in texts)
-                if held and size + load > shard_bytes:
+            loads, lo = (pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) + ROW).tolist(), 0
+            for i, load in enumerate(loads):
+                if size and size + load > shard_bytes:
+                    add(batch.slice(lo, i - lo))
                     yield from done()
-                    held, size = [], 0
-                held.append((cut, phrases.symbols(texts)))
+                    held.clear()
+                    lo, size = i, 0
                 size += load
+            add(batch.slice(lo))
         if held:
             yield from done()
 
@@ -283,17 +289,34 @@ def _searcher(shared, shard_bytes: int, last: bool):
 
 
 def cut_words(text: Column, spans: Column) -> Column:
-    """``text`` without the words of the spans; what stands between words stays."""
-    words, gaps = F.regexp_extract_all(text, F.lit("[0-9A-Za-z\\x{80}-\\x{10ffff}]+"), F.lit(0)), F.split(text, "[0-9A-Za-z\\x{80}-\\x{10ffff}]+", -1)
-    kept = F.transform(words, lambda w, i: F.when(F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"])), F.lit("")).otherwise(w))
-    return F.array_join(F.flatten(F.zip_with(gaps, kept, lambda g, w: F.array(g, F.coalesce(w, F.lit(""))))), "")
+    """``text`` without the words of the spans, which are sorted and apart; what stands between words stays.
+
+    The words between two spans are one slice, so the work grows with the text and its spans.
+    """
+    pattern = "[0-9A-Za-z\\x{80}-\\x{10ffff}]+"
+
+    def left(words: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0).cast("long"))
+        segment = lambda a, b: F.slice(words, (a + 1).cast("int"), (b - a).cast("int"))
+        kept = F.transform(spans, lambda s, i: F.concat(segment(after(i), s["start"]), F.array_repeat(F.lit(""), (s["end"] - s["start"]).cast("int"))))
+        kept = F.concat(F.flatten(kept), segment(after(F.size(spans)), F.size(words)))
+        return F.array_join(F.zip_with(F.split(text, pattern, -1), kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), left)
 
 
 def cut_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The rows, all columns as they are, with the words of every removal span cut out of the text."""
-    found = find_leaks(docs, benchmark, text_col=text_col, **options).select("row.*", F.col("spans").alias("__spans"))
+    """The rows, all columns as they are, with the words of every removal span cut out of the text.
+
+    Null and empty texts and texts without hits stay as they are; repeated rows are
+    each treated; an empty table gives no rows, an empty benchmark all as they are.
+    """
+    spans = "spans"
+    while spans.lower() in map(str.lower, docs.columns):
+        spans = f"_{spans}"
+    found = find_leaks(docs, benchmark, text_col=text_col, **options).select("row.*", F.col("spans").alias(spans))
     text = F.col(text_col)
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, cut_words(text, F.col("__spans"))).otherwise(text)).drop("__spans")
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, cut_words(text, F.col(spans))).otherwise(text)).drop(spans)
 
 
 def leaks_digest(found: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ KINDS = [
 ]
 BASE = ("email", "ip", "card", "phone")
 RANK = {k[0]: i for i, k in enumerate(KINDS)}
-#: Characters on either side, up to the next match of the kind, in which context words count; least score of other kinds; matches in a block.
-NEAR, THRESHOLD, BLOCK = 40, 0.6, 64
+#: Characters on either side, up to the next match of the kind, in which context words count; least score of other kinds; matches in a block; characters of a piece of text.
+NEAR, THRESHOLD, BLOCK, PIECE = 40, 0.6, 64, 1024
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,match:string,score:double>>"
 
 
@@ -66,18 +66,26 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _running(values: Column, zero: Column, join) -> Column:
+    """``join`` of ``zero`` and the values up to each one: block by block, each begun with what all blocks before it come to."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
+    grown = lambda v, start: F.aggregate(v, F.array(start), lambda a, n: F.concat(a, F.array(join(F.element_at(a, -1), n))))
+
+    def each(blocks: Column) -> Column:
+        starts = grown(F.transform(blocks, lambda v: F.aggregate(v, zero, join)), zero)
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda v, start: F.slice(grown(v, start), F.lit(2), F.size(v))))
+
+    return let(blocks, each)
+
+
 def _spans(text: Column, kind: str, pattern: str, test, score: float, words: str) -> Column:
     """Confirmed matches of one kind with offsets (code points, end exclusive) and score."""
     none = F.array().cast(SPAN)
 
     def ends(matches: Column, gaps: Column) -> Column:
-        """End of each match: sums within blocks, each begun at the sum of the blocks before it."""
+        """End of each match."""
         steps = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.length(g) + F.length(m))
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda k: F.slice(steps, k * BLOCK + 1, F.lit(BLOCK)))
-        running = lambda v, start: F.slice(F.aggregate(v, F.array(start), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))), F.lit(2), F.size(v))
-        sums = F.transform(blocks, lambda v: F.aggregate(v, F.lit(0), lambda a, n: a + n))
-        starts = F.zip_with(running(sums, F.lit(0)), sums, lambda a, n: a - n)
-        return F.flatten(F.zip_with(blocks, starts, running))
+        return _running(steps, F.lit(0), lambda a, n: a + n)
 
     def found(matches: Column, gaps: Column) -> Column:
         def span(m: Column, i: Column, end: Column) -> Column:
@@ -100,23 +108,48 @@ def with_spans(docs: DataFrame, name: str, *, text_col: str = "text", threshold:
     no spans; repeated rows are each searched; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    names = [f"{name}_{k[0]}" for k in KINDS]
+    own = "__"
+    while any(c.lower().startswith(own) for c in (*docs.columns, name)):  # so that no column of the table is overwritten
+        own += "_"
+    names = [f"{own}{k[0]}" for k in KINDS]
     rows = docs.withColumns({n: _spans(text, *k) for n, k in zip(names, KINDS)})
     kept = F.filter(F.concat(*names), lambda s: (s["rank"] < len(BASE)) | (s["score"] >= threshold))
     return rows.withColumn(name, F.sort_array(kept)).drop(*names)
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, all columns as they are, with each span of the text, overlapping ones as one, replaced by its first kind in brackets."""
-    text, spans = F.col(text_col), "__spans"
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with its spans, of which there is one at least, replaced by their kinds.
+
+    The text is cut once into pieces of PIECE characters, and what stands between two
+    spans is taken from the pieces it lies in, so the work grows with the text and its spans.
+    """
+    def clean(pieces: Column, before: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            """Characters from ``a`` to ``b``."""
+            first = F.floor(a / PIECE).cast("int")
+            last = F.floor(F.greatest(b - 1, a) / PIECE).cast("int")
+            return F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))
+
+        marked = F.zip_with(spans, before, lambda s, e: F.when(s["start"] >= e, F.struct(s["start"].alias("start"), e.alias("after"), s["kind"].alias("kind"))))
+        parts = F.transform(F.filter(marked, lambda m: m.isNotNull()), lambda m: F.concat(between(m["after"], m["start"]), F.lit("["), F.upper(m["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), between(F.element_at(before, -1), F.length(text).cast("bigint")))
+
+    zero = F.lit(0).cast("bigint")
+    reached = F.concat(F.array(zero), _running(F.transform(spans, lambda s: s["end"]), zero, lambda a, n: F.greatest(a, n)))  # end of all spans before each, and of all
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: let(reached, lambda e: clean(pieces, e)))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.struct(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"), s["end"].alias("at"))
-        return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
 
-    clean = F.aggregate(spans, start, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int")))), ""))
-    return with_spans(docs, spans, text_col=text_col, threshold=threshold).withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(spans)
+def redact(docs: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all columns as they are, with each span of the text, overlapping ones as one, replaced by its first kind in brackets.
+
+    Spans that only touch are replaced one by one. Null and empty texts and texts without
+    spans stay as they are; repeated rows are each treated; an empty table gives no rows.
+    """
+    text, spans = F.col(text_col), "spans"
+    while spans.lower() in map(str.lower, docs.columns):
+        spans = f"_{spans}"
+    found = with_spans(docs, spans, text_col=text_col, threshold=threshold)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, _replaced(text, F.col(spans))).otherwise(text)).drop(spans)
 
 
 def spans_digest(found: DataFrame, spans: str = "spans") -> DataFrame:

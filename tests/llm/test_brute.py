@@ -613,3 +613,55 @@ def test_ptolemaic_bounds_are_never_over():
         assert all(int(np.floor(b * b)) <= t for bs, ts in zip(bound, true) for b, t in zip(bs, ts))
         cluster, best = centroids.nearest(x, near, c, pivots)
         assert best.tolist() == [min(t) for t in true] and cluster.tolist() == [t.index(min(t)) for t in true]
+
+
+def test_many_spans_are_replaced_in_proportion(spark):
+    import time
+
+    rng = random.Random(3)
+    parts = ["a{0}@b.example.org", "+49 (30) 123456{0}", "10.0.0.{1}", "4111 1111 1111 1111", "x{0}@y.org+491701234567", "pläin wörds 日本", "GB82 WEST 1234 5698 7654 32", "+1 10.0.0.{1} 555 0100 44"]
+    from tests.llm.test_pipeline import redacted
+
+    texts = [" ".join(rng.choice(parts).format(i % 10, i % 256) for i in range(n)) for n in (1, 2, 5, 40, 300, 3000)]
+    texts += ["", None, "x" * 5000, "é" * 1024 + "a@b.co" + "é" * 1023 + "a@b.co", "a@b.co"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"spans": F.lit("kept"), "spans_email": F.lit(1), "__email": F.lit(2)})
+    got = {r.doc_id: r for r in pii.redact(d).collect()}
+    assert pii.redact(d).columns == d.columns and all((r.spans, r.spans_email, r["__email"]) == ("kept", 1, 2) for r in got.values())
+    assert [got[i].text for i in range(len(texts))] == [t and redacted(t) for t in texts]
+    many = spark.createDataFrame([(n, " ".join(f"word{i} other a{i}@b{i}.example.org é" for i in range(n))) for n in (16_000,)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert pii.redact(many).first().text == " ".join(f"word{i} other [EMAIL] é" for i in range(16_000))
+    assert time.perf_counter() - began < 30
+
+
+def test_many_leaks_are_cut_in_proportion(spark):
+    import time
+
+    b = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "end")], "item_id long, text string")
+    n = 8000
+    texts = [" ".join(f"w{i} x y z. Alpha beta-gamma delta! ü v w" for i in range(n)), "alpha beta gamma delta", "end, end", "alpha beta gamma", None, ""]
+    want = [" ".join(f"w{i} x y z.  - ! ü v w" for i in range(n)), "   ", ", ", "alpha beta gamma", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit(1))
+    began = time.perf_counter()
+    out = decontaminate.cut_leaks(d, b)
+    got = {r.doc_id: r for r in out.collect()}
+    assert time.perf_counter() - began < 30
+    assert out.columns == d.columns and [got[i].text for i in range(len(texts))] == want and got[0].spans == 1
+
+
+def test_shards_are_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    phrases = decontaminate.Phrases([(1, b"alpha beta")])
+    sizes = []
+    real = decontaminate.search_shard
+    monkeypatch.setattr(decontaminate, "search_shard", lambda docs, p: sizes.append([len(d) for d in docs]) or real(docs, p))
+    texts = [b"alpha beta c " * k for k in (1, 1, 400, 1, 1, 50, 50, 50, 1)] + [None, b""] * 60
+    n = len(texts)
+    row = pa.array([{"i": i} for i in range(n)])
+    batch = pa.RecordBatch.from_arrays([row, pa.array(texts, pa.binary()), pa.array([0] * n, pa.int64()), pa.array([[]] * n, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([[]] * n, pa.list_(pa.int64()))], names=["row", "text", "n_words", "spans", "items"])
+    task = decontaminate._searcher(types.SimpleNamespace(value=phrases), 1600, False)
+    out = [r for b in task(iter([batch.slice(0, 4), batch.slice(4, 3), batch.slice(7)])) for r in b.to_pylist()]
+    assert [r["row"]["i"] for r in out] == list(range(n)) and [r["text"] for r in out] == texts
+    assert [len(r["spans"]) for r in out] == [len(t or b"") // 13 for t in texts]
+    assert [1200] in sizes and all(13 * sum(s) // 3 + decontaminate.ROW * len(s) <= 1600 for s in sizes if s != [1200])
