@@ -27,6 +27,8 @@ from .shared import written
 LEAST_DOCS, SCALE, RANKS = 3, 1_000_000_000, 200
 #: Terms that a task holds before it sends them on; bytes of a text whose words are listed at once.
 HELD, LISTED = 300_000, 1 << 20
+#: Parts in which a group's values are ranked before what is left of them is ranked together.
+SALTS = 8
 #: Sources whose sums with all others one task holds; more are further blocks. Cells of a slice's table.
 BLOCK, CELLS = 256, 1 << 19
 _TERM = re.compile(rb"[a-z\x80-\xff]+")  # in UTF-8: letters a to z and all that is not ASCII
@@ -98,14 +100,16 @@ def _value(p: str, q: str) -> Column:
 def telling_terms(kept: DataFrame, groups: DataFrame, ranks: int = RANKS) -> DataFrame:
     """lang, source, item, value, rank: the terms of each group whose share there is over that in the language, by value and then in UTF-8 order.
 
-    Only the best values of each task are sent to a group's ranking (values on ranks beyond
-    ``ranks`` cannot come back), and only terms of their cells are looked up.
+    A group's values are ranked in SALTS parts of which the best ``ranks`` are ranked together
+    (others cannot come back), and only terms of their cells are looked up.
     """
     cells = kept.groupBy("lang", "source", "n", "total").agg(F.count("*").alias("many"))
     shares = cells.join(groups, ["lang", "source"]).withColumns({"p": share("n", "own"), "q": share("total", "whole")})
     cells = written(shares.filter("p > q").select("lang", "source", "n", "total", "many", _value("p", "q").alias("value")), "cells")
     down = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
-    best = cells.groupBy("lang", "source", "value").agg(F.sum("many").alias("many")).withColumn("k", F.row_number().over(down)).filter(F.col("k") <= ranks)
+    best = cells.groupBy("lang", "source", "value").agg(F.sum("many").alias("many")).withColumn("salt", F.pmod(F.hash("value"), F.lit(SALTS)))
+    for own in (Window.partitionBy("lang", "source", "salt").orderBy(F.desc("value")), down):
+        best = best.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= ranks)
     best = best.withColumn("before", F.coalesce(F.sum("many").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     best = written(best.filter(F.col("before") < ranks).select("lang", "source", "value", "before"), "values")
     chosen = written(cells.join(best, ["lang", "source", "value"]).select("lang", "source", "n", "total", "value", "before"), "chosen")
@@ -116,15 +120,18 @@ def telling_terms(kept: DataFrame, groups: DataFrame, ranks: int = RANKS) -> Dat
 
 
 class _Slice:
-    """Sums of values of one slice of a language's vocabulary: of the sources of one block against all."""
+    """Sums of values over the slices of a language's vocabulary that a task has: of the sources of one block against all."""
 
     def __init__(self):
         self.names: list[str] = []
         self.bare: list[int] = []  # share of a term that the source lacks
         self.own: list[bool] = []
         self.sums: np.ndarray | None = None
+        self.whole = False  # the sources are known
 
     def head(self, rows: pd.DataFrame) -> None:
+        if self.whole:
+            return
         self.names += rows["source"].tolist()
         self.bare += rows["p"].tolist()
         self.own += rows["own"].tolist()
@@ -160,8 +167,8 @@ class _Slice:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sum for each pair of sources of each slice; rows come slice by slice, its sources first, then term by term."""
-    key, now, rest = None, None, None
+    """One sum for each pair of sources; rows come by language, block and slice, a slice's sources first, then term by term."""
+    key, now, rest, at = None, None, None, None
 
     def flush(last: bool) -> None:
         nonlocal rest
@@ -178,14 +185,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.to_pandas()
         if not len(rows):
             continue
-        lang, part, block = (rows[c].to_numpy() for c in ("lang", "part", "block"))
-        edges = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (part[1:] != part[:-1]) | (block[1:] != block[:-1])])
+        lang, block, part = (rows[c].to_numpy() for c in ("lang", "block", "part"))
+        edges = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (block[1:] != block[:-1]) | (part[1:] != part[:-1])])
         for a, b in zip(edges, np.r_[edges[1:], len(rows)]):
-            if (lang[a], part[a], block[a]) != key:
+            if ((lang[a], block[a]), part[a]) != (key, at):
                 if now is not None:
                     flush(True)
-                    yield from now.batch(key[0])
-                key, now, rest = (lang[a], part[a], block[a]), _Slice(), None
+                    now.whole = True
+                if (lang[a], block[a]) != key:
+                    if now is not None:
+                        yield from now.batch(key[0])
+                    now = _Slice()
+                key, at, rest = (lang[a], block[a]), part[a], None
             cut = rows.iloc[a:b]
             heads = cut[cut["term"].isna()]
             if len(heads):
@@ -202,7 +213,7 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value, rank: each source of a language against each other one, summed over all kept terms.
 
     The vocabulary of a language is dealt in as many slices as there are shuffle partitions;
-    each gets a row of every source. Over BLOCK sources, a slice's rows go to a task for each
+    each gets a row of every source, and a task adds up the slices it has. Over BLOCK sources, a slice's rows go to a task for each
     block of sources.
     """
     parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -213,8 +224,8 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     heads = heads.select("lang", "part", "block", F.lit(None).cast("string").alias("term"), "source", "p", (F.col("mine") == F.col("block")).alias("own"))
     terms = kept.select("lang", "source", "term", "n").join(groups, ["lang", "source"]).withColumn("p", share("n", "own")).withColumn("block", each_block)
     terms = terms.select("lang", F.pmod(F.hash("term"), F.lit(parts)).alias("part"), "block", "term", "source", "p", F.lit(False).alias("own"))
-    key = ["lang", "part", "block"]
-    dealt = heads.unionByName(terms).repartition(*key).sortWithinPartitions(*key, F.col("term").asc_nulls_first())
+    key = ["lang", "block", "part"]
+    dealt = heads.unionByName(terms).repartition(*key).sortWithinPartitions(*key, F.col("term").asc_nulls_first(), "source")
     sums = dealt.mapInArrow(_slices, "lang string, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     return sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
 
