@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import binary as B
+from ..sources import logheader as H
 from ..sources import logtext as L
 from ..sources import tables as T
 from ..session import scratch
@@ -15,87 +16,235 @@ from .grid import query, zone_state
 RS = ["run_id", "snapshot_index"]
 
 
-def logs(spark, d):
-    """One log per run: header, snapshot blocks with a zone table, a footer for runs not divisible by three."""
+#: What a run of the grid writes into its log, in SQL: every zone of each snapshot (0 where the grid has none), and facts that vary from run to run.
+LOG_GRID = """
+f AS (SELECT run_id, snapshot_index, any_value(time_s) AS time_s FROM g GROUP BY 1, 2),
+z16 AS (SELECT CAST(unnest(range(1, 17)) AS INT) AS zone_id),
+w AS (SELECT f.run_id, f.snapshot_index, f.time_s, z16.zone_id, coalesce(g.density, 0) AS density, coalesce(g.pressure, 0) AS pressure,
+             dense_rank() OVER (PARTITION BY f.run_id ORDER BY f.snapshot_index) - 1 AS block, f.run_id % 5 = 0 AND f.snapshot_index = max(f.snapshot_index) OVER (PARTITION BY f.run_id) AS cut
+      FROM f CROSS JOIN z16 LEFT JOIN g ON g.run_id = f.run_id AND g.snapshot_index = f.snapshot_index AND g.zone_id = z16.zone_id),
+zm AS (SELECT run_id, zone_id, max(density) AS top FROM w GROUP BY 1, 2)
+"""
+
+
+def _real(c):
+    return F.format_string("%.14E", c.cast("double"))
+
+
+def log_parts(spark, d):
+    """run_id, snapshot_index, time_s, last (whether it is the run's last), cells: density and pressure of all zones, 0 where the grid has none."""
     z = zone_state(spark, d)
-    row = F.format_string("%d %s %s %s", F.col("zone_id"), F.format_number("width_cm", 1), F.regexp_replace(F.format_string("%.6e", "density"), "e", "D"), F.format_string("%.6e", "velocity"))
-    table = z.groupBy(*RS, "time_s").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("zone_id", row.alias("r")))), lambda s: s["r"]), "\n").alias("rows"))
-    block = F.concat(F.lit("Cycle = "), F.col("snapshot_index"), F.lit("  Time (s) = "), F.format_string("%.6e", "time_s"), F.lit("  dt (s) = 1.0D-01\n"), F.col("rows"), F.lit("\nEnergy summary\nTotal energy = 1.5 2.5\nBoundary flux\nRegion 1: 0.25 -5.0D-01\nEnergy exchange\nIon electron = 3.0\nEnergy balance\nError = 1.0-03\n"))
-    text = table.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("snapshot_index", block.alias("b")))), lambda s: s["b"]), "").alias("body"))
-    head = F.concat(F.lit("Run name: run "), F.col("run_id"), F.lit("\nEnd time (s) = 3.0\nEquation of state table\n1 13 al.prp\n2 6 ch.prp\nOpacity table\n1 50 al.prp\nRegions table\n1 1 8 4.973-02\n2 9 16 1.5D+1\nLaser power table\n0.0 1.0D+12\n1.0 2.5D+12\nZone masses\n1 0.5\n2 0.75\nRegion masses\n1 1.25\n"))
-    foot = F.when(F.col("run_id") % 3 == 0, "").when(F.col("run_id") % 3 == 1, "Run completed normally\n").otherwise("Run aborted by user\n")
-    return text.select(F.concat(F.lit("run_"), "run_id").alias("file"), F.concat(head, "body", foot).alias("text"))
+    frames = z.groupBy(*RS, "time_s").agg(F.map_from_entries(F.collect_list(F.struct("zone_id", F.struct("density", "pressure")))).alias("m"))
+    cell = lambda i: F.struct(i.cast("int").alias("zone_id"), *[F.coalesce(F.try_element_at("m", i.cast("int"))[c], F.lit(0.0)).alias(c) for c in ("density", "pressure")])
+    last = F.col("snapshot_index") == F.max("snapshot_index").over(Window.partitionBy("run_id"))
+    return frames.select(*RS, "time_s", last.alias("last"), F.transform(F.sequence(F.lit(1), F.lit(16)), cell).alias("cells"))
+
+
+def _table(head, units, rows):
+    return F.concat(F.lit(f"{head}\n{units}\n"), F.array_join(rows, "\n"), F.lit("\n"))
+
+
+def _header(top):
+    """The header of a run whose zones have the largest densities ``top``."""
+    r, region = F.col("run_id"), lambda i: F.slice(top, (i - 1) * 4 + 1, 4)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    join = lambda n, f: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), f), "\n")
+    parts = [
+        "PROGRAM (ver. 1.", r, ")\nDate and Time of Calculation: 1/2/2020 10:00:00\n\nGeometry type = PLANAR\nNumber of regions = 4\nNumber of materials = 2\nNumber of zones = 16\nPlasma model: model ", r,
+        "\nCycle  Time (s) stands in the header too\n\nMaterial Equation of State parameters:\n Index Model File\n\n", join(2, lambda i: F.concat(F.lit("  "), i, F.lit("  TABULAR   /eos/run "), r, F.lit(" m"), i, F.lit(".prp"))), "\n\n 9 AFTER blank\n\nMaterial Opacity parameters:\n",
+        join(2, lambda i: F.concat(F.lit("  "), i, F.lit("  GROUPS   /opacity/"), r * 10 + i)), "\n\nSpatial Region parameters:\n Index Min Max\n",
+        join(4, lambda i: F.concat_ws("  ", i, i * 4 - 3, i * 4, F.when(i % 2 == 1, i).otherwise(-i), F.format_string("%.2f", i * 10.5), F.lit("2.5E-02"), _real(total(region(i)) / 4), F.lit("1.0E+20"), _real(r * 1e-2))),
+        "\n\nLaser power table:\n", join(3, lambda i: F.concat_ws("  ", i, _real(i * 1e-9), _real(r * 1e12 + i))), "\n\nLASER SOURCE PARAMETERS:\nLaser wavelength (microns) = 0.351\nOriginates in zone index = ", r % 16 + 1,
+        "\n\nTIME CONTROL PARAMETERS:\nMax. cycle count = 100000\nMax. simulation time (sec) = 2.7E+00\n\nFrequency gridding parameters:\n 1 20 1.0E-01 3.0E+03\n\nPhoton energy grid:\n", F.format_string("%.4E  %.4E\n  %.4E", r * 1.0, r * 2.0, r * 3.0),
+        "\nZone masses:\n", F.array_join(F.transform(top, lambda v, i: F.concat_ws(" ", i + 1, _real(i + 1.0), F.lit("1.0E+00"), _real(v), F.lit("2.7E+01"))), "\n"), "\n\nZone masses per spatial region:\n", join(4, lambda i: F.concat(F.lit(" "), i, F.lit("  "), _real(total(region(i))))),
+        "\n Total Mass (g/cm**X) = ", _real(total(top)), f"\n{L.HEADER_END}\n\n",
+    ]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+
+def _diagnostics(cells):
+    """Lines after the tables of a block with these cells."""
+    s = F.col("snapshot_index")
+    rows = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat_ws("  ", F.concat(F.lit("  "), i), *[_real(F.element_at(cells, i * 4)["density"] * k) for k in range(1, 5)]))
+    pair = lambda name, a, b: F.concat(F.lit(f"   {name}:  "), _real(a), F.lit("  "), _real(b), F.lit("\n"))
+    first = F.element_at(cells, 1)["pressure"]
+    parts = [
+        "\nRadiation Cooling Rates and Boundary Fluxes\n", F.array_join(rows, "\n"), "\n", _real(s + 0.5), "\n\nEnergy Conservation Check -- units are (J/cm2)\nENERGY SUMMARY:\n        Initial   Current\n", pair("Ions (total)", F.col("run_id"), s), pair("Electrons", first, first * 2),
+        "\nENERGY EXCHANGE SUMMARY:\nEnergy Sources To Plasma:\n", pair("Laser", first * 3, s), "\nEnergy Lost From Grid:\n", pair("Radiation", first * 5, s * 2), "Energy Exchanged Between Components:\n", pair("Ele->Ion", first * 7, s * 3),
+        "\nENERGY BALANCE SUMMARY:\nE(init) = ", _real(first * 11), "  E(now) = ", _real(first * 13), "  E(sum) = ", _real(first * 17), "\n\n",
+    ]
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+
+PRIMARY_HEAD = "#Zone  Radius  Zone width  Mass dens  Velocity  Rad temp  Ion temp  Elec temp  Ion press  Elec press  Rad press  Compression  Elec Dens  Mean Chg  Art. Visc."
+SECONDARY_HEAD = "#Zone  Ion energy  Ele energy  IonHeatCap  EleHeatCap  Rad energy  Kin energy  RadHeating  RadCooling  {}RadNetHeat  LaserSrc  LaserDep"
 
 
-@query("log_blocks", "file block cycle", "time_s time_step_s", "s AS (SELECT DISTINCT run_id, snapshot_index, time_s FROM g) ;; SELECT 'run_' || run_id AS file, CAST(row_number() OVER (PARTITION BY run_id ORDER BY snapshot_index) - 1 AS INT) AS block, CAST(snapshot_index AS BIGINT) AS cycle, time_s, 1e-1 AS time_step_s FROM s")
+def logs(spark, d):
+    """One log per run: file, text. Column k of a zone is its density (first table) or pressure (second) times k.
+
+    Runs of odd number have 12 columns in the second table, others 11; every third column
+    has exponents without a letter, every fifth with a D. Runs divisible by five break off in their last block.
+    """
+    z = log_parts(spark, d)
+    odd = F.col("run_id") % 2 == 1
+
+    def number(v, k):
+        n = _real(v * k)
+        return F.replace(n, F.lit("E"), F.lit("D")) if k % 5 == 0 else F.replace(n, F.lit("E"), F.lit("")) if k % 3 == 0 else n
+
+    row = lambda c, field, n: F.concat_ws("  ", F.lpad(c["zone_id"].cast("string"), 6, " "), *[number(c[field], k) for k in range(1, n + 1)])
+    first = F.concat(F.array(F.lit("     0  -1.25E-01")), F.transform("cells", lambda c: row(c, "density", 14)))
+    short, long = F.transform("cells", lambda c: row(c, "pressure", 11)), F.transform("cells", lambda c: row(c, "pressure", 12))
+    second = F.when(odd, _table(SECONDARY_HEAD.format("RadSink  "), "   J/g ...", long)).otherwise(_table(SECONDARY_HEAD.format(""), "   J/g ...", short))
+    cut = F.col("last") & (F.col("run_id") % 5 == 0)
+    head = F.concat(F.lit("  Cycle    Time (s)   Delta t (s)   Limited by\n   "), F.col("snapshot_index"), F.lit("  "), F.format_string("%.6E", "time_s"), F.lit("  1.0D-01  zone 3\n\n"))
+    block = F.concat(head, _table(PRIMARY_HEAD, "   cm ...", first), F.lit("\n"), F.when(cut, F.lit("#Zone  Ion")).otherwise(F.concat(second, _diagnostics(F.col("cells")))))
+    text = z.groupBy("run_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("snapshot_index", block.alias("b"))))["b"], "").alias("body"))
+    tops = z.select("run_id", F.posexplode("cells.density").alias("i", "v")).groupBy("run_id", "i").agg(F.max("v").alias("v"))
+    tops = tops.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("top"))
+    foot = F.element_at(F.array(F.lit(""), F.lit("\n# Simulation completed on : 1/2/2020 11:00:00\n"), F.lit("\n# Simulation stopped at : limit\n"), F.lit("\n# Simulation ended\n")), (F.col("run_id") % 4 + 1).cast("int"))
+    whole = text.join(tops, "run_id").select(F.concat(F.lit("run_"), "run_id").alias("file"), F.concat(_header(F.col("top")), "body", F.when(F.col("run_id") % 5 == 0, "").otherwise(foot)).alias("text"))
+    return whole
+
+
+def written_logs(spark, d):
+    """The logs as files, and the index and blocks read from them; ``file`` is the run's name again."""
+    folder = scratch(spark, "logs")
+    logs(spark, d).withColumnRenamed("file", "name").write.partitionBy("name").text(folder)
+    ranges = L.index(spark, f"{folder}/*")
+    named = lambda df: df.withColumn("file", F.regexp_extract("file", "name=([^/]+)", 1))
+    return ranges, L.blocks(spark, f"{folder}/*", ranges), named
+
+
+def header_lines(spark, d):
+    return L.lines(L.block_texts(logs(spark, d)).filter("block = -1"))
+
+
+@query("log_blocks", "file block cycle valid", "time_s time_step_s boundary_cm", LOG_GRID + ";; SELECT 'run_' || run_id AS file, CAST(block AS INT) AS block, CAST(snapshot_index AS BIGINT) AS cycle, NOT any_value(cut) AS valid, any_value(time_s) AS time_s, 1e-1 AS time_step_s, -1.25e-1 AS boundary_cm FROM w GROUP BY run_id, block, snapshot_index")
 def log_blocks(spark, d):
-    return L.block_facts(L.blocks(logs(spark, d)))
+    """Blocks of log files, whole or not."""
+    ranges, b, named = written_logs(spark, d)
+    s = L.states(b, H.facts(L.header_text(ranges)))
+    return named(s.join(b.select("file", "block", "boundary_cm"), ["file", "block"]).select("file", "block", "cycle", "valid", "time_s", "time_step_s", "boundary_cm"))
 
 
-@query("log_zone_sums", "file zones", "widths", "SELECT 'run_' || run_id AS file, count(*) AS zones, sum(width_cm) AS widths FROM g GROUP BY 1")
+@query("log_zone_sums", "file zones", "widths", LOG_GRID + ";; SELECT 'run_' || run_id AS file, count(*) AS zones, sum(density * 2) AS widths FROM w GROUP BY 1")
 def log_zone_sums(spark, d):
-    parts = L.lines(L.blocks(logs(spark, d)).filter("block >= 0"))
-    z = L.zone_rows(parts, ["zone", "zone_width", "density", "velocity"], F.lit(16))
-    return z.groupBy("file").agg(F.count("density").alias("zones"), F.sum("zone_width").alias("widths"))
+    """Zones and widths of the logs, which are a column of text."""
+    b = L.parsed(L.block_texts(logs(spark, d)).filter("block >= 0"))
+    return L.zone_table(b, ["zone_width", "density"]).groupBy("file").agg(F.count("density").alias("zones"), F.sum("zone_width").alias("widths"))
 
 
-@query("log_regions", "file region_id min_zone max_zone", "mass", "SELECT DISTINCT 'run_' || run_id AS file, r AS region_id, lo AS min_zone, hi AS max_zone, m AS mass FROM g, (VALUES (1, 1, 8, 4.973e-2), (2, 9, 16, 1.5e1)) t(r, lo, hi, m)")
+@query("log_regions", "file region_index min_index max_index material_index", "atomic_weight mass_density velocity mass", LOG_GRID + """,
+r AS (SELECT run_id, 1 + (zone_id - 1) // 4 AS r, sum(top) AS mass FROM zm GROUP BY 1, 2)
+;; SELECT 'run_' || run_id AS file, CAST(r AS INT) AS region_index, CAST(r * 4 - 3 AS INT) AS min_index, CAST(r * 4 AS INT) AS max_index, CAST(CASE WHEN r % 2 = 1 THEN r ELSE -r END AS INT) AS material_index, r * 10.5e0 AS atomic_weight, mass / 4e0 AS mass_density, run_id * 1e-2 AS velocity, mass FROM r""")
 def log_regions(spark, d):
-    r = L.dimension(L.lines(L.blocks(logs(spark, d)).filter("block = -1")), "regions", ["region_id", "min_zone", "max_zone", "mass"], ["region_id", "min_zone", "max_zone", "mass"])
-    return r.select("file", *[F.col(c).cast("int").alias(c) for c in ("region_id", "min_zone", "max_zone")], "mass")
+    """Regions of every header with their masses."""
+    h = header_lines(spark, d)
+    return H.header_table(h, "regions").join(H.header_table(h, "region_masses"), ["file", "region_index"]).drop("temperature", "ion_density")
+
+
+@query("log_dimensions", "file section n names", "total", LOG_GRID + """,
+u AS (SELECT DISTINCT run_id AS r FROM w)
+;; SELECT 'run_' || r AS file, 'eos' AS section, 2::BIGINT AS n, '/eos/run ' || r || ' m1.prp,/eos/run ' || r || ' m2.prp' AS names, 3e0 AS total FROM u
+UNION ALL SELECT 'run_' || r, 'opacity', 2, '/opacity/' || (r * 10 + 1) || ',/opacity/' || (r * 10 + 2), 3e0 FROM u
+UNION ALL SELECT 'run_' || r, 'laser_power', 3, '', 3e12 * r + 6 FROM u
+UNION ALL SELECT 'run_' || r, 'frequency_gridding', 1, '', 3e3 FROM u
+UNION ALL SELECT 'run_' || r, 'photon_grid', 3, '', 6e0 * r FROM u
+UNION ALL SELECT 'run_' || run_id, 'zone_masses', 16, '', sum(top) FROM zm GROUP BY run_id""")
+def log_dimensions(spark, d):
+    """The other tables of every header: rows, paths, and the sum of a column."""
+    h, parts = header_lines(spark, d), []
+    for section, path, value in (("eos", "file_path", "index"), ("opacity", "file_path", "index"), ("laser_power", None, "power"), ("zone_masses", None, "mass"), ("frequency_gridding", None, "max_photon_energy")):
+        names = F.array_join(F.sort_array(F.collect_list(path)), ",") if path else F.lit("")
+        parts.append(H.header_table(h, section).groupBy("file").agg(F.lit(section).alias("section"), F.count("*").alias("n"), names.alias("names"), F.sum(F.col(value).cast("double")).alias("total")))
+    parts.append(H.photon_grid(h).groupBy("file").agg(F.lit("photon_grid").alias("section"), F.count("*").alias("n"), F.lit("").alias("names"), F.sum("energy").alias("total")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-#: Header section: its columns, and which are numbers.
-DIMENSIONS = {"eos": ["region_id", "atomic_number", "table"], "opacity": ["region_id", "groups", "table"], "laser": ["time_s", "power"], "zone_mass": ["zone_id", "mass"], "region_mass": ["region_id", "mass"]}
+ALL_FIELDS = [*L.PRIMARY, *L.SECONDARY_12]
 
 
-@query("log_dimensions", "file section n names", "total", "SELECT DISTINCT 'run_' || run_id AS file, s AS section, n, names, total FROM g, (VALUES ('eos', 2::BIGINT, 'al.prp,ch.prp', 1.9e1), ('opacity', 1::BIGINT, 'al.prp', 5e1), ('laser', 2::BIGINT, '', 3.5e12), ('zone_mass', 2::BIGINT, '', 1.25e0), ('region_mass', 1::BIGINT, '', 1.25e0)) t(s, n, names, total)")
-def log_dimensions(spark, d):
-    head, parts = L.lines(L.blocks(logs(spark, d)).filter("block = -1")), None
-    for section, columns in DIMENSIONS.items():
-        rows = L.dimension(head, section, columns, [c for c in columns if c != "table"])
-        names = F.array_join(F.sort_array(F.collect_set("table")), ",") if "table" in columns else F.lit("")
-        one = rows.groupBy("file").agg(F.lit(section).alias("section"), F.count("*").alias("n"), names.alias("names"), F.sum(columns[1]).alias("total"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+@query("log_zone_table", "file rows", " ".join(ALL_FIELDS), LOG_GRID + ";; SELECT 'run_' || run_id AS file, count(*) AS rows, " + ", ".join(f"sum({k}e0 * density) AS {c}" for k, c in enumerate(L.PRIMARY, 1)) + ", " + ", ".join(f"sum(CASE WHEN run_id % 2 = 1 THEN {L.SECONDARY_12.index(c) + 1}e0 {f'ELSE {L.SECONDARY_11.index(c) + 1}e0 ' if c in L.SECONDARY_11 else ''}END * pressure) FILTER (WHERE NOT cut) AS {c}" for c in L.SECONDARY_12) + " FROM w GROUP BY run_id")
+def log_zone_table(spark, d):
+    """Every column of both tables of the log files, in both layouts of the second."""
+    _, b, named = written_logs(spark, d)
+    t = L.zone_table(b, n_zones=F.lit(16))
+    return named(t.groupBy("file").agg(F.count("zone").alias("rows"), *[F.sum(c).alias(c) for c in ALL_FIELDS]))
 
 
-def tables_log(spark, d):
-    """One log per run with both zone tables: the inner boundary and every zone in the first, the zones above 2 in the second."""
-    z = zone_state(spark, d)
-    number = lambda c, k: F.format_string("%.14e", F.col(c) * k)
-    first = F.concat_ws(" ", "zone_id", *[number(c, k) for k in (1.0, 2.0) for c in ("width_cm", "density", "velocity", "pressure", "temperature_e", "temperature_i")], number("density", 3.0))
-    second = F.concat_ws(" ", "zone_id", *[number("pressure", float(k)) for k in range(1, 12)])
-    rows = F.sort_array(F.collect_list(F.struct("zone_id", first.alias("a"), F.when(F.col("zone_id") > 2, second).alias("b"))))
-    t = z.groupBy(*RS, "time_s").agg(rows.alias("r"))
-    body = F.concat(F.lit("Cycle = "), F.col("snapshot_index"), F.lit("  Time (s) = "), F.format_string("%.6e", "time_s"), F.lit("\nzones\n0 0.0 0.0 0.0\n"), F.array_join("r.a", "\n"), F.lit("\nmore\n"), F.array_join("r.b", "\n"), F.lit("\n"))
-    text = t.groupBy("run_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("snapshot_index", body.alias("b"))))["b"], "").alias("body"))
-    return text.select(F.concat(F.lit("run_"), "run_id").alias("file"), F.concat(F.lit("Run name: x\n"), "body").alias("text"))
+@query("log_unknown_layout", "file rows fields", "flux_in gain", "SELECT 'x' || run_id AS file, count(*) AS rows, 'flux_in g/s,gain 1' AS fields, sum(density) AS flux_in, sum(pressure) AS gain FROM g GROUP BY 1")
+def log_unknown_layout(spark, d):
+    """Tables whose labels no layout has: columns from what stands over the numbers."""
+    row = F.concat(F.lpad(F.col("zone_id").cast("string"), 5, " "), F.lit("   "), _real(F.col("density")), F.lit("   "), _real(F.col("pressure")))
+    b = zone_state(spark, d).groupBy("run_id", "snapshot_index").agg(F.sort_array(F.collect_list(F.struct("zone_id", row.alias("r"))))["r"].alias("rows"))
+    both = _table(f"#Zone   {'Flux in':<23}Gain", f"        {'(g/s)':<23}(1)", F.col("rows"))
+    b = L.parsed(b.select(F.concat(F.lit("x"), "run_id").alias("file"), F.col("snapshot_index").alias("block"), F.concat(F.lit("  Cycle  Time (s)\n 1 2.0 3.0\n"), both).alias("text")))
+    fields = b.select("file", "block", F.array_join(F.transform(F.map_entries("units"), lambda e: F.concat_ws(" ", e["key"], e["value"])), ",").alias("fields"))
+    t = L.zone_table(b, ["flux_in", "gain"]).join(fields, ["file", "block"])
+    return t.groupBy("file", "fields").agg(F.count("zone").alias("rows"), F.sum("flux_in").alias("flux_in"), F.sum("gain").alias("gain"))
 
 
-@query("log_zone_table", "file rows bounds second", "radius ion_energy electron_energy radiation_sink", "SELECT 'run_' || run_id AS file, count(*) + count(DISTINCT snapshot_index) AS rows, count(DISTINCT snapshot_index) AS bounds, count(*) FILTER (WHERE zone_id > 2) AS second, sum(width_cm) AS radius, sum(3e0 * density) AS ion_energy, sum(pressure) FILTER (WHERE zone_id > 2) AS electron_energy, sum(11e0 * pressure) FILTER (WHERE zone_id > 2) AS radiation_sink FROM g GROUP BY 1")
-def log_zone_table(spark, d):
-    t = L.zone_table(L.lines(L.blocks(tables_log(spark, d)).filter("block >= 0")), F.lit(16))
-    return t.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("zone") == 0).alias("bounds"), F.count("electron_energy").alias("second"), *[F.sum(c).alias(c) for c in ("radius", "ion_energy", "electron_energy", "radiation_sink")])
+@query("log_header", "file code_version geometry n_zones plasma_model origin_zone_index source_wavelength", "total_mass max_simulation_time", LOG_GRID + ";; SELECT 'run_' || run_id AS file, '1.' || run_id AS code_version, 'PLANAR' AS geometry, CAST(16 AS INT) AS n_zones, 'model ' || run_id AS plasma_model, CAST(run_id % 16 + 1 AS INT) AS origin_zone_index, '0.351' AS source_wavelength, sum(top) AS total_mass, 2.7e0 AS max_simulation_time FROM zm GROUP BY run_id")
+def log_header(spark, d):
+    """Facts of every header, and one of its key and value lines."""
+    head = L.block_texts(logs(spark, d)).filter("block = -1")
+    pairs = H.key_values(L.lines(head)).filter("key = 'laser_wavelength_microns'").select("file", F.col("value").alias("source_wavelength"))
+    return H.facts(head).join(pairs, "file").select("file", "code_version", "geometry", "n_zones", "plasma_model", "origin_zone_index", "source_wavelength", "total_mass", "max_simulation_time")
 
 
-@query("log_header", "file run_name end_time", "", "SELECT DISTINCT 'run_' || run_id AS file, 'run ' || run_id AS run_name, '3.0' AS end_time FROM g")
-def log_header(spark, d):
-    h = L.key_values(L.lines(L.blocks(logs(spark, d)).filter("block = -1")))
-    return h.select("file", F.col("header")["run_name"].alias("run_name"), F.col("header")["end_time_s"].alias("end_time"))
+DIAGNOSTICS_SQL = ", ".join(
+    [f"('radiation_boundary_fluxes/{n}', {r}, max(density) FILTER (WHERE zone_id = {4 * r + 4}) * {k}e0)" for k, n in enumerate(H.FLUXES, 1) for r in range(4)]
+    + ["('radiation_boundary_fluxes/terminal_net_flux_at_boundary', 0, s + 5e-1)", "('energy_summary/initial/ions_total', 0, run_id)", "('energy_summary/current/ions_total', 0, s)"]
+    + [f"('{n}', 0, {v})" for n, v in (("energy_summary/initial/electrons", "p"), ("energy_summary/current/electrons", "2e0 * p"), ("energy_exchange/sources_to_plasma/laser/total", "3e0 * p"), ("energy_exchange/sources_to_plasma/laser/last_step", "s"), ("energy_exchange/lost_from_grid/radiation/total", "5e0 * p"), ("energy_exchange/lost_from_grid/radiation/last_step", "2e0 * s"), ("energy_exchange/between_components/ele_to_ion/total", "7e0 * p"), ("energy_exchange/between_components/ele_to_ion/last_step", "3e0 * s"), ("energy_balance/initial/e_init", "11e0 * p"), ("energy_balance/current/e_now", "13e0 * p"), ("energy_balance/initial_plus_gains_minus_losses/e_sum", "17e0 * p"))]
+)
 
 
-@query("log_diagnostics", "file path pos n", "total", "s AS (SELECT DISTINCT run_id, snapshot_index FROM g) ;; SELECT 'run_' || run_id AS file, k AS path, p AS pos, count(*) AS n, sum(v) AS total FROM s, (VALUES ('energy/total_energy', 0, 1.5e0), ('energy/total_energy', 1, 2.5e0), ('boundary/region_1', 0, 2.5e-1), ('boundary/region_1', 1, -5e-1), ('exchange/ion_electron', 0, 3e0), ('balance/error', 0, 1e-3)) t(k, p, v) GROUP BY ALL")
-def log_diagnostics(spark, d):
-    g = L.diagnostics(L.lines(L.blocks(logs(spark, d))))
-    return g.groupBy("file", "path", "pos").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def _diagnostics_sql():
+    """One row a block with a column for each value, then a row for each."""
+    import re
 
+    entries = re.findall(r"\('([^']+)', (\d+), (.+?)\)(?=, \('|$)", DIAGNOSTICS_SQL)
+    wide = ", ".join(f"CAST({v.replace('max(density) FILTER (WHERE zone_id = ', 'd[').replace(') *', '] *')} AS DOUBLE) AS v{i}" for i, (_, _, v) in enumerate(entries))
+    names = ", ".join(f"('{n}', {k}, v{i})" for i, (n, k, _) in enumerate(entries))
+    return f""",
+b AS (SELECT run_id, snapshot_index AS s, max(pressure) FILTER (WHERE zone_id = 1) AS p, list(density ORDER BY zone_id) AS d FROM w WHERE NOT cut GROUP BY 1, 2),
+x AS (SELECT run_id, {wide} FROM b)
+;; SELECT 'run_' || run_id AS file, path, CAST(pos AS INT) AS pos, count(*) AS n, sum(v) AS total FROM x, LATERAL (VALUES {names}) t(path, pos, v) GROUP BY ALL"""
 
-@query("run_status", "run_id state indexed valid_count note", "last_time", "b AS (SELECT run_id, snapshot_index, any_value(time_s) AS time_s, count(*) >= 4 AS ok FROM g GROUP BY 1, 2), m AS (SELECT *, snapshot_index = max(snapshot_index) OVER (PARTITION BY run_id) AS fin FROM b), f AS (SELECT run_id, count(*) AS indexed, count(*) FILTER (WHERE ok) AS valid_count, max(time_s) FILTER (WHERE ok) AS last_time, bool_or(fin AND NOT ok) AS dl, bool_or(NOT fin AND NOT ok) AS dm FROM m GROUP BY 1) ;; SELECT *, CASE WHEN dm THEN 'error' WHEN dl THEN 'truncated' WHEN run_id % 3 = 1 THEN 'completed' WHEN run_id % 3 = 2 THEN 'aborted' ELSE 'unknown' END AS state, CASE WHEN abs(3e0 - last_time) > 1e-1 THEN 'last time differs from the intended end' END AS note FROM f")
+
+@query("log_diagnostics", "file path pos n", "total", LOG_GRID + _diagnostics_sql())
+def log_diagnostics(spark, d):
+    """Every diagnostic of the logs, summed over the snapshots."""
+    b = L.parsed(L.block_texts(logs(spark, d)).filter("block >= 0"))
+    return H.diagnostics(L.rest_lines(b)).groupBy("file", "path", "pos").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("log_run_status", "file state source indexed valid_count reason footer_message footer_datetime note", "last_time intended_end", LOG_GRID + """,
+s AS (SELECT run_id, count(DISTINCT block) AS indexed, count(DISTINCT block) FILTER (WHERE NOT cut) AS valid_count, max(time_s) FILTER (WHERE NOT cut) AS last_time, bool_or(cut) AS t FROM w GROUP BY 1)
+;; SELECT 'run_' || run_id AS file, CASE WHEN valid_count = 0 THEN 'error' WHEN t THEN 'truncated' WHEN run_id % 4 = 0 THEN 'unknown' WHEN run_id % 4 = 1 THEN 'completed' ELSE 'aborted' END AS state,
+  CASE WHEN t THEN 'partial_final_block' WHEN run_id % 4 = 0 THEN 'footer_absent' ELSE 'footer' END AS source, indexed, valid_count, CASE WHEN t THEN 'missing the second field table' END AS reason,
+  CASE WHEN t THEN NULL WHEN run_id % 4 = 1 THEN '# Simulation completed on : 1/2/2020 11:00:00' WHEN run_id % 4 = 2 THEN '# Simulation stopped at : limit' WHEN run_id % 4 = 3 THEN '# Simulation ended' END AS footer_message,
+  CASE WHEN t THEN NULL WHEN run_id % 4 = 1 THEN '1/2/2020 11:00:00' WHEN run_id % 4 = 2 THEN 'limit' END AS footer_datetime,
+  CASE WHEN abs(2.7e0 - last_time) > 1e-1 THEN 'last time differs from the intended end' END AS note, last_time, 2.7e0 AS intended_end FROM s""")
+def log_run_status(spark, d):
+    """How every logged run ended, by its blocks and its last lines."""
+    ranges, b, named = written_logs(spark, d)
+    facts = H.facts(L.header_text(ranges))
+    s = L.states(b, facts).select(F.col("file").alias("run_id"), F.col("block").alias("snapshot_index"), "time_s", "time_step_s", "valid", "reason")
+    ends = L.footer_text(ranges).join(facts, "file").select(F.col("file").alias("run_id"), "footer", F.col("max_simulation_time").alias("intended_end"))
+    return named(T.run_status(s, ends).withColumnRenamed("run_id", "file").drop("dropped_last"))
+
+
+@query("run_status", "run_id state indexed valid_count note", "last_time", "b AS (SELECT run_id, snapshot_index, any_value(time_s) AS time_s, count(*) >= 4 AS ok FROM g GROUP BY 1, 2), m AS (SELECT *, snapshot_index = max(snapshot_index) OVER (PARTITION BY run_id) AS fin FROM b), f AS (SELECT run_id, count(*) AS indexed, count(*) FILTER (WHERE ok) AS valid_count, max(time_s) FILTER (WHERE ok) AS last_time, bool_or(fin AND NOT ok) AS dl, bool_or(NOT fin AND NOT ok) AS dm FROM m GROUP BY 1) ;; SELECT *, CASE WHEN dm OR valid_count = 0 THEN 'error' WHEN dl THEN 'truncated' WHEN run_id % 3 = 1 THEN 'completed' WHEN run_id % 3 = 2 THEN 'aborted' ELSE 'unknown' END AS state, CASE WHEN abs(3e0 - last_time) > 1e-1 THEN 'last time differs from the intended end' END AS note FROM f")
 def run_status(spark, d):
     z = zone_state(spark, d)
     s = z.groupBy(*RS).agg(F.first("time_s").alias("time_s"), (F.count("*") >= 4).alias("valid")).withColumn("time_step_s", F.lit(0.1))
-    foot = z.select("run_id").distinct().select("run_id", F.when(F.col("run_id") % 3 == 1, "Run completed normally").when(F.col("run_id") % 3 == 2, "Run aborted by user").otherwise("").alias("footer"), F.lit(3.0).alias("intended_end"))
+    foot = z.select("run_id").distinct().select("run_id", F.when(F.col("run_id") % 3 == 1, "# Simulation completed on : today").when(F.col("run_id") % 3 == 2, "# Simulation terminated").otherwise("").alias("footer"), F.lit(3.0).alias("intended_end"))
     return T.run_status(s, foot).select("run_id", "state", "indexed", "valid_count", "note", "last_time")
 
 

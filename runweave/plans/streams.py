@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import growing as G
 from ..streaming import streams as X
 from ..session import scratch
 from .grid import ZONES, query
-from .ingest import logs
+from .ingest import LOG_GRID, logs
 
 STATE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -69,3 +70,13 @@ def stream_snapshots(spark, d):
     logs(spark, d).withColumnRenamed("file", "name").write.partitionBy("name").text(folder)
     out = X.drained(X.snapshot_stream(spark, f"{folder}/*"), "snapshots")
     return out.withColumn("file", F.regexp_extract("file", "name=([^/]+)", 1))
+
+
+@query("stream_growing_logs", "file cycle zones", "time_s density", LOG_GRID + ";; SELECT 'run_' || run_id AS file, CAST(snapshot_index AS BIGINT) AS cycle, count(*) AS zones, any_value(time_s) AS time_s, sum(3e0 * density) AS density FROM (SELECT *, snapshot_index = max(snapshot_index) OVER (PARTITION BY run_id) AS fin FROM w) WHERE NOT fin OR (run_id % 4 > 0 AND run_id % 5 > 0) GROUP BY 1, 2")
+def stream_growing_logs(spark, d):
+    """Logs that are still written: a last block counts once the run's footer is there."""
+    folder = scratch(spark, "growing")
+    logs(spark, d).withColumnRenamed("file", "name").write.partitionBy("name").text(folder)
+    b = X.drained(G.arriving_blocks(spark, folder, ".txt"), "growing")
+    z = b.select(F.regexp_extract("file", "name=([^/]+)", 1).alias("file"), "cycle", "time_s", F.size("zones").cast("long").alias("zones"), F.aggregate(F.col("fields")["density"], F.lit(0.0), lambda a, x: a + x).alias("density"))
+    return z.select("file", "cycle", "zones", "time_s", "density")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .logheader import footer_state
+
 #: Canonical field, axes, unit, label.
 FIELDS = [
     ("density", ["time", "zone"], "g/cm3", "Mass density"),
@@ -93,27 +95,32 @@ def alias_view(df: DataFrame, names: dict[str, str] = ALIASES) -> DataFrame:
 
 
 def run_status(snapshots: DataFrame, footers: DataFrame) -> DataFrame:
-    """State of each run from its footer text and its last valid snapshot.
+    """State of each run from the last lines of its log and its last whole snapshot.
 
-    ``snapshots``: run_id, snapshot_index, time_s, time_step_s, valid; ``footers``:
-    run_id, footer, intended_end. A bad last block makes the run truncated; a
-    bad block before it is an error.
+    ``snapshots``: run_id, snapshot_index, time_s, time_step_s, valid, and, if it has it,
+    the reason of those that are not; ``footers``: run_id, footer, intended_end. A bad last
+    block makes a run truncated and is dropped; a bad block before it, or one alone, is
+    an error. The note compares the last time with the intended one.
     """
     last = Window.partitionBy("run_id")
-    s = snapshots.withColumn("is_last", F.col("snapshot_index") == F.max("snapshot_index").over(last))
+    s = snapshots if "reason" in snapshots.columns else snapshots.withColumn("reason", F.lit(None).cast("string"))
+    s = s.withColumn("is_last", F.col("snapshot_index") == F.max("snapshot_index").over(last))
     ok = F.when(F.col("valid"), F.struct("snapshot_index", "time_s", "time_step_s"))
-    facts = s.groupBy("run_id").agg(F.count("*").alias("indexed"), F.count_if("valid").alias("valid_count"), F.max(ok).alias("l"), F.bool_or(F.col("is_last") & ~F.col("valid")).alias("dropped_last"), F.bool_or(~F.col("is_last") & ~F.col("valid")).alias("damaged"))
-    j = facts.join(footers, "run_id", "left")
-    state = (
-        F.when(F.col("damaged"), "error")
-        .when(F.col("dropped_last"), "truncated")
-        .when(F.regexp_extract("footer", "(?i)(normal end|completed)", 1) != "", "completed")
-        .when(F.regexp_extract("footer", "(?i)(abort|terminated)", 1) != "", "aborted")
-        .otherwise("unknown")
+    bad_last = F.col("is_last") & ~F.col("valid")
+    facts = s.groupBy("run_id").agg(
+        F.count("*").alias("indexed"),
+        F.count_if("valid").alias("valid_count"),
+        F.max(ok).alias("l"),
+        F.bool_or(bad_last).alias("dropped_last"),
+        F.bool_or(~F.col("is_last") & ~F.col("valid")).alias("damaged"),
+        F.max(F.when(bad_last, F.col("reason"))).alias("reason"),
     )
-    slack = F.greatest(F.abs("l.time_step_s"), 1e-6 * F.abs("intended_end"), F.lit(1e-15))
+    j = facts.join(footers, "run_id", "left").withColumn("f", footer_state(F.col("footer")))
+    state = F.when(F.col("damaged") | (F.col("valid_count") == 0), "error").when(F.col("dropped_last"), "truncated").otherwise(F.col("f.state"))
+    source = F.when(F.col("dropped_last"), "partial_final_block").when(F.col("f.message").isNotNull(), "footer").otherwise("footer_absent")
+    slack = F.greatest(F.coalesce(F.abs("l.time_step_s"), F.lit(0.0)), 1e-6 * F.abs("intended_end"), F.lit(1e-15))
     note = F.when((F.abs(F.col("intended_end") - F.col("l.time_s")) > slack), "last time differs from the intended end")
-    return j.select("run_id", state.alias("state"), "indexed", "valid_count", F.col("l.time_s").alias("last_time"), "intended_end", "dropped_last", note.alias("note"))
+    return j.select("run_id", state.alias("state"), source.alias("source"), "indexed", "valid_count", F.col("l.time_s").alias("last_time"), "intended_end", "dropped_last", "reason", F.col("f.message").alias("footer_message"), F.col("f.date").alias("footer_datetime"), note.alias("note"))
 
 
 def resolve_sources(paths: DataFrame) -> DataFrame:

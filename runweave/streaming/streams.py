@@ -14,9 +14,9 @@ from ..sources import logtext
 
 
 def snapshot_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot facts of log files as they arrive in a folder; a file is read whole once it is there."""
+    """Snapshot facts of log files as they arrive in a folder; a file is read whole once it is there (``sources.growing`` for logs still written)."""
     raw = spark.readStream.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return logtext.block_facts(logtext.blocks(raw))
+    return logtext.parsed(logtext.block_texts(raw).filter("block >= 0")).select("file", "block", "cycle", "time_s", "time_step_s")
 
 
 class Cumulative(StatefulProcessor):

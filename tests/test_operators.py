@@ -1,6 +1,7 @@
 """Operators on small fixtures with known answers."""
 
 import math
+import re
 import struct
 
 import numpy as np
@@ -15,7 +16,7 @@ from runweave.operators import reduce as R
 from runweave.operators import select as sel
 from runweave.operators import waves as V
 from runweave.operators import windows as W
-from runweave.sources import binary, logtext, tables
+from runweave.sources import binary, growing, logheader, logtext, tables
 from runweave.session import nan_to_null
 
 RS = ["run_id", "snapshot_index"]
@@ -235,26 +236,48 @@ def test_overlaps_merge_from_the_strongest(spark):
     assert sorted(k[2] for k in got if k[0] == 2) == [20.0, 30.0, 40.0, 50.0, 60.0]
 
 
-def log_text(n_last):
+def log_text(n_last, zones=4):
+    row = lambda z, n, k: f"{z:6d} " + " ".join(f"{z + i * k}.5-01" if i == 3 else f"{z}.{i}" if i % 2 else f"{z}.0D+0{i % 3}" for i in range(1, n + 1))
+
     def block(i, n):
-        rows = "\n".join(f"{z} {z}.0 1.0 {z}.5-01 0.0" for z in range(0, n + 1))
-        return f"Cycle = {i}  Time (s) = {i}.0D-09  dt (s) = 1.0D-09\n{rows}\n"
+        first = "\n".join(["     0 -1.5", *[row(z, 14, 1) for z in range(1, zones + 1)]])
+        second = "\n".join(row(z, 12, 2) for z in range(1, n + 1))
+        return f"   Cycle    Time (s)  Delta t\n   {i}  {i}.0D-09  1.0D-09  zone 1\n\n#  Radius  Zone width\n  (cm) (cm)\n\n{first}\n\n some words\n# Ion energy RadSink\n (J/g)\n{second}\n\nENERGY SUMMARY:\n Ions: {i}.0 2.0\n\n"
 
-    return "Run name: demo\nEnd time (s) = 2.0E-09\nRegions table\n1 1 2 0.5\n2 3 4 0.25\n" + block(0, 4) + block(1, 4) + block(2, n_last)
+    head = f" Cycle  Time (s) in the header\nNumber of zones = {zones}\nMax. simulation time (sec) = 2.0E-09\nSpatial Region parameters:\n\n 1 1 2 5 27.0 0.025 2.7 6E22 0.0\n\n 2 3 4 6 27.0 0.025 2.7 6E22 0.0\n" + logtext.HEADER_END + " ---\n"
+    return head + block(0, zones) + block(1, zones) + block(2, n_last)
 
 
-@pytest.mark.parametrize(("n_last", "footer", "state"), [(4, "Run completed normally\n", "completed"), (4, "Run aborted\n", "aborted"), (4, "", "unknown"), (2, "", "truncated")])
+@pytest.mark.parametrize(("n_last", "footer", "state"), [(4, "# Simulation completed on : 1/2/2020\n", "completed"), (4, "# Simulation stopped at : x\n", "aborted"), (4, "#Simulation ENDED", "aborted"), (4, "", "unknown"), (2, "", "truncated"), (0, "# Simulation completed on : x", "truncated")])
 def test_log_ingest_and_status(spark, tmp_path, n_last, footer, state):
     (tmp_path / "a.log").write_text(log_text(n_last) + footer)
-    logs = logtext.read_logs(spark, str(tmp_path))
-    s = logtext.snapshot_states(logs, 4)
-    assert [r.valid for r in s.orderBy("block").collect()] == [True, True, n_last == 4]
-    rows = logtext.zone_rows(logtext.lines(logtext.blocks(logs).filter("block = 1")), ["zone", "radius", "zone_width", "density"], F.lit(4))
-    got = {r.zone: (r.radius, r.density) for r in rows.collect()}
-    assert got[3] == (3.0, 0.35) and 0 in got
-    named = s.select(F.col("file").alias("run_id"), F.col("block").alias("snapshot_index"), "time_s", "time_step_s", "valid")
-    status = tables.run_status(named, logtext.footers(logs).withColumnRenamed("file", "run_id")).first()
-    assert status.state == state and status.valid_count == (3 if n_last == 4 else 2) and status.intended_end == 2e-9
+    ranges = logtext.index(spark, str(tmp_path))
+    blocks = logtext.blocks(spark, str(tmp_path), ranges)
+    facts = logheader.facts(logtext.header_text(ranges))
+    assert facts.first().n_zones == 4 and facts.first().max_simulation_time == 2e-9 and facts.first().laser_wavelength is None
+    s = logtext.states(blocks, facts)
+    assert [(r.valid, r.cycle, r.time_s, r.time_step_s) for r in s.orderBy("block").collect()] == [(True, 0, 0.0, 1e-9), (True, 1, 1e-9, 1e-9), (n_last == 4, 2, 2e-9, 1e-9)]
+    got = {r.zone: r for r in logtext.zone_table(blocks.filter("block = 1"), n_zones=F.lit(3)).collect()}
+    assert set(got) == {1, 2, 3} and got[3].radius == 3.1 and got[3].zone_width == 300.0 and got[3].density == 0.65 and got[2].radiation_sink == 2.9 and got[2].laser_deposition == 2.0
+    assert blocks.filter("boundary_cm = -1.5").count() == 3
+    named = s.select(F.col("file").alias("run_id"), F.col("block").alias("snapshot_index"), "time_s", "time_step_s", "valid", "reason")
+    ends = logtext.footer_text(ranges).join(facts, "file").select(F.col("file").alias("run_id"), "footer", F.col("max_simulation_time").alias("intended_end"))
+    status = tables.run_status(named, ends).first()
+    assert status.state == state and status.valid_count == (3 if n_last == 4 else 2) and status.intended_end == 2e-9 and (status.reason is None) == (n_last == 4)
+    head = logtext.lines(logtext.block_texts(logtext.read_logs(spark, str(tmp_path))).filter("block = -1"))
+    assert [r.region_index for r in logheader.header_table(head, "regions").collect()] == [1]  # a blank line ends the table
+    d = {(r.block, r.path): r.value for r in logheader.diagnostics(logtext.rest_lines(blocks)).collect()}
+    assert d[(1, "energy_summary/initial/ions")] == 1.0 and d[(1, "energy_summary/current/ions")] == 2.0
+
+
+def test_damaged_tables(spark):
+    rows = ["1 1.0 2.0-3.0", "2 1.0 2.0", "3 1.0 2.0 3.0 4.0 5.0", "1 7.0 8.0 9.0", "x", "4 0 0 0"]
+    text = "Cycle Time (s)\n 1 2.0 3.0\n#  A    Bee  C\n units\n" + "\n".join(rows)
+    b = logtext.parsed(spark.createDataFrame([("f", 0, text), ("f", 1, "Cycle Time (s)\nbad"), ("f", 2, "Cycle Time (s)")], "file string, block int, text string")).orderBy("block").collect()
+    assert b[0].table_zones == [[1, 2, 3, 1]] and b[0].padded == [3] and b[0].cut == [0] and b[0].problem == "missing the second field table"
+    assert b[1].problem == b[2].problem == "malformed cycle line" and b[1].cycle is None and b[1].zones == []
+    t = logtext._Table("Radius", "cm", ["1 " + "1.0 " * 13 + "2.0-3.0", "2 " + "5.0 " * 16, "-1 3.0", "+3 1.0"])
+    assert t.zones.tolist() == [1, 2, 3] and (t.padded, t.cut) == (1, 2) and t.values[0].tolist() == [1.0] * 13 + [2.0] and t.values[1, 13] == 5.0 and np.isnan(t.values[2, 1])
 
 
 def test_binary_source(spark, tmp_path):
@@ -300,28 +323,57 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_log_lines_by_ranges_equal_whole_files(spark, tmp_path):
-    text = log_text(4) + "Run completed\n"
-    for i in range(3):
-        (tmp_path / f"{i}.log").write_text(text * (i + 1))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
-    try:
-        got = [(r.file, r.block, r.line, r.text) for r in logtext.read_lines(spark, str(tmp_path)).collect()]
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert len({f for f, *_ in got}) == 3
+def test_blocks_by_ranges_equal_whole_files(spark, tmp_path):
     for i in range(3):
-        own = sorted((line, block, t) for f, block, line, t in got if f.endswith(f"/{i}.log"))
-        want, block = [], -1
-        for line, t in enumerate((text * (i + 1)).splitlines()):
-            block += t.startswith("Cycle")
-            want.append((line, block, t))
-        assert own == want
-
-
-def test_zone_table_sets_both_tables_side_by_side(spark):
-    first, second = [f"{z} " + " ".join(f"{z}.{k}" for k in range(13)) for z in range(3)], [f"{z} " + " ".join(f"{z}{k}.5-01" for k in range(11)) for z in range(1, 3)]
-    rows = spark.createDataFrame([("a", 0, i, t) for i, t in enumerate([*first, "zone table", *second, "3 short"])], "file string, block int, line long, text string")
-    got = {r.zone: r for r in logtext.zone_table(rows, F.lit(9)).collect()}
-    assert set(got) == {0, 1, 2} and got[1].radius == 1.0 and got[2].ion_energy == 2.12 and got[0].electron_energy is None
-    assert got[1].electron_energy == pytest.approx(1.05) and got[2].radiation_sink == pytest.approx(21.05)
+        (tmp_path / f"{i}.log").write_text(log_text(4 - i, zones=4 + 3 * i) + "".join(log_text(4).partition(logtext.HEADER_END + " ---\n")[2] for _ in range(i)) + "# Simulation completed on : x\n")
+    whole = logtext.block_texts(logtext.read_logs(spark, str(tmp_path)))
+    fields = ["file", "block", "cycle", "time_s", "problem", "zones", "fields", "rest", "boundary_cm"]
+    key = lambda r: (r.file, r.block)
+    want = sorted(logtext.parsed(whole.filter("block >= 0")).select(fields).collect(), key=key)
+    heads = sorted(map(tuple, whole.filter("block = -1").select("file", "text").collect()))
+    assert len(want) == 18 and heads[0][1].endswith(" ---") and logtext.HEADER_END in heads[0][1]
+    for size in ("150", "700", "5000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            ranges = logtext.index(spark, str(tmp_path))
+            got = sorted(logtext.blocks(spark, str(tmp_path), ranges).select(fields).collect(), key=key)
+            assert sorted(map(tuple, logtext.header_text(ranges).collect())) == heads
+            assert all(r.footer.rstrip().endswith("completed on : x") for r in logtext.footer_text(ranges).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r.asDict() | {"rest": [x for x in r.rest if x]} for r in got] == [r.asDict() | {"rest": [x for x in r.rest if x]} for r in want]
+
+
+def test_growing_logs_give_each_block_once(spark, tmp_path):
+    import random
+
+    random.seed(5)
+    text = {"a.log": log_text(4) + "# Simulation completed on : x\n", "b.log": log_text(4)}
+    (tmp_path / "in").mkdir()
+    seen = []
+    stream = growing.arriving(spark, f"file://{tmp_path}/in")
+    at = {n: 0 for n in text}
+    cuts = {n: sorted(random.sample(range(1, len(t)), 5)) + [len(t)] for n, t in text.items()}
+    for k in range(6):
+        for n, t in text.items():
+            with open(tmp_path / "in" / n, "a") as f:
+                f.write(t[at[n] : cuts[n][k]])
+            at[n] = cuts[n][k]
+        q = stream.writeStream.foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    for n, t in text.items():
+        own = sorted((r.start, r.text) for r in seen if r.file.endswith(n))
+        starts = [m.start() for m in re.finditer(r"^ *Cycle +Time \(s\)", t, re.MULTILINE)][1:]  # the first stands in the header
+        ends = [*starts[1:], len(t)]
+        want = [(0, t[: starts[0]])] + [(a, t[a:b]) for a, b in zip(starts, ends)]
+        assert own == (want if n == "a.log" else want[:-1])
+
+
+def test_added_ranges_of_any_size_give_the_same_blocks():
+    import pyarrow as pa
+
+    raw = (log_text(4) + "# Simulation completed on : x\n").encode()
+    want = list(growing.finished(pa.BufferReader(raw), 0, len(raw)))
+    assert len(want) == 4
+    for size in (1, 7, 100, 1001):
+        assert [x for a in range(0, len(raw), size) for x in growing.finished(pa.BufferReader(raw[: a + size]), a, min(a + size, len(raw)))] == want
