@@ -29,37 +29,73 @@ def crossings(samples: DataFrame, boundaries: DataFrame) -> DataFrame:
 STEPS, CELLS = 3.0, 2.5
 
 
-def companions(events: DataFrame, samples: DataFrame, branches: DataFrame, steps: DataFrame, roles: dict[str, list[str]], directions: dict[str, Column] | None = None, *, cells: float = CELLS) -> DataFrame:
-    """The best other branch near each event in each role: a column for each of ``roles`` (name: branch types) with its id or null.
-
-    ``branches``: run_id, branch_id, branch_type, branch_direction, support_rank,
-    significance; ``steps``: run_id and step, as ``waves.time_steps`` gives them.
-    ``directions`` names a role's direction where it is bound to one. Events and
-    samples meet once, by run and by cells of time and place, of which an event looks at
-    its own and the next ones; so the rows of a join do not grow with the run.
+def companions(events: DataFrame, samples: DataFrame, branches: DataFrame, steps: DataFrame, roles: dict[str, tuple[list[str], Column | None]], *, cells: float = CELLS) -> DataFrame:
+    """The best other branch near each event in each role: a column for each of ``roles`` with its id or null.
+
+    ``branches``: run_id, branch_id, branch_type, branch_direction, support_rank (0 tracked, 1 weak,
+    2 provisional) and significance; ``steps``: run_id and step, as ``waves.time_steps`` gives them. A role has
+    branch types and the direction it expects, or None. A branch fits if some sample is near in time and some, maybe
+    another, near the boundary; provisional ones never do. The best is the better supported, then of the
+    expected direction, nearer in time, nearer in place, more significant. Boundaries and samples meet by cells of
+    place, then events and the samples of the branches so found by cells of time.
     """
     keys = ["run_id", "branch_id", "boundary_zone"]
+    firm = branches.filter("support_rank < 2").select("run_id", F.col("branch_id").alias("other"), "branch_type", "branch_direction", "support_rank", "significance")
+    own = samples.select("run_id", F.col("branch_id").alias("other"), "time_s", "interface_id").join(firm, ["run_id", "other"], "left_semi")
+    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    bounds = events.select("run_id", "boundary_zone", (F.col("boundary_zone") - 1.0).alias("__at")).distinct().withColumn("__x", around(F.floor(F.col("__at") / cells)))
+    close = bounds.join(own.withColumn("__x", F.floor(F.col("interface_id") / cells)), ["run_id", "__x"]).groupBy("run_id", "boundary_zone", "other").agg(F.min(F.abs(F.col("interface_id") - F.col("__at"))).alias("gap_x")).filter(F.col("gap_x") <= cells)
     tol = F.greatest(STEPS * F.coalesce("step", F.lit(0.0)), F.lit(1e-12))
-    cell = lambda t, x: [F.floor(t / (1.001 * F.col("__tol"))).alias("__t"), F.floor(x / cells).alias("__x")]
-    near = samples.join(branches, ["run_id", "branch_id"]).join(steps, "run_id", "left").withColumn("__tol", tol)
-    near = near.select("run_id", F.col("branch_id").alias("other"), "branch_type", "branch_direction", "support_rank", "significance", F.col("time_s").alias("other_time"), F.col("interface_id").alias("other_at"), *cell(F.col("time_s"), F.col("interface_id")))
-    at = F.col("boundary_zone") - 1.0
-    asked = events.join(steps, "run_id", "left").withColumn("__tol", tol).select(*events.columns, "__tol", *cell(F.col("crossing_time"), at))
-    for c in ("__t", "__x"):
-        asked = asked.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    gap_t, gap_x = F.round(F.abs(F.col("other_time") - F.col("crossing_time")), 9), F.abs(F.col("other_at") - at)
-    met = asked.join(near, ["run_id", "__t", "__x"]).filter((F.col("other") != F.col("branch_id")) & (gap_t <= F.round("__tol", 9)) & (gap_x <= cells))
-    rank = F.struct("support_rank", -F.col("significance"), gap_t, F.round(gap_x, 9), "other")
+    timed = lambda df, t: df.withColumn("__tol", tol).withColumn("__t", F.floor(F.col(t) / (1.001 * F.col("__tol"))))
+    asked = timed(events.join(steps, "run_id", "left"), "crossing_time").select(*events.columns, "__tol", around(F.col("__t")).alias("__t"))
+    asked = asked.join(close, ["run_id", "boundary_zone"]).filter(F.col("other") != F.col("branch_id"))
+    near = timed(own.join(steps, "run_id", "left"), "time_s").select("run_id", "other", "time_s", "__t")
+    gap_t = F.round(F.min(F.abs(F.col("time_s") - F.col("crossing_time"))), 9)
+    met = asked.join(near, ["run_id", "other", "__t"]).groupBy(*keys, "other").agg(gap_t.alias("gap_t"), F.first("gap_x").alias("gap_x"), F.first("__tol").alias("__tol"))
+    met = met.filter(F.col("gap_t") <= F.round("__tol", 9)).join(firm, ["run_id", "other"]).join(branches.select("run_id", "branch_id", F.col("branch_direction").alias("incident")), ["run_id", "branch_id"])
 
     def best(name: str) -> Column:
-        fits = F.col("branch_type").isin(roles[name])
-        if name in (directions or {}):
-            fits = fits & (F.col("branch_direction") == directions[name])
+        types, expected = roles[name]
+        penalty = F.lit(0) if expected is None else F.when(F.col("branch_direction") == expected, 0).otherwise(1)
+        rank = F.struct("support_rank", penalty.alias("penalty"), "gap_t", F.round("gap_x", 9).alias("gap_x"), (-F.coalesce("significance", F.lit(0.0))).alias("less"), "other")
+        fits = F.col("branch_type").isin(types)
         return F.min_by(F.when(fits, F.col("other")), F.when(fits, rank)).alias(name)
 
     return events.join(met.groupBy(*keys).agg(*map(best, roles)), keys, "left")
 
 
+def support_rank(support: Column) -> Column:
+    return F.when(support == "tracked", 0).when(support == "short_weak", 1).otherwise(2)
+
+
+def opposite(direction: Column) -> Column:
+    return F.when(direction == "high_to_low", "low_to_high").otherwise("high_to_low")
+
+
+#: The roles of companions, their branch types, and whether they are expected to go on (True) or back (False).
+ROLES = {
+    "transmitted": (["transmitted_shock", "compressive_shock"], True),
+    "shock": (["reflected_shock"], False),
+    "release": (["release_rarefaction", "rear_rarefaction"], False),
+    "contact": (["contact_transition"], None),
+}
+
+
+def interface_events(crossed: DataFrame, samples: DataFrame, branches: DataFrame, steps: DataFrame) -> DataFrame:
+    """Crossings of branches that are not provisional, with companions and classification.
+
+    Arguments as for ``companions``. A transmitted shock and a contact are their own companions.
+    """
+    incident = branches.filter("support_rank < 2").select("run_id", "branch_id", "branch_type", "branch_direction", "support_rank")
+    asked = crossed.join(incident, ["run_id", "branch_id"])
+    on, back = F.col("incident"), opposite(F.col("incident"))
+    roles = {n: (types, None if going is None else on if going else back) for n, (types, going) in ROLES.items()}
+    found = companions(asked, samples, branches, steps, roles)
+    itself = lambda kind, c: F.when(F.col("branch_type") == kind, F.col("branch_id")).otherwise(F.col(c))
+    found = found.withColumns({"transmitted": itself("transmitted_shock", "transmitted"), "contact": itself("contact_transition", "contact")})
+    return found.withColumn("classification", classified(F.col("branch_type"), *map(F.col, ROLES)))
+
+
 def ordered(events: DataFrame) -> DataFrame:
     """``place`` of each event in its run: tracked branches first, then the more significant, the earlier, the smaller label.
 
@@ -129,24 +165,47 @@ def local_window(events: DataFrame, zones: DataFrame, zone: Column, radius: int
     return e.join(zones, ["run_id", "zone_id"]).filter(F.col("snapshot_index").between(F.col("event_snapshot") - radius, F.col("event_snapshot") + radius))
 
 
-def local_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pressure impulse above the first value, compression and rarefaction ratios, peak pressure and energy channels of each local window."""
+def energy_fluxes(df: DataFrame) -> DataFrame:
+    """Adds the fluxes of a zone's internal and kinetic energy and of its pressure's work, and ``flux``, their sum.
+
+    From velocity (cm/s), density (g/cm3), pressure (J/cm3) and the specific energies ion_energy,
+    electron_energy, radiation_energy and kinetic_energy (J/g); all null without one of these.
+    """
+    energies = ("ion_energy", "electron_energy", "radiation_energy", "kinetic_energy")
+    e = {c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double") for c in energies}
+    internal, kinetic = e["ion_energy"] + e["electron_energy"] + e["radiation_energy"], e["kinetic_energy"]
+    u, rho, p = F.col("velocity"), F.col("density"), F.col("pressure")
+    known = (internal + kinetic + p).isNotNull()
+    parts = {"internal": u * rho * internal, "kinetic": u * rho * kinetic, "pressure_work": u * p, "flux": u * (rho * (internal + kinetic) + p)}
+    return df.withColumns({n: F.when(known, x) for n, x in parts.items()})
+
+
+CHANNELS = ("internal", "kinetic", "pressure_work")
+
+
+def local_metrics(rows: DataFrame, keys: list[str], sign: Column | float = 1.0, since: Column | None = None) -> DataFrame:
+    """Pressure impulse, compression, rarefaction, peak pressure and energy of each local window, and the largest channel.
+
+    Impulse and energies are integrals of what exceeds the window's first value; energies count
+    along ``sign`` (1 towards higher zones, -1 lower) over the rows with ``since``, a condition that holds from some row on.
+    """
     over = Window.partitionBy(*keys).orderBy("snapshot_index")
-    first = lambda c: F.first(c).over(over)
-    e = F.col("temperature_e") * 1e-2
-    u, rho, p = F.abs("velocity"), F.col("density"), F.col("pressure")
-    flux = {"internal": u * rho * e, "kinetic": u * rho * 0.5 * u * u, "pressure_work": u * p}
-    rows = rows.withColumns({"p_up": F.greatest(p - first("pressure"), F.lit(0.0)), **{f"f_{n}": x for n, x in flux.items()}})
-    rows = rows.withColumns({f"f_{n}": F.greatest(F.col(f"f_{n}") - F.first(f"f_{n}").over(over), F.lit(0.0)) for n in flux})
-    parts = {c: trapezoid(F.col(c), "time_s", over, clamp=False) for c in ("p_up", *(f"f_{n}" for n in flux))}
-    rows = rows.withColumns({f"a_{c}": x for c, x in parts.items()})
-    total = lambda c: F.when(F.count("*") >= 2, F.sum(f"a_{c}"))
+    rows = energy_fluxes(rows)
+    above = {"p_up": F.greatest(F.col("pressure") - F.first("pressure").over(over), F.lit(0.0))}
+    since = F.lit(True) if since is None else since
+    above |= {f"f_{n}": F.when(since, F.greatest(sign * (F.col(n) - F.first(n).over(over)), F.lit(0.0))) for n in (*CHANNELS, "flux")}
+    rows = rows.withColumns(above)
+    rows = rows.withColumns({f"a_{c}": trapezoid(F.col(c), "time_s", over, clamp=False) for c in above})
+    total = lambda c: F.when(F.count(c) >= 2, F.sum(f"a_{c}"))
+    p, rho = F.col("pressure"), F.col("density")
     positive = F.when(rho > 0, rho)
-    out = rows.groupBy(*keys).agg(F.count("*").alias("samples"), total("p_up").alias("impulse"), (F.max(positive) / F.min_by(positive, "snapshot_index")).alias("compression"), (F.min(positive) / F.min_by(positive, "snapshot_index")).alias("rarefaction"), F.max(p).alias("peak_pressure"), *[total(f"f_{n}").alias(n) for n in flux])
-    whole = sum((F.coalesce(F.col(n), F.lit(0.0)) for n in list(flux)[1:]), F.coalesce(F.col("internal"), F.lit(0.0)))
-    top = F.greatest(*[F.coalesce(F.col(n), F.lit(0.0)) for n in flux])
-    label = F.when(top <= 0, None).when(F.col("internal") == top, "mostly internal").when(F.col("kinetic") == top, "mostly kinetic").otherwise("mostly pressure-work")
-    return out.withColumns({"channel": label, "share_internal": F.try_divide("internal", whole), "share_kinetic": F.try_divide("kinetic", whole), "share_work": F.try_divide("pressure_work", whole)})
+    first = F.min_by(positive, F.when(positive.isNotNull(), F.col("snapshot_index")))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("samples"), total("p_up").alias("impulse"), (F.max(positive) / first).alias("compression"), (F.min(positive) / first).alias("rarefaction"), F.max(p).alias("peak_pressure"), *[total(f"f_{n}").alias(n) for n in (*CHANNELS, "flux")])
+    gained = {n: F.greatest(F.coalesce(F.col(n), F.lit(0.0)), F.lit(0.0)) for n in CHANNELS}
+    whole = F.nullif(sum(list(gained.values())[1:], gained["internal"]), F.lit(0.0))
+    top = F.greatest(*gained.values())
+    label = F.when(top <= 0, None).when(gained["internal"] == top, "mostly internal").when(gained["kinetic"] == top, "mostly kinetic").otherwise("mostly pressure-work")
+    return out.withColumns({"channel": label, **{f"share_{n}": gained[c] / whole for n, c in (("internal", "internal"), ("kinetic", "kinetic"), ("work", "pressure_work"))}})
 
 
 def impedance(p: Column, rho: Column, e: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import events as E
 from ..operators import geometry as G
 from ..operators import modules as M
@@ -94,7 +95,10 @@ def gradient(spark, d):
     return series(spark, d).select(*RS, W.gradient("rho", "time_s", Window.partitionBy("run_id").orderBy("snapshot_index")).alias("velocity"))
 
 
-@query("delta_first", "run_id snapshot_index zone_id", "d_te d_z ratio rel_p", f"SELECT *, temperature_e - first_value(temperature_e) OVER w AS d_te, mean_charge - first_value(mean_charge) OVER w AS d_z, temperature_e * mean_charge * 1e5 - first_value(temperature_e * mean_charge * 1e5) OVER w AS dee, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + 1e-9) AS rel_p FROM g WINDOW w AS {WT}")
+EPS = f"ep AS (SELECT run_id, greatest(1e-9, 1e-2 * coalesce(quantile_cont(fp, 5e-1) FILTER (WHERE fp > 0), 0)) AS eps FROM (SELECT run_id, zone_id, min_by(pressure, snapshot_index) AS fp FROM g GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query("delta_first", "run_id snapshot_index zone_id", "d_te d_z ratio rel_p", EPS + f" ;; SELECT *, temperature_e - first_value(temperature_e) OVER w AS d_te, mean_charge - first_value(mean_charge) OVER w AS d_z, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + eps) AS rel_p FROM g JOIN ep USING (run_id) WINDOW w AS {WT}")
 def delta_first(spark, d):
     return P.changes(zone_state(spark, d)).select(*RS, "zone_id", F.col("delta_te").alias("d_te"), F.col("delta_charge").alias("d_z"), "ratio", F.col("relative_pressure").alias("rel_p"))
 
@@ -117,9 +121,20 @@ def compression_ratio(spark, d):
     return E.compression(zone_state(spark, d), ["run_id", "zone_id"])
 
 
-@query("energy_channels", "run_id zone_id samples channel", "impulse share_internal share_work", f"b AS (SELECT *, abs(velocity) * density * temperature_e * 1e-2 AS fi, abs(velocity) * density * 5e-1 * velocity * velocity AS fk, abs(velocity) * pressure AS fp FROM g), c AS (SELECT *, greatest(pressure - first_value(pressure) OVER w, 0) AS p, greatest(fi - first_value(fi) OVER w, 0) AS i, greatest(fk - first_value(fk) OVER w, 0) AS k, greatest(fp - first_value(fp) OVER w, 0) AS q FROM b WINDOW w AS {WT}), t AS (SELECT *, time_s - lag(time_s) OVER w AS dt, lag(p) OVER w AS p0, lag(i) OVER w AS i0, lag(k) OVER w AS k0, lag(q) OVER w AS q0 FROM c WINDOW w AS {WT}), s AS (SELECT run_id, zone_id, count(*) AS samples, CASE WHEN count(*) >= 2 THEN sum(5e-1 * (p + p0) * dt) END AS impulse, CASE WHEN count(*) >= 2 THEN sum(5e-1 * (i + i0) * dt) END AS ai, CASE WHEN count(*) >= 2 THEN sum(5e-1 * (k + k0) * dt) END AS ak, CASE WHEN count(*) >= 2 THEN sum(5e-1 * (q + q0) * dt) END AS aq FROM t GROUP BY 1, 2) ;; SELECT *, CASE WHEN ai + ak + aq > 0 THEN ai / (ai + ak + aq) END AS share_internal, CASE WHEN ai + ak + aq > 0 THEN aq / (ai + ak + aq) END AS share_work, CASE WHEN ai IS NULL OR greatest(ai, ak, aq) <= 0 THEN NULL WHEN ai >= greatest(ak, aq) THEN 'mostly internal' WHEN ak >= aq THEN 'mostly kinetic' ELSE 'mostly pressure-work' END AS channel FROM s")
+def energies(z):
+    """The grid's cells with specific energies (J/g) and rates (J/g/s), each read off other columns."""
+    u = F.col("velocity")
+    return z.withColumns({"ion_energy": F.col("temperature_i") * 1e3, "electron_energy": F.col("temperature_e") * F.col("mean_charge") * 1e2, "radiation_energy": F.col("pressure") * 10.0, "kinetic_energy": S.kinetic_energy(u), "laser_deposition": F.greatest(u, F.lit(0.0)) * 1e3, "laser_source": F.abs(u) * 1e3, "radiation_net_heating": (F.col("pressure") - 40.0) * 1e2})
+
+
+ENERGY = "ge AS (SELECT *, temperature_i * 1e3 AS ion_energy, temperature_e * mean_charge * 1e2 AS electron_energy, pressure * 1e1 AS radiation_energy, 5e-1 * velocity * velocity * 1e-7 AS kinetic_energy, greatest(velocity, 0) * 1e3 AS laser_deposition, abs(velocity) * 1e3 AS laser_source, (pressure - 4e1) * 1e2 AS radiation_net_heating FROM g)"
+
+
+@query("energy_channels", "run_id zone_id samples channel", "impulse internal kinetic pressure_work flux share_internal share_work", ENERGY + f", b AS (SELECT *, velocity * density * (ion_energy + electron_energy + radiation_energy) AS fi, velocity * density * kinetic_energy AS fk, velocity * pressure AS fp FROM ge), c AS (SELECT *, greatest(pressure - first_value(pressure) OVER w, 0) AS p, greatest(first_value(fi) OVER w - fi, 0) AS i, greatest(first_value(fk) OVER w - fk, 0) AS k, greatest(first_value(fp) OVER w - fp, 0) AS q, greatest(first_value(fi + fk + fp) OVER w - (fi + fk + fp), 0) AS e FROM b WINDOW w AS {WT}), t AS (SELECT *, 5e-1 * (time_s - lag(time_s) OVER w) AS h, lag(p) OVER w AS p0, lag(i) OVER w AS i0, lag(k) OVER w AS k0, lag(q) OVER w AS q0, lag(e) OVER w AS e0 FROM c WINDOW w AS {WT}), s AS (SELECT run_id, zone_id, count(*) AS samples, count(*) >= 2 AS two, sum((p + p0) * h) AS impulse, sum((i + i0) * h) AS internal, sum((k + k0) * h) AS kinetic, sum((q + q0) * h) AS pressure_work, sum((e + e0) * h) AS flux FROM t GROUP BY 1, 2) ;; SELECT *, CASE WHEN internal + kinetic + pressure_work > 0 THEN internal / (internal + kinetic + pressure_work) END AS share_internal, CASE WHEN internal + kinetic + pressure_work > 0 THEN pressure_work / (internal + kinetic + pressure_work) END AS share_work, CASE WHEN internal IS NULL OR greatest(internal, kinetic, pressure_work) <= 0 THEN NULL WHEN internal >= greatest(kinetic, pressure_work) THEN 'mostly internal' WHEN kinetic >= pressure_work THEN 'mostly kinetic' ELSE 'mostly pressure-work' END AS channel FROM s")
 def energy_channels(spark, d):
-    return E.local_metrics(zone_state(spark, d), ["run_id", "zone_id"]).select("run_id", "zone_id", "samples", "channel", "impulse", "share_internal", "share_work")
+    """Energy that flows towards lower zones past each zone, by channel."""
+    m = E.local_metrics(energies(zone_state(spark, d)), ["run_id", "zone_id"], -1.0)
+    return m.select("run_id", "zone_id", "samples", "channel", "impulse", *E.CHANNELS, "flux", "share_internal", "share_work")
 
 
 @query("impedance_preview", "run_id snapshot_index zone_id", "z1 z2 r t", f"i AS (SELECT *, density * sqrt((1e0 + pressure / (density * temperature_e)) * pressure / density * 1e7) AS z1 FROM g), j AS (SELECT *, lead(z1) OVER {WS} AS z2 FROM i) ;; SELECT run_id, snapshot_index, zone_id, z1 / 1e4 AS z1, z2 / 1e4 AS z2, pow((z2 - z1) / (z2 + z1), 2) AS r, 4e0 * z1 * z2 / pow(z2 + z1, 2) AS t FROM j WHERE z2 IS NOT NULL")
@@ -227,19 +242,19 @@ def wave_branches(spark, d):
     return V.wave_branches(V.placed_candidates(candidates(spark, d), profile(spark, d)))
 
 
-SAMPLES = "b AS (SELECT run_id, zone_id AS branch_id, snapshot_index, time_s, density / 5e1 AS score, zone_id + velocity / 4e0 AS interface_id FROM g WHERE density >= 2.5e1)"
+SAMPLES = "b AS (SELECT run_id, zone_id AS branch_id, snapshot_index, time_s, density / 5e1 AS score, zone_id + velocity / 4e0 AS interface_id, zone_id * 2e0 + velocity / 3e0 AS position, width_cm * (1e0 + temperature_i / 1e2) AS width FROM g WHERE density >= 2.5e1)"
 
 
 def samples(spark, d):
     """Branches read off the grid: a zone's dense snapshots."""
     z = zone_state(spark, d).filter("density >= 25")
-    return z.select("run_id", F.col("zone_id").alias("branch_id"), "snapshot_index", "time_s", (F.col("density") / 50.0).alias("score"), (F.col("zone_id") + F.col("velocity") / 4.0).alias("interface_id"), F.when(F.col("region_id") == 4, "merged_unresolved").when(F.col("region_id") == 3, "contact_like").otherwise("shock_like").alias("family"))
+    return z.select("run_id", F.col("zone_id").alias("branch_id"), "snapshot_index", "time_s", (F.col("density") / 50.0).alias("score"), (F.col("zone_id") + F.col("velocity") / 4.0).alias("interface_id"), (F.col("zone_id") * 2.0 + F.col("velocity") / 3.0).alias("position"), (F.col("width_cm") * (1.0 + F.col("temperature_i") / 100.0)).alias("width"), F.when(F.col("region_id") == 4, "merged_unresolved").when(F.col("region_id") == 3, "contact_like").otherwise("shock_like").alias("family"))
 
 
 STEPS = "st AS (SELECT run_id, greatest(quantile_cont(gap, 5e-1), 1e-12) AS step FROM (SELECT run_id, time_s - lag(time_s) OVER (PARTITION BY run_id ORDER BY snapshot_index) AS gap FROM (SELECT DISTINCT run_id, snapshot_index, time_s FROM g)) GROUP BY 1)"
 
 
-SUMMARY = SAMPLES + ", " + STEPS + ", c AS (SELECT run_id, branch_id, count(*) AS samples, max(time_s) - min(time_s) AS duration, count(*) * 1e0 / (max(snapshot_index) - min(snapshot_index) + 1) AS cont, sum(score) AS integrated, max(score) AS peak, max(interface_id) - min(interface_id) AS span_cells, CAST(floor((branch_id - 1) / 4) AS INT) + 1 AS region FROM b GROUP BY 1, 2), v AS (SELECT *, CASE WHEN samples <= 2 THEN 'provisional' WHEN samples < 5 THEN 'short_weak' ELSE 'tracked' END AS support, CASE WHEN region = 4 THEN 4 WHEN region = 3 THEN 3 ELSE 0 END AS fam, integrated * (1 + 45e-2 * ln(1 + samples)) * CASE WHEN samples >= 2 THEN (1 + 25e-2 * ln(1 + duration / coalesce(step, 1e-12))) * (55e-2 + 45e-2 * least(cont, 1)) ELSE 1 END * (1 + 6e-2 * least(span_cells, 10)) * CASE WHEN samples <= 2 THEN 2e-1 WHEN samples < 5 THEN 65e-2 ELSE 1 END * CASE WHEN region = 4 THEN 9e-1 ELSE 1 END AS significance FROM c LEFT JOIN st USING (run_id))"
+SUMMARY = SAMPLES + ", " + STEPS + ", c AS (SELECT run_id, branch_id, count(*) AS samples, max(time_s) - min(time_s) AS duration, count(*) * 1e0 / (max(snapshot_index) - min(snapshot_index) + 1) AS cont, sum(score) AS integrated, max(score) AS peak, (max(position) - min(position)) / greatest(coalesce(quantile_cont(width, 5e-1) FILTER (WHERE width > 0), 1e-8), 1e-8) AS span_cells, CAST(floor((branch_id - 1) / 4) AS INT) + 1 AS region FROM b GROUP BY 1, 2), v AS (SELECT *, CASE WHEN samples <= 2 THEN 'provisional' WHEN samples < 5 THEN 'short_weak' ELSE 'tracked' END AS support, CASE WHEN region = 4 THEN 4 WHEN region = 3 THEN 3 ELSE 0 END AS fam, integrated * (1 + 45e-2 * ln(1 + samples)) * CASE WHEN samples >= 2 THEN (1 + 25e-2 * ln(1 + duration / coalesce(step, 1e-12))) * (55e-2 + 45e-2 * least(cont, 1)) ELSE 1 END * (1 + 6e-2 * least(span_cells, 10)) * CASE WHEN samples <= 2 THEN 2e-1 WHEN samples < 5 THEN 65e-2 ELSE 1 END * CASE WHEN region = 4 THEN 9e-1 ELSE 1 END AS significance FROM c LEFT JOIN st USING (run_id))"
 
 
 @query("branch_summary", "run_id branch_id samples support", "duration continuity integrated significance", SUMMARY + " ;; SELECT *, CASE WHEN samples >= 2 THEN cont END AS continuity FROM v")
@@ -284,18 +299,43 @@ def boundary_crossings(spark, d):
     return crossed(spark, d).select("run_id", "branch_id", "left_region", "snapshot_index", "crossing_time")
 
 
-EVENTS = CROSSED + ", " + STEPS + ", ty AS (SELECT DISTINCT run_id, branch_id, CASE branch_id % 4 WHEN 0 THEN 'compressive_shock' WHEN 1 THEN 'reflected_shock' WHEN 2 THEN 'release_rarefaction' ELSE 'contact_transition' END AS kind FROM b), oc AS (SELECT x.run_id, x.branch_id, x.boundary_zone, b.branch_id AS other, ty.kind, row_number() OVER (PARTITION BY x.run_id, x.branch_id, x.boundary_zone, ty.kind ORDER BY round(abs(b.time_s - crossing_time), 9), round(abs(b.interface_id - (boundary_zone - 1)), 9), b.branch_id) AS k FROM x JOIN b ON b.run_id = x.run_id AND b.branch_id <> x.branch_id JOIN st ON st.run_id = x.run_id AND round(abs(b.time_s - crossing_time), 9) <= round(greatest(3 * step, 1e-12), 9) AND abs(b.interface_id - (boundary_zone - 1)) <= 2.5e0 JOIN ty ON ty.run_id = b.run_id AND ty.branch_id = b.branch_id), on1 AS (SELECT run_id, branch_id, boundary_zone, max(other) FILTER (WHERE kind = 'compressive_shock') AS transmitted, max(other) FILTER (WHERE kind = 'reflected_shock') AS shock, max(other) FILTER (WHERE kind = 'release_rarefaction') AS release, max(other) FILTER (WHERE kind = 'contact_transition') AS contact FROM oc WHERE k = 1 GROUP BY 1, 2, 3), ev AS (SELECT x.*, ty.kind, transmitted, shock, release, CASE WHEN ty.kind = 'contact_transition' THEN x.branch_id ELSE contact END AS contact FROM x JOIN ty USING (run_id, branch_id) LEFT JOIN on1 USING (run_id, branch_id, boundary_zone)), cl AS (SELECT *, CASE WHEN kind = 'contact_transition' THEN 'contact_continuation' WHEN (transmitted IS NOT NULL)::INT + (shock IS NOT NULL)::INT + (release IS NOT NULL)::INT + (contact IS NOT NULL)::INT >= 2 THEN 'unresolved_ambiguous_split' WHEN transmitted IS NOT NULL THEN 'transmitted_shock' WHEN shock IS NOT NULL OR kind = 'reflected_shock' THEN 'reflected_shock' WHEN release IS NOT NULL OR kind = 'release_rarefaction' THEN 'reflected_release' WHEN contact IS NOT NULL THEN 'contact_continuation' ELSE 'unresolved_ambiguous_split' END AS classification FROM ev)"
+#: Branches with direction, type and support, their crossings along that direction, and for each crossing the best other branch in each role.
+EVENTS = SUMMARY + """,
+br AS (SELECT v.run_id, v.branch_id, support, round(significance, 9) AS significance, CASE support WHEN 'tracked' THEN 0 WHEN 'short_weak' THEN 1 ELSE 2 END AS sr, dir,
+  CASE WHEN v.branch_id BETWEEN 9 AND 12 THEN 'contact_transition' WHEN v.branch_id BETWEEN 5 AND 8 THEN 'release_rarefaction' WHEN dir = 'low_to_high' THEN 'reflected_shock' WHEN v.branch_id > 4 THEN 'transmitted_shock' ELSE 'compressive_shock' END AS kind
+  FROM v JOIN (SELECT run_id, branch_id, CASE WHEN max_by(interface_id, snapshot_index) < min_by(interface_id, snapshot_index) THEN 'high_to_low' ELSE 'low_to_high' END AS dir FROM b GROUP BY 1, 2) USING (run_id, branch_id)),
+wd AS (SELECT b.*, dir, lag(interface_id) OVER k AS x0, lag(time_s) OVER k AS t0 FROM b JOIN br USING (run_id, branch_id) WINDOW k AS (PARTITION BY run_id, branch_id ORDER BY snapshot_index)),
+lv AS (SELECT i AS left_region, i * 4 AS boundary_zone, (i * 4 - 1) * 1e0 AS lv FROM (SELECT unnest(range(1, 4)) AS i)),
+x AS (SELECT run_id, branch_id, left_region, boundary_zone, min(snapshot_index) AS snapshot_index, min_by(t0 + (lv - x0) / (interface_id - x0) * (time_s - t0), snapshot_index) AS crossing_time
+  FROM wd JOIN lv ON CASE dir WHEN 'high_to_low' THEN x0 > lv AND lv >= interface_id ELSE x0 < lv AND lv <= interface_id END GROUP BY 1, 2, 3, 4),
+ex AS (SELECT x.*, kind, dir, sr FROM x JOIN br USING (run_id, branch_id) WHERE sr < 2),
+gx AS (SELECT e.run_id, boundary_zone, b.branch_id AS other, min(abs(b.interface_id - (boundary_zone - 1))) AS gx FROM (SELECT DISTINCT run_id, boundary_zone FROM ex) e JOIN b ON b.run_id = e.run_id GROUP BY 1, 2, 3 HAVING gx <= 2.5e0),
+gt AS (SELECT e.run_id, e.branch_id, e.boundary_zone, gx.other, any_value(gx.gx) AS gx, round(min(abs(b.time_s - crossing_time)), 9) AS gt, any_value(round(greatest(3 * step, 1e-12), 9)) AS tol
+  FROM ex e JOIN gx USING (run_id, boundary_zone) JOIN st USING (run_id) JOIN b ON b.run_id = e.run_id AND b.branch_id = gx.other WHERE gx.other <> e.branch_id GROUP BY 1, 2, 3, 4),
+ro AS (SELECT gt.*, c.kind, CASE WHEN c.kind IN ('transmitted_shock', 'compressive_shock') THEN 't' WHEN c.kind = 'reflected_shock' THEN 's' WHEN c.kind = 'contact_transition' THEN 'c' ELSE 'r' END AS role, c.sr, c.significance,
+  CASE WHEN c.kind = 'contact_transition' THEN 0 WHEN c.kind IN ('transmitted_shock', 'compressive_shock') THEN CAST(c.dir <> i.dir AS INT) ELSE CAST(c.dir = i.dir AS INT) END AS penalty
+  FROM gt JOIN br c ON c.run_id = gt.run_id AND c.branch_id = gt.other JOIN br i ON i.run_id = gt.run_id AND i.branch_id = gt.branch_id WHERE gt <= tol AND c.sr < 2),
+oc AS (SELECT *, row_number() OVER (PARTITION BY run_id, branch_id, boundary_zone, role ORDER BY sr, penalty, gt, round(gx, 9), significance DESC, other) AS k FROM ro),
+on1 AS (SELECT run_id, branch_id, boundary_zone, max(other) FILTER (WHERE role = 't') AS t, max(other) FILTER (WHERE role = 's') AS shock, max(other) FILTER (WHERE role = 'r') AS release, max(other) FILTER (WHERE role = 'c') AS c FROM oc WHERE k = 1 GROUP BY 1, 2, 3),
+ev AS (SELECT ex.*, CASE WHEN ex.kind = 'transmitted_shock' THEN ex.branch_id ELSE t END AS transmitted, shock, release, CASE WHEN ex.kind = 'contact_transition' THEN ex.branch_id ELSE c END AS contact FROM ex LEFT JOIN on1 USING (run_id, branch_id, boundary_zone)),
+cl AS (SELECT *, CASE WHEN kind = 'contact_transition' THEN 'contact_continuation' WHEN (transmitted IS NOT NULL)::INT + (shock IS NOT NULL)::INT + (release IS NOT NULL)::INT + (contact IS NOT NULL)::INT >= 2 THEN 'unresolved_ambiguous_split' WHEN transmitted IS NOT NULL OR kind = 'transmitted_shock' THEN 'transmitted_shock' WHEN shock IS NOT NULL OR kind = 'reflected_shock' THEN 'reflected_shock' WHEN release IS NOT NULL OR kind IN ('release_rarefaction', 'rear_rarefaction') THEN 'reflected_release' WHEN contact IS NOT NULL THEN 'contact_continuation' ELSE 'unresolved_ambiguous_split' END AS classification FROM ev)"""
+
+
+def typed_branches(spark, d):
+    """The grid's branches: run_id, branch_id, branch_type, branch_direction, support_rank, significance; and their samples with the direction."""
+    s = samples(spark, d)
+    moved = s.groupBy("run_id", "branch_id").agg(F.when(F.max_by("interface_id", "snapshot_index") < F.min_by("interface_id", "snapshot_index"), "high_to_low").otherwise("low_to_high").alias("branch_direction"))
+    zone = F.col("branch_id")
+    family = F.when(zone.between(9, 12), "contact_like").when(zone.between(5, 8), "release_like").otherwise("shock_like")
+    b = V.branch_summary(s, V.time_steps(zone_state(spark, d))).join(moved, ["run_id", "branch_id"])
+    kind = V.branch_type(family, F.col("branch_direction"), F.lit("high_to_low"), zone > 4, F.lit(False))
+    b = b.select("run_id", "branch_id", kind.alias("branch_type"), "branch_direction", E.support_rank(F.col("support")).alias("support_rank"), F.round("significance", 9).alias("significance"))
+    return b, s.join(moved.withColumnRenamed("branch_direction", "direction"), ["run_id", "branch_id"])
 
 
 def event_table(spark, d):
-    s = samples(spark, d)
-    kind = F.element_at(F.array(*map(F.lit, ["compressive_shock", "reflected_shock", "release_rarefaction", "contact_transition"])), (F.col("branch_id") % 4 + 1).cast("int"))
-    b = s.select("run_id", "branch_id").distinct().select("run_id", "branch_id", kind.alias("branch_type"), F.lit("low_to_high").alias("branch_direction"), F.lit(0).alias("support_rank"), F.lit(0.0).alias("significance"))
-    roles = {"transmitted": ["compressive_shock"], "shock": ["reflected_shock"], "release": ["release_rarefaction"], "contact": ["contact_transition"]}
-    e = E.companions(crossed(spark, d), s.select("run_id", "branch_id", "time_s", "interface_id"), b, V.time_steps(zone_state(spark, d)), roles)
-    e = e.join(b.select("run_id", "branch_id", "branch_type"), ["run_id", "branch_id"])
-    e = e.withColumn("contact", F.when(F.col("branch_type") == "contact_transition", F.col("branch_id")).otherwise(F.col("contact")))
-    return e.withColumn("classification", E.classified(F.col("branch_type"), *map(F.col, ("transmitted", "shock", "release", "contact"))))
+    b, s = typed_branches(spark, d)
+    return E.interface_events(E.crossings(s, G.interfaces(regions(spark))), s, b, V.time_steps(zone_state(spark, d)))
 
 
 @query("interface_events", "run_id branch_id boundary_zone transmitted shock release contact classification", "crossing_time", EVENTS + " ;; SELECT run_id, branch_id, CAST(boundary_zone AS INT) AS boundary_zone, transmitted, shock, release, contact, classification, crossing_time FROM cl")
@@ -348,12 +388,23 @@ def target_region(spark, d):
 
 
 def preheat_rows(spark, d):
-    entry = targets(spark, d).select("run_id", "region_id", (2.0 + F.col("run_id") % 10 * 0.1).alias("entry_time"))
-    extra = {"electron_energy": F.col("temperature_e") * F.col("mean_charge") * 1e5, "radiation_heating": (F.col("pressure") - 50.0) * 1e9, "laser_deposition": F.col("velocity") * 3e9}
-    return P.preheat_series(zone_state(spark, d).withColumns(extra), entry)
+    """Before each target is reached: the first crossing of its upper bound by any branch, or else the run's end."""
+    b, s = typed_branches(spark, d)
+    first = E.crossings(s, G.interfaces(regions(spark))).groupBy("run_id", F.col("left_region").alias("region_id")).agg(F.min("crossing_time").alias("crossing_time"))
+    z = energies(zone_state(spark, d))
+    ends = z.groupBy("run_id").agg(F.max("time_s").alias("end"))
+    entry = targets(spark, d).join(first, ["run_id", "region_id"], "left").join(ends, "run_id").select("run_id", "region_id", F.coalesce("crossing_time", "end").alias("entry_time"))
+    return P.preheat_series(z, entry)
 
 
-PRE = TARGET + f", ch AS (SELECT g.*, 2e0 + run_id % 10 * 1e-1 AS entry_time, temperature_e - first_value(temperature_e) OVER w AS dte, mean_charge - first_value(mean_charge) OVER w AS dz, temperature_e * mean_charge * 1e5 - first_value(temperature_e * mean_charge * 1e5) OVER w AS dee, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + 1e-9) AS rp, density * width_cm AS mass FROM g WINDOW w AS {WT}), pr AS (SELECT ch.*, (dte >= 1 OR dz >= 5e-2 OR dee >= 1e7 OR (pressure - 5e1) * 1e9 >= 1e10 OR velocity * 3e9 >= 1e10) AND ratio < 1.1e0 AND rp < 2.5e-1 AS hit FROM ch JOIN tg USING (run_id, region_id) WHERE time_s < entry_time), ps AS (SELECT run_id, snapshot_index, any_value(time_s) AS time_s, coalesce(sum(width_cm) FILTER (WHERE hit), 0) / sum(width_cm) AS width_fraction, coalesce(sum(mass) FILTER (WHERE hit), 0) / sum(mass) AS mass_fraction, sum(mass * dte) FILTER (WHERE hit) / sum(mass) FILTER (WHERE hit) AS mean_delta_te, max(dte) FILTER (WHERE hit) AS max_delta_te, sum(mass * temperature_e * 1e-2) AS areal_energy, sum(mass * mean_charge * 1e-2) AS rate FROM pr GROUP BY 1, 2)"
+PRE = EVENTS + ", " + ENERGY + ", " + TARGET.replace("f AS (", "f0 AS (").replace("JOIN f USING", "JOIN f0 USING").replace("c AS (SELECT run_id, region_id", "c0 AS (SELECT run_id, region_id").replace("FROM c)", "FROM c0)") + f""",
+en AS (SELECT run_id, region_id, coalesce(crossing_time, fin) AS entry_time FROM tg LEFT JOIN (SELECT run_id, left_region AS region_id, min(crossing_time) AS crossing_time FROM x GROUP BY 1, 2) USING (run_id, region_id) JOIN (SELECT run_id, max(time_s) AS fin FROM g GROUP BY 1) USING (run_id)),
+tz AS (SELECT ge.*, entry_time FROM ge JOIN en USING (run_id, region_id)),
+ep AS (SELECT run_id, greatest(1e-9, 1e-2 * coalesce(quantile_cont(fp, 5e-1) FILTER (WHERE fp > 0), 0)) AS eps FROM (SELECT run_id, zone_id, min_by(pressure, snapshot_index) AS fp FROM tz GROUP BY 1, 2) GROUP BY 1),
+ch AS (SELECT tz.*, temperature_e - first_value(temperature_e) OVER w AS dte, mean_charge - first_value(mean_charge) OVER w AS dz, electron_energy - first_value(electron_energy) OVER w AS dee, density / first_value(density) OVER w AS ratio, (pressure - first_value(pressure) OVER w) / (first_value(pressure) OVER w + eps) AS rp, density * width_cm AS mass FROM tz JOIN ep USING (run_id) WINDOW w AS {WT}),
+pr AS (SELECT *, (dte >= 1 OR dz >= 5e-2 OR dee >= 1e7 OR radiation_net_heating >= 1e10 OR laser_deposition >= 1e10) AND ratio < 1.1e0 AND rp < 2.5e-1 AS hit FROM ch WHERE time_s < entry_time),
+ps AS (SELECT run_id, snapshot_index, any_value(time_s) AS time_s, coalesce(sum(width_cm) FILTER (WHERE hit), 0) / sum(width_cm) AS width_fraction, coalesce(sum(mass) FILTER (WHERE hit), 0) / sum(mass) AS mass_fraction, sum(mass * dte) FILTER (WHERE hit) / sum(mass) FILTER (WHERE hit) AS mean_delta_te, max(dte) FILTER (WHERE hit) AS max_delta_te,
+  sum(mass * laser_deposition) AS ld, sum(mass * laser_source) AS ls, sum(mass * radiation_net_heating) AS rn, sum(mass * electron_energy) AS ee, sum(mass * ion_energy) AS ie, sum(mass * radiation_energy) AS re FROM pr GROUP BY 1, 2)"""
 
 
 @query("preheat_series", "run_id snapshot_index", "width_fraction mass_fraction mean_delta_te max_delta_te", PRE + " ;; SELECT * FROM ps")
@@ -361,9 +412,25 @@ def preheat_series(spark, d):
     return preheat_rows(spark, d).select(*RS, "width_fraction", "mass_fraction", "mean_delta_te", "max_delta_te")
 
 
-@query("preheat_summary", "run_id snapshots severity", "peak_width_fraction peak_delta_te gained source residual", PRE + ", tr AS (SELECT *, coalesce(5e-1 * (rate + lag(rate) OVER k) * (time_s - lag(time_s) OVER k), 0) AS a FROM ps WINDOW k AS (PARTITION BY run_id ORDER BY snapshot_index)), su AS (SELECT run_id, count(*) AS snapshots, max(width_fraction) AS peak_width_fraction, max(max_delta_te) AS peak_delta_te, max_by(areal_energy, snapshot_index) - min_by(areal_energy, snapshot_index) AS gained, sum(a) AS source FROM tr GROUP BY 1) ;; SELECT *, gained - source AS residual, CASE WHEN peak_width_fraction >= 3.5e-1 OR coalesce(peak_delta_te, 0) >= 1e1 THEN 'severe' WHEN peak_width_fraction >= 1e-1 OR coalesce(peak_delta_te, 0) >= 3 THEN 'moderate' WHEN peak_width_fraction > 0 OR coalesce(peak_delta_te, 0) > 0 THEN 'mild' ELSE 'negligible' END AS severity FROM su")
+BUDGET = PRE + """,
+tr AS (SELECT *, 5e-1 * (time_s - lag(time_s) OVER k) AS h, ld + lag(ld) OVER k AS l2, ls + lag(ls) OVER k AS s2, rn + lag(rn) OVER k AS r2, ee + ie + re AS ie3 FROM ps WINDOW k AS (PARTITION BY run_id ORDER BY snapshot_index)),
+su AS (SELECT run_id, count(*) AS snapshots, max(width_fraction) AS peak_width_fraction, max(max_delta_te) AS peak_delta_te, coalesce(sum(l2 * h), 0) AS laser_deposition, coalesce(sum(s2 * h), 0) AS laser_source, coalesce(sum(r2 * h), 0) AS radiation_net_heating,
+  max_by(ee, snapshot_index) - min_by(ee, snapshot_index) AS electron_energy, max_by(ie, snapshot_index) - min_by(ie, snapshot_index) AS ion_energy, max_by(re, snapshot_index) - min_by(re, snapshot_index) AS radiation_energy, max_by(ie3, snapshot_index) - min_by(ie3, snapshot_index) AS gained FROM tr GROUP BY 1),
+bu AS (SELECT *, gained - laser_deposition - radiation_net_heating AS residual FROM su)"""
+
+
+@query("preheat_summary", "run_id snapshots severity dominant_source", "peak_width_fraction peak_delta_te gained residual", BUDGET + " ;; SELECT *, CASE WHEN peak_width_fraction >= 3.5e-1 OR coalesce(peak_delta_te, 0) >= 1e1 THEN 'severe' WHEN peak_width_fraction >= 1e-1 OR coalesce(peak_delta_te, 0) >= 3 THEN 'moderate' WHEN peak_width_fraction > 0 OR coalesce(peak_delta_te, 0) > 0 THEN 'mild' ELSE 'negligible' END AS severity, CASE WHEN abs(laser_deposition) >= greatest(abs(radiation_net_heating), abs(residual)) THEN 'laser deposition' WHEN abs(radiation_net_heating) >= abs(residual) THEN 'net radiation heating' ELSE 'residual processes' END AS dominant_source FROM bu")
 def preheat_summary(spark, d):
-    return P.preheat_summary(preheat_rows(spark, d)).select("run_id", "snapshots", "severity", "peak_width_fraction", "peak_delta_te", "gained", "source", "residual")
+    return P.preheat_summary(preheat_rows(spark, d)).select("run_id", "snapshots", "severity", "dominant_source", "peak_width_fraction", "peak_delta_te", "gained", "residual")
+
+
+@query("preheat_budget", "run_id channel", "value fraction", BUDGET + ", un AS (UNPIVOT (SELECT run_id, gained, laser_deposition, laser_source, radiation_net_heating, electron_energy, ion_energy, radiation_energy, gained AS internal_energy, residual FROM bu) ON laser_deposition, laser_source, radiation_net_heating, electron_energy, ion_energy, radiation_energy, internal_energy, residual INTO NAME channel VALUE value) ;; SELECT run_id, channel, value, CASE WHEN gained <> 0 THEN value / gained END AS fraction FROM un")
+def preheat_budget(spark, d):
+    """What each channel gave to the target before it was reached, and its share of the gain."""
+    b = P.energy_budget(preheat_rows(spark, d))
+    rows = b.select("run_id", "fractions", F.explode("budget").alias("channel", "value"))
+    return rows.select("run_id", "channel", "value", F.try_element_at("fractions", F.col("channel")).alias("fraction"))
+
 
 
 @query("tanh_localisation")
@@ -416,8 +483,6 @@ def los_spectrum(spark, d):
 
 @query("ensemble_balance", "label i", "balanced", "e AS (SELECT label, CAST(unnest(range(1, len(embedding) + 1)) AS INT) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS re, avg(abs(v)) + 1e-1 AS im FROM e GROUP BY 1, 2) ;; SELECT label, i, im / (re * re + im * im) / (1e0 - exp(-i / 1e1)) AS balanced FROM m", grid=False)
 def ensemble_balance(spark, d):
-    from ..functions import scalars as S
-
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.posexplode("embedding").alias("i", "v"))
     m = e.groupBy("label", (F.col("i") + 1).cast("int").alias("i")).agg(F.avg(F.col("v").cast("double")).alias("re"), (F.avg(F.abs(F.col("v").cast("double"))) + 0.1).alias("im"))
     return m.select("label", "i", (S.loss(F.col("re"), F.col("im")) / S.detailed_balance(F.col("i").cast("double"), F.lit(10.0))).alias("balanced"))
