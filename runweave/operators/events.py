@@ -50,9 +50,9 @@ def companions(events: DataFrame, samples: DataFrame, branches: DataFrame, steps
     asked = timed(events.join(steps, "run_id", "left"), "crossing_time").select(*events.columns, "__tol", around(F.col("__t")).alias("__t"))
     asked = asked.join(close, ["run_id", "boundary_zone"]).filter(F.col("other") != F.col("branch_id"))
     near = timed(own.join(steps, "run_id", "left"), "time_s").select("run_id", "other", "time_s", "__t")
-    gap_t = F.round(F.min(F.abs(F.col("time_s") - F.col("crossing_time"))), 9)
-    met = asked.join(near, ["run_id", "other", "__t"]).groupBy(*keys, "other").agg(gap_t.alias("gap_t"), F.first("gap_x").alias("gap_x"), F.first("__tol").alias("__tol"))
-    met = met.filter(F.col("gap_t") <= F.round("__tol", 9)).join(firm, ["run_id", "other"]).join(branches.select("run_id", "branch_id", F.col("branch_direction").alias("incident")), ["run_id", "branch_id"])
+    gap_t = F.round(F.min(F.abs(F.col("time_s") - F.col("crossing_time")) / F.col("__tol")), 9)  # in tolerances, as runs have any scale of time
+    met = asked.join(near, ["run_id", "other", "__t"]).groupBy(*keys, "other").agg(gap_t.alias("gap_t"), F.first("gap_x").alias("gap_x"))
+    met = met.filter(F.col("gap_t") <= 1).join(firm, ["run_id", "other"]).join(branches.select("run_id", "branch_id", F.col("branch_direction").alias("incident")), ["run_id", "branch_id"])
 
     def best(name: str) -> Column:
         types, expected = roles[name]
@@ -101,7 +101,7 @@ def ordered(events: DataFrame) -> DataFrame:
 
     ``events``: run_id, support, significance (null: 0), crossing_time (null: last), label, branch_id.
     """
-    order = Window.partitionBy("run_id").orderBy(F.when(F.col("support") == "tracked", 0).otherwise(1), F.desc(F.coalesce("significance", F.lit(0.0))), F.asc_nulls_last(F.round("crossing_time", 9)), "label", "branch_id")
+    order = Window.partitionBy("run_id").orderBy(F.when(F.col("support") == "tracked", 0).otherwise(1), F.desc(F.coalesce("significance", F.lit(0.0))), F.asc_nulls_last(F.col("crossing_time").cast("float")), "label", "branch_id")
     return events.withColumn("place", F.row_number().over(order))
 
 
@@ -109,7 +109,7 @@ def as_crossings(events: DataFrame, ranked: DataFrame) -> DataFrame:
     """Events in the shape of crossings of one front: those of each run's primary branch, the first at each boundary, in order of time."""
     primary = ranked.filter("primary_branch").select("run_id", "branch_id")
     first = events.join(primary, ["run_id", "branch_id"], "left_semi").groupBy("run_id", "left_region", "right_region", "boundary_zone").agg(F.min("crossing_time").alias("crossing_time"))
-    order = Window.partitionBy("run_id").orderBy(F.round("crossing_time", 9), "boundary_zone")
+    order = Window.partitionBy("run_id").orderBy(F.col("crossing_time").cast("float"), "boundary_zone")
     return first.withColumn("crossing", F.row_number().over(order))
 
 
@@ -193,7 +193,7 @@ def local_metrics(rows: DataFrame, keys: list[str], sign: Column | float = 1.0,
     rows = energy_fluxes(rows)
     above = {"p_up": F.greatest(F.col("pressure") - F.first("pressure").over(over), F.lit(0.0))}
     since = F.lit(True) if since is None else since
-    above |= {f"f_{n}": F.when(since, F.greatest(sign * (F.col(n) - F.first(n).over(over)), F.lit(0.0))) for n in (*CHANNELS, "flux")}
+    above |= {f"f_{n}": F.when(since & F.col(n).isNotNull(), F.greatest(sign * (F.col(n) - F.first(n).over(over)), F.lit(0.0))) for n in (*CHANNELS, "flux")}
     rows = rows.withColumns(above)
     rows = rows.withColumns({f"a_{c}": trapezoid(F.col(c), "time_s", over, clamp=False) for c in above})
     total = lambda c: F.when(F.count(c) >= 2, F.sum(f"a_{c}"))

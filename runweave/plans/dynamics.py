@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import chain as C
 from ..operators import events as E
 from ..operators import geometry as G
 from ..operators import modules as M
@@ -13,6 +14,7 @@ from ..operators import preheat as P
 from ..operators import reduce as R
 from ..operators import waves as V
 from ..operators import windows as W
+from ..session import written
 from .geometry import edges
 from .grid import query, regions, zone_state
 
@@ -237,9 +239,13 @@ def profile(spark, d):
     return edges(spark, d).withColumns({"edge": F.col("outer_cm"), "x": F.col("outer_cm") - F.col("width_cm") / 2.0})
 
 
+def wave_branches_of(spark, d):
+    return V.wave_branches(V.placed_candidates(candidates(spark, d), profile(spark, d)))
+
+
 @query("wave_branches")
 def wave_branches(spark, d):
-    return V.wave_branches(V.placed_candidates(candidates(spark, d), profile(spark, d)))
+    return wave_branches_of(spark, d)
 
 
 SAMPLES = "b AS (SELECT run_id, zone_id AS branch_id, snapshot_index, time_s, density / 5e1 AS score, zone_id + velocity / 4e0 AS interface_id, zone_id * 2e0 + velocity / 3e0 AS position, width_cm * (1e0 + temperature_i / 1e2) AS width FROM g WHERE density >= 2.5e1)"
@@ -310,11 +316,11 @@ x AS (SELECT run_id, branch_id, left_region, boundary_zone, min(snapshot_index)
   FROM wd JOIN lv ON CASE dir WHEN 'high_to_low' THEN x0 > lv AND lv >= interface_id ELSE x0 < lv AND lv <= interface_id END GROUP BY 1, 2, 3, 4),
 ex AS (SELECT x.*, kind, dir, sr FROM x JOIN br USING (run_id, branch_id) WHERE sr < 2),
 gx AS (SELECT e.run_id, boundary_zone, b.branch_id AS other, min(abs(b.interface_id - (boundary_zone - 1))) AS gx FROM (SELECT DISTINCT run_id, boundary_zone FROM ex) e JOIN b ON b.run_id = e.run_id GROUP BY 1, 2, 3 HAVING gx <= 2.5e0),
-gt AS (SELECT e.run_id, e.branch_id, e.boundary_zone, gx.other, any_value(gx.gx) AS gx, round(min(abs(b.time_s - crossing_time)), 9) AS gt, any_value(round(greatest(3 * step, 1e-12), 9)) AS tol
+gt AS (SELECT e.run_id, e.branch_id, e.boundary_zone, gx.other, any_value(gx.gx) AS gx, round(min(abs(b.time_s - crossing_time) / greatest(3 * step, 1e-12)), 9) AS gt
   FROM ex e JOIN gx USING (run_id, boundary_zone) JOIN st USING (run_id) JOIN b ON b.run_id = e.run_id AND b.branch_id = gx.other WHERE gx.other <> e.branch_id GROUP BY 1, 2, 3, 4),
 ro AS (SELECT gt.*, c.kind, CASE WHEN c.kind IN ('transmitted_shock', 'compressive_shock') THEN 't' WHEN c.kind = 'reflected_shock' THEN 's' WHEN c.kind = 'contact_transition' THEN 'c' ELSE 'r' END AS role, c.sr, c.significance,
   CASE WHEN c.kind = 'contact_transition' THEN 0 WHEN c.kind IN ('transmitted_shock', 'compressive_shock') THEN CAST(c.dir <> i.dir AS INT) ELSE CAST(c.dir = i.dir AS INT) END AS penalty
-  FROM gt JOIN br c ON c.run_id = gt.run_id AND c.branch_id = gt.other JOIN br i ON i.run_id = gt.run_id AND i.branch_id = gt.branch_id WHERE gt <= tol AND c.sr < 2),
+  FROM gt JOIN br c ON c.run_id = gt.run_id AND c.branch_id = gt.other JOIN br i ON i.run_id = gt.run_id AND i.branch_id = gt.branch_id WHERE gt <= 1 AND c.sr < 2),
 oc AS (SELECT *, row_number() OVER (PARTITION BY run_id, branch_id, boundary_zone, role ORDER BY sr, penalty, gt, round(gx, 9), significance DESC, other) AS k FROM ro),
 on1 AS (SELECT run_id, branch_id, boundary_zone, max(other) FILTER (WHERE role = 't') AS t, max(other) FILTER (WHERE role = 's') AS shock, max(other) FILTER (WHERE role = 'r') AS release, max(other) FILTER (WHERE role = 'c') AS c FROM oc WHERE k = 1 GROUP BY 1, 2, 3),
 ev AS (SELECT ex.*, CASE WHEN ex.kind = 'transmitted_shock' THEN ex.branch_id ELSE t END AS transmitted, shock, release, CASE WHEN ex.kind = 'contact_transition' THEN ex.branch_id ELSE c END AS contact FROM ex LEFT JOIN on1 USING (run_id, branch_id, boundary_zone)),
@@ -351,7 +357,7 @@ def event_counts(spark, d):
 PLACED = CROSSED + ", " + SUMMARY.removeprefix(SAMPLES + ", ")
 
 
-@query("event_order", "run_id branch_id boundary_zone place", "", PLACED + ", o AS (SELECT x.*, support, significance, 'Region ' || left_region || ' -> ' || (left_region + 1) AS label FROM x JOIN v USING (run_id, branch_id)) ;; SELECT run_id, branch_id, CAST(boundary_zone AS INT) AS boundary_zone, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CASE support WHEN 'tracked' THEN 0 ELSE 1 END, round(significance, 9) DESC, round(crossing_time, 9), label, branch_id) AS INT) AS place FROM o")
+@query("event_order", "run_id branch_id boundary_zone place", "", PLACED + ", o AS (SELECT x.*, support, significance, 'Region ' || left_region || ' -> ' || (left_region + 1) AS label FROM x JOIN v USING (run_id, branch_id)) ;; SELECT run_id, branch_id, CAST(boundary_zone AS INT) AS boundary_zone, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CASE support WHEN 'tracked' THEN 0 ELSE 1 END, round(significance, 9) DESC, CAST(crossing_time AS FLOAT), label, branch_id) AS INT) AS place FROM o")
 def event_order(spark, d):
     b = V.branch_summary(samples(spark, d), V.time_steps(zone_state(spark, d))).select("run_id", "branch_id", "support", F.round("significance", 9).alias("significance"))
     label = F.concat(F.lit("Region "), F.col("left_region"), F.lit(" -> "), F.col("left_region") + 1)
@@ -424,6 +430,15 @@ def preheat_summary(spark, d):
     return P.preheat_summary(preheat_rows(spark, d)).select("run_id", "snapshots", "severity", "dominant_source", "peak_width_fraction", "peak_delta_te", "gained", "residual")
 
 
+@query("preheat_chain")
+def preheat_chain(spark, d):
+    """Preheat of the region that the primary branch of each run's tracked waves reaches."""
+    tracked = written(wave_branches_of(spark, d), "branches")
+    z = energies(zone_state(spark, d))
+    _, _, targets, summary = C.preheat_of_runs(tracked, z, G.interfaces(regions(spark)), 16)
+    return targets.join(summary, "run_id").select("run_id", "branch_id", "region_id", "entry_time", "snapshots", "severity", "dominant_source", "peak_width_fraction", "gained", "residual", "penalty_ratio")
+
+
 @query("preheat_budget", "run_id channel", "value fraction", BUDGET + ", un AS (UNPIVOT (SELECT run_id, gained, laser_deposition, laser_source, radiation_net_heating, electron_energy, ion_energy, radiation_energy, gained AS internal_energy, residual FROM bu) ON laser_deposition, laser_source, radiation_net_heating, electron_energy, ion_energy, radiation_energy, internal_energy, residual INTO NAME channel VALUE value) ;; SELECT run_id, channel, value, CASE WHEN gained <> 0 THEN value / gained END AS fraction FROM un")
 def preheat_budget(spark, d):
     """What each channel gave to the target before it was reached, and its share of the gain."""
@@ -547,6 +562,6 @@ def branch_as_track(spark, d):
     return V.branch_as_track(samples(spark, d), ranked(spark, d)).select(*RS, "track_index", "track_score")
 
 
-@query("event_as_crossing", "run_id left_region boundary_zone crossing", "crossing_time", CROSSED + ", " + RANKED.removeprefix(SAMPLES + ", ") + " ;; SELECT run_id, CAST(left_region AS INT) AS left_region, CAST(boundary_zone AS INT) AS boundary_zone, crossing_time, CAST(row_number() OVER (PARTITION BY run_id ORDER BY round(crossing_time, 9), boundary_zone) AS INT) AS crossing FROM x JOIN pr USING (run_id, branch_id)")
+@query("event_as_crossing", "run_id left_region boundary_zone crossing", "crossing_time", CROSSED + ", " + RANKED.removeprefix(SAMPLES + ", ") + " ;; SELECT run_id, CAST(left_region AS INT) AS left_region, CAST(boundary_zone AS INT) AS boundary_zone, crossing_time, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CAST(crossing_time AS FLOAT), boundary_zone) AS INT) AS crossing FROM x JOIN pr USING (run_id, branch_id)")
 def event_as_crossing(spark, d):
     return E.as_crossings(crossed(spark, d), ranked(spark, d)).select("run_id", "left_region", "boundary_zone", "crossing", "crossing_time")

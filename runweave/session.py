@@ -35,6 +35,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the scratch folder, which cuts its lineage and survives lost executors."""
+    folder = scratch(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing numbers are null inside the library, so that aggregates skip them."""
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

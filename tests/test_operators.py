@@ -10,8 +10,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runweave.functions import scalars as S
+from runweave.operators import chain
+from runweave.operators import events as E
 from runweave.operators import geometry as G
 from runweave.operators import joins as J
+from runweave.operators import preheat as P
 from runweave.operators import reduce as R
 from runweave.operators import select as sel
 from runweave.operators import waves as V
@@ -377,3 +380,59 @@ def test_added_ranges_of_any_size_give_the_same_blocks():
     assert len(want) == 4
     for size in (1, 7, 100, 1001):
         assert [x for a in range(0, len(raw), size) for x in growing.finished(pa.BufferReader(raw[: a + size]), a, min(a + size, len(raw)))] == want
+
+
+def test_chain_from_branches_to_preheat(spark):
+    dt, n = 1e-9, 12
+    samples = [(1, s, s * dt, 1, "shock_like", "shock_like", 10.5 - s, 10.5 - s, 1.0, 2.0, -1.0) for s in range(10)]
+    samples += [(1, s, s * dt, 2, "release_like", "release_like", 5.0 + s / 2, 5.0 + s / 2, 1.0, 1.0, 1.0) for s in range(3, 8)]
+    samples += [(1, s, s * dt, 3, "shock_like", "shock_like", 7.0, 7.0, 1.0, 9.0, 1.0) for s in (3, 4)]  # provisional: never a companion
+    samples = spark.createDataFrame(samples, "run_id long, snapshot_index int, time_s double, branch_id int, branch_family string, family string, interface_id double, position double, width double, score double, direction_sign double")
+    cells = []
+    for s in range(12):
+        for z in range(1, n + 1):
+            hot = 5 <= z <= 8 and 1 <= s <= 3
+            u = -1e5 * (1 + s) if z > 10 - s else 0.0
+            cells.append((1, s, z, s * dt, 1.0 + (z in (5, 6, 7, 8)), u, 1.0 + s * (z > 10 - s), 10.0 + 2.0 * hot, 5.0, 1.0, 0.1, (z - 1) // 4 + 1, 10.0, 20.0 + 10.0 * s * (5 <= z <= 8), 5.0, 0.5 * u * u * 1e-7, 100.0, 0.0))
+    zones = spark.createDataFrame(cells, "run_id long, snapshot_index int, zone_id int, time_s double, density double, velocity double, pressure double, temperature_e double, temperature_i double, mean_charge double, width_cm double, region_id int, ion_energy double, electron_energy double, radiation_energy double, kinetic_energy double, laser_deposition double, radiation_net_heating double")
+    regions = spark.createDataFrame([(i, i * 4 - 3, i * 4) for i in (1, 2, 3)], "region_id int, min_zone int, max_zone int")
+    branches, events, targets, summary = chain.preheat_of_runs(samples, zones, G.interfaces(regions), n)
+    kinds = {r.branch_id: (r.branch_type, r.branch_direction, r.support) for r in branches.collect()}
+    assert kinds == {1: ("transmitted_shock", "high_to_low", "tracked"), 2: ("release_rarefaction", "low_to_high", "tracked"), 3: ("reflected_shock", "low_to_high", "provisional")}
+    ev = {(r.branch_id, r.boundary_zone): r for r in events.collect()}
+    assert set(ev) == {(1, 8), (1, 4), (2, 8)} and ev[1, 8].crossing_time == pytest.approx(3.5 * dt) and ev[1, 4].crossing_time == pytest.approx(7.5 * dt)
+    assert ev[1, 8].shock is None and ev[1, 8].release == 2 and ev[1, 8].transmitted == 1 and ev[1, 8].classification == "unresolved_ambiguous_split"
+    assert ev[1, 4].release is None and ev[2, 8].transmitted == 1
+    value = {(s, z): c for c in cells for s, z in [(c[1], c[2])]}
+
+    def energy(zone, rows, since):
+        def flux(s):
+            _, _, _, t, rho, u, p, *_, ei, ee, er, ek, _, _ = value[s, zone]
+            return u * (rho * (ei + ee + er + ek) + p)
+
+        above = [(s * dt, max(-(flux(s) - flux(rows[0])), 0.0)) for s in rows if s >= since]
+        return sum(0.5 * (a[1] + b[1]) * (b[0] - a[0]) for a, b in zip(above, above[1:]))
+
+    at = ev[1, 8].snapshot_index
+    rows = list(range(at - 2, at + 3))
+    assert ev[1, 8].incident_energy == pytest.approx(energy(8, rows, 0)) and ev[1, 8].transmitted_energy == pytest.approx(energy(9, rows, at))
+    t = targets.first()
+    assert (t.region_id, t.boundary_zone, t.branch_id) == (2, 8, 1) and t.entry_time == pytest.approx(3.5 * dt)
+    r = summary.first()
+    assert r.snapshots == 4 and r.peak_width_fraction == 1.0 and r.severity == "severe" and r.peak_delta_te == 2.0
+    assert r.gained == pytest.approx(0.8 * 30) and r.budget["laser_deposition"] == pytest.approx(0.8 * 100 * 3 * dt) and r.dominant_source == "residual processes" and r.penalty_ratio is None
+    assert "laser_source" not in r.budget and r.fractions["internal_energy"] == 1.0
+    alone = chain.preheat_of_runs(samples.filter("branch_id = 1"), zones, G.interfaces(regions), n)
+    assert {e.classification for e in alone[1].collect()} == {"transmitted_shock"}
+    assert alone[3].first().penalty_ratio == pytest.approx(0.8 * 30 / energy(9, rows, at))
+    assert chain.preheat_of_runs(samples.filter("branch_id = 2"), zones, G.interfaces(regions), n)[3].count() == 0
+
+
+def test_energies_that_a_run_lacks(spark, front):
+    m = E.local_metrics(front.withColumn("pressure", F.lit(2.0)), ["run_id", "zone_id"])
+    assert m.count() == 10 and m.filter("channel is not null or internal is not null or flux is not null").count() == 0
+    s = spark.createDataFrame([(1, i, i * 1.0, 5.0) for i in range(3)], "run_id long, snapshot_index int, time_s double, laser_source double").withColumns({c: F.lit(None).cast("double") for c in ("laser_deposition", "radiation_net_heating", "electron_energy", "ion_energy", "radiation_energy", "internal_energy")})
+    r = P.energy_budget(s).first()
+    assert r.budget == {"laser_source": 10.0} and r.dominant_source == "laser deposition" and r.residual is None and r.fractions is None
+    none = P.energy_budget(s.withColumn("laser_source", F.lit(None).cast("double"))).first()
+    assert none.budget == {} and none.dominant_source is None
