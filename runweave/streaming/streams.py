@@ -19,52 +19,119 @@ def snapshot_stream(spark: SparkSession, path: str) -> DataFrame:
     return logtext.parsed(logtext.block_texts(raw).filter("block >= 0")).select("file", "block", "cycle", "time_s", "time_step_s")
 
 
-class Cumulative(StatefulProcessor):
-    """Running trapezoid of y over t per key; time that runs backward adds nothing.
+class Fold:
+    """What a stream carries along for a key: its state and what rows, in the order of ``order``, make of it."""
 
-    Rows are in time order within a batch only: one that is earlier than what a batch
-    before had adds nothing, but is the last point from then on.
-    """
+    #: Columns of a row besides the key, the order of rows, the state, columns of a result besides the key.
+    rows: str
+    order: list[str]
+    state: str
+    out: str
+
+    def step(self, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[tuple]]:
+        raise NotImplementedError
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
-    def __init__(self, key: str, kind: str = "long"):
-        self.key, self.kind = key, kind
+
+class AtOnce(StatefulProcessor):
+    """Folds the rows of each batch as they come, in order within the batch."""
+
+    def __init__(self, fold: Fold, key: str):
+        self.fold, self.key = fold, key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "t double, y double, total double")
+        self.state = handle.getValueState("state", self.fold.state)
+
+    def folded(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = self.fold.step(tuple(self.state.get()) if self.state.exists() else None, rows.sort_values(self.fold.order))
+        if state is not None:
+            self.state.update(state)
+        return pd.DataFrame([(key[0], *x) for x in out], columns=[self.key, *_names(self.fold.out)])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.state.get() if self.state.exists() else None
-        out = []
-        for t, y in pd.concat(rows).sort_values("t")[["t", "y"]].itertuples(index=False):
-            total = 0.0 if last is None else last[2] + 0.5 * (y + last[1]) * max(t - last[0], 0.0)
-            last = (float(t), float(y), float(total))
-            out.append((key[0], *last))
-        if last is not None:
-            self.state.update(last)
-        yield pd.DataFrame(out, columns=[self.key, "t", "y", "total"])
+        yield self.folded(key, pd.concat(rows)[_names(self.fold.rows)])
 
     def close(self) -> None:
         pass
 
 
-def cumulative(stream: DataFrame, key: str, kind: str = "long") -> DataFrame:
-    """``stream``: key, t, y."""
-    return stream.groupBy(key).transformWithStateInPandas(Cumulative(key, kind), f"{key} {kind}, t double, y double, total double", "Append", "None")
+class InOrder(AtOnce):
+    """Rows wait in the state until the watermark has passed them, and are then folded in order, whatever batches they came in.
+
+    A key holds what lies within the watermark's delay. It has a timer at the first row it holds.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle, self.columns = handle, ["at_ms", *_names(self.fold.rows)]
+        self.held = handle.getListState("held", f"at_ms long, {self.fold.rows}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            self.held.appendList([tuple(x) for x in part[self.columns].astype(object).itertuples(index=False)])
+            first = min(int(part["at_ms"].min()), first if first is not None else int(part["at_ms"].min()))
+        self.handle.registerTimer(first)
+        yield pd.DataFrame(columns=[self.key, *_names(self.fold.out)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame([tuple(x) for x in self.held.get()], columns=self.columns)
+        ready = held["at_ms"] <= timerValues.getCurrentWatermarkInMs()
+        rest = held[~ready]
+        self.held.clear()
+        if len(rest):
+            self.held.appendList([tuple(x) for x in rest.astype(object).itertuples(index=False)])
+            self.handle.registerTimer(int(rest["at_ms"].min()))
+        yield self.folded(key, held[ready].drop(columns="at_ms"))
+
+
+def _folded(stream: DataFrame, fold: Fold, key: str, kind: str, at: str | None, delay: str) -> DataFrame:
+    out = f"{key} {kind}, {fold.out}"
+    if at is None:
+        return stream.groupBy(key).transformWithStateInPandas(AtOnce(fold, key), out, "Append", "None")
+    timed = stream.withWatermark(at, delay).withColumn("at_ms", F.unix_millis(F.col(at)))
+    return timed.groupBy(key).transformWithStateInPandas(InOrder(fold, key), out, "Append", "EventTime")
+
+
+class Trapezoid(Fold):
+    """Running trapezoid of y over t; time that runs backward adds nothing."""
+
+    rows, order, state, out = "t double, y double", ["t", "y"], "t double, y double, total double", "t double, y double, total double"
+
+    def step(self, state, rows):
+        found = []
+        for t, y in rows[["t", "y"]].itertuples(index=False):
+            total = 0.0 if state is None else state[2] + 0.5 * (y + state[1]) * max(t - state[0], 0.0)
+            state = (float(t), float(y), float(total))
+            found.append(state)
+        return state, found
+
+
+def cumulative(stream: DataFrame, key: str, kind: str = "long", *, at: str | None = None, delay: str = "1 minute") -> DataFrame:
+    """``stream``: key, t, y; the running integral of y after each row.
+
+    With ``at``, a timestamp that follows t, rows are taken in order of t however they
+    arrive within ``delay``. Without it they are in order within a batch only: a row earlier
+    than what a batch before had adds nothing, but is the last point from then on.
+    """
+    return _folded(stream, Trapezoid(), key, kind, at, delay)
+
 
+class Front(Fold):
+    """Front position, snapshot by snapshot; the thresholds are given, as a stream does not know all scores."""
 
-class Front(StatefulProcessor):
-    """Front position per run, snapshot by snapshot; the thresholds are given, as a stream does not know all scores."""
+    rows, order, state, out = "snapshot_index int, interface_id int, score double", ["snapshot_index", "interface_id"], "at int, snapshot int", "snapshot_index int, track_index int"
 
     def __init__(self, threshold: float, falling: bool, forward: int, backward: int):
         self.threshold, self.falling, self.forward, self.backward = threshold, falling, forward, backward
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("at", "at int, snapshot int")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, seen = self.state.get() if self.state.exists() else (None, -1)
-        out = []
-        for s, frame in pd.concat(rows).sort_values(["snapshot_index", "interface_id"]).groupby("snapshot_index"):
+    def step(self, state, rows):
+        at, seen = state or (None, -1)
+        found = []
+        for s, frame in rows.groupby("snapshot_index"):
             if s <= seen:
                 continue  # late: the front has moved on
             if at is None:
@@ -79,43 +146,36 @@ class Front(StatefulProcessor):
                     if pick["score"] >= max(0.005, 0.25 * self.threshold):
                         at = int(pick["interface_id"])
             seen = int(s)
-            out.append((key[0], seen, at))
-        if at is not None:
-            self.state.update((at, seen))
-        yield pd.DataFrame(out, columns=["run_id", "snapshot_index", "track_index"])
+            found.append((seen, at))
+        return (None if at is None else (at, seen)), found
 
-    def close(self) -> None:
-        pass
 
+def front(stream: DataFrame, *, threshold: float, falling: bool = True, forward: int = 48, backward: int = 4, at: str | None = None, delay: str = "1 minute") -> DataFrame:
+    """``stream``: run_id, snapshot_index, interface_id, score.
 
-def front(stream: DataFrame, *, threshold: float, falling: bool = True, forward: int = 48, backward: int = 4) -> DataFrame:
-    """``stream``: run_id, snapshot_index, interface_id, score."""
-    return stream.groupBy("run_id").transformWithStateInPandas(Front(threshold, falling, forward, backward), "run_id long, snapshot_index int, track_index int", "Append", "None")
+    With ``at``, a timestamp that follows the snapshots, a snapshot's rows may come in any batches within
+    ``delay``. Without it a snapshot must lie in one batch, and one that comes late is left out.
+    """
+    return _folded(stream, Front(threshold, falling, forward, backward), "run_id", "long", at, delay)
 
 
-class Order(StatefulProcessor):
-    """Rows whose time is before the latest seen for their key."""
+class Backward(Fold):
+    """Rows whose time is before the latest seen."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "t double")
+    rows, order, state, out = "n long, t double", ["n"], "t double", "n long, t double, latest double"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest = self.state.get()[0] if self.state.exists() else float("-inf")
-        out = []
-        for n, t in pd.concat(rows).sort_values("n")[["n", "t"]].itertuples(index=False):
+    def step(self, state, rows):
+        latest, found = state[0] if state else float("-inf"), []
+        for n, t in rows[["n", "t"]].itertuples(index=False):
             if t < latest:
-                out.append((key[0], int(n), float(t), float(latest)))
+                found.append((int(n), float(t), float(latest)))
             latest = max(latest, float(t))
-        self.state.update((latest,))
-        yield pd.DataFrame(out, columns=["key", "n", "t", "latest"])
-
-    def close(self) -> None:
-        pass
+        return (latest,), found
 
 
-def out_of_order(stream: DataFrame) -> DataFrame:
-    """``stream``: key (long), n (arrival number), t."""
-    return stream.groupBy("key").transformWithStateInPandas(Order(), "key long, n long, t double, latest double", "Append", "None")
+def out_of_order(stream: DataFrame, *, at: str | None = None, delay: str = "1 minute") -> DataFrame:
+    """``stream``: key (long), n (arrival number), t. ``at``: a timestamp that follows n, if rows may come in any batches within ``delay``."""
+    return _folded(stream, Backward(), "key", "long", at, delay)
 
 
 def run_status(stream: DataFrame, key: str = "run_id") -> DataFrame:

@@ -51,5 +51,31 @@ def test_front_stream_matches_batch(spark, tmp_path):
 
 def test_snapshots_of_arriving_logs(spark, tmp_path):
     for k in range(2):
-        (tmp_path / f"r{k}.log").write_text("".join(f"Cycle = {i}  Time (s) = {i}.0E-09  dt (s) = 1.0E-09\n" for i in range(3)))
-    assert X.drained(X.snapshot_stream(spark, str(tmp_path)), "l").count() == 6
+        (tmp_path / f"r{k}.log").write_text("END OF INPUT PARAMETERS\n" + "".join(f"  Cycle   Time (s)  dt\n  {i}  {i}.0E-09 1.0E-09\n" for i in range(3)))
+    got = sorted((r.block, r.cycle, r.time_s) for r in X.drained(X.snapshot_stream(spark, str(tmp_path)), "l").collect())
+    assert got == [(i, i, i * 1e-9) for i in range(3) for _ in range(2)]
+
+
+@pytest.mark.parametrize("batches", [1, 3, 10])
+def test_rows_in_any_batches_give_the_same(spark, tmp_path, batches):
+    rng = np.random.default_rng(7)
+    n = 90
+    rows = pd.DataFrame({"key": np.arange(n) % 3, "n": np.arange(n), "t": np.where(np.arange(n) % 11 == 5, np.arange(n) - 7.0, np.arange(n)), "y": np.round(np.random.default_rng(1).random(n), 6)})
+    rows["at"] = pd.Timestamp("2020-01-01") + pd.to_timedelta(rows["n"], unit="s")
+    rows["snapshot_index"], rows["interface_id"], rows["score"] = (rows["n"] // 9).astype("int32"), (rows["n"] % 9 // 3).astype("int32"), rows["y"]
+    end = rows.iloc[:3].assign(at=pd.Timestamp("2021-01-01"), n=10_000, t=1e9, snapshot_index=np.int32(99))  # moves the watermark past all rows
+    parts = [*np.array_split(rows.iloc[rng.permutation(n)], batches), end]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part).coalesce(1).write.parquet(f"{tmp_path}/in/{k:02d}")
+    schema = spark.read.parquet(f"{tmp_path}/in/00").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    by_n = source.withColumn("t", F.col("n").cast("double"))
+    got = {(r.key, r.t): r.total for r in X.drained(X.cumulative(by_n, "key", at="at", delay="1 hour"), "c").collect() if r.t < 1000}
+    for k, own in rows.groupby("key"):
+        for i in range(len(own)):
+            assert got[k, float(own.n.iloc[i])] == pytest.approx(np.trapezoid(own.y[: i + 1], own.n[: i + 1]))
+    late = sorted((r.key, r.n, r.t) for r in X.drained(X.out_of_order(source.withColumn("key", F.lit(0).cast("long")), at="at", delay="1 hour"), "o").collect() if r.n < 1000)
+    assert late == [(0, i, i - 7.0) for i in range(n) if i % 11 == 5]
+    fronts = {r.snapshot_index: r.track_index for r in X.drained(X.front(source.withColumn("run_id", F.lit(1).cast("long")), threshold=0.3, at="at", delay="1 hour"), "f").collect() if r.snapshot_index < 99}
+    want, _ = X.Front(0.3, True, 48, 4), None
+    assert fronts == dict(want.step(None, rows.sort_values(want.order))[1])
