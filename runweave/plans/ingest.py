@@ -413,10 +413,10 @@ def _written_runs(rows):
 
 @query("binary_read", "cycle n", "density time_s", "SELECT CAST(snapshot_index AS BIGINT) AS cycle, count(*) AS n, sum(density) AS density, max(time_s) AS time_s FROM g GROUP BY 1")
 def binary_read(spark, d):
-    """Runs written as binary files and read back through the data source, some snapshots to a task."""
-    z = zone_state(spark, d).select("run_id", "snapshot_index", "zone_id", "time_s", "density").withColumn("folder", F.lit(scratch(spark, "binary")))
-    paths = [r.path for r in z.groupBy("run_id").applyInPandas(_written_runs, "path string").collect()]  # a path for each file
-    spark.dataSource.register(B.RunFiles)
-    records = spark.read.format("run_records").option("path", ",".join(paths)).option("fixed", 3).option("snapshots", 16).option("names", "header,density,node").load()
-    rows = B.zone_fields(records, ["density"], fixed=3).filter(~F.isnan("density")).join(records.filter("record = 0").select("file", "snapshot_index", "cycle"), ["file", "snapshot_index"])
+    """Runs written as binary files and read back through the data source, one field of a range of bytes to a task."""
+    folder = scratch(spark, "binary")
+    z = zone_state(spark, d).select("run_id", "snapshot_index", "zone_id", "time_s", "density").withColumn("folder", F.lit(folder))
+    z.groupBy("run_id").applyInPandas(_written_runs, "path string").write.format("noop").mode("overwrite").save()
+    records = B.read_runs(spark, folder, ["header", "density", "node"], ["density"], fixed=3, range=4096)
+    rows = B.zone_fields(records.select("file", "snapshot_index", "time_s", "cycle", "name", "values"), ["density"], ["cycle"]).filter(~F.isnan("density"))
     return rows.groupBy("cycle").agg(F.count("*").alias("n"), F.sum("density").alias("density"), F.max("time_s").alias("time_s"))

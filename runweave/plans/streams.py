@@ -33,6 +33,14 @@ def stream_cumulative(spark, d):
     return out.groupBy("user_id").agg(F.count("*").alias("n"), (F.max_by("total", "t") / 1e6).alias("total"))
 
 
+@query("stream_in_order", "user_id n", "total", "m AS (SELECT max(epoch_ms(ts)) - 3600000 AS passed FROM events), o AS (SELECT user_id, value, epoch_us(ts) / 1e6 AS t FROM events, m WHERE epoch_ms(ts) <= passed), l AS (SELECT user_id, 5e-1 * (value + lag(value) OVER w) * (t - lag(t) OVER w) / 1e6 AS a FROM o WINDOW w AS (PARTITION BY user_id ORDER BY t, value)) ;; SELECT user_id, count(*) AS n, coalesce(sum(a), 0) AS total FROM l GROUP BY 1", grid=False)
+def stream_in_order(spark, d):
+    """The integral of all rows that the watermark, an hour late, has passed at the end."""
+    s = events(spark, d).select("user_id", F.col("ts").cast("timestamp").alias("at"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("y"))
+    out = X.drained(X.cumulative(s, "user_id", at="at", delay="1 hour"), "in-order")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), (F.max_by("total", "t") / 1e6).alias("total"))
+
+
 @query("stream_run_status", "user_id n last_valid last_time", "", "SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last_time, max_by(value > 1e1, event_id) AS last_valid FROM events GROUP BY 1", grid=False)
 def stream_run_status(spark, d):
     s = events(spark, d).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("time_s"), F.col("event_id").alias("snapshot_index"), (F.col("value") > 10).alias("valid"))

@@ -2,18 +2,21 @@
 
 A file is two date records, then for each snapshot one header vector, ``fixed - 1``
 record vectors and two records per zone; each record is a 4-byte length, the payload, the length again. Record widths are
-fixed within a file, so a partition is a range of snapshots found by arithmetic.
+fixed within a file. A partition is a range of bytes; its task finds the layout from the
+file's first snapshot and reads the snapshots that begin in its range, of these only the
+records that are asked for. The driver lists files and opens none.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 #: Slots of the header vector.
 HEADER = 30
@@ -38,51 +41,110 @@ def framed(file, at: int) -> tuple[bytes, int]:
     return payload, at + n + 8
 
 
+#: Bytes of a file that one task has; values of a batch of records.
+RANGE, VALUES = 64 << 20, 1 << 20
+
+
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, size: int, first: int, last: int):
-        self.path, self.start, self.size, self.first, self.last = path, start, size, first, last
+    def __init__(self, path: str, a: int, b: int):
+        self.path, self.a, self.b = path, a, b
+
+
+def listed(path: str, suffix: str) -> list[tuple[str, int]]:
+    """Files and sizes: of a folder those with the suffix, or else the file itself."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
+    prefix = path[: -len(name)] if path.endswith(name) and "://" in path else ""
+    info = store.get_file_info(name)
+    found = [info] if info.is_file else store.get_file_info(fs.FileSelector(name, recursive=True))
+    return sorted((prefix + x.path, x.size) for x in found if x.is_file and (x.path == info.path or x.path.endswith(suffix)))
+
+
+class Layout:
+    """Where the records of a file are: ``first`` snapshot, bytes of one, offsets within it; a partial last snapshot is left out."""
+
+    def __init__(self, file, fixed: int):
+        self.first = framed(file, framed(file, 0)[1])[1]
+        self.whole, self.offsets = 0, []
+        if self.first >= file.size():
+            return
+        payload, at = framed(file, self.first)
+        zones = int(np.frombuffer(payload, "<f8", HEADER)[NODES]) - 1
+        self.offsets = [0]
+        for _ in range(fixed - 1 + 2 * zones):
+            self.offsets.append(at - self.first)
+            file.seek(at)
+            at += struct.unpack("<i", file.read(4))[0] + 8
+        self.size = at - self.first
+        self.whole = (file.size() - self.first) // self.size
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = options["path"].split(",")
+        self.suffix = options.get("suffix", ".bpf")
         self.names = options.get("names", "").split(",")
-        self.per_partition = int(options.get("snapshots", 64))
+        self.range = int(options.get("range", RANGE))
         self.fixed = int(options.get("fixed", 69))
+        self.asked: set[str] | None = None
+        self.numbers: set[int] | None = None
+        if options.get("fields"):
+            self.asked = set(options["fields"].split(","))
 
-    def partitions(self):
-        """Snapshot ranges: the layout of a file's first snapshot gives the place of all others."""
-        out = []
-        for path in self.paths:
-            with opened(path) as file:
-                start = framed(file, framed(file, 0)[1])[1]
-                if start >= file.size():
-                    continue
-                payload, at = framed(file, start)
-                zones = int(np.frombuffer(payload, "<f8", HEADER)[NODES]) - 1
-                for _ in range(self.fixed - 1 + 2 * zones):
-                    at = framed(file, at)[1]
-                size = at - start
-                whole = (file.size() - start) // size  # a partial last snapshot is left out
-            out += [Range(path, start, size, k, min(k + self.per_partition, whole)) for k in range(0, whole, self.per_partition)]
-        return out
-
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def partitions(self) -> list[Range]:
+        return [Range(path, a, min(a + self.range, size)) for p in self.paths for path, size in listed(p, self.suffix) for a in range(0, size, self.range)]
+
+    def _name(self, record: int) -> str:
+        return self.names[record] if record < len(self.names) and self.names[record] else f"record_{record}"
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         with opened(partition.path) as file:
-            for k in range(partition.first, partition.last):
-                at, end, record = partition.start + k * partition.size, partition.start + (k + 1) * partition.size, 0
-                while at < end:
-                    payload, at = framed(file, at)
-                    values = np.frombuffer(payload, "<f8")
-                    if not record:
-                        header = values
-                    name = self.names[record] if record < len(self.names) and self.names[record] else f"record_{record}"
-                    yield partition.path, k, int(header[CYCLE]), float(header[TIME]), record, name, values.tolist()
-                    record += 1
+            at = Layout(file, self.fixed)
+            records = [(i, self._name(i), o) for i, o in enumerate(at.offsets)]
+            records = [r for r in records if (self.asked is None or r[1] in self.asked) and (self.numbers is None or r[0] in self.numbers)]
+            for k in range(at.whole if records else 0):
+                start = at.first + k * at.size
+                if not partition.a <= start < partition.b:
+                    continue
+                header = np.frombuffer(framed(file, start)[0], "<f8")
+                for record, name, offset in records:
+                    values = np.frombuffer(framed(file, start + offset)[0], "<f8") if record else header
+                    held.append((k, int(header[CYCLE]), float(header[TIME]), record, name, values))
+                    size += len(values)
+                    if size >= VALUES:
+                        yield self._batch(partition.path, held)
+                        held, size = [], 0
+        if held:
+            yield self._batch(partition.path, held)
+
+    @staticmethod
+    def _batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
+        column = lambda i, t: pa.array([r[i] for r in rows], t)
+        ends = pa.array(np.cumsum([0, *[len(r[5]) for r in rows]]), pa.int32())
+        values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[5] for r in rows])))
+        arrays = [pa.array([path] * len(rows)), column(0, pa.int32()), column(1, pa.int64()), column(2, pa.float64()), column(3, pa.int32()), column(4, pa.string()), values]
+        return pa.RecordBatch.from_arrays(arrays, names=["file", "snapshot_index", "cycle", "time_s", "record", "name", "values"])
+
+
+class FilteredReader(Reader):
+    """A reader that takes filters, which the session must allow."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Equality with names or numbers of records decides what is read."""
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and f.attribute == ("name",):
+                self.asked = values if self.asked is None else self.asked & values
+            elif values is not None and f.attribute == ("record",):
+                self.numbers = values if self.numbers is None else self.numbers & values
+            else:
+                yield f
 
 
 class RunFiles(DataSource):
-    """``spark.read.format("run_records")``: options path (comma-separated), names, snapshots, fixed."""
+    """``spark.read.format("run_records")``: options path (files or folders, comma-separated), suffix, names, fields (names that are read), range (bytes of a task), fixed."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,13 +154,26 @@ class RunFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return Reader(self.options)
+        return (FilteredReader if self.options.get("pushdown") == "true" else Reader)(self.options)
+
 
+def read_runs(spark: SparkSession, path: str, names: list[str], fields: list[str] | None = None, **options) -> DataFrame:
+    """The records of run files; ``names`` are those of the first records of a snapshot, ``fields`` those that are read (all).
 
-def zone_fields(records: DataFrame, fields: list[str], fixed: int = 69) -> DataFrame:
-    """Named zone vectors as rows: file, snapshot_index, time_s, zone_id and a column per field."""
-    rows = records.filter(F.col("name").isin(fields)).select("file", "snapshot_index", "time_s", "name", F.posexplode("values").alias("k", "value"))
-    return rows.groupBy("file", "snapshot_index", "time_s", (F.col("k") + 1).alias("zone_id")).pivot("name", fields).agg(F.first("value"))
+    Where ``spark.sql.python.filterPushdown.enabled`` is on, filters on name and record do the same.
+    """
+    spark.dataSource.register(RunFiles)
+    reader = spark.read.format("run_records").option("path", path).option("names", ",".join(names)).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).options(**{k: str(v) for k, v in options.items()})
+    return (reader.option("fields", ",".join(fields)) if fields else reader).load()
+
+
+def zone_fields(records: DataFrame, fields: list[str], keep: list[str] = []) -> DataFrame:
+    """Named zone vectors as rows: file, snapshot_index, time_s, ``keep``, zone_id and a column per field."""
+    keys = ["file", "snapshot_index", "time_s", *keep]
+    rows = records.filter(F.col("name").isin(fields)).select(*keys, "name", F.posexplode("values").alias("k", "value"))
+    if len(fields) == 1:  # no rows to bring together
+        return rows.select(*keys, (F.col("k") + 1).alias("zone_id"), F.col("value").alias(fields[0]))
+    return rows.groupBy(*keys, (F.col("k") + 1).alias("zone_id")).pivot("name", fields).agg(F.first("value"))
 
 
 def ion_fractions(records: DataFrame, fixed: int = 69) -> DataFrame:

@@ -296,15 +296,66 @@ def test_binary_source(spark, tmp_path):
             raw += rec(np.array([0.25, 0.75]).tobytes()) + rec(np.array([1.0]).tobytes())
     path = tmp_path / "run.bpf"
     path.write_bytes(raw + b"\x00\x00")
-    spark.dataSource.register(binary.RunFiles)
-    df = spark.read.format("run_records").option("path", str(path)).option("fixed", 3).option("snapshots", 2).option("names", "header,density,node").load()
-    assert df.rdd.getNumPartitions() == 3 and df.select("snapshot_index").distinct().count() == 5
+    df = binary.read_runs(spark, str(path), ["header", "density", "node"], fixed=3, range=len(raw) // 3 + 2)
+    assert df.rdd.getNumPartitions() == 3 and df.select("snapshot_index").distinct().count() == 5 and df.count() == 45
     f = binary.zone_fields(df, ["density"])
     assert {(r.snapshot_index, r.zone_id): r.density for r in f.collect()}[(4, 2)] == 5.0
     q = binary.ion_fractions(df, fixed=3)
     assert q.count() == 15 and q.select(R.mean_charge(F.col("fractions")).alias("q")).first().q == 0.75
 
 
+def test_binary_source_reads_what_is_asked(spark, tmp_path, monkeypatch):
+    def rec(payload):
+        return struct.pack("<i", len(payload)) + payload + struct.pack("<i", len(payload))
+
+    zones, raw = 50, rec(b"2020-01-01") + rec(b"12:00:00")
+    for s in range(6):
+        head = np.zeros(30)
+        head[1], head[2], head[4] = s * 1e-9, s, zones + 1
+        raw += rec(head.tobytes()) + rec(np.full(zones, float(s)).tobytes()) + rec(np.zeros(zones + 1).tobytes())
+        raw += b"".join(rec(np.zeros(2).tobytes()) + rec(np.zeros(1000).tobytes()) for _ in range(zones))
+    (tmp_path / "runs").mkdir()
+    for name in ("a.bpf", "b.bpf", "c.txt"):
+        (tmp_path / "runs" / name).write_bytes(raw)
+    real, read = binary.opened, []
+
+    class Counting:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read(self, n):
+            read.append(n)
+            return self.file.read(n)
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+    options = {"path": f"file://{tmp_path}/runs", "names": "header,density,node", "fixed": "3", "range": str(len(raw) // 2 + 1)}
+    monkeypatch.setattr(binary, "opened", lambda path: 1 / 0)
+    reader = binary.FilteredReader(options)
+    parts = reader.partitions()  # opens no file
+    assert len(parts) == 4 and list(reader.pushFilters([f := binary.EqualTo(("cycle",), 1), binary.In(("name",), ("density", "node")), binary.EqualTo(("record",), 1)])) == [f]
+    monkeypatch.setattr(binary, "opened", lambda path: Counting(real(path)))
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 12 and {r["name"] for r in rows} == {"density"} and sorted(r["snapshot_index"] for r in rows) == sorted([*range(6)] * 2)
+    assert sum(read) < 0.06 * len(raw) * 2
+    df = binary.read_runs(spark, f"file://{tmp_path}/runs", ["header", "density", "node"], ["density"], fixed=3)
+    got = binary.zone_fields(df, ["density"]).groupBy("snapshot_index").agg(F.sum("density").alias("v"), F.count("*").alias("n")).collect()
+    assert {(r.snapshot_index, r.v, r.n) for r in got} == {(s, 2.0 * zones * s, 2 * zones) for s in range(6)}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = binary.read_runs(spark, f"file://{tmp_path}/runs", ["header", "density", "node"], fixed=3).filter("name = 'node' and snapshot_index > 3")
+        assert pushed.count() == 4
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_tables(spark, front, tmp_path):
     tables.write_run_table(front, f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t").filter("run_id = 1 and snapshot_index = 2").count() == 10
