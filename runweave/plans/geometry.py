@@ -148,11 +148,13 @@ def eos_opacity_join(spark, d):
     return e.join(o, "id", "full").select("id", F.coalesce("eos", F.lit("")).alias("eos"), F.coalesce("opacity", F.lit("")).alias("opacity"))
 
 
-@query("region_masses", "run_id region_id", "mass", "q AS (SELECT DISTINCT run_id, region_id FROM g), m AS (SELECT run_id, region_id, sum(density) AS mass FROM g WHERE density >= 4.5e1 GROUP BY 1, 2) ;; SELECT q.run_id, q.region_id, mass FROM q LEFT JOIN m ON q.run_id = m.run_id AND q.region_id = m.region_id")
+@query("region_masses", "run_id region_id", "mass", "q AS (SELECT DISTINCT run_id, CAST(unnest(range(1, 6)) AS INT) AS region_id FROM g), m AS (SELECT run_id, region_id, sum(density * width_cm) AS mass FROM g GROUP BY 1, 2) ;; SELECT q.run_id, q.region_id, mass FROM q LEFT JOIN m ON q.run_id = m.run_id AND q.region_id = m.region_id")
 def region_masses(spark, d):
+    """Masses of the regions, of which the fifth is declared and has no zones."""
     z = zone_state(spark, d)
-    m = z.filter("density >= 45").groupBy("run_id", "region_id").agg(F.sum("density").alias("mass"))
-    return z.select("run_id", "region_id").distinct().join(m, ["run_id", "region_id"], "left")
+    m = z.groupBy("run_id", "region_id").agg(F.sum(F.col("density") * F.col("width_cm")).alias("mass"))
+    declared = z.select("run_id").distinct().select("run_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("region_id"))
+    return declared.join(m, ["run_id", "region_id"], "left")
 
 
 @query("source_alignment", "run_id use_log log_snapshots bin_snapshots", "", "l AS (SELECT run_id, count(DISTINCT zone_id) AS z, count(DISTINCT snapshot_index) AS s, min(time_s) AS a, max(time_s) AS b FROM g WHERE density >= 1.5e1 GROUP BY 1), k AS (SELECT run_id, count(DISTINCT zone_id) AS z, count(DISTINCT snapshot_index) AS s, min(time_s) AS a, max(time_s) AS b FROM g GROUP BY 1) ;; SELECT k.run_id, l.s AS log_snapshots, k.s AS bin_snapshots, coalesce(l.z = k.z AND l.s = k.s AND abs(l.a - k.a) <= 1e-14 + 1e-6 * abs(k.a) AND abs(l.b - k.b) <= 1e-14 + 1e-6 * abs(k.b), false) AS use_log FROM k LEFT JOIN l ON k.run_id = l.run_id")
@@ -284,10 +286,10 @@ def driven_increment(spark, d):
     return z.select(*RS, "zone_id", driven_factor(F.col("density") / F.col("rho0"), F.col("temperature_e"), reference_te=30.0).alias("factor"))
 
 
-@query("form_factor", "vec_id", "f0", "SELECT vec_id, list_sum(list_transform(range(1, 5), lambda i: abs(CAST(embedding[i] AS DOUBLE)) * exp(-i * pow((vec_id % 7 + 1) / (4e0 * pi()), 2)))) AS f0 FROM embeddings", grid=False)
+@query("form_factor", "vec_id", "f0", "SELECT vec_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: abs(CAST(embedding[i] AS DOUBLE)) * exp(-i * pow((vec_id % 7 + 1) / (4e0 * pi()), 2)))) AS f0 FROM embeddings", grid=False)
 def form_factor(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    terms = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(F.abs(F.element_at("embedding", i).cast("double")).alias("a"), i.cast("double").alias("b")))
+    terms = F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: F.struct(F.abs(F.element_at("embedding", i).cast("double")).alias("a"), i.cast("double").alias("b")))
     return e.select("vec_id", S.form_factor((F.col("vec_id") % 7 + 1).cast("double"), terms).alias("f0"))
 
 

@@ -105,10 +105,10 @@ def masked_profiles(spark, d):
     return sel.masked_profile(zone_state(spark, d), MASK.column(), {"velocity": F.col("velocity"), "ti": F.col("temperature_i"), "shift": S.los_velocity(F.col("velocity"), 0.5) * 1e4})
 
 
-@query("single_formula", "run_id snapshot_index formulas formula", "", "f(m, formula) AS (VALUES (1, 'CH'), (2, 'Al'), (3, 'Al')), u AS (SELECT run_id, snapshot_index, list_sort(list_distinct(list(formula))) AS f FROM (SELECT g.*, f.formula FROM g LEFT JOIN f ON abs(material_index) = m WHERE density >= 3.5e1) GROUP BY 1, 2) ;; SELECT run_id, snapshot_index, coalesce(array_to_string(f, ','), '') AS formulas, CASE WHEN len(f) = 1 THEN f[1] END AS formula FROM u")
+@query("single_formula", "run_id snapshot_index formulas formula", "", "f(m, formula) AS (VALUES (1, 'CH'), (2, 'Al'), (3, 'Al')), u AS (SELECT run_id, snapshot_index, list_sort(list_distinct(list(formula))) AS f FROM (SELECT g.*, f.formula FROM g LEFT JOIN f ON abs(material_index) = m) GROUP BY 1, 2) ;; SELECT run_id, snapshot_index, coalesce(array_to_string(f, ','), '') AS formulas, CASE WHEN len(f) = 1 THEN f[1] END AS formula FROM u")
 def single_formula(spark, d):
     f = spark.createDataFrame([(1, "CH"), (2, "Al"), (3, "Al")], "m int, formula string")
-    return sel.single_formula(zone_state(spark, d).filter("density >= 35"), f)
+    return sel.single_formula(zone_state(spark, d), f)
 
 
 @query("unresolved_materials", "run_id material", "", "SELECT DISTINCT run_id, abs(material_index) AS material FROM g WHERE abs(material_index) NOT IN (1, 2, 3)")
@@ -298,9 +298,9 @@ def span_summary(spark, d):
     return z.groupBy(*RS).agg(R.weighted_mean(F.col("temperature_e"), w).alias("te"), R.weighted_mean(F.col("temperature_i"), w).alias("ti"), F.try_divide(F.sum(F.col("electron_density") * w), F.sum(n * w)).alias("valence"), F.min(v).alias("wmin"), F.max(v).alias("wmax"))
 
 
-@query("model_reconciliation", "model branch rank n", "mae", "m(k, model, branch) AS (VALUES (0, 'rpa', 'A'), (1, 'mermin', 'A'), (2, 'stls', 'B')), e AS (SELECT model, branch, count(*) AS n, avg(abs(pressure - density)) AS mae FROM g JOIN m ON zone_id % 4 = k GROUP BY 1, 2) ;; SELECT *, CAST(row_number() OVER (ORDER BY mae, model) AS INT) AS rank FROM e")
+@query("model_reconciliation", "model branch rank n", "mae", "m(k, model, branch) AS (VALUES (0, 'rpa', 'A'), (1, 'mermin', 'A'), (2, 'stls', 'B'), (3, 'static', 'B')), e AS (SELECT model, branch, count(*) AS n, avg(abs(pressure - density)) AS mae FROM g JOIN m ON zone_id % 4 = k GROUP BY 1, 2) ;; SELECT *, CAST(row_number() OVER (ORDER BY mae, model) AS INT) AS rank FROM e")
 def model_reconciliation(spark, d):
-    m = spark.createDataFrame([(0, "rpa", "A"), (1, "mermin", "A"), (2, "stls", "B")], "k int, model string, branch string")
+    m = spark.createDataFrame([(0, "rpa", "A"), (1, "mermin", "A"), (2, "stls", "B"), (3, "static", "B")], "k int, model string, branch string")
     e = R.error_metrics(zone_state(spark, d).withColumn("k", F.col("zone_id") % 4).join(F.broadcast(m), "k"), ["model", "branch"], "pressure", "density")
     return e.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("mae"), "model"))).select("model", "branch", "rank", "n", "mae")
 
