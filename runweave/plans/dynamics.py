@@ -183,9 +183,10 @@ def first_activation(spark, d):
 
 @query("front_track")
 def front_track(spark, d):
-    t = V.front_track(scores(spark, d))
-    smooth = W.smooth_track(t, "track_index", ["run_id"], falling=True)
-    return V.track_velocity(smooth, "smoothed").select(*RS, "track_index", "smoothed", "track_score", "track_velocity")
+    """Front of each run in interfaces and centimetres, with its speed in cm/s."""
+    smooth = W.smooth_track(V.front_track(scores(spark, d)), "track_index", ["run_id"], falling=True)
+    bounds = edges(spark, d).select(*RS, (F.col("zone_id") - 1).alias("interface_id"), F.col("outer_cm").alias("position_cm"))
+    return V.track_velocity(V.placed_track(smooth, bounds, "smoothed"), "position_cm").select(*RS, "track_index", "smoothed", "track_score", "position_cm", "track_velocity")
 
 
 def evidence(spark, d):

@@ -487,3 +487,53 @@ def test_energies_that_a_run_lacks(spark, front):
     assert r.budget == {"laser_source": 10.0} and r.dominant_source == "laser deposition" and r.residual is None and r.fractions is None
     none = P.energy_budget(s.withColumn("laser_source", F.lit(None).cast("double"))).first()
     assert none.budget == {} and none.dominant_source is None
+
+
+def plain_track(frames, level, falling):
+    """Snapshot by snapshot over all interfaces, as the rule is stated."""
+    at, out = None, []
+    for s, row in enumerate(frames):
+        if at is None:
+            if row.max() >= level:
+                at = int(row.argmax())
+        else:
+            lo, hi = (at - 48, at + 4) if falling else (at - 4, at + 48)
+            near = np.arange(max(0, lo), min(len(row) - 1, hi) + 1)
+            best = near[(row[near] - 0.015 * level * np.abs(near - at)).argmax()]
+            at = int(best) if row[best] >= max(0.005, 0.25 * level) else at
+        if at is not None:
+            out.append((s, at, row[at]))
+    return out
+
+
+@pytest.mark.parametrize("falling", [True, False])
+def test_front_by_segments_equals_one_pass(spark, falling):
+    rng = np.random.default_rng(11)
+    runs, rows = {}, []
+    for run in range(6):
+        n, m = 40 + run, 70
+        frames = np.where(rng.random((n, m)) < 0.25, np.round(rng.random((n, m)) * rng.choice([0.02, 0.2, 1.0], (n, m)), 6), 0.0)
+        for s in range(n):
+            c = 60 - s if falling else 5 + s
+            if run % 2 and 0 <= c < m and rng.random() < 0.8:
+                frames[s, c] = 1.5
+        frames[: 7 * (run % 3)] *= 0.01
+        frames[20:24] = 0.0
+        runs[run] = frames
+        rows += [(run, s, s * 1e-9, z, float(frames[s, z])) for s in range(n) for z in range(m)]
+    scores = spark.createDataFrame(rows, "run_id long, snapshot_index int, time_s double, interface_id int, score double").repartition(5, "run_id", "snapshot_index")
+    for segment in (64, 7, 1):
+        got = V.front_track(scores, 0.3, falling=falling, segment=segment).collect()
+        for run, frames in runs.items():
+            own = sorted((r.snapshot_index, int(r.track_index), r.track_score) for r in got if r.run_id == run)
+            assert own == plain_track(frames, 0.3, falling), (run, segment)
+    free = V.front_track(scores, falling=falling, segment=9)
+    level = max(0.025, 0.15 * np.percentile(runs[1][runs[1] > 0], 95))
+    assert sorted((r.snapshot_index, int(r.track_index), r.track_score) for r in free.filter("run_id = 1").collect()) == plain_track(runs[1], level, falling)
+
+
+def test_track_in_centimetres(spark):
+    track = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.25), (1, 2, 9.0), (1, 3, None)], "run_id long, snapshot_index int, smoothed double")
+    edges = spark.createDataFrame([(1, s, i, 0.5 * i * (s + 1)) for s in range(4) for i in range(4)], "run_id long, snapshot_index int, interface_id int, position_cm double")
+    got = {r.snapshot_index: r.position_cm for r in V.placed_track(track, edges, "smoothed").collect()}
+    assert got == {0: 1.0, 1: 1.25, 2: None, 3: None}
