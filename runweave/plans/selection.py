@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import quantiles as Q
 from ..operators import reduce as R
 from ..operators import select as sel
 from ..operators import windows as win
@@ -170,6 +171,15 @@ def transmission_series(spark, d):
     return zone_state(spark, d).groupBy(*RS).agg(F.sum(F.col("density") * F.col("width_cm") * 1e-3).alias("tau")).withColumn("transmission", F.exp(-F.col("tau")))
 
 
+@query("exact_quantiles", "l_returnflag l_linenumber", "quantile tenth", "SELECT l_returnflag, l_linenumber, quantile_cont(l_extendedprice, 95e-2) AS quantile, quantile_cont(l_quantity, 1e-1) AS tenth FROM lineitem GROUP BY 1, 2", grid=False)
+def exact_quantiles(spark, d):
+    """Quantiles of prices and, with many equal ones, of quantities, closed in on by passes."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_linenumber", "l_extendedprice", "l_quantity")
+    keys = ["l_returnflag", "l_linenumber"]
+    q = Q.exact_quantiles(lines, keys, "l_extendedprice", 0.95, held=100)
+    return q.join(Q.exact_quantiles(lines, keys, "l_quantity", 0.1, name="tenth", held=100), keys)
+
+
 @query("weighted_median", "run_id snapshot_index", "median", "c AS (SELECT run_id, snapshot_index, temperature_e, sum(width_cm) OVER (PARTITION BY run_id, snapshot_index ORDER BY temperature_e) AS cum, sum(width_cm) OVER (PARTITION BY run_id, snapshot_index) AS total FROM g) ;; SELECT run_id, snapshot_index, min(temperature_e) AS median FROM c WHERE cum >= 5e-1 * total GROUP BY 1, 2")
 def weighted_median(spark, d):
     return R.weighted_median(zone_state(spark, d), RS, "temperature_e", "width_cm")

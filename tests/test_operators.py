@@ -15,6 +15,7 @@ from runweave.operators import events as E
 from runweave.operators import geometry as G
 from runweave.operators import joins as J
 from runweave.operators import preheat as P
+from runweave.operators import quantiles
 from runweave.operators import reduce as R
 from runweave.operators import select as sel
 from runweave.operators import waves as V
@@ -537,3 +538,19 @@ def test_track_in_centimetres(spark):
     edges = spark.createDataFrame([(1, s, i, 0.5 * i * (s + 1)) for s in range(4) for i in range(4)], "run_id long, snapshot_index int, interface_id int, position_cm double")
     got = {r.snapshot_index: r.position_cm for r in V.placed_track(track, edges, "smoothed").collect()}
     assert got == {0: 1.0, 1: 1.25, 2: None, 3: None}
+
+
+@pytest.mark.parametrize("held", [20_000, 50, 1])
+def test_exact_quantiles(spark, held):
+    rng = np.random.default_rng(5)
+    groups = {"even": rng.random(900), "skewed": np.exp(rng.normal(0, 30, 700)), "ties": rng.choice([1.0, 2.0, 3.0], 800, p=[0.5, 0.3, 0.2]), "two": np.r_[np.zeros(500), np.ones(500)], "one": np.array([4.0]), "same": np.full(300, -2.5), "signs": np.r_[-np.exp(rng.normal(0, 5, 400)), 0.0, np.inf, -np.inf]}
+    rows = [(g, float(x)) for g, values in groups.items() for x in values] + [("none", None), ("none", float("nan")), ("even", None), ("even", float("nan"))]
+    table = spark.createDataFrame(rows, "g string, x double").withColumns({"k": F.lit(1), "lo": F.lit(2), "found": F.lit(3)})
+    for q in (0.0, 0.1, 0.5, 0.95, 1.0):
+        got = {r.g: r.quantile for r in quantiles.exact_quantiles(table, ["g"], "x", q, held=held).collect()}
+        assert set(got) == set(groups)
+        for g, values in groups.items():
+            own = np.sort(values)
+            at = (len(own) - 1) * q
+            lo, hi = own[int(np.floor(at))], own[int(np.ceil(at))]
+            assert got[g] == pytest.approx(lo if lo == hi else lo + (hi - lo) * (at - np.floor(at)), rel=1e-12), (g, q)
