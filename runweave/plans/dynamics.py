@@ -514,12 +514,12 @@ def line_profile(spark, d):
 
 @query("spectroscopy_module", "run_id snapshot_index sane", "mean_velocity los_velocity width_nm", "SELECT run_id, snapshot_index, true AS sane, sum(velocity * electron_density * width_cm) / sum(electron_density * width_cm) AS mean_velocity, 5e-1 * sum(velocity * electron_density * width_cm) / sum(electron_density * width_cm) AS los_velocity, 7.7e-5 * 5e2 * sqrt(sum(temperature_i * electron_density * width_cm) / sum(electron_density * width_cm) / 2.7e1) AS width_nm FROM g GROUP BY 1, 2")
 def spectroscopy_module(spark, d):
-    return M.checked("spectroscopy", M.spectroscopy(zone_state(spark, d))).select(*RS, "sane", "mean_velocity", "los_velocity", "width_nm")
+    return M.checked("spectroscopy", M.REGISTRY["spectroscopy"].compute(zone_state(spark, d))).select(*RS, "sane", "mean_velocity", "los_velocity", "width_nm")
 
 
 @query("plasmon_module", "run_id snapshot_index regime", "k_debye peak_ev", "m AS (SELECT run_id, snapshot_index, sum(temperature_e * electron_density * width_cm) / sum(electron_density * width_cm) AS te, sum(electron_density * electron_density * width_cm) / sum(electron_density * width_cm) AS ne FROM g GROUP BY 1, 2), k AS (SELECT *, 4e0 * pi() * sin(radians(2e1) / 2e0) / (1.239841984e1 * 1e-8 / 8e0) * 7.43e2 * sqrt(te / ne) AS k_debye FROM m) ;; SELECT *, CASE WHEN k_debye < 1 THEN 'collective' ELSE 'non-collective' END AS regime, sqrt(1 + 3e0 * k_debye * k_debye) * 6.582119569e-16 * 5.64e4 * sqrt(ne) AS peak_ev FROM k")
 def plasmon_module(spark, d):
-    return M.plasmon(zone_state(spark, d)).select(*RS, "regime", "k_debye", "peak_ev")
+    return M.REGISTRY["plasmon"].compute(zone_state(spark, d)).select(*RS, "regime", "k_debye", "peak_ev")
 
 
 @query("all_modules", "module n n_sane", "", "h AS (SELECT *, CASE WHEN zone_id % 16 = run_id % 16 AND velocity < 0 THEN -electron_density ELSE electron_density END AS ne, CASE WHEN velocity < -3e0 THEN -1e3 ELSE temperature_i END AS ti FROM g), x AS (SELECT pow(sum(density * width_cm) / sum(width_cm) / 2e1, 1e0 / 3e0) * 3e-1 AS s FROM g GROUP BY run_id, snapshot_index, region_id), m AS (SELECT sum(ne * width_cm) AS c, sum(CASE WHEN ne > 0 THEN ti * ne * width_cm END) / sum(CASE WHEN ne > 0 THEN ne * width_cm END) AS t, sum(CASE WHEN ne > 0 THEN temperature_e * ne * width_cm END) / sum(CASE WHEN ne > 0 THEN ne * width_cm END) AS te FROM h GROUP BY run_id, snapshot_index) ;; SELECT 'xrd' AS module, count(*) AS n, count(*) FILTER (WHERE s <= 1) AS n_sane FROM x UNION ALL SELECT 'transmission', count(*), count(*) FILTER (WHERE c >= 0) FROM m UNION ALL SELECT 'spectroscopy', count(*), count(*) FILTER (WHERE t >= 0) FROM m UNION ALL SELECT 'plasmon', count(*), count(*) FILTER (WHERE te > 0) FROM m")

@@ -14,6 +14,7 @@ from runweave.operators import chain
 from runweave.operators import events as E
 from runweave.operators import geometry as G
 from runweave.operators import joins as J
+from runweave.operators import modules
 from runweave.operators import preheat as P
 from runweave.operators import quantiles
 from runweave.operators import reduce as R
@@ -554,3 +555,16 @@ def test_exact_quantiles(spark, held):
             at = (len(own) - 1) * q
             lo, hi = own[int(np.floor(at))], own[int(np.ceil(at))]
             assert got[g] == pytest.approx(lo if lo == hi else lo + (hi - lo) * (at - np.floor(at)), rel=1e-12), (g, q)
+
+
+def test_modules_read_the_cells_once(spark, front):
+    together = modules.run_modules(front)
+    assert set(together) == {"spectroscopy", "plasmon", "transmission", "xrd"} == set(modules.supported(front))
+    for name, result in together.items():
+        alone = modules.REGISTRY[name].compute(front)
+        key = [c for c in ("snapshot_index", "region_id") if c in alone.columns]
+        a, b = (sorted((r.asDict() for r in x.collect()), key=lambda r: [r[k] for k in key]) for x in (alone, result))
+        assert len(a) == len(b) > 0 and all(x == pytest.approx(y) if not any(isinstance(v, str) for v in x.values()) else x.keys() == y.keys() for x, y in zip(a, b)), name
+        plan = result._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == 1 and "LogicalRDD" not in plan and "LocalRelation" not in plan  # the written sums alone
+    assert set(modules.run_modules(front.drop("region_id"))) == {"spectroscopy", "plasmon", "transmission"} and modules.run_modules(front.select("run_id")) == {}
