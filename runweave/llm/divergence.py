@@ -110,8 +110,9 @@ def telling_terms(kept: DataFrame, groups: DataFrame, ranks: int = RANKS) -> Dat
     best = cells.groupBy("lang", "source", "value").agg(F.sum("many").alias("many")).withColumn("salt", F.pmod(F.hash("value"), F.lit(SALTS)))
     for own in (Window.partitionBy("lang", "source", "salt").orderBy(F.desc("value")), down):
         best = best.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= ranks)
-    best = best.withColumn("before", F.coalesce(F.sum("many").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    best = written(best.filter(F.col("before") < ranks).select("lang", "source", "value", "before"), "values")
+        before = F.sum("many").over(own.rowsBetween(Window.unboundedPreceding, -1))
+        best = best.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).filter(F.col("before") < ranks)
+    best = written(best.select("lang", "source", "value", "before"), "values")
     chosen = written(cells.join(best, ["lang", "source", "value"]).select("lang", "source", "n", "total", "value", "before"), "chosen")
     terms = kept.join(chosen, ["lang", "source", "n", "total"]).select("lang", "source", F.col("term").alias("item"), "value", "before")
     within = Window.partitionBy("lang", "source", "value").orderBy("item")
