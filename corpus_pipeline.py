@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.llm import decontaminate, jaccard_join, langid, packing, pii
-from runweave.llm.shared import small_batches, table, written
+from runweave.llm.shared import discard, small_batches, table, written
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -69,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(before)  # a table of this run, which nothing reads any more
     return STAGES[-1][1](spark, docs, sf_dir)
