@@ -449,7 +449,24 @@ def preheat_budget(spark, d):
 
 
 
-@query("tanh_localisation")
+#: Windows of cells about each candidate; regression sums of each front of a grid; the best front or the centroid.
+LOCALISED = CANDIDATES + """,
+ca AS (SELECT run_id, snapshot_index, family, interface_id, family_rank, score, threshold, l, r FROM fk WHERE family_rank <= 2 AND score >= 55e-2 * peak),
+eg AS (SELECT run_id, snapshot_index, zone_id, outer_cm AS edge, outer_cm - width_cm / 2e0 AS x, width_cm, ln(greatest(density, 1e-30)) AS d, ln(greatest(pressure, 1e-30)) AS p, velocity AS u FROM (SELECT *, sum(width_cm) OVER (PARTITION BY run_id, snapshot_index ORDER BY zone_id) AS outer_cm FROM g)),
+wi AS (SELECT ca.*, zone_id, x, edge, width_cm, d, p, u, x - lag(x) OVER (PARTITION BY ca.run_id, ca.snapshot_index, family, interface_id ORDER BY zone_id) AS gap FROM ca JOIN eg ON eg.run_id = ca.run_id AND eg.snapshot_index = ca.snapshot_index AND zone_id BETWEEN interface_id - 1 AND interface_id + 4),
+wf AS (SELECT run_id, snapshot_index, family, interface_id, any_value(family_rank) AS fr, any_value(score) AS s, any_value(threshold) AS th, any_value(l) AS l, any_value(r) AS r, count(*) AS n, coalesce(quantile_cont(gap, 5e-1) FILTER (WHERE gap > 0), 1e-8) AS h, coalesce(quantile_cont(width_cm, 5e-1) FILTER (WHERE width_cm > 0), 1e-8) AS c,
+  max(edge) FILTER (WHERE zone_id = interface_id) AS e0, max(edge) FILTER (WHERE zone_id = interface_id + 1) AS e1, max(edge) FILTER (WHERE zone_id = interface_id + 2) AS e2 FROM wi GROUP BY 1, 2, 3, 4),
+gr AS (SELECT run_id, snapshot_index, family, interface_id, e1 + h * (2e0 * i / 4 - 1e0) AS front, greatest(75e-2 * h, 1e-8) + (greatest(4e0 * h, h) - greatest(75e-2 * h, 1e-8)) * (j / 3e0) AS width
+  FROM wf, (SELECT unnest(range(0, 5)) AS i) a, (SELECT unnest(range(0, 4)) AS j) b WHERE family <> 'contact_like' AND fr = 1 AND s >= 125e-2 * th AND n >= 4 AND e1 IS NOT NULL),
+gs AS (SELECT *, tanh((x - front) / greatest(width, 1e-12)) AS t FROM gr JOIN wi USING (run_id, snapshot_index, family, interface_id)),
+su AS (SELECT run_id, snapshot_index, family, interface_id, front, width, count(*) AS n, regr_sxx(d, t) AS dx, regr_syy(d, t) AS dy, regr_sxy(d, t) AS dc, regr_sxx(p, t) AS px, regr_syy(p, t) AS py, regr_sxy(p, t) AS pc, regr_sxx(u, t) AS ux, regr_syy(u, t) AS uy, regr_sxy(u, t) AS uc FROM gs GROUP BY 1, 2, 3, 4, 5, 6),
+er AS (SELECT *, sqrt(greatest(dy - CASE WHEN dx > 1e-29 * n THEN dc * dc / dx ELSE 0 END, 0) / n) / greatest(sqrt(dy / n), 1e-12) + sqrt(greatest(py - CASE WHEN px > 1e-29 * n THEN pc * pc / px ELSE 0 END, 0) / n) / greatest(sqrt(py / n), 1e-12) + sqrt(greatest(uy - CASE WHEN ux > 1e-29 * n THEN uc * uc / ux ELSE 0 END, 0) / n) / greatest(sqrt(uy / n), 1e-12) AS error FROM su),
+be1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, snapshot_index, family, interface_id ORDER BY round(error, 6), front, width) AS k FROM er) WHERE k = 1),
+lo AS (SELECT wf.*, b.front, b.width, b.error, greatest(l, 0) AS ml, greatest(r, 0) AS mr, greatest(s, 0) AS ms FROM wf LEFT JOIN be1 b USING (run_id, snapshot_index, family, interface_id)),
+lm AS (SELECT *, CASE WHEN ml + ms + mr > 0 THEN (mr - ml) / (ml + ms + mr) ELSE 0 END AS m, CASE WHEN ml + ms + mr > 0 THEN (mr + ml) / (ml + ms + mr) ELSE 0 END AS v FROM lo)"""
+
+
+@query("tanh_localisation", "run_id snapshot_index family interface_id family_rank model", "front width error fit_quality confidence", LOCALISED + " ;; SELECT run_id, snapshot_index, family, interface_id, fr AS family_rank, CASE WHEN front IS NULL THEN 'weighted-centroid' ELSE 'local-joint-tanh' END AS model, coalesce(front, e1 + m * CASE WHEN m < 0 THEN e1 - coalesce(e0, e1) ELSE coalesce(e2, e1) - e1 END) AS front, coalesce(width, greatest(sqrt(greatest(v - m * m, 0)) * c, c)) AS width, error, CASE WHEN front IS NULL THEN 35e-2 ELSE 1 / (1 + error) END AS fit_quality, CASE WHEN front IS NULL THEN 3e-1 ELSE least(greatest(3e-1 + 7e-1 / (1 + error), 0), 1) END AS confidence FROM lm")
 def tanh_localisation(spark, d):
     return V.localised(candidates(spark, d), profile(spark, d))
 
