@@ -379,7 +379,7 @@ def compressive_branch(spark, d):
     return P.compressive_branch(s).select("run_id", "branch_id")
 
 
-TARGET = "f AS (SELECT run_id, min(snapshot_index) AS m FROM g GROUP BY 1), c AS (SELECT run_id, region_id, sum(density * width_cm) AS mass, sum(width_cm) AS width, 4 - region_id AS path_rank FROM g JOIN f USING (run_id) WHERE snapshot_index = m GROUP BY 1, 2), n AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS path_count, bool_or(region_id <> 4) OVER (PARTITION BY run_id) AS others FROM c), o AS (SELECT *, mass / max(mass) OVER (PARTITION BY run_id) AS ms, width / max(width) OVER (PARTITION BY run_id) AS wsc FROM n WHERE region_id <> 4 OR NOT others), t AS (SELECT *, 1.1e0 * ms + 35e-2 * wsc + CASE WHEN region_id <> 4 THEN 75e-2 ELSE 0 END + CASE WHEN path_rank > 0 AND path_rank < greatest(1, path_count - 1) THEN 35e-2 ELSE 0 END - CASE WHEN path_count > 2 AND path_rank = path_count - 1 THEN 2e-1 ELSE 0 END + CASE WHEN path_rank >= 2 THEN 1e-1 ELSE 0 END AS score FROM o), tg AS (SELECT run_id, region_id, score FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(score, 9) DESC, ms DESC, wsc DESC, path_rank) AS j FROM t) WHERE j = 1)"
+TARGET = "f0 AS (SELECT run_id, min(snapshot_index) AS m FROM g GROUP BY 1), c0 AS (SELECT run_id, region_id, sum(density * width_cm) AS mass, sum(width_cm) AS width, 4 - region_id AS path_rank FROM g JOIN f0 USING (run_id) WHERE snapshot_index = m GROUP BY 1, 2), n AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS path_count, bool_or(region_id <> 4) OVER (PARTITION BY run_id) AS others FROM c0), o AS (SELECT *, mass / max(mass) OVER (PARTITION BY run_id) AS ms, width / max(width) OVER (PARTITION BY run_id) AS wsc FROM n WHERE region_id <> 4 OR NOT others), t AS (SELECT *, 1.1e0 * ms + 35e-2 * wsc + CASE WHEN region_id <> 4 THEN 75e-2 ELSE 0 END + CASE WHEN path_rank > 0 AND path_rank < greatest(1, path_count - 1) THEN 35e-2 ELSE 0 END - CASE WHEN path_count > 2 AND path_rank = path_count - 1 THEN 2e-1 ELSE 0 END + CASE WHEN path_rank >= 2 THEN 1e-1 ELSE 0 END AS score FROM o), tg AS (SELECT run_id, region_id, score FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(score, 9) DESC, ms DESC, wsc DESC, path_rank) AS j FROM t) WHERE j = 1)"
 
 
 def targets(spark, d):
@@ -404,7 +404,7 @@ def preheat_rows(spark, d):
     return P.preheat_series(z, entry)
 
 
-PRE = EVENTS + ", " + ENERGY + ", " + TARGET.replace("f AS (", "f0 AS (").replace("JOIN f USING", "JOIN f0 USING").replace("c AS (SELECT run_id, region_id", "c0 AS (SELECT run_id, region_id").replace("FROM c)", "FROM c0)") + f""",
+PRE = EVENTS + ", " + ENERGY + ", " + TARGET + f""",
 en AS (SELECT run_id, region_id, coalesce(crossing_time, fin) AS entry_time FROM tg LEFT JOIN (SELECT run_id, left_region AS region_id, min(crossing_time) AS crossing_time FROM x GROUP BY 1, 2) USING (run_id, region_id) JOIN (SELECT run_id, max(time_s) AS fin FROM g GROUP BY 1) USING (run_id)),
 tz AS (SELECT ge.*, entry_time FROM ge JOIN en USING (run_id, region_id)),
 ep AS (SELECT run_id, greatest(1e-9, 1e-2 * coalesce(quantile_cont(fp, 5e-1) FILTER (WHERE fp > 0), 0)) AS eps FROM (SELECT run_id, zone_id, min_by(pressure, snapshot_index) AS fp FROM tz GROUP BY 1, 2) GROUP BY 1),

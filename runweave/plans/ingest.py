@@ -197,27 +197,31 @@ def log_header(spark, d):
     return H.facts(head).join(pairs, "file").select("file", "code_version", "geometry", "n_zones", "plasma_model", "origin_zone_index", "source_wavelength", "total_mass", "max_simulation_time")
 
 
-DIAGNOSTICS_SQL = ", ".join(
-    [f"('radiation_boundary_fluxes/{n}', {r}, max(density) FILTER (WHERE zone_id = {4 * r + 4}) * {k}e0)" for k, n in enumerate(H.FLUXES, 1) for r in range(4)]
-    + ["('radiation_boundary_fluxes/terminal_net_flux_at_boundary', 0, s + 5e-1)", "('energy_summary/initial/ions_total', 0, run_id)", "('energy_summary/current/ions_total', 0, s)"]
-    + [f"('{n}', 0, {v})" for n, v in (("energy_summary/initial/electrons", "p"), ("energy_summary/current/electrons", "2e0 * p"), ("energy_exchange/sources_to_plasma/laser/total", "3e0 * p"), ("energy_exchange/sources_to_plasma/laser/last_step", "s"), ("energy_exchange/lost_from_grid/radiation/total", "5e0 * p"), ("energy_exchange/lost_from_grid/radiation/last_step", "2e0 * s"), ("energy_exchange/between_components/ele_to_ion/total", "7e0 * p"), ("energy_exchange/between_components/ele_to_ion/last_step", "3e0 * s"), ("energy_balance/initial/e_init", "11e0 * p"), ("energy_balance/current/e_now", "13e0 * p"), ("energy_balance/initial_plus_gains_minus_losses/e_sum", "17e0 * p"))]
-)
-
-
-def _diagnostics_sql():
-    """One row a block with a column for each value, then a row for each."""
-    import re
-
-    entries = re.findall(r"\('([^']+)', (\d+), (.+?)\)(?=, \('|$)", DIAGNOSTICS_SQL)
-    wide = ", ".join(f"CAST({v.replace('max(density) FILTER (WHERE zone_id = ', 'd[').replace(') *', '] *')} AS DOUBLE) AS v{i}" for i, (_, _, v) in enumerate(entries))
-    names = ", ".join(f"('{n}', {k}, v{i})" for i, (n, k, _) in enumerate(entries))
-    return f""",
+#: Diagnostics of a logged block: path, position and value, from its snapshot s, the first zone's pressure p and the densities d.
+LOGGED = [
+    *[(f"radiation_boundary_fluxes/{n}", r, f"d[{4 * r + 4}] * {k}") for k, n in enumerate(H.FLUXES, 1) for r in range(4)],
+    ("radiation_boundary_fluxes/terminal_net_flux_at_boundary", 0, "s + 5e-1"),
+    ("energy_summary/initial/ions_total", 0, "run_id"),
+    ("energy_summary/current/ions_total", 0, "s"),
+    ("energy_summary/initial/electrons", 0, "p"),
+    ("energy_summary/current/electrons", 0, "2 * p"),
+    ("energy_exchange/sources_to_plasma/laser/total", 0, "3 * p"),
+    ("energy_exchange/sources_to_plasma/laser/last_step", 0, "s"),
+    ("energy_exchange/lost_from_grid/radiation/total", 0, "5 * p"),
+    ("energy_exchange/lost_from_grid/radiation/last_step", 0, "2 * s"),
+    ("energy_exchange/between_components/ele_to_ion/total", 0, "7 * p"),
+    ("energy_exchange/between_components/ele_to_ion/last_step", 0, "3 * s"),
+    ("energy_balance/initial/e_init", 0, "11 * p"),
+    ("energy_balance/current/e_now", 0, "13 * p"),
+    ("energy_balance/initial_plus_gains_minus_losses/e_sum", 0, "17 * p"),
+]
+LOGGED_SQL = f""",
 b AS (SELECT run_id, snapshot_index AS s, max(pressure) FILTER (WHERE zone_id = 1) AS p, list(density ORDER BY zone_id) AS d FROM w WHERE NOT cut GROUP BY 1, 2),
-x AS (SELECT run_id, {wide} FROM b)
-;; SELECT 'run_' || run_id AS file, path, CAST(pos AS INT) AS pos, count(*) AS n, sum(v) AS total FROM x, LATERAL (VALUES {names}) t(path, pos, v) GROUP BY ALL"""
+x AS (SELECT run_id, {', '.join(f'CAST({v} AS DOUBLE) AS v{i}' for i, (_, _, v) in enumerate(LOGGED))} FROM b)
+;; SELECT 'run_' || run_id AS file, path, CAST(pos AS INT) AS pos, count(*) AS n, sum(v) AS total FROM x, LATERAL (VALUES {', '.join(f"('{n}', {k}, v{i})" for i, (n, k, _) in enumerate(LOGGED))}) t(path, pos, v) GROUP BY ALL"""
 
 
-@query("log_diagnostics", "file path pos n", "total", LOG_GRID + _diagnostics_sql())
+@query("log_diagnostics", "file path pos n", "total", LOG_GRID + LOGGED_SQL)
 def log_diagnostics(spark, d):
     """Every diagnostic of the logs, summed over the snapshots."""
     b = L.parsed(L.block_texts(logs(spark, d)).filter("block >= 0"))
