@@ -14,6 +14,7 @@ Blocks are one row each, their columns arrays over the zones; ``zone_table`` has
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,9 +207,11 @@ class _Table:
 
 
 def _floats(text: str) -> np.ndarray:
-    """The numbers of a text, as far as it consists of numbers."""
-    import warnings
-
+    """The numbers of a text; fewer if some of it is no number."""
+    try:
+        return pa.array(text.split(), pa.string()).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:  # also a sign before a number
+        pass
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", DeprecationWarning)
         try:
@@ -298,6 +301,7 @@ BLOCK_FIELDS = "file string, start long, number long, cycle long, time_s double,
 
 def _batch(blocks: list[tuple[str, int, int, _Block]]) -> pa.RecordBatch:
     names, units, values, sizes, fields, zones = [], [], [], [], [], []
+    rows = [t.zones for _, _, _, b in blocks for t in b.tables]
     for _, _, _, b in blocks:
         own, count = b.zones(), 0
         for t in b.tables:
@@ -323,7 +327,7 @@ def _batch(blocks: list[tuple[str, int, int, _Block]]) -> pa.RecordBatch:
         pa.array(of(lambda b: b.control), pa.string()),
         pa.array(of(lambda b: b.tables[0].boundary if b.tables else None), pa.float64()),
         pa.array(of(lambda b: b.problem), pa.string()),
-        pa.array(of(lambda b: [t.zones.tolist() for t in b.tables]), _BLOCKS.field("table_zones").type),
+        pa.ListArray.from_arrays(ends(of(lambda b: len(b.tables))), pa.ListArray.from_arrays(ends([len(z) for z in rows]), pa.array(np.concatenate([np.empty(0, np.int64), *rows]), pa.int32()))),
         pa.array(of(lambda b: [t.padded for t in b.tables]), pa.list_(pa.int32())),
         pa.array(of(lambda b: [t.cut for t in b.tables]), pa.list_(pa.int32())),
         pa.ListArray.from_arrays(ends([len(z) for z in zones]), pa.array(np.concatenate([np.empty(0, np.int64), *zones]), pa.int32())),
