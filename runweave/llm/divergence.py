@@ -25,8 +25,11 @@ from .shared import written
 
 #: Least documents of a kept term, scale of the shares, ranks of the terms.
 LEAST_DOCS, SCALE, RANKS = 3, 1_000_000_000, 200
-#: Terms that a task holds before it sends them on; bytes of a text whose words are listed at once.
-HELD, LISTED = 300_000, 1 << 20
+#: Terms, and rows, that a task holds before it sends them on; bytes of a text whose words are listed at once.
+HELD, ROWS, LISTED = 400_000, 1 << 20, 1 << 20
+#: A held count is occurrences, and above these bits rows.
+ROW_BITS = 42
+ROW = 1 << ROW_BITS
 #: Parts in which a group's values are ranked before what is left of them is ranked together.
 SALTS = 8
 #: Sources whose sums with all others one task holds; more are further blocks. Cells of a slice's table.
@@ -36,27 +39,28 @@ _TERM = re.compile(rb"[a-z\x80-\xff]+")  # in UTF-8: letters a to z and all that
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term of a language and source, added up over the rows of a task."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[str, str], Counter] = {}
+    rows = 0
 
     def sent() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
+        for (lang, source), both in held.items():
+            terms, counts = pa.array(list(both), pa.binary()).cast(pa.string()), np.fromiter(both.values(), np.int64, len(both))
             for lo in range(0, len(terms), 50_000):
-                cut = terms[lo : lo + 50_000]
-                keys = [pa.array([k] * len(cut), pa.string()) for k in (lang, source)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(cut, pa.binary()).cast(pa.string()), pa.array([n[t] for t in cut], pa.int64()), pa.array([docs[t] for t in cut], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+                term, count = terms.slice(lo, 50_000), counts[lo : lo + 50_000]
+                keys = [pa.array([k] * len(term), pa.string()) for k in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*keys, term, pa.array(count & (ROW - 1)), pa.array(count >> ROW_BITS)], names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
             text = text.lower()  # of bytes: only A-Z
             own = Counter(_TERM.findall(text) if len(text) <= LISTED else (m[0] for m in _TERM.finditer(text)))
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            both = held.setdefault((lang, source), Counter())
             for t, k in own.items():
-                n[t] += k
-            docs.update(own.keys())
-        if sum(len(n) for n, _ in held.values()) > HELD:
+                both[t] += k + ROW
+        rows += batch.num_rows
+        if rows > ROWS or sum(map(len, held.values())) > HELD:
             yield from sent()
-            held = {}
+            held, rows = {}, 0
     yield from sent()
 
 
@@ -72,6 +76,7 @@ def kept_terms(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     sources are empty ones; repeated rows count each time.
     """
     found = _plain(docs, text_col, lang_col, source_col).mapInArrow(_counter, "lang string, source string, term string, n long, docs long")
+    found = found.repartition("lang", "term")  # tasks have added up what they hold, so this one shuffle serves sums and windows
     counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_lang = Window.partitionBy("lang", "term")
     whole = counts.select("lang", "source", "term", "n", F.sum("n").over(of_lang).alias("total"), F.sum("docs").over(of_lang).alias("in_docs"), (F.col("source") == F.min("source").over(of_lang)).alias("lead"))
