@@ -77,7 +77,7 @@ FOOTER = 20_000
 #: Most ranges of files whose first blocks are broadcast; more are joined by a shuffle. Zones of a row batch of blocks.
 RANGES, ZONES = 100_000, 20_000
 
-_MARK, _NUMBER = re.compile(MARK), re.compile(NUMBER)
+_MARK, _NUMBER, _WHOLE = re.compile(MARK), re.compile(NUMBER), re.compile(rf"(?:{NUMBER})\Z")
 _LEAD = frozenset("0123456789+-.")
 _BARE_EXPONENT = re.compile(r"(?<![A-Za-z])([+-]?(?:\d+\.\d*|\.\d+))([+-]\d{2,3})(?!\d)")
 
@@ -197,7 +197,7 @@ class _Table:
         out = np.full((len(lines), width), np.nan)
         for row, line in zip(out, lines):
             tokens = line.split()
-            if len(tokens) != width or not all(_NUMBER.fullmatch(t) for t in tokens):
+            if len(tokens) != width or not all(_WHOLE.match(t) for t in tokens):
                 tokens = numbers(line)
             self.padded += len(tokens) < width
             self.cut += len(tokens) > width
