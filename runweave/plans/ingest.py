@@ -34,7 +34,8 @@ def _real(c):
 def log_parts(spark, d):
     """run_id, snapshot_index, time_s, last (whether it is the run's last), cells: density and pressure of all zones, 0 where the grid has none."""
     z = zone_state(spark, d)
-    frames = z.groupBy(*RS, "time_s").agg(F.map_from_entries(F.collect_list(F.struct("zone_id", F.struct("density", "pressure")))).alias("m"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few cells, but long texts are made of them
+    frames = z.groupBy(*RS, "time_s").agg(F.map_from_entries(F.collect_list(F.struct("zone_id", F.struct("density", "pressure")))).alias("m")).repartition(tasks, "run_id")
     cell = lambda i: F.struct(i.cast("int").alias("zone_id"), *[F.coalesce(F.try_element_at("m", i.cast("int"))[c], F.lit(0.0)).alias(c) for c in ("density", "pressure")])
     last = F.col("snapshot_index") == F.max("snapshot_index").over(Window.partitionBy("run_id"))
     return frames.select(*RS, "time_s", last.alias("last"), F.transform(F.sequence(F.lit(1), F.lit(16)), cell).alias("cells"))
@@ -90,8 +91,8 @@ def logs(spark, d):
     odd = F.col("run_id") % 2 == 1
 
     def number(v, k):
-        n = _real(v * k)
-        return F.replace(n, F.lit("E"), F.lit("D")) if k % 5 == 0 else F.replace(n, F.lit("E"), F.lit("")) if k % 3 == 0 else n
+        n = (v * k).cast("string")  # of 0 and values from 1e-3 to 1e7 without an exponent
+        return F.concat(n, F.lit("D+00")) if k % 5 == 0 else F.concat(n, F.lit("+00")) if k % 3 == 0 else n
 
     row = lambda c, field, n: F.concat_ws("  ", F.lpad(c["zone_id"].cast("string"), 6, " "), *[number(c[field], k) for k in range(1, n + 1)])
     first = F.concat(F.array(F.lit("     0  -1.25E-01")), F.transform("cells", lambda c: row(c, "density", 14)))
