@@ -2,8 +2,9 @@
 
 A file is two date records, then for each snapshot one header vector, ``fixed - 1``
 record vectors and two records per zone; each record is a 4-byte length, the payload, the length again. Record widths are
-fixed within a file. A partition is a range of bytes; its task finds the layout from the
-file's first snapshot and reads the snapshots that begin in its range, of these only the
+fixed within a file. Files are cut into ranges of bytes; where these are many, a task has some
+of together TASK bytes, so that small files share one. It finds the layout from a
+file's first snapshot and reads the snapshots that begin in its ranges, of these only the
 records that are asked for. The driver lists files and opens none.
 """
 
@@ -41,13 +42,35 @@ def framed(file, at: int) -> tuple[bytes, int]:
     return payload, at + n + 8
 
 
-#: Bytes of a file that one task has; values of a batch of records.
-RANGE, VALUES = 64 << 20, 1 << 20
+#: Bytes of a range of a file; ranges up to which each is a task; bytes of a task if there are more, to which each file it
+#: opens adds OPEN; values of a batch of records.
+RANGE, FEW, TASK, OPEN, VALUES = 64 << 20, 64, 8 << 20, 64 << 10, 1 << 20
+#: Bytes up to which the distance of two records is read over instead of sought.
+NEAR = 64 << 10
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, a: int, b: int):
-        self.path, self.a, self.b = path, a, b
+class Ranges(InputPartition):
+    """What a task reads: path, start and end of pieces of files."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        self.pieces = pieces
+
+
+def dealt(ranges: Iterable[tuple[str, int, int]], task: int = TASK, opening: int = OPEN) -> list[Ranges]:
+    """Ranges in the order of files and places, if they are many as many to a task as have ``task`` bytes; those of a task that adjoin are one piece."""
+    ranges = list(ranges)
+    if len(ranges) <= FEW:
+        return [Ranges([r]) for r in ranges]
+    out, held, size = [], [], 0
+    for path, a, b in ranges:
+        adjoins = bool(held) and held[-1][0] == path and held[-1][2] == a
+        cost = b - a + (0 if adjoins else opening)
+        if held and size + cost > task:
+            out.append(Ranges(held))
+            held, size, adjoins, cost = [], 0, False, b - a + opening
+        held[-1:] = [(path, held[-1][1], b)] if adjoins else [*held[-1:], (path, a, b)]
+        size += cost
+    return [*out, Ranges(held)] if held else out
 
 
 def listed(path: str, suffix: str) -> list[tuple[str, int]]:
@@ -92,39 +115,51 @@ class Reader(DataSourceReader):
         if options.get("fields"):
             self.asked = set(options["fields"].split(","))
 
-    def partitions(self) -> list[Range]:
-        return [Range(path, a, min(a + self.range, size)) for p in self.paths for path, size in listed(p, self.suffix) for a in range(0, size, self.range)]
+    def partitions(self) -> list[Ranges]:
+        return dealt((path, a, min(a + self.range, size)) for p in self.paths for path, size in listed(p, self.suffix) for a in range(0, size, self.range))
 
     def _name(self, record: int) -> str:
         return self.names[record] if record < len(self.names) and self.names[record] else f"record_{record}"
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        with opened(partition.path) as file:
+        for path, a, b in partition.pieces:
+            for row in self._records(path, a, b):
+                held.append(row)
+                size += len(row[-1])
+                if size >= VALUES:
+                    yield self._batch(held)
+                    held, size = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _records(self, path: str, a: int, b: int) -> Iterator[tuple]:
+        """The records that are asked for of the snapshots that begin from ``a`` up to ``b``."""
+        with opened(path) as file:
             at = Layout(file, self.fixed)
             records = [(i, self._name(i), o) for i, o in enumerate(at.offsets)]
             records = [r for r in records if (self.asked is None or r[1] in self.asked) and (self.numbers is None or r[0] in self.numbers)]
-            for k in range(at.whole if records else 0):
-                start = at.first + k * at.size
-                if not partition.a <= start < partition.b:
-                    continue
-                header = np.frombuffer(framed(file, start)[0], "<f8")
-                for record, name, offset in records:
-                    values = np.frombuffer(framed(file, start + offset)[0], "<f8") if record else header
-                    held.append((k, int(header[CYCLE]), float(header[TIME]), record, name, values))
-                    size += len(values)
-                    if size >= VALUES:
-                        yield self._batch(partition.path, held)
-                        held, size = [], 0
-        if held:
-            yield self._batch(partition.path, held)
+            if not records or not at.whole:
+                return
+            first, end = max(0, -((at.first - a) // at.size)), min(at.whole, -((at.first - b) // at.size))
+            step = max(1, RANGE // at.size) if at.size <= NEAR * len(records) else 1
+            for k0 in range(first, end, step):
+                start, own = at.first + k0 * at.size, file
+                if at.size <= NEAR * len(records):  # small snapshots are read whole, some at a time
+                    own, start = pa.BufferReader(file.read_at((min(k0 + step, end) - k0) * at.size, start)), 0
+                for k in range(k0, min(k0 + step, end)):
+                    here = start + (k - k0) * at.size
+                    header = np.frombuffer(framed(own, here)[0], "<f8")
+                    for record, name, offset in records:
+                        values = np.frombuffer(framed(own, here + offset)[0], "<f8") if record else header
+                        yield path, k, int(header[CYCLE]), float(header[TIME]), record, name, values
 
     @staticmethod
-    def _batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
         column = lambda i, t: pa.array([r[i] for r in rows], t)
-        ends = pa.array(np.cumsum([0, *[len(r[5]) for r in rows]]), pa.int32())
-        values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[5] for r in rows])))
-        arrays = [pa.array([path] * len(rows)), column(0, pa.int32()), column(1, pa.int64()), column(2, pa.float64()), column(3, pa.int32()), column(4, pa.string()), values]
+        ends = pa.array(np.cumsum([0, *[len(r[6]) for r in rows]]), pa.int32())
+        values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[6] for r in rows])))
+        arrays = [column(0, pa.string()), column(1, pa.int32()), column(2, pa.int64()), column(3, pa.float64()), column(4, pa.int32()), column(5, pa.string()), values]
         return pa.RecordBatch.from_arrays(arrays, names=["file", "snapshot_index", "cycle", "time_s", "record", "name", "values"])
 
 
@@ -144,7 +179,7 @@ class FilteredReader(Reader):
 
 
 class RunFiles(DataSource):
-    """``spark.read.format("run_records")``: options path (files or folders, comma-separated), suffix, names, fields (names that are read), range (bytes of a task), fixed."""
+    """``spark.read.format("run_records")``: options path (files or folders, comma-separated), suffix, names, fields (names that are read), range (bytes of a range), fixed."""
 
     @classmethod
     def name(cls) -> str:

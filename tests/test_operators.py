@@ -400,6 +400,15 @@ def test_blocks_by_ranges_equal_whole_files(spark, tmp_path):
         assert [r.asDict() | {"rest": [x for x in r.rest if x]} for r in got] == [r.asDict() | {"rest": [x for x in r.rest if x]} for r in want]
 
 
+def test_ranges_of_many_small_files_share_tasks():
+    ranges = [(f"f{k:03d}", a, a + 4096) for k in range(200) for a in range(0, 36864, 4096)]
+    tasks = binary.dealt(ranges)
+    assert 2 < len(tasks) < 5 and all(sum(b - a for _, a, b in t.pieces) <= binary.TASK for t in tasks)
+    again = [(path, x, x + 4096) for t in tasks for path, a, b in t.pieces for x in range(a, b, 4096)]
+    assert again == ranges and sum(len(t.pieces) for t in tasks) < 200 + len(tasks)
+    assert len(binary.dealt(ranges[:64])) == 64
+
+
 def test_growing_logs_give_each_block_once(spark, tmp_path):
     import random
 
