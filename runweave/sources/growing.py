@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader
 
 from . import logheader, logtext
+from .binary import Ranges, dealt
 
-#: Bytes added to a log that one task reads, and of one step back.
+#: Bytes added to a log that one task reads (it reads what is added to several logs, if these are many), and of one step back.
 RANGE, STEP = 64 << 20, 1 << 20
+#: Bytes of a batch of texts.
+BATCH = 4 << 20
 #: A line that ends with the heading's fixed words or is a footer; both count from where the match ends.
 _HEADING = re.compile(rb"^[^\S\n]*Cycle[^\S\n]+Time[^\S\n]+\(s\)", re.MULTILINE)
 _FOOTER = re.compile(rb"#\s*Simulation (?:completed|aborted|terminated|stopped|ended)[^\n]*\n", re.IGNORECASE)
@@ -28,11 +31,6 @@ _HEADER_END = re.compile(re.escape(logtext.HEADER_END.encode()) + rb"[^\n]*\n")
 SCHEMA = "file string, start long, text string"
 
 
-class Added(InputPartition):
-    def __init__(self, path: str, a: int, b: int):
-        self.path, self.a, self.b = path, a, b
-
-
 def header_end(file, size: int) -> int | None:
     """Where the header of a log ends, if the log has come that far."""
     held = b""
@@ -78,14 +76,23 @@ class Reader(DataSourceStreamReader):
         found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         return {x.path: x.size for x in found if x.is_file and x.path.endswith(self.suffix)}
 
-    def partitions(self, start: dict, end: dict) -> list[Added]:
-        return [Added(path, a, min(a + self.range, size)) for path, size in sorted(end.items()) for a in range(start.get(path, 0), size, self.range)]
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return dealt((path, a, min(a + self.range, size)) for path, size in sorted(end.items()) for a in range(start.get(path, 0), size, self.range))
 
-    def read(self, partition: Added) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.root)
-        with store.open_input_file(partition.path) as file:
-            for start, text in finished(file, partition.a, partition.b):
-                yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([start], pa.int64()), pa.array([text.decode("utf-8", "replace")])], names=["file", "start", "text"])
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["file", "start", "text"])
+        held, size = [], 0
+        for path, a, b in partition.pieces:
+            with store.open_input_file(path) as file:
+                for start, text in finished(file, a, b):
+                    held.append((path, start, text.decode("utf-8", "replace")))
+                    size += len(text)
+                    if size >= BATCH:
+                        yield batch(held)
+                        held, size = [], 0
+        if held:
+            yield batch(held)
 
 
 class GrowingLogs(DataSource):
