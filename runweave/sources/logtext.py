@@ -80,6 +80,8 @@ RANGES, ZONES = 100_000, 20_000
 _MARK, _NUMBER, _WHOLE = re.compile(MARK), re.compile(NUMBER), re.compile(rf"(?:{NUMBER})\Z")
 _LEAD = frozenset("0123456789+-.")
 _BARE_EXPONENT = re.compile(r"(?<![A-Za-z])([+-]?(?:\d+\.\d*|\.\d+))([+-]\d{2,3})(?!\d)")
+#: The same from the point on, which is found faster, for texts that are read only if they then are numbers throughout.
+_BARE_AFTER_POINT = re.compile(r"(\.\d*)([+-]\d{2,3})(?!\d)")
 
 
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
@@ -175,7 +177,7 @@ class _Table:
 
     def __init__(self, head: str, units: str, lines: list[str]):
         self.boundary, self.padded, self.cut = None, 0, 0
-        zone = [int(z) if z.lstrip("+-").isdigit() else -1 for z in (x.split(None, 1)[0] for x in lines)]
+        zone = [int(z) if z.isdigit() or z.lstrip("+-").isdigit() else -1 for z in (x.split(None, 1)[0] for x in lines)]
         if 0 in zone:
             tokens = numbers(lines[zone.index(0)])
             self.boundary = number(tokens[1]) if len(tokens) > 1 else None
@@ -184,9 +186,7 @@ class _Table:
         self.fields, self.units = _layout(head, units, lines)
         width = len(self.fields) + 1
         text = "\n".join(lines)
-        values = _floats(text)
-        if len(values) != width * len(lines):
-            values = _floats(_BARE_EXPONENT.sub(r"\1E\2", text).replace("D", "E").replace("d", "E"))
+        values = _floats(_BARE_AFTER_POINT.sub(r"\1E\2", text).replace("D", "E").replace("d", "E"))
         if len(values) != width * len(lines):
             values = self._ragged(lines, width)
         rows = values.reshape(-1, width)

@@ -400,6 +400,12 @@ def test_blocks_by_ranges_equal_whole_files(spark, tmp_path):
         assert [r.asDict() | {"rest": [x for x in r.rest if x]} for r in got] == [r.asDict() | {"rest": [x for x in r.rest if x]} for r in want]
 
 
+def test_bare_exponents_are_read_at_once(monkeypatch):
+    monkeypatch.setattr(logtext, "_BARE_EXPONENT", None)  # the slow form is for lines that are no numbers throughout
+    t = logtext._Table("Radius", "cm", [*[f"{z} " + "1.5+00 2.5D+01 .5-01 " * 4 + "7.0 8." for z in (1, 2)]])
+    assert t.values.tolist() == [[1.5, 25.0, 0.05] * 4 + [7.0, 8.0]] * 2
+
+
 def test_ranges_of_many_small_files_share_tasks():
     ranges = [(f"f{k:03d}", a, a + 4096) for k in range(200) for a in range(0, 36864, 4096)]
     tasks = binary.dealt(ranges)
