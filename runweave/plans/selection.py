@@ -248,7 +248,8 @@ def cross_source_errors(spark, d):
 
 @query("pulse_duration", "run_id caution", "duration", "s AS (SELECT run_id, snapshot_index, time_s, sum(velocity) AS power FROM g GROUP BY 1, 2, 3) ;; SELECT run_id, coalesce(max(time_s) FILTER (WHERE power > 0) - min(time_s) FILTER (WHERE power > 0), max(time_s) - min(time_s)) AS duration, coalesce(max(time_s) FILTER (WHERE power > 0) - min(time_s) FILTER (WHERE power > 0), max(time_s) - min(time_s)) <= 1e0 AS caution FROM s GROUP BY 1")
 def pulse_duration(spark, d):
-    s = zone_state(spark, d).groupBy(*RS, "time_s").agg(F.sum("velocity").alias("power"))
+    # velocities have six decimals: their exact sum is above 0 or not in whatever order they come
+    s = zone_state(spark, d).groupBy(*RS, "time_s").agg(F.sum(F.col("velocity").cast("decimal(18,6)")).alias("power"))
     on = F.when(F.col("power") > 0, F.col("time_s"))
     out = s.groupBy("run_id").agg(F.coalesce(F.max(on) - F.min(on), F.max("time_s") - F.min("time_s")).alias("duration"))
     return out.withColumn("caution", F.col("duration") <= 1.0)

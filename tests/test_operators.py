@@ -583,3 +583,15 @@ def test_modules_read_the_cells_once(spark, front):
         plan = result._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parquet") == 1 and "LogicalRDD" not in plan and "LocalRelation" not in plan  # the written sums alone
     assert set(modules.run_modules(front.drop("region_id"))) == {"spectroscopy", "plasmon", "transmission"} and modules.run_modules(front.select("run_id")) == {}
+
+
+def test_power_of_a_pulse_is_summed_exactly(spark, monkeypatch):
+    from runweave.plans import selection
+
+    found = []
+    for order in (1, -1):  # in one of the orders a sum of doubles is above 0
+        rows = [(1, s, z, 0.1 * s, v) for s in (0, 1, 2, 30) for z, v in enumerate((0.1, 0.2, -0.3)[::order] if s != 2 else (1.0, 0.0, 0.0))]
+        cells = spark.createDataFrame(rows, "run_id long, snapshot_index int, zone_id int, time_s double, velocity double").coalesce(1)
+        monkeypatch.setattr(selection, "zone_state", lambda *_, cells=cells: cells)
+        found.append(selection.pulse_duration(spark, "").first().duration)
+    assert found == [0.0, 0.0]
