@@ -79,3 +79,12 @@ def test_rows_in_any_batches_give_the_same(spark, tmp_path, batches):
     fronts = {r.snapshot_index: r.track_index for r in X.drained(X.front(source.withColumn("run_id", F.lit(1).cast("long")), threshold=0.3, at="at", delay="1 hour"), "f").collect() if r.snapshot_index < 99}
     want, _ = X.Front(0.3, True, 48, 4), None
     assert fronts == dict(want.step(None, rows.sort_values(want.order))[1])
+
+
+def test_many_keys_are_folded_in_few_calls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "BUCKETS", 3)
+    for k in range(2):  # the second batch goes on from the states of the first
+        spark.createDataFrame([(i, 10 * k + j, float(i + j - 2 * k)) for i in range(200) for j in range(2)], "key long, n long, t double").coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
+    stream = spark.readStream.schema("key long, n long, t double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = sorted((r.key, r.n, r.t, r.latest) for r in X.drained(X.out_of_order(stream), "o").collect())
+    assert got == [(i, 10 + j, float(i + j - 2), i + 1.0) for i in range(200) for j in range(2)]
