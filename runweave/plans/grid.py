@@ -42,11 +42,13 @@ def zone_columns(df: DataFrame) -> DataFrame:
 def zone_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     when = F.col("l_shipdate")
-    keyed = lines.groupBy(
-        F.col("l_suppkey").alias("run_id"),
-        ((F.year(when) - 1992) * 4 + F.quarter(when) - 1).cast("int").alias("snapshot_index"),
-        ((F.col("l_partkey") % ZONES).cast("int") + 1).alias("zone_id"),
-    )
+    keyed = lines.withColumns({
+        "run_id": F.col("l_suppkey"),
+        "snapshot_index": ((F.year(when) - 1992) * 4 + F.quarter(when) - 1).cast("int"),
+        "zone_id": (F.col("l_partkey") % ZONES).cast("int") + 1,
+    })
+    # a cell has few lines, so these move once, by snapshot, and windows along the zones need no second shuffle
+    keyed = keyed.repartition("run_id", "snapshot_index").groupBy("run_id", "snapshot_index", "zone_id")
     cells = keyed.agg(
         F.round(F.avg("l_quantity"), 6).alias("density"),
         F.round(F.avg(F.col("l_discount") - F.col("l_tax")) * 1e2, 6).alias("velocity"),
