@@ -162,12 +162,13 @@ def quality_gates(zones: DataFrame, fractions: Column | None = None, edges: Colu
 
 
 def write_run_table(df: DataFrame, path: str, *, overwrite: bool = False, compression: str = "zstd") -> None:
-    """Run tables by run, rows in snapshot and zone order, so that slices prune files and row groups.
+    """Run tables in files by ranges of run and snapshot, rows in snapshot and zone order, so that slices prune files and row groups by their statistics.
 
-    Rows are dealt by ranges of run and snapshot, so a large run is several files and tasks.
+    A large run is several files and tasks, and small runs share one: with a folder a run, a
+    table of many short runs is mostly the making, listing and opening of files.
     """
     rows = df.repartitionByRange("run_id", "snapshot_index").sortWithinPartitions("run_id", "snapshot_index", "zone_id")
-    rows.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression).partitionBy("run_id").parquet(path)
+    rows.write.mode("overwrite" if overwrite else "errorifexists").option("compression", compression).parquet(path)
 
 
 def export_spectrum(df: DataFrame, path: str, required: tuple[str, str], optional: list[str] = (), keys: list[str] = ()) -> None:

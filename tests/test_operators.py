@@ -648,3 +648,18 @@ def test_matchings_of_many_frames_are_those_of_each():
         found, one = {(i, j) for h, i, j in zip(group[on], row[on], column[on]) if h == g}, set(V.matching(costs, p).items())
         price = lambda x: (len(x), sum(round((costs[i, j] - p.birth_cost - p.miss_cost) * 1e9) for i, j in x), sum((len(costs) - i) * (j + 1) for i, j in x))
         assert price(found) == price(one) and len({j for _, j in found}) == len(found) == len({i for i, _ in found})
+
+
+def test_a_run_table_of_many_runs_is_few_files(spark, tmp_path):
+    rows = spark.range(400 * 6).select((F.col("id") % 400).alias("run_id"), F.floor(F.col("id") / 1200).cast("int").alias("snapshot_index"), (F.floor(F.col("id") / 400) % 3 + 1).cast("int").alias("zone_id"), F.col("id").cast("double").alias("density"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one file
+    try:
+        tables.write_run_table(rows, f"{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(tmp_path.glob("t/**/*.parquet"))
+    assert len(parts) <= 8
+    back = spark.read.parquet(f"{tmp_path}/t")
+    assert sorted(map(tuple, back.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    spans = sorted(tuple(spark.read.parquet(str(f)).agg(F.min("run_id"), F.max("run_id")).first()) for f in parts)
+    assert len(spans) > 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))  # a run's slice skips the other files
