@@ -370,6 +370,19 @@ def parsed(texts: DataFrame) -> DataFrame:
     return taken_apart(texts.withColumnRenamed("block", "number")).withColumn("block", F.col("number").cast("int")).drop("number")
 
 
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_Block(text.splitlines()) for text in batch.column(2).to_pylist()]
+        values = [pa.array([getattr(b, c) for b in found], t) for c, t in (("cycle", pa.int64()), ("time", pa.float64()), ("step", pa.float64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], names=["file", "block", "cycle", "time_s", "time_step_s"])
+
+
+def block_facts(texts: DataFrame) -> DataFrame:
+    """file, block, cycle, time_s, time_step_s of blocks (file, block, text) as ``parsed`` has them, from the two lines they stand on."""
+    heads = texts.select("file", F.col("block").cast("int"), F.substring_index("text", "\n", 2).alias("text"))
+    return heads.mapInArrow(_facts, "file string, block int, cycle long, time_s double, time_step_s double")
+
+
 def blocks(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
     """All snapshot blocks of the logs, one row each; ``ranges`` is their ``index``.
 

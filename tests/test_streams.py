@@ -88,3 +88,18 @@ def test_many_keys_are_folded_in_few_calls(spark, tmp_path, monkeypatch):
     stream = spark.readStream.schema("key long, n long, t double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     got = sorted((r.key, r.n, r.t, r.latest) for r in X.drained(X.out_of_order(stream), "o").collect())
     assert got == [(i, 10 + j, float(i + j - 2), i + 1.0) for i in range(200) for j in range(2)]
+
+
+def test_snapshots_of_many_logs_are_those_parsed_whole(spark, tmp_path):
+    from runweave.sources import logtext
+
+    tables = "#Zone Radius\n cm\n 1 2.0\n\n#Zone Ion energy\n J/g\n 1 3.0\n"
+    for i in range(40):  # more than are looked up by the driver
+        bad = "" if i % 3 else "  Cycle   Time (s)  Delta\n no numbers\n"
+        (tmp_path / f"r{i}.log").write_text(f"x\n{logtext.HEADER_END}\n" + "".join(f"  Cycle   Time (s)  Delta\n {c}  {c}.5D-01  1.0-03 zone 3\n\n{tables}" for c in range(i % 4)) + bad + ("  Cycle   Time (s)" if i % 5 == 0 else ""))
+    path = f"file://{tmp_path}"
+    got = X.drained(X.snapshot_stream(spark, path), "many").collect()
+    want = logtext.parsed(logtext.block_texts(logtext.read_logs(spark, path)).filter("block >= 0")).select("file", "block", "cycle", "time_s", "time_step_s")
+    assert sorted(map(str, got)) == sorted(map(str, want.collect())) and len(got) > 60
+    plan = X.snapshot_stream(spark, path)._jdf.queryExecution().toString()
+    assert "table_zones" not in plan  # tables are not taken apart for their headings
