@@ -103,3 +103,20 @@ def test_snapshots_of_many_logs_are_those_parsed_whole(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want.collect())) and len(got) > 60
     plan = X.snapshot_stream(spark, path)._jdf.queryExecution().toString()
     assert "table_zones" not in plan  # tables are not taken apart for their headings
+
+
+def test_keys_of_a_bucket_wait_and_are_folded_together(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = pd.DataFrame({"user_id": rng.integers(0, 50, 600), "t": rng.permutation(600) + 1.0, "y": rng.random(600)})
+    rows["batch"] = np.minimum(rows.t // 200 + rng.integers(0, 2, 600), 2)  # up to a batch late
+    for k, part in rows.groupby("batch"):
+        spark.createDataFrame(part[["user_id", "t", "y"]]).coalesce(1).write.parquet(f"{tmp_path}/in/b{int(k)}")
+    stream = spark.readStream.schema("user_id long, t double, y double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    timed = X.cumulative(stream.withColumn("at", F.timestamp_seconds("t")), "user_id", at="at", delay="250 seconds")
+    assert "__bucket" in timed._jdf.queryExecution().logical().toString()  # no calls to the state a key
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = X.drained(timed, "waiting").toPandas()
+    passed = rows[rows.t <= rows.t.max() - 250].sort_values(["user_id", "t"])
+    assert len(got) == len(passed)
+    for user, own in passed.groupby("user_id"):
+        assert np.isclose(got[got.user_id == user].sort_values("t").total.iloc[-1], np.trapezoid(own.y, own.t))
