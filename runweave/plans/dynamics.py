@@ -189,8 +189,8 @@ def front_track(spark, d):
     return V.track_velocity(V.placed_track(smooth, bounds, "smoothed"), "position_cm").select(*RS, "track_index", "smoothed", "track_score", "position_cm", "track_velocity")
 
 
-def evidence(spark, d):
-    return V.wave_evidence(zone_state(spark, d), u_floor=0.5)
+def evidence(spark, d, cells=False):
+    return V.wave_evidence(zone_state(spark, d), u_floor=0.5, cells=cells)
 
 
 EVID = f"""p1 AS (SELECT *, coalesce(25e-2 * lag(density) OVER w + 5e-1 * density + 25e-2 * lead(density) OVER w, density) AS rho, coalesce(25e-2 * lag(velocity) OVER w + 5e-1 * velocity + 25e-2 * lead(velocity) OVER w, velocity) AS u, coalesce(25e-2 * lag(temperature_e) OVER w + 5e-1 * temperature_e + 25e-2 * lead(temperature_e) OVER w, temperature_e) AS te, coalesce(25e-2 * lag(temperature_i) OVER w + 5e-1 * temperature_i + 25e-2 * lead(temperature_i) OVER w, temperature_i) AS ti FROM g WINDOW w AS {WS}),
@@ -211,8 +211,9 @@ def evidence_families(spark, d):
     return V.families(evidence(spark, d)).groupBy("run_id", "family").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
-def candidates(spark, d):
-    return V.frame_candidates(V.families(evidence(spark, d)).withColumn("score", F.round("score", 9)))
+def candidates(spark, d, cells=False):
+    e = evidence(spark, d, cells)
+    return V.frame_candidates(e.withColumns({c: F.round(c, 9) for c in ("shock_like", "release_like", "contact_like")}))
 
 
 @query("topk_per_frame", "run_id snapshot_index zone_id family_rank", "density", f"m AS (SELECT *, coalesce(lag(density) OVER w, -1e0) AS l, coalesce(lead(density) OVER w, -1e0) AS r, max(density) OVER (PARTITION BY run_id, snapshot_index) AS top FROM g WINDOW w AS {WS}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, snapshot_index ORDER BY density DESC, zone_id) AS INT) AS family_rank FROM m WHERE density >= l AND density >= r) ;; SELECT * FROM k WHERE family_rank <= 2 AND density >= 55e-2 * top")
@@ -241,7 +242,7 @@ def profile(spark, d):
 
 
 def wave_branches_of(spark, d):
-    return V.wave_branches(V.placed_candidates(candidates(spark, d), profile(spark, d)))
+    return V.wave_branches(V.placed_candidates(candidates(spark, d, cells=True), profile(spark, d)))
 
 
 @query("wave_branches")
@@ -468,7 +469,7 @@ lm AS (SELECT *, CASE WHEN ml + ms + mr > 0 THEN (mr - ml) / (ml + ms + mr) ELSE
 
 @query("tanh_localisation", "run_id snapshot_index family interface_id family_rank model", "front width error fit_quality confidence", LOCALISED + " ;; SELECT run_id, snapshot_index, family, interface_id, fr AS family_rank, CASE WHEN front IS NULL THEN 'weighted-centroid' ELSE 'local-joint-tanh' END AS model, coalesce(front, e1 + m * CASE WHEN m < 0 THEN e1 - coalesce(e0, e1) ELSE coalesce(e2, e1) - e1 END) AS front, coalesce(width, greatest(sqrt(greatest(v - m * m, 0)) * c, c)) AS width, error, CASE WHEN front IS NULL THEN 35e-2 ELSE 1 / (1 + error) END AS fit_quality, CASE WHEN front IS NULL THEN 3e-1 ELSE least(greatest(3e-1 + 7e-1 / (1 + error), 0), 1) END AS confidence FROM lm")
 def tanh_localisation(spark, d):
-    return V.localised(candidates(spark, d), profile(spark, d))
+    return V.localised(candidates(spark, d, cells=True))
 
 
 SPEC = "e AS (SELECT vec_id, CAST(unnest(range(1, len(embedding) + 1)) AS INT) AS i, unnest(embedding)::DOUBLE AS raw FROM embeddings), sp AS (SELECT vec_id, i, abs(raw) AS y FROM e)"

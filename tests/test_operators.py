@@ -163,6 +163,36 @@ def test_localisation_query_answers_all_candidates(spark):
     assert all(r.front is not None and r.width > 0 for r in rows) and {r.model for r in rows} == {"local-joint-tanh", "weighted-centroid"}
 
 
+def test_candidates_of_evidence_with_cells_need_no_profile(spark):
+    """The windows come from the pass over the frames, with absent zones; only thresholds are joined, and lines are not read again."""
+    from runweave.plans import dynamics as D
+
+    sf = "/root/testdata/sf0.001"
+    got, want = V.localised(D.candidates(spark, sf, cells=True)), V.localised(D.candidates(spark, sf), D.profile(spark, sf))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "l_suppkey" not in plan and "Aggregate" in plan
+    shown = lambda df: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df.collect())
+    assert shown(got) == shown(want) and len(shown(got)) > 100
+
+
+def test_tanh_fit_of_missing_values(spark):
+    """A cell without a value counts for nothing, a field of under three cells has no error, and under four zones have no fit."""
+    x = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    a, b = [0.1, 0.3, None, 2.0, 2.2, 2.1], [None, None, 5.0, 1.0, None, None]
+    rows = [(1, 0, z + 1, x[z], a[z], b[z]) for z in range(6)] + [(2, 0, z + 1, x[z], a[z], b[z]) for z in (1, 2, 3)]
+    p = spark.createDataFrame(rows, "run_id long, snapshot_index int, zone_id int, x double, a double, b double")
+    c = spark.createDataFrame([(1, 0, 2), (2, 0, 2)], "run_id long, snapshot_index int, interface_id int")
+    (r,) = V.tanh_fit(c, p, ("a", "b")).collect()
+    have = [k for k in range(6) if a[k] is not None]
+    y, best = np.array([a[k] for k in have]), (math.inf, 0, 0)
+    for at in np.linspace(2.5, 4.5, 5):
+        for w in np.linspace(0.75, 4.0, 4):
+            basis = np.column_stack((np.ones(len(y)), np.tanh((np.array(x)[have] - at) / w)))
+            rest = y - basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
+            best = min(best, (np.sqrt(np.mean(rest**2)) / np.std(y), at, w), key=lambda v: v[0])
+    assert r.run_id == 1 and np.allclose((r.error, r.front, r.width), best)
+
+
 def test_nearest_ties_and_ends(spark):
     rows = spark.createDataFrame([(1, 0, 0.0), (1, 1, 2.0), (1, 2, 4.0)], "k long, s int, t double")
     ask = spark.createDataFrame([(1, "tie", 1.0), (1, "before", -5.0), (1, "after", 9.0), (1, "hit", 2.0), (2, "none", 1.0)], "k long, n string, w double")
