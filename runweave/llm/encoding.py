@@ -9,15 +9,21 @@ distinct chunk is encoded once per Python worker. The memo holds at most
 from __future__ import annotations
 
 import functools
+import json
 import os
 import unicodedata
 
 import numpy as np
 
 MEMO = 400_000
+#: Distinct runs of symbols that are kept.
+TAILS = 50_000
+#: Words to a text when many are encoded at once, and the first letter that the plainer tokenizer is not given.
+WORDS, BEYOND = 200, "\u0530"
 #: Characters that Python and the tokenizer treat differently when splitting or lower-casing.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ")
-_TAIL = ".,;:!?"
+#: ASCII characters that are no letter, number or space; without the apostrophe, which may begin a piece with letters.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,6 +32,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo(dict):
+    """Chunks that are kept; those of the present call that find no room stand in ``rest``."""
+
+    rest: dict[str, bytes] = {}
+
+    def __missing__(self, w: str) -> bytes:
+        return self.rest[w]
+
+
 class WordEncoder:
     """Ids of a lower-casing word BPE (each word ends in a piece with ``</w>``)."""
 
@@ -38,46 +53,66 @@ class WordEncoder:
         size = self.tok.get_vocab_size()
         self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.special = sorted(t for t in (x.content for x in self.tok.get_added_tokens_decoder().values()))
-        self.memo: dict[str, bytes] = {}
+        self.plain = self._plainer()
+        self.memo = Memo()
+        self.tails: dict[str, bytes] = {}
         self.most = most
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plainer(self):
+        """The same model behind a split at spaces, for lower-case words of letters that are one piece each; None where it may differ."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        kind = json.loads(self.tok.pre_tokenizer.__getstate__()) if self.tok.pre_tokenizer else {}
+        match kind.get("pretokenizers"):
+            case [{"type": "Split", "pattern": {"Regex": pattern}, "invert": True, "behavior": "Removed"}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}] if "|[\\p{L}]+|" in pattern:
+                plain = Tokenizer(self.tok.model)
+                plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+                return plain
+
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, many to a call; cut after each piece that ends a word."""
+        """Words of letters only, many to a text; cut after each piece that ends a word."""
         out: list[bytes] = []
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(part):
-                out += self._direct(part)
-                continue
-            raw, at = ids.tobytes(), [0, *(cut * 4).tolist()]
-            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        parts = [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
+        for k in range(0, len(parts), 50):
+            texts = [" ".join(part) for part in parts[k : k + 50]]
+            plain = self.plain and all(t.isascii() or max(t) < BEYOND for t in texts)
+            for part, e in zip(parts[k : k + 50], (self.plain if plain else self.tok).encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.asarray(e.ids, "<u4")
+                cut = np.flatnonzero(self.ends[ids]) + 1
+                if len(cut) != len(part):
+                    out += self._direct(part)
+                    continue
+                raw, at = ids.tobytes(), [0, *(cut * 4).tolist()]
+                out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Encodes the chunks not met before; a chunk of letters plus one stop is put together from its parts."""
-        memo, got = self.memo, {}
+        """Encodes the chunks not met before; a chunk of letters and then only stops and symbols is put together from the two, which the tokenizer cuts apart."""
+        memo, tails = self.memo, self.tails
         plain, joined, other = set(), [], []
         for w in missing:
-            if w.isalpha():
+            core = w.rstrip(_TAIL)
+            if not core.isalpha():
+                other.append(w)
+            elif core == w:
                 plain.add(w)
-            elif w[-1] in _TAIL and w[:-1].isalpha():
-                joined.append(w)
-                if w[:-1] not in memo:
-                    plain.add(w[:-1])
             else:
-                other.append(w)
+                joined.append((w, core, w[len(core) :]))
+                if core not in memo:
+                    plain.add(core)
         words = list(plain)
-        got.update(zip(words, self._letters(words)))
+        got = dict(zip(words, self._letters(words)))
         got.update(zip(other, self._direct(other)))
-        stops = dict(zip(_TAIL, self._direct(list(_TAIL))))
-        for w in joined:
-            core = w[:-1]
-            got[w] = (got.get(core) or memo[core]) + stops[w[-1]]
+        if len(tails) > TAILS:
+            tails.clear()
+        new = list({tail for _, _, tail in joined} - tails.keys())
+        tails.update(zip(new, self._direct(new)))
+        for w, core, tail in joined:
+            ids = got.get(core)
+            got[w] = (memo[core] if ids is None else ids) + tails[tail]
         return got
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -94,18 +129,17 @@ class WordEncoder:
                 t = unicodedata.normalize("NFC", t)
             words = t.lower().split()
             split.append(words)
-            missing.update(w for w in words if w not in memo)
+            missing.update(w for w in set(words) if w not in memo)
         got = self._learn(missing) if missing else {}
-        room = self.most - len(memo)
-        if got and len(got) <= room:
-            memo.update(got)
-            got = {}
-        elif got and room > 0:
+        room = max(0, self.most - len(memo))
+        if room < len(got):
             memo.update(list(got.items())[:room])
-        if got:
-            out = [b"".join([memo.get(w) or got[w] for w in ws]) for ws in split]
+            memo.rest = got
         else:
-            out = [b"".join([memo[w] for w in ws]) for ws in split]
+            memo.update(got)
+        of = memo.__getitem__
+        out = [b"".join(map(of, ws)) for ws in split]
+        memo.rest = {}
         if odd:
             for i, raw in zip(odd, self._direct(list(odd.values()))):
                 out[i] = raw

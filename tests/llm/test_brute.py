@@ -54,6 +54,18 @@ def test_encoding_equals_the_library(rows):
     assert encoding.WordEncoder(encoding.tokenizer_file("word_bpe_49k.json")).encode(texts) == want
 
 
+def test_new_chunks_cost_few_calls(monkeypatch):
+    """Letters before symbols are encoded as words, many to a text, and each run of symbols once; ids stay those of the library."""
+    words = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11, 5)) + chr(97 + i % 26) for i in range(700)]
+    texts = [" ".join(words), " ".join(w + "***" for w in words), " ".join(w + ".&&&" for w in words), "été... жук*** ԱԲԳ!! ǆabc?! naïve'* x_y_ a²*** ͅb**", " ".join(words[:300] + ["ქართული"] + words[300:])]
+    t, e = tokenizer("word_bpe_49k.json"), encoding.WordEncoder(encoding.tokenizer_file("word_bpe_49k.json"))
+    want = [np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    asked, direct = [], e._direct
+    monkeypatch.setattr(e, "_direct", lambda chunks: asked.extend(chunks) or direct(chunks))
+    assert [x for t in texts[:3] for x in e.encode([t])] == want[:3] and set(asked) == {"***", ".&&&"}
+    assert e.encode(texts) == want and e.plain is not None
+
+
 def test_full_memo_changes_nothing(rows):
     texts = [r.text for r in rows.values()][:40]
     path = encoding.tokenizer_file("word_bpe_49k.json")
