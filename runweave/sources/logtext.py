@@ -79,6 +79,8 @@ RANGES, ZONES = 100_000, 20_000
 
 _MARK, _NUMBER, _WHOLE = re.compile(MARK), re.compile(NUMBER), re.compile(rf"(?:{NUMBER})\Z")
 _LEAD = frozenset("0123456789+-.")
+#: What has no two blanks in it.
+_SPACED = re.compile(r"\S+(?:\s\S+)*")
 _BARE_EXPONENT = re.compile(r"(?<![A-Za-z])([+-]?(?:\d+\.\d*|\.\d+))([+-]\d{2,3})(?!\d)")
 #: The same from the point on, which is found faster, for texts that are read only if they then are numbers throughout.
 _BARE_AFTER_POINT = re.compile(r"(\.\d*)([+-]\d{2,3})(?!\d)")
@@ -234,15 +236,23 @@ def _name(label: str) -> str:
 
 
 def _layout(head: str, units: str, lines: list[str]) -> tuple[list[str], list[str]]:
-    """Fields and units of a table: those of the known layouts, or else what stands in the head above each number of the widest row."""
+    """Fields and units of a table: those of the known layouts, or else the labels of its head, in order or by place.
+
+    Labels with two blanks or more between them are taken in order where there is one for each number of the widest row, as
+    the places of numbers vary with their digits. Elsewhere a label is what stands in the head above its number. Likewise units.
+    """
     if SECONDARY_LABEL in head:
         return (SECONDARY_12, UNITS_12) if SINK_LABEL in head else (SECONDARY_11, UNITS_11)
     if PRIMARY_LABEL in head or not lines:
         return PRIMARY, PRIMARY_UNITS
     widest = max(lines, key=lambda x: len(x.split())).upper().replace("D", "E")
     starts = [m.start() for m in _NUMBER.finditer(widest)][1:]
-    over = lambda text: [text[a:b].strip().strip("#()").strip() for a, b in zip(starts, [*starts[1:], None])]
-    return [_name(x) for x in over(head)], over(units)
+    labels, spaced = list(_SPACED.finditer(head))[1:], [m.group() for m in _SPACED.finditer(units)]
+    if len(labels) == len(starts):
+        starts = [m.start() for m in labels]
+    over = lambda text: [text[a:b] for a, b in zip(starts, [*starts[1:], None])]
+    plain = lambda texts: [x.strip().strip("#()").strip() for x in texts]
+    return [_name(x) for x in plain(over(head))], plain(spaced if len(spaced) == len(starts) else over(units))
 
 
 class _Block:

@@ -315,6 +315,18 @@ def test_damaged_tables(spark):
     assert t.zones.tolist() == [1, 2, 3] and (t.padded, t.cut) == (1, 2) and t.values[0].tolist() == [1.0] * 13 + [2.0] and t.values[1, 13] == 5.0 and np.isnan(t.values[2, 1])
 
 
+def test_labels_of_an_unknown_table_do_not_hang_on_the_digits_of_its_numbers(spark):
+    """Labels apart by two blanks are taken in order; others by the place of the numbers below."""
+    apart = "#Zone   Flux in                Gain\n        (g/s)                  (1)\n"
+    close = "#Zone   Flux  Ion gain\n        (g/s) (1)\n"
+    numbers = ["    1   4.0   9.25\n", "    1   12.333333   9.25\n", "    1   1.0   2.0\n    2   123456789.123456789012   3.0\n"]
+    texts = [("f", i, f"  Cycle  Time (s)\n 1 2.0 3.0\n{apart}{n}") for i, n in enumerate(numbers)] + [("f", 3, f"  Cycle  Time (s)\n 1 2.0 3.0\n{close}    1   4.0   9.25\n"), ("f", 4, "  Cycle  Time (s)\n 1 2.0 3.0\n#Zone Flux  Ion gain\n      (g/s) (1)\n    1 4.0   9.25\n")]
+    found = logtext.parsed(spark.createDataFrame(texts, "file string, block int, text string")).orderBy("block").collect()
+    assert [r.units for r in found[:3]] == [{"flux_in": "g/s", "gain": "1"}] * 3
+    assert [(r.fields["flux_in"][0], r.fields["gain"][0]) for r in found[:3]] == [(4.0, 9.25), (12.333333, 9.25), (1.0, 2.0)]
+    assert [r.units for r in found[3:]] == [{"flux": "g/s", "ion_gain": "1"}] * 2
+
+
 def test_binary_source(spark, tmp_path):
     def rec(payload):
         return struct.pack("<i", len(payload)) + payload + struct.pack("<i", len(payload))
