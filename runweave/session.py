@@ -43,6 +43,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def deleted(*folders: str) -> None:
+    """Deletes scratch folders that nothing reads any more; one that was never written is none."""
+    from pyarrow import fs
+
+    for folder in folders:
+        store, root = fs.FileSystem.from_uri(folder)
+        if store.get_file_info(root).type == fs.FileType.Directory:
+            store.delete_dir(root)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing numbers are null inside the library, so that aggregates skip them."""
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

@@ -144,14 +144,15 @@ def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("file", pa.string()), ("start", pa.int64()), ("marks", pa.int64()), ("head", pa.string()), ("tail", pa.string())]))
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
+def index(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """A written table with a row a range: file, start, marks (headings), before (those of earlier ranges), head and tail.
 
-    ``head`` are the lines before the first heading, ``tail`` those from the last one on.
+    ``head`` are the lines before the first heading, ``tail`` those from the last one on. The table goes into ``folder``
+    or else the scratch folder.
     """
     rows = read_ranges(spark, path).mapInArrow(_indexer, "file string, start long, marks long, head string, tail string")
     before = F.coalesce(F.sum("marks").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    folder = scratch(spark, "log-index")
+    folder = folder or scratch(spark, "log-index")
     rows.withColumn("before", before).write.parquet(folder)
     return spark.read.parquet(folder)
 

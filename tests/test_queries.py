@@ -2,12 +2,14 @@
 
 import subprocess
 import sys
+import uuid
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from runweave import plans
+from runweave.plans import ingest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -35,6 +37,29 @@ def test_sql_twin(spark, con, name):
     assert a == b
 
 
+@pytest.mark.parametrize(("name", "folders"), [("log_zone_table", "logs")])
+def test_log_files_lie_on_disk_a_lot_at_a_time(spark, con, tmp_path, monkeypatch, name, folders):
+    """Lots of some 70 blocks give what all runs together give; a lot's files are gone before the next one's come."""
+    lots, delete = [], ingest.deleted
+
+    def counted(*places):
+        found = [p.name for p in tmp_path.rglob("*.log")]
+        lots.extend([found] if found else [])
+        delete(*places)
+
+    monkeypatch.setattr(ingest, "scratch", lambda _, what: f"file://{tmp_path}/{what}-{uuid.uuid4().hex}")
+    monkeypatch.setattr(ingest, "BLOCKS", 70)
+    monkeypatch.setattr(ingest, "deleted", counted)
+    got, want = plans.queries()[name](spark, SF), con.sql(plans.oracle_sql()[name])
+    columns = sorted(got.columns)
+    a = sorted(tuple(map(shown, r)) for r in got.select(columns).collect())
+    b = sorted(tuple(map(shown, r)) for r in want.project(", ".join(columns)).fetchall())
+    assert a == b
+    runs = [n for lot in lots for n in lot]
+    assert len(lots) > 2 and len(runs) == len(set(runs)) and max(map(len, lots)) < len(runs) and {p.rsplit(".", 1)[0] for p in runs} >= {r[columns.index("file")] for r in a}
+    assert not list(tmp_path.rglob("*.log")) and not list(tmp_path.glob(f"{folders}-beside-*"))
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_rows_only(spark, name):
     assert plans.queries()[name](spark, SF).count() > 0
