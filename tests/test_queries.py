@@ -37,7 +37,7 @@ def test_sql_twin(spark, con, name):
     assert a == b
 
 
-@pytest.mark.parametrize(("name", "folders"), [("log_zone_table", "logs")])
+@pytest.mark.parametrize(("name", "folders"), [("log_zone_table", "logs"), ("stream_growing_logs", "growing")])
 def test_log_files_lie_on_disk_a_lot_at_a_time(spark, con, tmp_path, monkeypatch, name, folders):
     """Lots of some 70 blocks give what all runs together give; a lot's files are gone before the next one's come."""
     lots, delete = [], ingest.deleted
